@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import token_binary
+from tidemark.llm import near_dedup, token_binary
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,8 +24,15 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_blocks(*token_binary.token_file(docs, tokenizer_path(), END_ID))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_binary": op3_token_binary}
+    return {
+        "op3_token_binary": op3_token_binary,
+        "op7_near_dedup": op7_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
