@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near_dedup, token_binary
+from tidemark.llm import decontaminate, near_dedup, token_binary
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,31 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_blocks(*token_binary.token_file(docs, tokenizer_path(), END_ID))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items).drop("items")
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item_id, size, list_slice(w, i, i + size - 1) AS g
+           FROM (SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS i FROM b)),
+grams AS (SELECT r, i, size, list_slice(w, i, i + size - 1) AS g
+          FROM (SELECT r, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM wanted))),
+found AS (SELECT r, i, grams.size AS size, item_id FROM grams JOIN wanted USING (g)),
+hit AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(generate_series(i, i + size - 1)) AS at FROM found) GROUP BY r),
+item AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+         FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(item.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)
+"""
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -31,9 +56,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_binary": op3_token_binary,
+        "op4_decontaminate": op4_decontaminate,
         "op7_near_dedup": op7_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": OP4_SQL}
