@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, near_dedup, token_binary
+from tidemark.llm import decontaminate, interpolated_lm, near_dedup, token_binary
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -49,6 +49,10 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)
 """
 
 
+def op6_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_binary": op3_token_binary,
         "op4_decontaminate": op4_decontaminate,
+        "op6_interpolated_lm": op6_interpolated_lm,
         "op7_near_dedup": op7_near_dedup,
     }
 
