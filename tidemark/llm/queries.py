@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, interpolated_lm, near_dedup, token_binary
+from tidemark.llm import decontaminate, interpolated_lm, near_dedup, token_binary, va_search
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,14 +58,30 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return va_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+OP9_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM e AS q, e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_binary": op3_token_binary,
         "op4_decontaminate": op4_decontaminate,
         "op6_interpolated_lm": op6_interpolated_lm,
         "op7_near_dedup": op7_near_dedup,
+        "op9_va_search": op9_va_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op9_va_search": OP9_SQL}
