@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, interpolated_lm, near_dedup, token_binary, va_search
+from tidemark.llm import decontaminate, html_extract, interpolated_lm, near_dedup, token_binary, va_search
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,10 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)
 """
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_binary": op3_token_binary,
         "op4_decontaminate": op4_decontaminate,
+        "op5_html_extract": op5_html_extract,
         "op6_interpolated_lm": op6_interpolated_lm,
         "op7_near_dedup": op7_near_dedup,
         "op9_va_search": op9_va_search,
