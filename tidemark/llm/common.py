@@ -45,3 +45,23 @@ def crc32_mod(col: Column, m: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, value: int | None = None) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled training documents, chosen by a hash of doc_id.
+
+    Training rows are those whose crc32(doc_id as text) modulo 4 is not 2. The bound makes the
+    chosen ids small enough to broadcast whatever the size of the tables.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    known = labels.select(doc_id.alias("doc_id"), F.col(column).cast("int").alias("label")).where(F.col("label").isNotNull() & (crc32_mod(F.col("doc_id"), 4) != 2))
+    known = known if value is None else known.where(F.col("label") == value)
+    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select(doc_id.alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+
+
+def unlabelled_sample(docs: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, text) of at most `rows` documents outside the held-out part, by a hash of doc_id."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = plain.select("doc_id").where(crc32_mod(F.col("doc_id"), 4) != 2).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows).distinct()
+    return plain.join(F.broadcast(chosen), "doc_id")

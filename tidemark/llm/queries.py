@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_extract, interpolated_lm, near_dedup, token_binary, va_search
+from tidemark.llm import decontaminate, html_extract, interpolated_lm, near_dedup, quality, token_binary, toxicity, va_search
 from tidemark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_binary.read_blocks(*token_binary.token_file(docs, tokenizer_path(), END_ID))
@@ -62,6 +66,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return va_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -79,11 +87,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_token_binary": op3_token_binary,
         "op4_decontaminate": op4_decontaminate,
         "op5_html_extract": op5_html_extract,
         "op6_interpolated_lm": op6_interpolated_lm,
         "op7_near_dedup": op7_near_dedup,
+        "op8_quality": op8_quality,
         "op9_va_search": op9_va_search,
     }
 
