@@ -28,6 +28,7 @@ empty table gives an empty file; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,9 +40,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import save, shuffle_partitions
 
-LANES = 1024
+LANES = 4096
 SCALE_BITS = 20
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 20
 CHECKPOINT_STEPS = 128
 WORD_CACHE = 600_000
 _LOW = np.uint64(1 << 31)
@@ -71,7 +72,14 @@ class Table:
         self.freqs = freqs.astype(np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(freqs)[:-1]]).astype(np.uint64)
         self.scale_bits = scale_bits
-        self._slots = None
+        self._slots = self._places = None
+
+    @property
+    def places(self) -> np.ndarray:
+        if self._places is None:
+            self._places = np.zeros(int(self.symbols.max(initial=0)) + 1, np.int32)
+            self._places[self.symbols] = np.arange(len(self.symbols))
+        return self._places
 
     @property
     def slots(self) -> np.ndarray:
@@ -82,7 +90,7 @@ class Table:
 
 def encode_block(ids: np.ndarray, table: Table, lanes: int, every: int) -> tuple[np.ndarray, list]:
     """The words of a block and its checkpoints (step, word position, lane states)."""
-    at = np.searchsorted(table.symbols, ids)
+    at = table.places[ids]
     freq, start = table.freqs[at], table.starts[at]
     bits = np.uint64(table.scale_bits)
     top = np.uint64(63 - table.scale_bits)
@@ -175,31 +183,75 @@ def decode_block(block: bytes, table: Table) -> tuple[list, np.ndarray, np.ndarr
 # ---------------------------------------------------------------- Spark jobs
 
 
-class _WordIds(dict):
-    """Packed ids of the words seen of late, in two generations of at most WORD_CACHE words."""
-
-    def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
+class _Recent(dict):
+    """A bounded map in two generations: the older one is dropped when the newer is full."""
 
+    def __init__(self):
         super().__init__()
-        self.tokenizer, self.older = Tokenizer.from_file(tokenizer_file), {}
+        self.older: dict = {}
 
-    def encode(self, words: list[str]) -> bytes:
-        new = set(words).difference(self)
-        if len(self) + len(new) > WORD_CACHE:
+    def missing(self, keys: set) -> list:
+        if len(self) + len(keys) > WORD_CACHE:
             self.older = dict(self)
             self.clear()
-            new = set(words)
-        again = [w for w in new if w in self.older]
-        self.update((w, self.older[w]) for w in again)
-        fresh = list(new.difference(again))
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        new = [k for k in keys if k not in self]
+        if self.older:
+            self.update((k, self.older[k]) for k in new if k in self.older)
+            new = [k for k in new if k not in self]
+        return new
 
 
+class _WordIds:
+    """Packed ids of words (runs without ASCII white space).
+
+    A word of lower-case letters, after which only full stops and commas may come, is one
+    pre-token and those marks another; its letters go to the merges alone, without the
+    normaliser and the splitting rule, which change nothing in it. The first such words are
+    encoded both ways; a tokenizer for which the results differ gets whole words only.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.whole = Tokenizer.from_file(tokenizer_file)
+        self.bare = Tokenizer(self.whole.model)
+        self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words, self.cores, self.checked, self.split = _Recent(), _Recent(), False, True
+
+    @staticmethod
+    def _ids(tokenizer, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain = [(w, m) for w in words if self.split and (m := CORE.fullmatch(w.decode()))]
+        rest = {w for w in words}.difference(w for w, _ in plain)
+        cores = self.cores.missing({part for _, m in plain for part in (m[1].lower(), m[2])})
+        letters, marks = [c for c in cores if c[:1].isalpha()], [c for c in cores if c and not c[0].isalpha()]
+        got = self._ids(self.bare, letters)
+        if letters and not self.checked:
+            if got[:500] != self._ids(self.whole, letters[:500]):
+                self.split = False
+                return self._learn(words)
+            self.checked = len(letters) > 100
+        self.cores.update(zip(letters, got))
+        self.cores.update(zip(marks, self._ids(self.whole, marks)))
+        self.cores[""] = b""
+        self.words.update((w, self.cores[m[1].lower()] + self.cores[m[2]]) for w, m in plain)
+        rest = list(rest)
+        self.words.update(zip(rest, self._ids(self.whole, [w.decode() for w in rest])))
+
+    def encode(self, text: str) -> bytes:
+        words = text.encode().split()
+        new = self.words.missing(set(words))
+        if new:
+            self._learn(new)
+        return b"".join(map(self.words.__getitem__, words))
+
+
+#: ASCII letters in either case, or lower-case letters of Latin-1; then full stops and commas.
+CORE = re.compile(r"([A-Za-z\u00e0-\u00f6\u00f8-\u00ff]+)([.,]*)")
 _CACHES: dict[str, _WordIds] = {}
-_TO_SPACE = {c: " " for c in (9, 10, 11, 12, 13)}
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
@@ -221,7 +273,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
         cache = _CACHES.get(tokenizer_file) or _CACHES.setdefault(tokenizer_file, _WordIds(tokenizer_file))
         shard, first, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            packed = [cache.encode((t or "").translate(_TO_SPACE).split(" ")) + end for t in batch.column("text").to_pylist()]
+            packed = [cache.encode(t or "") + end for t in batch.column("text").to_pylist()]
             n = np.array([len(p) // 4 for p in packed], np.int64)
             ends = first + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
