@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "bars_hourly"
+from tidemark.plans import bar_queries
+
+FLAGSHIP = "band_event_returns"
 
 Query = Callable[[SparkSession, str], DataFrame]
+ENTRIES: dict[str, tuple[Query, str | None]] = {**bar_queries.ENTRIES}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ENTRIES.items() if sql}
