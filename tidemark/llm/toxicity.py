@@ -111,7 +111,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit_nnpu(pos: Sparse, unl: Sparse, prior: float, weights: tuple[np.ndarray, np.ndarray], rounds: int = 400, rate: float = 0.1, decay: float = 2e-4) -> np.ndarray:
+def fit_nnpu(pos: Sparse, unl: Sparse, prior: float, weights: tuple[np.ndarray, np.ndarray], rounds: int = 400, rate: float = 0.1, decay: float = 5e-5) -> np.ndarray:
     """Weights and bias of a linear classifier by the non-negative risk; rows may be weighted."""
     k = pos.shape[1]
     w = np.concatenate([np.zeros(k), [np.log(prior / (1 - prior))]])
