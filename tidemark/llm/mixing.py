@@ -11,7 +11,7 @@ cells (the size is checked) are raked on the driver and broadcast back; beyond t
 steps run as DataFrame aggregates and joins.
 
 Defined results: a null in a margin column is a value of its own; a null text has no tokens; cells
-without tokens keep weight 1 if their margins allow them any; a value without a target has target
+without tokens have weight 1, or 0 if a given target leaves them out; a value without a target has target
 0; targets for values that do not occur are left out and the rest scaled up; a null doc_id is
 drawn like the text 'null'; repeated rows are kept or dropped together; an empty table gives an
 empty result; extra columns are kept unless they are named like a result column.
@@ -105,7 +105,7 @@ def _solve(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict]
     for m in margins:
         values = sorted({r[m] for r in rows}, key=lambda v: (v is None, str(v)))
         place = {v: i for i, v in enumerate(values)}
-        code = np.array([place[r[m]] for r in rows])
+        code = np.array([place[r[m]] for r in rows], np.int64)
         if targets is None:
             goal = tempered(np.bincount(code, tokens, len(values)))
         else:
@@ -114,7 +114,7 @@ def _solve(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict]
         codes.append(code)
         goals.append(goal)
     raked = rake(tokens, codes, goals) if rows else np.zeros(0)
-    allowed = np.all([g[c] > 0 for g, c in zip(goals, codes)], axis=0) if rows else np.zeros(0, bool)
+    allowed = np.all([(g[c] > 0) | (targets is None) for g, c in zip(goals, codes)], axis=0) if rows else np.zeros(0, bool)
     weight = np.divide(raked, tokens, out=np.where(allowed, 1.0, 0.0), where=tokens > 0)
     c = keep_factor(tokens, weight, part) if rows else 1.0
     made = [(*(r[m] for m in margins), float(w), float(min(1.0, c * w))) for r, w in zip(rows, weight)]
@@ -137,7 +137,11 @@ def _solve_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str,
         whole = sums.agg(F.sum("share")).first()[0] or 1.0
         goals[m] = save(sums.select("value", (F.col("share") / whole).alias("share")), "targets")
     x = rake_frame(cells, margins, goals, rounds)
-    x = save(x.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(1.0)), "weights")
+    allowed = F.lit(True)
+    for m, shares in (targets or {}).items():
+        given = [v for v, s in shares.items() if s > 0 and v is not None]
+        allowed = allowed & F.coalesce(F.col(m).isin(given), F.lit(shares.get(None, 0) > 0))
+    x = save(x.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(allowed.cast("double"))), "weights")
     total, top = x.agg(F.sum("tokens"), F.max("weight")).first()
     low, high = 0.0, 1e12 / max(top or 1.0, 1e-12)
     for _ in range(60):
