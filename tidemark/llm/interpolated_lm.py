@@ -195,7 +195,7 @@ def _global_counts(chunks: DataFrame, ranges: tuple[int, int]) -> DataFrame:
 
     sent = chunks.mapInArrow(emit, "range long, chunk long, keys binary, kept binary, held binary")
     dealt = sent.repartition(shuffle_partitions(chunks.sparkSession), "range").sortWithinPartitions("range")
-    return save(dealt.mapInArrow(reduce, "chunk long, range long, kept binary, held binary"), "totals", compression="none")
+    return save(dealt.mapInArrow(reduce, "chunk long, range long, kept binary, held binary"), "totals", compression="zstd")
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
