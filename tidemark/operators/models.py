@@ -216,7 +216,8 @@ def matched_folds(rows: DataFrame, keys: list[str], base: list[str], signal: lis
         pdf = pdf.dropna(subset=[*base, *signal, target]).sort_values("ts")
         train, test = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
         if len(train) < least_train or len(test) < least_test or train[target].nunique() < 2:
-            return pd.DataFrame({c: [] for c in [*keys, "ts", "benchmark_probability", "candidate_probability"]})
+            none = pdf.iloc[:0]
+            return pd.DataFrame({**{c: none[c] for c in [*keys, "ts"]}, "benchmark_probability": np.zeros(0), "candidate_probability": np.zeros(0)})
         y, out = train[target].to_numpy(float), {}
         held = max(60, int(0.2 * len(train))) if method != "none" else 0
         for name, cols in (("benchmark", base), ("candidate", [*base, *signal])):
@@ -239,7 +240,8 @@ def offset_screens(rows: DataFrame, keys: list[str], spec: str, base: list[str],
         pdf = pdf.dropna(subset=[*base, *columns, target]).sort_values("ts")
         train, test = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
         if len(train) < 120 or len(test) < 20 or train[target].nunique() < 2:
-            return pd.DataFrame({c: [] for c in [*keys, spec, "n_test", "incremental_log_loss", "candidate_brier", "benchmark_brier"]})
+            none = pdf.iloc[:0]
+            return pd.DataFrame({**{c: none[c] for c in [*keys, spec]}, "n_test": np.zeros(0, np.int64), **{c: np.zeros(0) for c in ("incremental_log_loss", "candidate_brier", "benchmark_brier")}})
         y, t = train[target].to_numpy(float), test[target].to_numpy(float)
         model, scale = Linear().fit(train[base].to_numpy(float), y), Scaler(train[columns].to_numpy(float))
         p0, q0 = model.predict(train[base].to_numpy(float)), model.predict(test[base].to_numpy(float))
