@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,29 +185,29 @@ def decode_block(block: bytes, table: Table) -> tuple[list, np.ndarray, np.ndarr
 
 
 class _Recent(dict):
-    """A bounded map in two generations: the older one is dropped when the newer is full."""
+    """A bounded map in two generations that computes what it lacks."""
 
-    def __init__(self):
+    def __init__(self, make):
         super().__init__()
-        self.older: dict = {}
+        self.make, self.older = make, {}
 
-    def missing(self, keys: set) -> list:
-        if len(self) + len(keys) > WORD_CACHE:
+    def __missing__(self, key):
+        if len(self) >= WORD_CACHE:
             self.older = dict(self)
             self.clear()
-        new = [k for k in keys if k not in self]
-        if self.older:
-            self.update((k, self.older[k]) for k in new if k in self.older)
-            new = [k for k in new if k not in self]
-        return new
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
 
 
 class _WordIds:
     """Packed ids of words (runs without ASCII white space).
 
-    A word of lower-case letters, after which only full stops and commas may come, is one
-    pre-token and those marks another; its letters go to the merges alone, without the
-    normaliser and the splitting rule, which change nothing in it. The first such words are
+    A word of Latin letters, after which only ASCII marks other than the apostrophe may come, is
+    one pre-token and those marks another; its lower-case letters go to the merges alone, without
+    the normaliser and the splitting rule, which change nothing in them. The first such words are
     encoded both ways; a tokenizer for which the results differ gets whole words only.
     """
 
@@ -215,42 +216,41 @@ class _WordIds:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(tokenizer_file)
-        self.bare = Tokenizer(self.whole.model)
-        self.bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words, self.cores, self.checked, self.split = _Recent(), _Recent(), False, True
-
-    @staticmethod
-    def _ids(tokenizer, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [(w, m) for w in words if self.split and (m := CORE.fullmatch(w.decode()))]
-        rest = {w for w in words}.difference(w for w, _ in plain)
-        cores = self.cores.missing({part for _, m in plain for part in (m[1].lower(), m[2])})
-        letters, marks = [c for c in cores if c[:1].isalpha()], [c for c in cores if c and not c[0].isalpha()]
-        got = self._ids(self.bare, letters)
-        if letters and not self.checked:
-            if got[:500] != self._ids(self.whole, letters[:500]):
+        self.model, self.split, self.to_check = self.whole.model, True, CHECKED
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.words, self.cores, self.marks = _Recent(self._word), _Recent(self._core), _Recent(self._whole)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _core(self, letters: str) -> bytes:
+        raw = letters if letters.isascii() else letters.translate(self.chars)
+        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        if self.split and not self.to_check and word.isalpha():
+            return self.cores[word.lower().decode()]
+        text = word.decode()
+        m = CORE.fullmatch(text) if self.split else None
+        if not m:
+            return self._whole(text)
+        got = self.cores[m[1].lower()] + (self.marks[m[2]] if m[2] else b"")
+        if self.to_check:
+            self.to_check -= 1
+            if got != self._whole(text):
                 self.split = False
-                return self._learn(words)
-            self.checked = len(letters) > 100
-        self.cores.update(zip(letters, got))
-        self.cores.update(zip(marks, self._ids(self.whole, marks)))
-        self.cores[""] = b""
-        self.words.update((w, self.cores[m[1].lower()] + self.cores[m[2]]) for w, m in plain)
-        rest = list(rest)
-        self.words.update(zip(rest, self._ids(self.whole, [w.decode() for w in rest])))
+                self.words.clear()
+                return self._whole(text)
+        return got
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        new = self.words.missing(set(words))
-        if new:
-            self._learn(new)
-        return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
-#: ASCII letters in either case, or lower-case letters of Latin-1; then full stops and commas.
-CORE = re.compile(r"([A-Za-z\u00e0-\u00f6\u00f8-\u00ff]+)([.,]*)")
+#: Latin letters, then ASCII marks without the apostrophe (which starts pre-tokens of its own).
+CORE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+CHECKED = 500
 _CACHES: dict[str, _WordIds] = {}
 
 
