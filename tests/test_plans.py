@@ -83,3 +83,33 @@ def test_model_queries_give_sound_rows(spark, name):
             assert r["lower"] <= r["mean"] <= r["upper"]
         if name == "mod_calibrations":
             assert 0 < r["mean_candidate"] < 1
+
+
+def test_stage_files(spark, sf_dir, tmp_path):
+    from tidemark.sources import sinks
+
+    bars = inputs.index(spark, sf_dir)
+    manifest = sinks.write_stage({"bars": bars}, str(tmp_path / "stage"), {"bars": ["symbol", "ts"]})
+    assert manifest["bars"]["rows"] == bars.count()
+    assert sinks.verify_stage(spark, str(tmp_path / "stage"), {"bars": ["symbol", "ts"]}) == []
+    bars.limit(3).write.mode("overwrite").parquet(str(tmp_path / "stage/bars"))
+    assert sinks.verify_stage(spark, str(tmp_path / "stage"), {"bars": ["symbol", "ts"]}) == ["bars"]
+    with pytest.raises(ValueError):
+        sinks.write_json(spark, {"a": ["/root/x"]}, str(tmp_path / "j"))
+    bars.where("symbol = 'PRI'").select(F.col("ts").alias("Timestamp"), "close").write.option("header", True).csv(str(tmp_path / "csv"))
+    assert sinks.read_indexed_csv(spark, str(tmp_path / "csv")).count() == bars.where("symbol = 'PRI'").count()
+    bars.select(F.col("ts").alias("Timestamp"), "close").write.option("header", True).csv(str(tmp_path / "twice"))
+    with pytest.raises(ValueError):
+        sinks.read_indexed_csv(spark, str(tmp_path / "twice"))
+
+
+def test_registry_checks():
+    import json
+
+    from tidemark.sources.sinks import ExperimentRegistry
+
+    good = {"version": "1", "freeze_status": "FROZEN", "horizons": [1], "development": {"start": "2021-01-01", "end": "2025-06-30"}, "locked": {"start": "2025-07-01", "end": "2026-01-01"}, "validation": {}}
+    assert len(ExperimentRegistry.load(json.dumps(good)).sha256) == 64
+    for bad in ({**good, "freeze_status": "DRAFT"}, {**good, "locked": {"start": "2025-06-01"}}, {k: v for k, v in good.items() if k != "horizons"}):
+        with pytest.raises(ValueError):
+            ExperimentRegistry.load(json.dumps(bad))
