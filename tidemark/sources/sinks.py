@@ -46,12 +46,12 @@ def json_sha256(payload: object) -> str:
 def write_json(spark: SparkSession, payload: dict, path: str) -> None:
     """One JSON document as a text dataset, keys sorted; local paths inside are refused."""
     _check_paths(payload)
-    text = json.dumps(payload, sort_keys=True, indent=1)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\x00").text(path)
+    text = json.dumps(payload, sort_keys=True)  # one line
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0].rstrip("\x00"))
+    return json.loads(spark.read.text(path).first()[0])
 
 
 def table_sha256(df: DataFrame, keys: list[str]) -> str:
