@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_extract, interpolated_lm, mixing, near_dedup, quality, queries, token_binary, toxicity, url_filter, va_search, varint
-from tidemark.llm.common import table
+from tidemark.llm.common import drop_saved, save, table
 from tidemark.llm.components import connected_components
 
 WORDS = "the of and to in that is was he for it with as his on be at by had not are but from or have an they which one you were her all".split()
@@ -42,6 +42,13 @@ def test_varint_round_trip():
     assert len(varint.decode(b"")) == 0
 
 
+def test_saved_tables_can_be_dropped(spark):
+    kept = save(spark.range(5), "kept")
+    assert kept.count() == 5 and drop_saved(spark) >= 1
+    with pytest.raises(Exception):
+        kept.count()
+
+
 def test_components_by_union(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (20, 11), (7, 7), (None, 3)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

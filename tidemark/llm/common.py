@@ -24,16 +24,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_SAVED: list[str] = []
+
+
 def save(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread of the files, not a recomputation.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _SAVED.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> int:
+    """Delete every table that this process has saved; call it when results no longer need them."""
+    n = len(_SAVED)
+    while _SAVED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
