@@ -34,7 +34,7 @@ from tidemark.llm import varint
 from tidemark.llm.common import save, shuffle_partitions
 
 WINDOW = 10
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 1_000_000
 BLOCK_WORDS = 1_000_000
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 

@@ -43,7 +43,7 @@ BITS = 4
 PER_WORD = 64 // BITS
 WORDS = -(-PERMS // PER_WORD)
 BLOCK_SHINGLES = 2_000_000
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,12 +69,9 @@ class _WordHash(dict):
         return got
 
 
-_HASHES = _WordHash()
-
-
-def word_hashes(text: bytes | None) -> np.ndarray:
+def word_hashes(text: bytes | None, known: _WordHash) -> np.ndarray:
     words = (text or b"").lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -130,10 +127,11 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        known = _WordHash()
         for batch in batches:
             n, digest, bands, bits = [], [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                h = word_hashes(text)
+            for text in batch.column("text").cast(pa.binary()):
+                h = word_hashes(text.as_py(), known)
                 s = shingle_set(h)
                 n.append(len(s))
                 if len(s):
@@ -214,7 +212,7 @@ def _verify_groups(groups: DataFrame, docs: DataFrame, percent: int) -> DataFram
     most = most_mismatches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, links = None, [], []
+        key, held, links, known = None, [], [], _WordHash()
 
         def close() -> None:
             if len(held) > 1:
@@ -229,7 +227,7 @@ def _verify_groups(groups: DataFrame, docs: DataFrame, percent: int) -> DataFram
                 if (g, b0, b1) != key:
                     close()
                     key = (g, b0, b1)
-                held.append((doc_id, block, shingle_set(word_hashes(texts[i].as_py())), np.frombuffer(bits, np.uint64)))
+                held.append((doc_id, block, shingle_set(word_hashes(texts[i].as_py(), known)), np.frombuffer(bits, np.uint64)))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
             links.clear()
         close()

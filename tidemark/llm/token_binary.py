@@ -45,7 +45,7 @@ LANES = 4096
 SCALE_BITS = 20
 BLOCK_TOKENS = 1 << 20
 CHECKPOINT_STEPS = 128
-WORD_CACHE = 600_000
+WORD_CACHE = 400_000
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sHHB3xQIIQII")
 
@@ -273,7 +273,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
         cache = _CACHES.get(tokenizer_file) or _CACHES.setdefault(tokenizer_file, _WordIds(tokenizer_file))
         shard, first, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            packed = [cache.encode(t or "") + end for t in batch.column("text").to_pylist()]
+            packed = [cache.encode(t.as_py() or "") + end for t in batch.column("text")]
             n = np.array([len(p) // 4 for p in packed], np.int64)
             ends = first + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(

@@ -32,7 +32,7 @@ POSITIVES, UNLABELLED = 3000, 6000
 THRESHOLD = 0.3
 MAX_FEATURES = 4000
 LEAST_Z, LEAST_DOCS = 5.0, 3
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -170,7 +170,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, bias = Features(known), weights[-1]
         for batch in batches:
-            logits = np.array([weights[found.of(t)].sum() + bias for t in batch.column("text").to_pylist()], np.float64)
+            logits = np.array([weights[found.of(t.as_py())].sum() + bias for t in batch.column("text")], np.float64)
             score = _sigmoid(logits)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
