@@ -22,7 +22,6 @@ reported one by one; empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,27 +248,12 @@ def _listed(found: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, segment_words: int = SEGMENT_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) of each document."""
     found = _matches(build_index(docs, segment_words), items, window, None, block_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit, listed = [], []
-            for hits, items_ in zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist()):
-                total, end = 0, 0
-                for a, b in sorted((h[k], h[k + 1]) for h in hits for k in range(0, len(h), 2)):
-                    total += max(0, b - max(a, end))
-                    end = max(end, b)
-                hit.append(total)
-                listed.append(sorted({i for part in items_ for i in part if i is not None}))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_words": batch.column("n_words"),
-                    "n_hit": pa.array(hit, pa.int64()),
-                    "n_items": pa.array([len(i) for i in listed], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in listed], pa.string()),
-                    "contaminated": pa.array([h > 0 for h in hit], pa.bool_()),
-                    "items": pa.array(listed, pa.list_(pa.string())),
-                }
-            )
-
-    return found.select("doc_id", "n_words", "hits", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    flat = F.flatten("hits")
+    ends = F.transform(F.sequence(F.lit(1), F.size(flat), F.lit(2)), lambda i: F.struct(F.element_at(flat, i).alias("a"), F.element_at(flat, i + 1).alias("b")))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    # Stretches of one block are disjoint, those of several may overlap.
+    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["b"]).alias("end"))
+    n_hit = F.when(F.size(flat) > 0, F.aggregate(F.array_sort(ends), start, step, lambda acc: acc["n"])).otherwise(F.lit(0).cast("long"))
+    listed = F.array_sort(F.array_distinct(F.array_compact(F.flatten("items"))))
+    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), listed.alias("items"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
