@@ -234,7 +234,15 @@ def matched_folds(rows: DataFrame, keys: list[str], base: list[str], signal: lis
 
 def offset_screens(rows: DataFrame, keys: list[str], spec: str, base: list[str], columns: list[str], target: str) -> DataFrame:
     """(keys, spec, incremental_log_loss, ...) of one-step screens on a benchmark's logit."""
-    types = dict(rows.dtypes)
+    types, fitted = dict(rows.dtypes), {}
+
+    def benchmark(x: np.ndarray, y: np.ndarray) -> Linear:
+        """One fit for all specifications of a task that see the same rows."""
+        key = (x.tobytes(), y.tobytes())
+        if key not in fitted:
+            fitted.clear()
+            fitted[key] = Linear().fit(x, y)
+        return fitted[key]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[*base, *columns, target]).sort_values("ts")
@@ -243,7 +251,7 @@ def offset_screens(rows: DataFrame, keys: list[str], spec: str, base: list[str],
             none = pdf.iloc[:0]
             return pd.DataFrame({**{c: none[c] for c in [*keys, spec]}, "n_test": np.zeros(0, np.int64), **{c: np.zeros(0) for c in ("incremental_log_loss", "candidate_brier", "benchmark_brier")}})
         y, t = train[target].to_numpy(float), test[target].to_numpy(float)
-        model, scale = Linear().fit(train[base].to_numpy(float), y), Scaler(train[columns].to_numpy(float))
+        model, scale = benchmark(train[base].to_numpy(float), y), Scaler(train[columns].to_numpy(float))
         p0, q0 = model.predict(train[base].to_numpy(float)), model.predict(test[base].to_numpy(float))
         b = offset_newton(p0, scale(train[columns].to_numpy(float)), y)
         q1 = sigmoid(logit(q0) + b[0] + scale(test[columns].to_numpy(float)) @ b[1:])
