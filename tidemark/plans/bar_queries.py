@@ -79,7 +79,7 @@ FROM (SELECT *, (epoch(ts) - epoch(lag(ts) OVER (PARTITION BY symbol ORDER BY ts
     ),
     "chk_prefix_invariance": (
         lambda s, d: N.out(checks.prefix_invariance(lambda p: I.returns_and_scale(p), N.panel(s, d), "2024-01-20 00:00:00", ["pri_ret_1", "trend_12", "vol_20", "range_12", "volume_z"])),
-        "SELECT unnest(['pri_ret_1', 'trend_12', 'vol_20', 'range_12', 'volume_z']) AS \"column\", 0.0 AS max_error, CAST(0 AS BIGINT) AS null_mismatches",
+        "SELECT unnest(['pri_ret_1', 'trend_12', 'vol_20', 'range_12', 'volume_z']) AS \"column\", CAST(0 AS DOUBLE) AS max_error, CAST(0 AS BIGINT) AS null_mismatches",
     ),
     "joi_aligned": (lambda s, d: N.out(N.panel(s, d)), sql(BARS, f"SELECT symbol, ts, {r6('pri_open', 'pri_high', 'pri_low', 'pri_close', 'pri_volume', 'ctx_close', 'ctx_volume')} FROM panel")),
     "joi_reindex": (

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def r6(*names: str) -> str:
     """Doubles for output: six decimals, no negative zero."""
-    return ", ".join(f"CASE WHEN round({n}, 6) = 0 THEN 0.0 ELSE round({n}, 6) END AS {n.split('.')[-1]}" for n in names)
+    return ", ".join(f"CAST(CASE WHEN round({n}, 6) = 0 THEN 0.0 ELSE round({n}, 6) END AS DOUBLE) AS {n.split('.')[-1]}" for n in names)
 
 
 BARS = """
