@@ -48,6 +48,66 @@ def fit(train: DataFrame, seeds: int = 10, seed: int = 42) -> dict:
     return {"location": mean, "scale": sd, "means": means[order], "cov": cov[order], "start": start[order], "transition": (transition / transition.sum(axis=1, keepdims=True))[np.ix_(order, order)]}
 
 
+def cluster(z: np.ndarray, starts: int = 10, seed: int = 42, rounds: int = 300) -> np.ndarray:
+    """Labels of the cheapest of several seeded three-means runs (spread starts, Lloyd's steps)."""
+    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(len(z), np.int64))
+    for _ in range(starts):
+        at = z[[rng.integers(len(z))]]
+        while len(at) < 3:
+            far = ((z[:, None] - at[None]) ** 2).sum(axis=2).min(axis=1)
+            at = np.vstack([at, z[rng.choice(len(z), p=far / far.sum()) if far.sum() else rng.integers(len(z))]])
+        for _ in range(rounds):
+            d = ((z[:, None] - at[None]) ** 2).sum(axis=2)
+            k = d.argmin(axis=1)
+            now = np.array([z[k == i].mean(axis=0) if (k == i).any() else at[i] for i in range(3)])
+            if np.array_equal(now, at):
+                break
+            at = now
+        cost = float(d.min(axis=1).sum())
+        if cost < best[0] and len(np.unique(k)) == 3:
+            best = (cost, k)
+    return best[1]
+
+
+def fit_rows(x: np.ndarray, starts: int = 10, seed: int = 42) -> dict | None:
+    """The parameters of `fit` from one fold's training rows in time order; None if no three states are found."""
+    if len(x) < 10:
+        return None
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd[sd == 0] = 1.0
+    z = (x - mean) / sd
+    k = cluster(z, starts, seed)
+    if len(np.unique(k)) < 3:
+        return None
+    transition = np.ones((3, 3))
+    np.add.at(transition, (k[:-1], k[1:]), 1)
+    stress = max(range(3), key=lambda i: x[k == i, 1].mean())
+    trend = max((i for i in range(3) if i != stress), key=lambda i: np.abs(x[k == i, 2]).mean())
+    order = [3 - stress - trend, trend, stress]
+    cov = np.array([(np.cov(z[k == i], rowvar=False) if (k == i).sum() > 1 else np.eye(3)) + 1e-5 * np.eye(3) for i in range(3)])
+    start = (np.bincount(k, minlength=3) + 1) / (len(k) + 3)
+    return {"location": mean, "scale": sd, "means": np.array([z[k == i].mean(axis=0) for i in range(3)])[order], "cov": cov[order], "start": start[order], "transition": (transition / transition.sum(axis=1, keepdims=True))[np.ix_(order, order)]}
+
+
+def fold_states(rows: DataFrame, keys: list[str], starts: int = 10) -> DataFrame:
+    """(keys, symbol, ts, state_p_..., state_label): each fold's own model, fitted on its training rows
+    and filtered forward over them and its test rows. A fold is one grouped task."""
+    types = dict(rows.dtypes)
+    names = [*keys, "symbol", "ts"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        x = pdf[list(INPUTS)].to_numpy(np.float64)
+        params = fit_rows(x[(pdf["part"] == "train").to_numpy()], starts)
+        if params is None:
+            return pd.DataFrame({**{c: pdf[c].iloc[:0] for c in names}, **{f"state_p_{s}": np.zeros(0) for s in STATES}, "state_label": np.zeros(0, object)})
+        p = filter_rows(emissions((x - params["location"]) / params["scale"], params["means"], params["cov"]), params["start"], params["transition"])
+        return pd.DataFrame({**{c: pdf[c] for c in names}, **{f"state_p_{s}": p[:, i] for i, s in enumerate(STATES)}, "state_label": np.array(STATES)[p.argmax(axis=1)]})
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", state_p_range double, state_p_trend double, state_p_stress double, state_label string"
+    return rows.where("part <> 'purge'").select(*names, "part", *INPUTS).na.drop().groupBy(*keys, "symbol").applyInPandas(one, schema)
+
+
 def emissions(z: np.ndarray, means: np.ndarray, cov: np.ndarray) -> np.ndarray:
     """Log densities of rows under the three normal laws."""
     out = np.empty((len(z), len(means)))

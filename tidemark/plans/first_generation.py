@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import checks, drift, gates, inference, models, policy, splits, summaries
+from tidemark.operators import checks, drift, gates, inference, models, policy, splits, states, summaries
 from tidemark.sources import bars as B
 
 SIGNALS = {"rsi": ("rsi_event_position", I.RSI), "bollinger": ("bb_event_position", I.BOLLINGER), "combined": ("bridge_event_position", I.COMBINED)}
@@ -41,7 +41,8 @@ def event_table(frame: DataFrame, config: Config) -> DataFrame:
 
 
 def predictions(frame: DataFrame, config: Config) -> DataFrame:
-    """Matched probabilities of every signal's test rows, with losses, positions and returns."""
+    """Matched probabilities of every signal's test rows, with losses, positions, returns and the latent
+    regime: each fold's state model is fitted on its training rows and filtered onto its test rows."""
     rows = I.complete_rows(frame, [*I.COMBINED, "future_return"]).persist()
     folds = splits.fold_table(frame.sparkSession, rows.count(), config.folds, config.horizon)
     parts = splits.assign(rows, folds)
@@ -50,9 +51,16 @@ def predictions(frame: DataFrame, config: Config) -> DataFrame:
         extra = [c for c in columns if c not in I.BASELINE]
         p = models.matched_folds(parts.withColumn("signal", F.lit(signal)), ["signal", "fold"], I.BASELINE, extra, "target_up", "linear", {"c": 1.0, "balanced": True})
         out = p if out is None else out.unionByName(p)
-    regime = F.when(F.col("regime_stress") == 1, "stress").when(F.col("regime_trend") == 1, "trend").otherwise("range")
-    facts = rows.select("ts", "future_return", "target_up", regime.alias("regime"))
-    return policy.banded_returns(summaries.scored(out.join(facts, "ts")), ["signal", "fold"], config.cost_bps)
+    latent = states.fold_states(parts, ["fold"], starts=20)
+    p_state = [f"state_p_{s}" for s in states.STATES]
+    facts = parts.where("part = 'test'").select("symbol", "fold", "ts", "future_return", "target_up").join(latent, ["symbol", "fold", "ts"]).select("fold", "ts", "future_return", "target_up", F.col("state_label").alias("regime"), *p_state, F.greatest(*p_state).alias("regime_probability"))
+    return policy.banded_returns(summaries.scored(out.join(facts, ["fold", "ts"])), ["signal", "fold"], config.cost_bps)
+
+
+def regimes(pred: DataFrame) -> DataFrame:
+    """Evidence by latent regime, with the mean filtered probability of the assigned state."""
+    p = pred.groupBy("signal", "regime").agg(F.avg("regime_probability").alias("mean_filtered_probability"))
+    return summaries.regime_summary(pred, ["signal"], "regime").join(p, ["signal", "regime"])
 
 
 def verdicts(pred: DataFrame, config: Config) -> DataFrame:
@@ -76,7 +84,7 @@ def run(panel: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
     frame = I.feature_frame(panel, horizon=config.horizon).persist()
     checks.require_rows(I.complete_rows(frame, [*I.COMBINED, "future_return"]), config.least_rows, "feature table")
     pred = predictions(frame, config).persist()
-    return {"events": event_table(frame, config), "predictions": pred, "folds": pred.groupBy("signal", "fold").agg(F.count("*").alias("n"), F.avg("incremental_log_loss").alias("gain"), F.avg("incremental_net_edge").alias("edge")), "regimes": summaries.regime_summary(pred, ["signal"], "regime"), "verdicts": verdicts(pred, config)}
+    return {"events": event_table(frame, config), "predictions": pred, "folds": pred.groupBy("signal", "fold").agg(F.count("*").alias("n"), F.avg("incremental_log_loss").alias("gain"), F.avg("incremental_net_edge").alias("edge")), "regimes": regimes(pred), "verdicts": verdicts(pred, config)}
 
 
 def write(tables: dict[str, DataFrame], path: str) -> dict:

@@ -55,7 +55,7 @@ def state_parameters(s, d):
 ENTRIES = {
     "inf_bootstrap": (lambda s, d: N.out(inference.bootstrap_mean(N.predictions(s, d), ["signal"], "incremental_net_edge", 2000, 10)), None),
     "inf_bootstrap_blocks": (lambda s, d: N.out(inference.bootstrap_mean(N.matched(s, d), ["signal"], "incremental_log_loss", 5000, 21)), None),
-    "inf_event_table": (lambda s, d: N.out(first_generation.event_table(N.features(s, d), first_generation.Config(samples=500))), None),
+    "inf_event_table": (lambda s, d: N.out(first_generation.event_table(N.features(s, d), first_generation.Config())), None),
     "inf_locked_evidence": (lambda s, d: N.out(second_generation.locked_evidence(N.predictions(s, d).withColumn("g", F.lit(1)), ["signal"], samples=2000)), None),
     "sta_parameters": (state_parameters, None),
     "sta_filter": (lambda s, d: N.out(_with_states(s, d).select("ts", *second_generation.STATE_COLUMNS, "state_label")), None),
@@ -63,5 +63,5 @@ ENTRIES = {
     "mod_structures": (structures, None),
     "mod_calibrations": (calibrations, None),
     "sel_nested": (selection, None),
-    "v1_verdicts": (lambda s, d: N.out(first_generation.run(N.panel(s, d), first_generation.Config(samples=500, least_rows=100))["verdicts"]), None),
+    "v1_verdicts": (lambda s, d: N.out(first_generation.run(N.panel(s, d), first_generation.Config())["verdicts"]), None),
 }
