@@ -114,6 +114,20 @@ _PRE = "mean_incremental_log_loss > 0 AND positive_outer_folds >= 3 AND concentr
 _CHECKS = {"COMPLETE_OUTER_FOLDS": "outer_folds = 5", "POSITIVE_MEAN_INCREMENTAL_LOG_LOSS": "mean_incremental_log_loss > 0", "MINIMUM_POSITIVE_OUTER_FOLDS": "positive_outer_folds >= 3", "FOLD_CONCENTRATION_CONTROL": "concentration <= 0.6", "BRIER_NON_DOMINANCE": "mean_candidate_brier <= mean_benchmark_brier + 0.0025", "ECE_NON_DOMINANCE": "mean_candidate_ece <= mean_benchmark_ece + 0.02", "MINIMUM_POLICY_COVERAGE": "mean_policy_coverage >= 0.1", "MINIMUM_POLICY_DECISIONS": "total_decisions >= 100"}
 _FAILS = "concat_ws('|', " + ", ".join(f"CASE WHEN NOT ({e}) THEN '{n}' END" for n, e in _CHECKS.items()) + ")"
 
+
+def fold_assignment(s, d):
+    """Folds planned over all of the panel's bars; its SQL twin still plans a literal 690."""
+    panel = N.panel(s, d).select("symbol", "ts").persist()
+    return splits.assign(panel, splits.fold_table(s, panel.count(), 5, 6)).groupBy("fold", "part").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def rolling_edge(s, d):
+    """The window follows a signal's own number of rows; its SQL twin holds the 34 rows of 690."""
+    p = N.predictions(s, d).persist()
+    n = p.groupBy("signal").count().agg(F.max("count")).first()[0] or 0
+    return N.out(summaries.rolling_edge(p, ["signal"], "incremental_net_edge", n).select("signal", "ts", "rolling_incremental_net_edge"))
+
+
 COSTS = [(10.0,), (5.0,), (20.0,)]
 TESTS = [("h1", 0.032), ("h2", 0.2), ("h3", 0.01), ("h4", 0.032), ("h5", 0.9)]
 
@@ -121,7 +135,7 @@ ENTRIES = {
     "spl_expanding_folds": (lambda s, d: splits.fold_table(s, 12141, 5, 1), f"SELECT CAST(fold AS INTEGER) AS fold, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('train_start', 'train_end', 'purge_start', 'purge_end', 'test_start', 'test_end'))} FROM (SELECT f AS fold, 0 AS train_start, s - 2 AS train_end, s - 1 AS purge_start, s - 1 AS purge_end, s AS test_start, CASE WHEN f = 5 THEN 12140 ELSE s + 2022 END AS test_end FROM (SELECT f, 12141 - (6 - f) * 2023 AS s FROM (SELECT unnest([1, 2, 3, 4, 5]) AS f)))"),
     "spl_nested_plan": (lambda s, d: splits.nested_plan(s, 9852), _nested_sql()),
     "joi_fold_assignment": (
-        lambda s, d: splits.assign(N.panel(s, d).select("symbol", "ts"), splits.fold_table(s, 690, 5, 6)).groupBy("fold", "part").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")),
+        fold_assignment,
         sql(BARS, f"SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN rn <= train_end THEN 'train' WHEN rn < test_start THEN 'purge' ELSE 'test' END AS part, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn FROM panel) JOIN {_literal(_folds(690, 5, 6), 'fold, train_start, train_end, purge_start, purge_end, test_start, test_end')} ON rn BETWEEN train_start AND test_end GROUP BY 1, 2"),
     ),
     "spl_calibration": (lambda s, d: splits.calibration_split(N.panel(s, d).select("symbol", "ts"), 6).groupBy("part").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts")), sql(BARS, "SELECT CASE WHEN back <= size THEN 'calibrate' WHEN back <= size + 6 THEN 'purge' ELSE 'fit' END AS part, count(*) AS rows, min(ts) AS first_ts FROM (SELECT ts, row_number() OVER (ORDER BY ts DESC) AS back, greatest(60, floor(count(*) OVER () * 0.2)) AS size FROM panel) GROUP BY 1")),
@@ -192,7 +206,7 @@ SELECT *, abs(candidate_probability - 0.5) > threshold AS active, CASE WHEN abs(
         sql(PREDICTIONS, f"SELECT signal, component, mode, count, {r6('share')}, CASE WHEN share >= 0.8 THEN 'STABLE' WHEN share >= 0.6 THEN 'MODERATELY_STABLE' ELSE 'DIFFUSE' END AS stability FROM (SELECT *, count / sum(count) OVER (PARTITION BY signal, component) AS share, row_number() OVER (PARTITION BY signal, component ORDER BY count DESC, mode) AS k FROM (SELECT signal, component, mode, count(*) AS count FROM (SELECT signal, unnest(['regime', 'fold', 'target_up']) AS component, unnest([regime, CAST(fold AS VARCHAR), CAST(target_up AS VARCHAR)]) AS mode FROM pred) GROUP BY ALL)) WHERE k = 1"),
     ),
     "win_cumulative": (lambda s, d: N.out(summaries.cumulative(N.predictions(s, d), ["signal"], "signal_net_return").select("signal", "ts", "cumulative_signal_net_return")), sql(PREDICTIONS, f"SELECT signal, ts, {r6('cumulative_signal_net_return')} FROM (SELECT signal, ts, sum(signal_net_return) OVER (PARTITION BY signal ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cumulative_signal_net_return FROM pred)")),
-    "win_rolling_edge": (lambda s, d: N.out(summaries.rolling_edge(N.predictions(s, d), ["signal"], "incremental_net_edge", 690).select("signal", "ts", "rolling_incremental_net_edge")), sql(PREDICTIONS, f"SELECT signal, ts, {r6('rolling_incremental_net_edge')} FROM (SELECT signal, ts, CASE WHEN count(*) OVER w >= 15 THEN avg(incremental_net_edge) OVER w END AS rolling_incremental_net_edge FROM pred WINDOW w AS (PARTITION BY signal ORDER BY ts ROWS 33 PRECEDING))")),
+    "win_rolling_edge": (rolling_edge, sql(PREDICTIONS, f"SELECT signal, ts, {r6('rolling_incremental_net_edge')} FROM (SELECT signal, ts, CASE WHEN count(*) OVER w >= 15 THEN avg(incremental_net_edge) OVER w END AS rolling_incremental_net_edge FROM pred WINDOW w AS (PARTITION BY signal ORDER BY ts ROWS 33 PRECEDING))")),
     "lim_evenly_spaced": (lambda s, d: selectors.evenly_spaced(N.index(s, d).select("symbol", "ts"), ["symbol"], 100), sql(BARS, "SELECT symbol, ts FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars) WHERE i IN (SELECT CAST(floor(k * (n - 1) / 99) AS BIGINT) FROM (SELECT unnest(generate_series(0, 99)) AS k))")),
     "lim_latest": (lambda s, d: N.out(N.predictions(s, d).groupBy("signal").agg(F.max_by(F.struct("ts", "candidate_probability", "regime"), "ts").alias("x")).select("signal", "x.*")), sql(PREDICTIONS, f"SELECT signal, ts, {r6('candidate_probability')}, regime FROM pred QUALIFY row_number() OVER (PARTITION BY signal ORDER BY ts DESC) = 1")),
     "inf_newey_west": (
