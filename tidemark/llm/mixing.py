@@ -70,16 +70,24 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return x
 
 
-def rake_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], rounds: int) -> DataFrame:
-    """The same on a DataFrame of cells with `tokens`; adds `raked`. targets: (value, share) of each margin."""
+def rake_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same on a DataFrame of cells with `tokens`; adds `raked`. targets: (value, share) of each margin.
+
+    A cell carries the worst error of its margins through a round, so one small aggregate tells when to stop.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     x = save(cells.withColumn("raked", F.col("tokens").cast("double")), "cells")
     for _ in range(rounds):
+        x = x.withColumn("__off", F.lit(0.0))
         for m in margins:
             now = x.groupBy(m).agg(F.sum("raked").alias("now"))
-            goal = now.join(targets[m], now[m].eqNullSafe(targets[m]["value"]), "left").select(F.col(m).alias("__v"), F.coalesce(F.when(F.col("now") > 0, F.col("share") * total / F.col("now")), F.lit(0.0)).alias("factor"))
-            x = x.join(goal, x[m].eqNullSafe(goal["__v"])).withColumn("raked", F.col("raked") * F.col("factor")).drop("__v", "factor")
+            goal = now.join(targets[m], now[m].eqNullSafe(targets[m]["value"]), "left").select(F.col(m).alias("__v"), F.coalesce(F.when(F.col("now") > 0, F.col("share") * total / F.col("now")), F.lit(0.0)).alias("factor"), F.when(F.col("now") > 0, F.abs(F.col("now") - F.coalesce("share", F.lit(0.0)) * total)).otherwise(0.0).alias("off"))
+            x = x.join(goal, x[m].eqNullSafe(goal["__v"])).withColumns({"raked": F.col("raked") * F.col("factor"), "__off": F.greatest("__off", "off")}).drop("__v", "factor", "off")
         x = save(x, "cells")
+        worst = (x.agg(F.max("__off")).first()[0] or 0.0) / max(total, 1)
+        x = x.drop("__off")
+        if worst < tolerance:
+            break
     return x
 
 
@@ -122,7 +130,7 @@ def _solve(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict]
     return cells.sparkSession.createDataFrame(made, schema)
 
 
-def _solve_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, part: float, rounds: int = 50) -> DataFrame:
+def _solve_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, part: float) -> DataFrame:
     """The same for any number of cells; c is found by bisection over one aggregate a step."""
     spark, goals = cells.sparkSession, {}
     for m in margins:
@@ -136,7 +144,7 @@ def _solve_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str,
         sums = sums.select("value", share.alias("share"))
         whole = sums.agg(F.sum("share")).first()[0] or 1.0
         goals[m] = save(sums.select("value", (F.col("share") / whole).alias("share")), "targets")
-    x = rake_frame(cells, margins, goals, rounds)
+    x = rake_frame(cells, margins, goals)
     allowed = F.lit(True)
     for m, shares in (targets or {}).items():
         given = [v for v, s in shares.items() if s > 0 and v is not None]
