@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -128,21 +130,22 @@ class Boosting:
 
     def _grow(self, code: np.ndarray, g: np.ndarray, h: np.ndarray) -> dict:
         splits, node = {}, np.ones(len(g), np.int64)
+        width, one = code.shape[1], np.ones(len(g))
+        at = code + np.arange(width) * (self.bins + 1)
         for _ in range(self.depth):
             for k in np.unique(node):
                 rows = np.flatnonzero(node == k)
                 if len(rows) < 2 * self.least:
                     continue
-                total_g, total_h, best = g[rows].sum(), h[rows].sum(), (1e-9, None)
-                for j in range(code.shape[1]):
-                    n, sg, sh = (np.cumsum(np.bincount(code[rows, j], v, self.bins + 1)) for v in (np.ones(len(rows)), g[rows], h[rows]))
+                total_g, total_h = g[rows].sum(), h[rows].sum()
+                n, sg, sh = (np.cumsum(np.bincount(at[rows].ravel(), np.repeat(v[rows], width), width * (self.bins + 1)).reshape(width, -1), axis=1) for v in (one, g, h))
+                with np.errstate(divide="ignore", invalid="ignore"):
                     gain = sg**2 / (sh + self.l2) + (total_g - sg) ** 2 / (total_h - sh + self.l2 + 1e-12) - total_g**2 / (total_h + self.l2)
-                    gain[(n < self.least) | (len(rows) - n < self.least)] = -1
-                    if gain.max() > best[0]:
-                        best = (gain.max(), (j, int(gain.argmax())))
-                if best[1]:
-                    splits[int(k)] = best[1]
-                    node[rows] = 2 * k + (code[rows, best[1][0]] > best[1][1])
+                gain[(n < self.least) | (len(rows) - n < self.least)] = -1
+                j, cut = divmod(int(gain.argmax()), self.bins + 1)
+                if gain[j, cut] > 1e-9:
+                    splits[int(k)] = (j, cut)
+                    node[rows] = 2 * k + (code[rows, j] > cut)
         leaves = {int(k): self.rate * g[node == k].sum() / (h[node == k].sum() + self.l2) for k in np.unique(node)}
         return {"splits": splits, "leaves": leaves}
 
@@ -232,6 +235,66 @@ def matched_folds(rows: DataFrame, keys: list[str], base: list[str], signal: lis
     return rows.where(F.col("part").isin("train", "test")).select(*wanted).groupBy(*keys).applyInPandas(one, schema)
 
 
+def matched_tasks(rows: DataFrame, tasks: DataFrame, keys: list[str], base: list[str], signal: list[str], crossed: list[str], horizon: str = "horizon", least_train: int = 120, least_test: int = 20) -> DataFrame:
+    """(keys, pipeline_id, method, ts, probabilities, ...) of the test rows of every task.
+
+    tasks: some of the keys, model, setting, pipeline_id, rows (of the training window; NULL for all),
+    regime_conditioned (adds the crossed columns), method. A group is one fold and model setting;
+    its windows, conditionings and methods share the fits whose rows and columns are the same.
+    Both models see the same rows; a task with too few of them gives none.
+    """
+    types, on = dict(rows.dtypes), [k for k in keys if k in tasks.columns]
+    packed = tasks.groupBy(*on, "model", "setting").agg(F.to_json(F.sort_array(F.collect_set(F.struct("pipeline_id", "method", "rows", "regime_conditioned")))).alias("variants"))
+    facts = ["target_up", "future_return"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, setting = pdf["model"].iloc[0], parse_setting(pdf["model"].iloc[0], pdf["setting"].iloc[0])
+        gap, variants = int(pdf[horizon].iloc[0]), json.loads(pdf["variants"].iloc[0])
+        pdf = pdf.replace([np.inf, -np.inf], np.nan).dropna(subset=[*base, *signal, *crossed, *facts]).sort_values("ts")
+        whole, test, fits, out = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"], {}, []
+
+        def fitted(n_fit: int, size: int, extra: tuple) -> Linear | Spline | Boosting:
+            """The model on the first n_fit of the last `size` training rows."""
+            key = (n_fit, size, extra)
+            if key not in fits:
+                part = whole.iloc[len(whole) - size :].iloc[:n_fit]
+                fits[key] = make_model(kind, len(extra), setting).fit(part[[*base, *extra]].to_numpy(float), part["target_up"].to_numpy(float))
+            return fits[key]
+
+        for v in variants:
+            size = min(len(whole), v.get("rows") or len(whole))
+            train = whole.iloc[len(whole) - size :]
+            held = 0 if v["method"] == "none" else max(60, int(0.2 * size))
+            n_fit = size - held - gap if held else size
+            fit, late = train["target_up"].iloc[: max(n_fit, 0)], train.iloc[size - held :] if held else train.iloc[:0]
+            if n_fit < least_train or len(test) < least_test or fit.nunique() < 2 or (held and late["target_up"].nunique() < 2):
+                continue
+            p = {}
+            for name, extra in (("benchmark", ()), ("candidate", (*signal, *(crossed if v["regime_conditioned"] else ())))):
+                model, cols = fitted(n_fit, size, extra), [*base, *extra]
+                fix = calibrate(v["method"], model.predict(late[cols].to_numpy(float)), late["target_up"].to_numpy(float)) if held else (lambda q: q)
+                p[f"{name}_probability"] = np.clip(fix(model.predict(test[cols].to_numpy(float))), 1e-9, 1 - 1e-9)
+            out.append(pd.DataFrame({**{k: test[k] for k in keys}, "pipeline_id": v["pipeline_id"], "method": v["method"], "ts": test["ts"], **{c: test[c] for c in facts}, **p}))
+        if out:
+            return pd.concat(out)
+        none = pdf.iloc[:0]
+        return pd.DataFrame({**{k: none[k] for k in keys}, "pipeline_id": np.zeros(0, object), "method": np.zeros(0, object), **{c: none[c] for c in ["ts", *facts]}, "benchmark_probability": np.zeros(0), "candidate_probability": np.zeros(0)})
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", pipeline_id string, method string, ts {types['ts']}, target_up int, future_return double, benchmark_probability double, candidate_probability double"
+    wanted = list(dict.fromkeys([*keys, horizon, "ts", "part", *base, *signal, *crossed, *facts]))
+    joined = rows.where(F.col("part").isin("train", "test")).select(*wanted)
+    joined = joined.join(F.broadcast(packed), on) if on else joined.crossJoin(F.broadcast(packed))
+    return joined.groupBy(*keys, "model", "setting").applyInPandas(one, schema)
+
+
+def parse_setting(kind: str, text: str) -> dict:
+    """A structure's setting as model arguments; trees grow by levels, so 7 leaves are depth 3 and 15 depth 4."""
+    part = {p[0]: float(p[1:]) for p in text.split("-")}
+    if kind == "boosting":
+        return {"depth": int(np.ceil(np.log2(part["l"]))), "rounds": int(part["i"]), "l2": part["r"], "least": 100}
+    return {"c": part["c"], **({"knots": int(part["k"])} if "k" in part else {})}
+
+
 def offset_screens(rows: DataFrame, keys: list[str], spec: str, base: list[str], columns: list[str], target: str) -> DataFrame:
     """(keys, spec, incremental_log_loss, ...) of one-step screens on a benchmark's logit."""
     types, fitted = dict(rows.dtypes), {}

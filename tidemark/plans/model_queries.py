@@ -20,20 +20,29 @@ def _with_states(s, d):
     return second_generation.with_states(N.features(s, d), "2024-01-20 00:00:00")
 
 
+def _nested_frame(s, d):
+    """Complete rows for the nested job, their number, and the targets of every horizon."""
+    rows = I.complete_rows(N.features(s, d), [*dict.fromkeys([*second_generation.BASE, *states.INPUTS])]).persist()
+    return rows, rows.count(), I.horizon_targets(N.panel(s, d))
+
+
 def screen(s, d):
-    rows = I.complete_rows(_with_states(s, d), [*second_generation.BASE, *second_generation.STATE_COLUMNS, "future_return"]).persist()
-    return N.out(second_generation.screen(rows, evidence_queries.scores(s, d), splits.fold_table(s, rows.count(), 3, 1)))
+    rows, n, targets = _nested_frame(s, d)
+    return N.out(second_generation.screen(second_generation.fold_rows(rows, targets, splits.nested_plan(s, n)).persist(), evidence_queries.scores(s, d).persist()))
 
 
 def selection(s, d):
-    rows = I.complete_rows(_with_states(s, d), [*second_generation.BASE, *second_generation.STATE_COLUMNS, "future_return"]).persist()
-    return N.out(second_generation.nested_selection(rows, evidence_queries.scores(s, d), rows.count())["selected"])
+    rows, n, targets = _nested_frame(s, d)
+    return N.out(second_generation.nested_selection(rows, targets, evidence_queries.scores(s, d), n)["outer"])
 
 
 def structures(s, d):
-    rows = _frame(s, d).persist()
-    pred = second_generation.structures(rows, "bb_reversal_score", splits.fold_table(s, rows.count(), 3, 1), second_generation.SETTINGS)
-    return N.out(second_generation.fold_results(pred, ["pipeline_id", "fold"]))
+    rows, n, targets = _nested_frame(s, d)
+    plan = splits.fold_table(s, n, 3, 1).select(F.lit(1).alias("horizon"), F.lit(1).alias("outer_fold"), F.col("fold").alias("inner_fold"), (F.col("train_end") + 1).alias("n_train"), "test_start", "test_end")
+    score = rows.select("symbol", "ts", F.col("bb_reversal_score").alias("score"))
+    folds = second_generation.scored_rows(second_generation.fold_rows(rows, targets, plan), score)
+    pred = second_generation.structures(folds, second_generation.structure_tasks(s), second_generation.FOLD).persist()
+    return N.out(second_generation.fold_results(pred.withColumnRenamed("inner_fold", "fold"), ["pipeline_id", "fold"]))
 
 
 def calibrations(s, d):

@@ -11,13 +11,15 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
 from tidemark.functions import metrics as M
-from tidemark.operators import gates, inference, models, policy, selectors, splits, states, summaries
+from tidemark.operators import gates, grids, inference, models, policy, selectors, splits, states, summaries
 
 STATE_COLUMNS = ["state_p_range", "state_p_trend", "state_p_stress"]
+CROSSED = [f"score_x_{s}" for s in states.STATES]
+FOLD = ["horizon", "outer_fold", "inner_fold"]
 BASE = ["pri_ret_1", "pri_ret_3", "ctx_ret_1", "ctx_ret_3", "trend_12", "vol_20", "range_12", "volume_z"]
 
 
@@ -27,22 +29,35 @@ def with_states(frame: DataFrame, train_until: str, params: dict | None = None)
     return frame.join(states.forward_filter(frame, fitted), ["symbol", "ts"], "left")
 
 
-def screen(frame: DataFrame, scores: DataFrame, folds: DataFrame) -> DataFrame:
-    """Every signal specification's one-step screen on every fold."""
-    parts = splits.assign(frame, folds).select("symbol", "ts", "fold", "part", *BASE, *STATE_COLUMNS, "target_up")
-    rows = parts.join(scores, ["symbol", "ts"]).where(F.col("part") != "purge")
-    wide = rows.withColumns({f"score_x_{s}": F.col("score") * F.col(f"state_p_{s}") for s in states.STATES})
-    return models.offset_screens(wide, ["fold"], "spec_id", [*BASE, *STATE_COLUMNS], ["score", *[f"score_x_{s}" for s in states.STATES]], "target_up")
+def fold_rows(frame: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFrame:
+    """Training and test rows of every fold of a nested plan (inner_fold 0 is the outer fold), with the
+    states of a model fitted on that fold's training rows and the targets of that horizon."""
+    numbered = frame.drop("future_return", "target_up").withColumn("rn", F.row_number().over(W.partitionBy("symbol").orderBy("ts")) - 1)
+    part = F.when(F.col("rn") < F.col("n_train"), "train").when(F.col("rn") < F.col("test_start"), "purge").otherwise("test")
+    rows = numbered.join(F.broadcast(plan), F.col("rn") <= F.col("test_end")).withColumn("part", part).where("part <> 'purge'").select("symbol", "ts", *FOLD, "part", *dict.fromkeys([*BASE, *states.INPUTS]))
+    facts = targets.select("symbol", "ts", "horizon", "future_return", F.col("direction").alias("target_up")).where("future_return is not null")
+    return rows.join(states.fold_states(rows, FOLD), [*FOLD, "symbol", "ts"]).join(facts, ["symbol", "ts", "horizon"])
+
+
+def scored_rows(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Fold rows with a score and its products with the state probabilities."""
+    return rows.join(scores, ["symbol", "ts"]).withColumns({f"score_x_{s}": F.col("score") * F.col(f"state_p_{s}") for s in states.STATES})
+
+
+def screen(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Every signal specification's one-step screen on every inner fold."""
+    wide = scored_rows(rows.where("inner_fold > 0"), scores)
+    return models.offset_screens(wide, FOLD, "spec_id", [*BASE, *STATE_COLUMNS], ["score", *CROSSED], "target_up")
 
 
-def structures(frame: DataFrame, score: str, folds: DataFrame, settings: list[tuple[str, str, dict]]) -> DataFrame:
-    """(pipeline_id, fold, ...) of model settings on the same rows for candidate and benchmark."""
-    parts = splits.assign(frame, folds)
-    out = None
-    for pipeline_id, kind, setting in settings:
-        p = models.matched_folds(parts.withColumn("pipeline_id", F.lit(pipeline_id)), ["pipeline_id", "fold"], BASE, [score], "target_up", kind, setting)
-        out = p if out is None else out.unionByName(p)
-    return summaries.scored(out.join(frame.select("ts", "future_return", "target_up"), "ts"))
+def structure_tasks(spark) -> DataFrame:
+    """The whole grid of structures with its windows' lengths, uncalibrated."""
+    return grids.structures(spark).join(F.broadcast(grids.dated_windows(spark)), "window").withColumn("method", F.lit("none"))
+
+
+def structures(rows: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:
+    """Scored test rows (keys, pipeline_id, method, ...) of tasks on rows with scores."""
+    return summaries.scored(models.matched_tasks(rows, tasks, keys, [*BASE, *STATE_COLUMNS], ["score"], CROSSED))
 
 
 def fold_results(pred: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,14 +115,48 @@ def locked_evidence(pred: DataFrame, keys: list[str], threshold: float = 0.05, b
     return row.withColumns({"predictive_gate": predictive, "calibration_gate": calibrated, "economic_gate": economic}).withColumn("evidence_grade", gates.evidence_grade(c("predictive_gate"), c("calibration_gate"), c("economic_gate")))
 
 
-def nested_selection(frame: DataFrame, scores: DataFrame, rows: int, outer: int = 5, inner: int = 3, horizon: int = 1) -> dict[str, DataFrame]:
-    """Screening over the inner folds of the last outer training part, and what it selects."""
-    last = splits.expanding_folds(rows, outer, horizon)[-1]
-    folds = splits.fold_table(frame.sparkSession, last["train_end"] + 1, inner, horizon)
-    results = screen(frame, scores, folds)
-    family = F.element_at(F.split("spec_id", "-"), 1)
-    inner_rows = results.select(family.alias("signal_family"), F.col("spec_id").alias("signal_spec_id"), F.col("fold").alias("inner_fold"), "incremental_log_loss", "candidate_brier", "benchmark_brier")
-    return {"inner": inner_rows, "selected": selectors.screening(inner_rows, ["signal_family"])}
+def held(df: DataFrame) -> DataFrame:
+    """The result computed now and its plan cut off; plans of all stages in one would grow past analysis."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
 
-SETTINGS = [("linear-c1", "linear", {"c": 1.0}), ("spline-k4", "spline", {"knots": 4, "c": 1.0}), ("boosting-d3", "boosting", {"depth": 3, "rounds": 40, "least": 40})]
+def nested_selection(frame: DataFrame, targets: DataFrame, scores: DataFrame, n: int, horizons: tuple[int, ...] = splits.HORIZONS, outer: int = 5, inner: int = 3) -> dict[str, DataFrame]:
+    """Per horizon, outer fold and family: signal, structure, calibration and threshold chosen on the
+    inner folds, evaluated on the outer fold, and the admission that follows. n: rows of frame.
+
+    Folds too short for a fit (120 training, 20 test rows) give no rows.
+    """
+    spark, context = frame.sparkSession, ["horizon", "outer_fold", "signal_family"]
+    keys = [*context, "inner_fold"]
+    rows, scores = held(fold_rows(frame, targets, splits.nested_plan(spark, n, horizons, outer, inner))), held(scores)
+    family = F.element_at(F.split("spec_id", "-"), 1).alias("signal_family")
+    inner_rows = held(screen(rows, scores).select("horizon", "outer_fold", family, F.col("spec_id").alias("signal_spec_id"), "inner_fold", "incremental_log_loss", "candidate_brier", "benchmark_brier"))
+    signals = held(selectors.screening(inner_rows, context))
+    chosen = held(scored_rows(rows.join(F.broadcast(signals.select(*context, F.col("signal_spec_id").alias("spec_id"))), ["horizon", "outer_fold"]), scores.withColumnRenamed("spec_id", "__s")).where("spec_id = __s").drop("__s"))
+    within = chosen.where("inner_fold > 0")
+
+    grid = held(structure_tasks(spark))
+    pred = held(structures(within, grid, keys))
+    structural = held(fold_results(pred, [*keys, "pipeline_id"]).join(F.broadcast(grid.select("pipeline_id", "complexity_rank")), "pipeline_id"))
+    pipelines = held(selectors.structural(structural, context, ece=0.01))
+
+    picked = pipelines.select(*context, "pipeline_id").join(F.broadcast(grid.drop("method")), "pipeline_id")
+    methods = picked.withColumn("method", F.explode(F.array(*[F.lit(m) for m in ("none", "sigmoid", "isotonic")])))
+    cal_pred = held(structures(within, methods, keys))
+    calibrations = held(fold_results(cal_pred, [*keys, "method"]).withColumnRenamed("method", "calibration_method").withColumn("eligible_for_selection", F.col("calibration_method") != "isotonic"))
+    # A method that a short fold could not hold out rows for is not compared on fewer folds than the others.
+    folds = F.count("*").over(W.partitionBy(*context, "calibration_method"))
+    complete = calibrations.withColumn("__n", folds).withColumn("__m", F.max("__n").over(W.partitionBy(*context))).where("__n = __m").drop("__n", "__m")
+    fixed = held(selectors.calibration(complete, context))
+
+    method = fixed.select(*context, F.col("calibration_method").alias("method"))
+    thresholds, cost = grids.policies(spark).select("threshold"), spark.createDataFrame([(10.0,)], "bps double")
+    policies = held(policy.policy_metrics(cal_pred.join(F.broadcast(method), [*context, "method"]), keys, thresholds, cost))
+    limits = held(selectors.abstention(policies, context))
+
+    final = held(structures(chosen.where("inner_fold = 0"), picked.join(F.broadcast(method), context), context))
+    names = signals.select(*context, "signal_spec_id").join(pipelines.select(*context, "pipeline_id"), context).join(fixed.select(*context, "calibration_method"), context).join(limits.select(*context, "threshold"), context)
+    used = policy.policy_metrics(final, context, thresholds, cost).select(*context, "threshold", *[F.col(c).alias(f"policy_{c}") for c in ("coverage", "nonzero_decisions", "mean_net_edge")])
+    evaluated = held(fold_results(final, context).join(names, context).join(used, [*context, "threshold"]))
+    admitted = gates.admission(evaluated)
+    return {"inner": inner_rows, "selected": signals, "structural": structural, "pipelines": pipelines, "calibrations": calibrations, "calibrated": fixed, "policies": policies, "thresholds": limits, "outer": evaluated, "admission": admitted, "decisions": selectors.family_horizon(admitted)}
