@@ -9,48 +9,84 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in spark.checkpoint.dir. Where that is unset (tests on
-    one machine) a new temporary folder is made, once per session, and set.
+    It is the one the cluster names in spark.checkpoint.dir. Where that is unset on one machine
+    (a local master, as in tests) a new temporary folder is made, once per session; on a cluster
+    that raises, since executors could not read what others wrote there.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("tidemark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("tidemark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-_SAVED: list[str] = []
+_SAVED: dict[str, None] = {}
 
 
 def save(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a reread of the files, not a recomputation.
+    This cuts the lineage: a lost executor costs a reread of the files, not a recomputation. The
+    shuffle files behind the table are of no more use then, so Spark is told to delete them.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _SAVED.append(path)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SAVED[path] = None
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.saved_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _SAVED.pop(path, None)
+
 
+def discard(*saved: DataFrame) -> None:
+    """Delete saved tables that nothing will read again."""
+    for df in saved:
+        _delete(df.sparkSession, df.saved_at)
 
-def drop_saved(spark: SparkSession) -> int:
-    """Delete every table that this process has saved; call it when results no longer need them."""
-    n = len(_SAVED)
-    while _SAVED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+
+def drop_saved(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Delete every table that this process has saved, but for `keep`, when no result needs them."""
+    gone = [path for path in _SAVED if keep is None or path != keep.saved_at]
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: list[str], *names: str) -> dict[str, str]:
+    """A column name for each of `names` that is not taken, whatever its case."""
+    used, out = {c.lower() for c in taken}, {}
+    for name in names:
+        new = f"__{name}"
+        while new.lower() in used:
+            new = f"_{new}"
+        used.add(new.lower())
+        out[name] = new
+    return out
+
+
 def crc32_mod(col: Column, m: int) -> Column:
     """crc32 of the value as text, modulo m; null gives null."""
     return F.crc32(col.cast("string").cast("binary")) % m
@@ -60,21 +96,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, value: int | None = None) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled training documents, chosen by a hash of doc_id.
+def training_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of labelled training documents; of labels that contradict one another the greater.
 
-    Training rows are those whose crc32(doc_id as text) modulo 4 is not 2. The bound makes the
-    chosen ids small enough to broadcast whatever the size of the tables.
+    Training rows are those whose crc32(doc_id as text) modulo 4 is not 2.
     """
-    doc_id = F.col("doc_id").cast("long")
-    known = labels.select(doc_id.alias("doc_id"), F.col(column).cast("int").alias("label")).where(F.col("label").isNotNull() & (crc32_mod(F.col("doc_id"), 4) != 2))
-    known = known if value is None else known.where(F.col("label") == value)
-    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select(doc_id.alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (crc32_mod(F.col("doc_id"), 4) != 2))
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def first_ids(ids: DataFrame, rows: int, seed: int = 0) -> DataFrame:
+    """At most `rows` rows of ids, by a hash of doc_id: few enough to broadcast whatever the tables' size."""
+    return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
 
 
-def unlabelled_sample(docs: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, text) of at most `rows` documents outside the held-out part, by a hash of doc_id."""
+def one_text_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """`chosen` (a bounded set of ids) with the text of each: of rows that repeat an id the one whose text
+    has the least hash, so the rows are bounded too."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = plain.select("doc_id").where(crc32_mod(F.col("doc_id"), 4) != 2).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(rows).distinct()
-    return plain.join(F.broadcast(chosen), "doc_id")
+    others = [c for c in chosen.columns if c != "doc_id"]
+    found = plain.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", *others).agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -7,8 +7,9 @@ classifiers are linear over the distinct words of a text and their first four an
 several are trained on reweighted documents and their logits averaged; the bias is then set so that
 the mean score of unlabelled text is the prior.
 
-Training uses at most `positives` + `unlabelled` documents (a documented bound: the driver holds
-their feature numbers); every document is scored by its whole text.
+Training uses at most `positives` + `unlabelled` documents, one row an id, and the `max_features`
+features that part them most (documented bounds: the driver holds the feature numbers of the one
+that are among the other); every document is scored by its whole text.
 
 Defined results: null, empty and wordless texts get the score of a text without known features; a
 null doc_id is scored and not held out; without positives all scores are 0; repeated rows get equal
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc32_mod, labelled_sample, unlabelled_sample
+from tidemark.llm.common import crc32_mod, discard, first_ids, one_text_each, save, training_labels
 
 POSITIVES, UNLABELLED = 3000, 6000
 THRESHOLD = 0.3
@@ -68,37 +70,55 @@ class Features(dict):
         return sorted(found)
 
 
-def _collect(sample: DataFrame) -> list[np.ndarray]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+def _sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> DataFrame:
+    """(doc_id, positive, unlabelled, text) of the training documents, written once."""
+    known = first_ids(training_labels(labels, "toxic").where("label = 1"), positives).select("doc_id", F.lit(1).alias("positive"), F.lit(0).alias("unlabelled"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(crc32_mod(F.col("doc_id"), 4) != 2).distinct()
+    other = first_ids(ids, unlabelled, seed=1).select("doc_id", F.lit(0).alias("positive"), F.lit(1).alias("unlabelled"))
+    chosen = known.union(other).groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
+    return save(one_text_each(docs, chosen), "sample")
+
+
+def choose_features(sample: DataFrame, n_pos: int, n_unl: int, most: int) -> list[int]:
+    """Features that are significantly more frequent in positives, the `most` significant of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, pos, unl = Features(), Counter(), Counter()
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"f": pa.array([np.array(features.of(t), np.uint32).tobytes() for t in batch.column("text").to_pylist()], pa.binary())})
+            for text, p, u in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist(), batch.column("unlabelled").to_pylist()):
+                found = features.of(text)
+                pos.update(found if p else ())
+                unl.update(found if u else ())
+        ids = list(pos.keys() | unl.keys())
+        yield pa.RecordBatch.from_pydict({"f": pa.array(ids, pa.int64()), "a": pa.array([pos[i] for i in ids], pa.int64()), "b": pa.array([unl[i] for i in ids], pa.int64())})
 
-    return [np.frombuffer(bytes(r["f"]), np.uint32) for r in sample.select("text").mapInArrow(run, "f binary").collect()]
+    counts = sample.mapInArrow(count, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    p = (a + b) / F.lit(float(n_pos + n_unl))
+    z = (a / F.lit(float(n_pos)) - b / F.lit(float(n_unl))) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n_pos + 1 / n_unl))
+    good = counts.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (a >= LEAST_DOCS))
+    return [r["f"] for r in good.orderBy(F.desc("z"), "f").limit(most).collect()]
 
 
-def choose_features(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
-    """Features that are significantly more frequent in positives."""
-    ids, of = np.unique(np.concatenate([*pos, *unl]), return_inverse=True)
-    n_pos = sum(len(p) for p in pos)
-    a, b = np.bincount(of[:n_pos], minlength=len(ids)), np.bincount(of[n_pos:], minlength=len(ids))
-    p = (a + b) / (len(pos) + len(unl))
-    z = (a / len(pos) - b / len(unl)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / len(pos) + 1 / len(unl)))
-    good = np.flatnonzero((z >= LEAST_Z) & (a >= LEAST_DOCS))
-    return ids[good[np.argsort(-z[good], kind="stable")[:MAX_FEATURES]]]
+def _rows(sample: DataFrame, known: dict[int, int]) -> tuple[Sparse, Sparse]:
+    """Positive and unlabelled rows in numbers of the chosen features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(known)
+        for batch in batches:
+            found = [np.array(features.of(t), np.uint32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), pa.array(found, pa.binary())], names=["positive", "unlabelled", "f"])
+
+    rows = sample.orderBy("doc_id").mapInArrow(run, "positive int, unlabelled int, f binary").collect()
+    return tuple(Sparse([np.frombuffer(bytes(r["f"]), np.uint32) for r in rows if r[c]], len(known)) for c in ("positive", "unlabelled"))
 
 
 class Sparse:
     """Rows of binary features."""
 
-    def __init__(self, rows: list[np.ndarray], features: np.ndarray):
-        order = np.argsort(features)
-        flat = np.concatenate([*rows, np.zeros(0, np.uint32)])
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        at = np.searchsorted(features[order], flat)
-        at[at == len(features)] = 0
-        hit = features[order][at] == flat if len(features) else np.zeros(len(flat), bool)
-        self.row, self.col, self.shape = row[hit], order[at[hit]], (len(rows), len(features))
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.col, self.shape = np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.int64), (len(rows), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.shape[0])
@@ -141,21 +161,21 @@ def prior_bias(logits: np.ndarray, prior: float) -> float:
     return low
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None, bags: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None, bags: int = 3, max_features: int = MAX_FEATURES) -> tuple[list[int], np.ndarray]:
     """(features, weights with the bias last) of the averaged classifiers."""
-    pos = _collect(labelled_sample(docs, labels, "toxic", positives, value=1))
-    unl = _collect(unlabelled_sample(docs, unlabelled))
-    if not pos or not unl:
-        return np.zeros(0, np.uint32), np.array([-np.inf])
+    sample = _sample(docs, labels, positives, unlabelled)
+    n_pos, n_unl = (x or 0 for x in sample.agg(F.sum("positive"), F.sum("unlabelled")).first())
+    if not n_pos or not n_unl:
+        return [], np.array([-np.inf])
     if prior is None:
-        known = labels.where(F.col("toxic").isNotNull() & (crc32_mod(F.col("doc_id").cast("long"), 4) != 2))
-        prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+        prior = training_labels(labels, "toxic").agg(F.avg(F.col("label").cast("double"))).first()[0]
     prior = min(max(prior, 0.01), 0.9)
-    features = choose_features(pos, unl)
-    a, b = Sparse(pos, features), Sparse(unl, features)
+    features = choose_features(sample, n_pos, n_unl, max_features)
+    a, b = _rows(sample, {f: i for i, f in enumerate(features)})
+    discard(sample)
     rng, out = np.random.default_rng(3), []
     for _ in range(bags):
-        weights = rng.exponential(size=len(pos)), rng.exponential(size=len(unl))
+        weights = rng.exponential(size=n_pos), rng.exponential(size=n_unl)
         out.append(fit_nnpu(a, b, prior, weights))
     w = np.mean(out, axis=0)
     w[-1] = prior_bias(b.dot(w[:-1]), prior)
@@ -165,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) of documents (doc_id, text)."""
     features, weights = train(docs, labels, **options)
-    known = {int(f): i for i, f in enumerate(features)}
+    known = {f: i for i, f in enumerate(features)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, bias = Features(known), weights[-1]
