@@ -1,4 +1,8 @@
-"""Variable-length integers, seven bits a byte, least significant first; vectorised."""
+"""Variable-length integers, seven bits a byte, least significant first; vectorised.
+
+Rising keys of one size are kept as steps whose low bytes stand as they are, since only their
+high part varies in length.
+"""
 
 from __future__ import annotations
 
@@ -32,3 +36,14 @@ def decode(data: bytes | np.ndarray) -> np.ndarray:
         more = size > k
         out[more] |= (b[first[more] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
     return out
+
+
+def encode_low(values: np.ndarray, low: int) -> np.ndarray:
+    """The `low` low bytes of each value, one row a value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low]
+
+
+def decode_low(data: bytes, low: int) -> np.ndarray:
+    wide = np.zeros((len(data) // low, 8), np.uint8)
+    wide[:, :low] = np.frombuffer(data, np.uint8).reshape(-1, low)
+    return wide.view("<u8").ravel()
