@@ -2,17 +2,23 @@
 
 `approximate` cuts the vectors into blocks of rows and stores, per block, the exact integer
 vectors and their cells: every component is quantised to one of 2**cell_bits cells between the
-block's least and greatest value in that dimension. A search scans the cells of a block, which
-bound each score from below and above, then reads exact vectors in the order of the better bound
-until the kth result cannot change. Blocks' results are merged by score.
+block's least and greatest value in that dimension. A search has two parts:
+1. The cells alone are read. They bound each score from below and above; a row whose upper bound
+   is under the kth best lower bound met so far is out.
+2. Exact vectors of the rows left are read in the order of the better bound: the k best bounds
+   first, then only those whose bound still reaches the kth exact score.
 
 Queries are rows of the same or another table, packed in blocks too; each query block meets each
-vector block in one task of bounded size.
+block of cells in one task of bounded size. Of equal vectors in a block only the rows that can be
+in a result are looked at (those of the k + 1 smallest ids), so a vector that a third of all rows
+share gives no more candidates than any other.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither
-as queries nor as candidates; shorter vectors count as padded with zeros; ties go to the smaller
-vec_id; scaled components beyond 32 bits are held at its ends; rows that repeat a vec_id are candidates of their own except for a query of that vec_id;
-rows without vec_id take no part; empty tables give no rows.
+as queries nor as candidates; shorter vectors count as padded with zeros, an empty one is all
+zeros; ties go to the smaller vec_id; rows that repeat a vec_id are candidates of their own except
+for a query of that vec_id, and as queries give ranks 1 to k each; rows without vec_id take no part;
+scaled components of 2**62 or more, and scores beyond 64 bits, raise an error; empty tables give
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +34,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import save, shuffle_partitions
 
 SCALE = 256
-CELL_BITS = 4
+CELL_BITS = 8
 BLOCK_ROWS = 4096
+QUERY_ROWS = 256
+FILE = "block long, n long, dims long, kind string, ids binary, exact binary, turn binary, cells binary, low binary, width binary"
 
 
 def _valid(vector: Column) -> Column:
@@ -37,71 +45,145 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & whole
 
 
-def _blocks(vectors: DataFrame, rows: int, schema: str, make) -> DataFrame:
-    """Runs of at most `rows` vectors of a partition, each made into one row."""
+def whole_numbers(parts: list[np.ndarray]) -> np.ndarray:
+    """Scaled components as int64, one row a vector."""
+    x = np.zeros((len(parts), max((len(p) for p in parts), default=0)))
+    for i, p in enumerate(parts):
+        x[i, : len(p)] = p
+    x = np.floor(SCALE * x)
+    if np.abs(x).max(initial=0) >= 2.0**62:
+        raise OverflowError("a scaled component needs more than 62 bits")
+    return x.astype(np.int64)
+
+
+def cells(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell numbers of integer vectors, and each dimension's least value and cell width, all int64."""
+    low, high = x.min(axis=0), x.max(axis=0)
+    width = (high - low) // (1 << bits) + 1
+    return (x - low) // width, low, width
+
+
+def turns(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of each row among the block's equal vectors: how many smaller ids, or earlier rows of its id, there are."""
+    _, same = np.unique(x, axis=0, return_inverse=True) if x.shape[1] else (None, np.zeros(len(ids), np.int64))
+    order = np.lexsort((ids, same.ravel()))
+    s, i = same.ravel()[order], ids[order]
+    new_vector = np.diff(s, prepend=-1) != 0
+    new_id = new_vector | (np.diff(i, prepend=i[:1]) != 0)
+    before = lambda first: np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
+    number = np.cumsum(new_id)
+    out = np.empty(len(s), np.int64)
+    out[order] = np.maximum(number - number[before(new_vector)], np.arange(len(s)) - before(new_id))
+    return out
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The narrowest of 16, 32 and 64 bits that holds all values."""
+    top = np.abs(x).max(initial=0)
+    return x.astype("<i2" if top < 2**15 else "<i4" if top < 2**31 else "<i8")
+
+
+def approximate(vectors: DataFrame, block_rows: int = BLOCK_ROWS, cell_bits: int = CELL_BITS) -> DataFrame:
+    """The stored file: a row per block of (vec_id, v) with ids, exact vectors, cells and cell borders."""
+
+    def pack(number: int, ids: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        x, i = whole_numbers(parts), np.array(ids, np.int64)
+        code, low, width = cells(x, cell_bits)
+        exact = _small(x)
+        row = {"block": number, "n": len(i), "dims": x.shape[1], "kind": exact.dtype.str, "ids": i.tobytes(), "exact": exact.tobytes(), "turn": turns(i, x).astype(np.uint32).tobytes(), "cells": code.astype(np.uint8).tobytes(), "low": low.tobytes(), "width": width.tobytes()}
+        return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number, ids, parts = TaskContext.get().partitionId() << 24, [], []
-
-        def close() -> pa.RecordBatch:
-            width = max((len(p) for p in parts), default=0)
-            x = np.zeros((len(parts), width), np.int32)
-            for i, p in enumerate(parts):
-                x[i, : len(p)] = p
-            return make(number, np.array(ids, np.int64), x)
-
         for batch in batches:
             for vec_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("v")):
                 ids.append(vec_id)
-                parts.append(np.clip(np.floor(SCALE * np.asarray(v.values, np.float64)), -(2**31), 2**31 - 1).astype(np.int32))
-                if len(ids) >= rows:
-                    yield close()
+                parts.append(np.asarray(v.values, np.float64))
+                if len(ids) >= block_rows:
+                    yield pack(number, ids, parts)
                     ids, parts, number = [], [], number + 1
         if ids:
-            yield close()
+            yield pack(number, ids, parts)
 
-    return vectors.mapInArrow(run, schema)
+    return save(vectors.mapInArrow(run, FILE), "va-file")
 
 
-def cells(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell numbers of integer vectors, and each dimension's least value and cell width."""
-    low, high = x.min(axis=0), x.max(axis=0)
-    width = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
-    return ((x - low) // width).astype(np.uint8), low.astype(np.int32), width.astype(np.int32)
+def _array(raw: bytes, kind, n: int, dims: int, wide: int) -> np.ndarray:
+    return np.pad(np.frombuffer(raw, kind).reshape(n, dims), ((0, 0), (0, wide - dims)))
 
 
-def approximate(vectors: DataFrame, block_rows: int = BLOCK_ROWS, cell_bits: int = CELL_BITS) -> DataFrame:
-    """The stored file: one row per block with ids, cells, cell borders and exact vectors."""
+def bounds(q: np.ndarray, code: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores of queries (rows) and cells (columns)."""
+    q, corner, span = q.astype(np.float64), low.astype(np.float64) + code * width.astype(np.float64), width.astype(np.float64) - 1
+    middle = q @ corner.T
+    top = np.abs(corner).max(axis=0, initial=0) + span
+    slack = (np.abs(q) @ top) * (len(span) + 4) * 2.0**-51  # of rounding; nothing where all is below 2**53
+    slack = np.where(slack < 0.25, 0.0, slack)
+    return middle + (np.minimum(q, 0) @ span - slack)[:, None], middle + (np.maximum(q, 0) @ span + slack)[:, None]
 
-    def make(number: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        code, low, width = cells(x, cell_bits)
-        row = {"block": [number], "dims": [x.shape[1]], "ids": [ids.tobytes()], "cells": [code.tobytes()], "low": [low.tobytes()], "width": [width.tobytes()], "exact": [x.tobytes()]}
-        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("block", "dims") else pa.binary()) for k, v in row.items()})
-
-    schema = "block long, dims long, ids binary, cells binary, low binary, width binary, exact binary"
-    return save(_blocks(vectors, block_rows, schema, make), "va-file")
-
-
-def search_block(q: np.ndarray, q_id: int, own: tuple, k: int) -> list[tuple[int, int]]:
-    """The (score, vec_id) of the k best rows of a block for one query, ties to smaller vec_id."""
-    lower, upper, ids, x = own
-    other = np.flatnonzero(ids != q_id)
-    if not len(other):
-        return []
-    lower, upper = lower[other], upper[other]
-    floor = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) > k else -np.inf
-    left = np.flatnonzero(upper >= floor)
-    left = left[np.argsort(-upper[left], kind="stable")]
-    best: list[tuple[int, int]] = []
-    for at in range(0, len(left), 32):
-        if len(best) >= k and upper[left[at]] < -best[k - 1][0]:
-            break
-        rows = other[left[at : at + 32]]
-        best += zip((-(x[rows].astype(np.int64) @ q)).tolist(), ids[rows].tolist())
-        best = sorted(best)[:k]
-    return best
+
+def _scan(queries: DataFrame, file: DataFrame, k: int) -> DataFrame:
+    """(q_row, row, upper, floor): rows that the cells do not rule out; floor is under the kth score."""
+    lanes = max(1, min(shuffle_partitions(file.sparkSession), file.count()))
+    asked = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "dims", "kind", "ids", "exact"))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    held = file.select("block", "n", "dims", "ids", "turn", "cells", "low", "width").withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                left = np.flatnonzero(np.frombuffer(r["turn"], np.uint32) <= k)
+                wide = max(r["dims"], r["q_dims"])
+                code = _array(r["cells"], np.uint8, r["n"], r["dims"], wide)[left]
+                low, width = (np.pad(np.frombuffer(r[c], np.int64), (0, wide - r["dims"]), constant_values=v) for c, v in (("low", 0), ("width", 1)))
+                q = _array(r["q_exact"], r["q_kind"], r["q_n"], r["q_dims"], wide)
+                if now != r["q_block"]:
+                    now, best = r["q_block"], np.full((len(q), k), -np.inf)
+                for at in range(0, len(q), QUERY_ROWS):
+                    part = slice(at, at + QUERY_ROWS)
+                    lower, upper = bounds(q[part], code, low, width)
+                    own = q_ids[part, None] == ids[None, left]
+                    lower[own] = upper[own] = -np.inf
+                    both = np.concatenate([best[part], lower], axis=1)
+                    best[part] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                    floor = best[part].min(axis=1)
+                    i, j = np.nonzero((upper >= floor[:, None]) & ~own)
+                    yield pa.RecordBatch.from_pydict({"q_row": pa.array((r["q_block"] << 16) + at + i), "row": pa.array((r["block"] << 16) + left[j]), "upper": pa.array(upper[i, j]), "floor": pa.array(floor[i])})
+
+    return asked.join(held, "lane").drop("lane").mapInArrow(run, "q_row long, row long, upper double, floor double")
+
+
+def _rows(blocks: DataFrame, row: str, vec_id: str, v: str) -> DataFrame:
+    """A row per exact vector of blocks; with a column `wanted` (places in the block) of those alone."""
+    some = "wanted" in blocks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["exact"], r["kind"]).reshape(r["n"], r["dims"])
+                at = np.array(r["wanted"] if some else range(r["n"]), np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * r["dims"]), pa.array(x[at].astype(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array((r["block"] << 16) + at), pa.array(ids[at]), lists], names=[row, vec_id, v])
+
+    columns = ["block", "n", "dims", "kind", "ids", "exact", *(["wanted"] if some else [])]
+    return blocks.select(*columns).mapInArrow(run, f"{row} long, {vec_id} long, {v} array<long>")
+
+
+def _exact(pairs: DataFrame, file: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q_row, query_id, vec_id, score) of pairs (q_row, row); a block's list of places is at most its rows."""
+    places = pairs.select("row").distinct().groupBy(F.shiftright("row", 16).alias("block")).agg(F.collect_list(F.col("row").bitwiseAND(F.lit(65535))).alias("wanted"))
+    found = _rows(file.join(places, "block"), "row", "vec_id", "v")
+
+    def product(kind: str) -> Column:
+        zero = F.lit(0).cast(kind)
+        terms = F.zip_with("q", "v", lambda a, b: F.coalesce(a.cast(kind), zero) * F.coalesce(b.cast(kind), zero))
+        return F.aggregate(terms, zero, lambda total, x: total + x)
+
+    score = F.when(F.abs(product("double")) < 2.0**63, product("long")).otherwise(F.raise_error(F.lit("a score needs more than 64 bits")).cast("long"))
+    return pairs.join(found, "row").join(asked, "q_row").select("q_row", "query_id", "vec_id", score.alias("score"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, cell_bits: int = CELL_BITS) -> DataFrame:
@@ -111,39 +193,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
         v = F.col("embedding").cast("array<double>")
         return df.where(F.col("vec_id").isNotNull() & _valid(v)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
-    file = approximate(usable(vectors), block_rows, cell_bits)
-
-    def pack(number: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"q_dims": pa.array([x.shape[1]], pa.int64()), "q_ids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([x.tobytes()], pa.binary())})
-
+    if not (0 < block_rows <= 65536 and 0 < cell_bits <= 8):
+        raise ValueError("blocks hold up to 65536 rows, cells up to 8 bits")
+    file, wanted = approximate(usable(vectors), block_rows, cell_bits), usable(queries)
     # A stated query set against all rows, block by block: each query block goes to every vector block.
-    wanted = usable(queries)
-    wanted = wanted.repartition(1 + wanted.count() // block_rows)
-    asked = save(_blocks(wanted, block_rows, "q_dims long, q_ids binary, q binary", pack), "queries")
-    lanes = shuffle_partitions(vectors.sparkSession)
-    asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    held = file.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                dims = max(r["dims"], r["q_dims"])
-                wide = lambda a, n, d: np.pad(np.frombuffer(a, n).reshape(-1, d), ((0, 0), (0, dims - d)))
-                x, q = wide(r["exact"], np.int32, r["dims"]), wide(r["q"], np.int32, r["q_dims"]).astype(np.int64)
-                low = wide(r["cells"], np.uint8, r["dims"]) * wide(r["width"], np.int32, r["dims"]) + wide(r["low"], np.int32, r["dims"])
-                span = (wide(r["width"], np.int32, r["dims"]) - 1).astype(np.float64)[0]
-                base, pos = low.astype(np.float64), np.maximum(q, 0).astype(np.float64)
-                neg = np.minimum(q, 0).astype(np.float64)
-                out = []
-                for at in range(0, len(q), 256):
-                    centre = q[at : at + 256].astype(np.float64) @ base.T
-                    up, down = pos[at : at + 256] @ span, neg[at : at + 256] @ span
-                    for i in range(len(centre)):
-                        n = at + i
-                        out += [(int(q_ids[n]), v, -s) for s, v in search_block(q[n], int(q_ids[n]), (centre[i] + down[i], centre[i] + up[i], ids, x), k)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-    found = asked.join(held, "lane").drop("lane", "block").mapInArrow(run, "query_id long, vec_id long, score long")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = approximate(wanted.repartition(1 + wanted.count() // block_rows), block_rows, cell_bits)
+    scanned = _scan(asked, file, k)
+    by_query = W.partitionBy("q_row")
+    left = scanned.withColumn("floor", F.max("floor").over(by_query)).where("upper >= floor")
+    left = save(left.withColumn("turn", F.row_number().over(by_query.orderBy(F.desc("upper"), "row"))).drop("floor"), "candidates")
+    q_rows = _rows(asked, "q_row", "query_id", "q")
+    first = save(_exact(left.where(F.col("turn") <= k).select("q_row", "row"), file, q_rows), "scores")
+    kth = first.groupBy("q_row").agg(F.min("score").alias("kth"))
+    rest = left.where(F.col("turn") > k).join(kth, "q_row").where("upper >= kth").select("q_row", "row")
+    found = first.unionByName(_exact(rest, file, q_rows))
+    return found.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
