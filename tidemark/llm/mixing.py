@@ -6,24 +6,29 @@ A cell's weight is its raked over its observed tokens. Documents are then sample
 kept with probability min(1, c * weight), c being such that the expected tokens are the wanted
 part of the corpus; the draw is a hash of doc_id, so it is the same in every run.
 
-Scale: one pre-aggregated pass gives the cells; a hot source is one row per task. Up to MAX_CELLS
-cells (the size is checked) are raked on the driver and broadcast back; beyond that the same
-steps run as DataFrame aggregates and joins.
+Scale: one pre-aggregated pass gives the cells; a hot source is one row per task. The steps are the
+same at every size: rounds of raking until no margin share is off by more than TOLERANCE, ROUNDS at
+most, then c by steps from below that end at its exact value. Up to MAX_CELLS cells (the size is
+checked) they run on arrays and are broadcast back, beyond that as DataFrame aggregates and joins;
+the results agree but for the rounding of sums.
 
 Defined results: a null in a margin column is a value of its own; a null text has no tokens; cells
 without tokens have weight 1, or 0 if a given target leaves them out; a value without a target has target
 0; targets for values that do not occur are left out and the rest scaled up; a null doc_id is
 drawn like the text 'null'; repeated rows are kept or dropped together; an empty table gives an
-empty result; extra columns are kept unless they are named like a result column.
+empty result; extra columns are kept unless they are named like a result column (n_tokens, weight,
+probability, kept), which then replaces them; margin columns keep their type.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm.common import fresh, save
 
 MARGINS = ("source", "lang", "topic")
 MAX_CELLS = 200_000
@@ -91,18 +96,26 @@ def rake_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, Da
     return x
 
 
-def keep_factor(tokens: np.ndarray, weight: np.ndarray, part: float) -> float:
-    """c such that the sum of tokens * min(1, c * weight) is the wanted part of all tokens."""
-    able = float(tokens[weight > 0].sum())
-    want = min(part * float(tokens.sum()), able)
-    order = np.argsort(-weight, kind="stable")
-    t, w = tokens[order].astype(np.float64), weight[order]
-    sure, rest = np.concatenate([[0], np.cumsum(t)]), np.concatenate([np.cumsum((t * w)[::-1])[::-1], [0]])
-    for k in range(len(t)):  # the k greatest weights are kept for sure
-        c = (want - sure[k]) / rest[k] if rest[k] > 0 else np.inf
-        if w[k] <= 0 or c * w[k] <= 1:
-            return float(c) if np.isfinite(c) else 1 / w[max(k - 1, 0)]
-    return float(1 / w[-1]) if len(w) and w[-1] > 0 else 1.0
+def keep_factor(want: float, sums: Callable[[float], tuple[float, float]]) -> float:
+    """c such that the sum of tokens * min(1, c * weight) is `want` tokens.
+
+    sums(c): tokens of the cells that c keeps for sure, and tokens * weight of the others. c grows
+    from 0; each step is right unless it makes more cells sure, so the steps end at the exact value.
+    If all cells with a weight are wanted whole, c is infinite.
+    """
+    c = 0.0
+    while True:
+        sure, rest = sums(c)
+        new = (want - sure) / rest if rest > 0 else np.inf
+        if not new > c * (1 + 1e-15):
+            return c
+        if not np.isfinite(new):
+            return np.inf
+        c = new
+
+
+def _kept(weight: Column, c: float) -> Column:
+    return (weight > 0).cast("double") if np.isinf(c) else F.least(F.lit(1.0), weight * float(c))
 
 
 def _solve(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, part: float) -> DataFrame:
@@ -124,14 +137,19 @@ def _solve(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict]
     raked = rake(tokens, codes, goals) if rows else np.zeros(0)
     allowed = np.all([(g[c] > 0) | (targets is None) for g, c in zip(goals, codes)], axis=0) if rows else np.zeros(0, bool)
     weight = np.divide(raked, tokens, out=np.where(allowed, 1.0, 0.0), where=tokens > 0)
-    c = keep_factor(tokens, weight, part) if rows else 1.0
-    made = [(*(r[m] for m in margins), float(w), float(min(1.0, c * w))) for r, w in zip(rows, weight)]
-    schema = ", ".join(f"`{m}` string" for m in margins) + ", weight double, probability double"
-    return cells.sparkSession.createDataFrame(made, schema)
+
+    def sums(c: float) -> tuple[float, float]:
+        sure = c * weight >= 1
+        return float(tokens[sure].sum()), float((tokens * weight)[~sure].sum())
+
+    c = keep_factor(min(part * float(tokens.sum()), float(tokens[weight > 0].sum())), sums)
+    schema = ", ".join(f"`{m}` string" for m in margins) + ", weight double"
+    made = cells.sparkSession.createDataFrame([(*(r[m] for m in margins), float(w)) for r, w in zip(rows, weight)], schema)
+    return made.withColumn("probability", _kept(F.col("weight"), c))
 
 
 def _solve_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, part: float) -> DataFrame:
-    """The same for any number of cells; c is found by bisection over one aggregate a step."""
+    """The same for any number of cells; a step of c is one aggregate."""
     spark, goals = cells.sparkSession, {}
     for m in margins:
         sums = cells.groupBy(F.col(m).alias("value")).agg(F.sum("tokens").alias("t"))
@@ -150,13 +168,15 @@ def _solve_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str,
         given = [v for v, s in shares.items() if s > 0 and v is not None]
         allowed = allowed & F.coalesce(F.col(m).isin(given), F.lit(shares.get(None, 0) > 0))
     x = save(x.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(allowed.cast("double"))), "weights")
-    total, top = x.agg(F.sum("tokens"), F.max("weight")).first()
-    low, high = 0.0, 1e12 / max(top or 1.0, 1e-12)
-    for _ in range(60):
-        c = np.sqrt(max(low, 1e-12) * high)
-        got = x.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * float(c)))).first()[0] or 0.0
-        low, high = (c, high) if got < part * (total or 0) else (low, c)
-    return x.select(*margins, "weight", F.least(F.lit(1.0), F.col("weight") * float(high)).alias("probability"))
+    t, w = F.col("tokens"), F.col("weight")
+
+    def sums(c: float) -> tuple[float, float]:
+        sure = w * float(c) >= 1
+        return tuple(float(v or 0) for v in x.agg(F.sum(F.when(sure, t)), F.sum(F.when(~sure, t * w))).first())
+
+    total, able = (float(v or 0) for v in x.agg(F.sum(t), F.sum(F.when(w > 0, t))).first())
+    c = keep_factor(min(part * total, able), sums)
+    return x.select(*margins, "weight", _kept(w, c).alias("probability"))
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -171,12 +191,13 @@ def mix(docs: DataFrame, margins: tuple[str, ...] = MARGINS, targets: dict[str,
     docs has doc_id, text and the margin columns. targets: share of each value by margin; None
     takes the tempered shares of the corpus itself.
     """
-    counted = docs.drop("n_tokens", "weight", "probability", "kept").withColumns({"n_tokens": n_words(F.col("text")), **{m: F.col(m).cast("string") for m in margins}})
-    narrow = counted.select("n_tokens", *margins)
+    plain = docs.drop("n_tokens", "weight", "probability", "kept").withColumn("n_tokens", n_words(F.col("text")))
+    narrow = plain.select("n_tokens", *(F.col(m).cast("string").alias(m) for m in margins))
     cells = save(narrow.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "cells")
     small = cells.count() <= max_cells
     solved = (_solve if small else _solve_frame)(cells, margins, targets, part)
-    solved = solved.select(*(F.col(m).alias(f"__{m}") for m in margins), "weight", "probability")
-    same = [counted[m].eqNullSafe(solved[f"__{m}"]) for m in margins]
-    joined = counted.join(F.broadcast(solved) if small else solved, same).drop(*(f"__{m}" for m in margins))
+    own = fresh(plain.columns, *margins)
+    solved = solved.select(*(F.col(m).alias(own[m]) for m in margins), "weight", "probability")
+    same = [plain[m].cast("string").eqNullSafe(solved[own[m]]) for m in margins]
+    joined = plain.join(F.broadcast(solved) if small else solved, same).drop(*own.values())
     return joined.withColumn("kept", uniform(F.col("doc_id"), seed) < F.col("probability"))
