@@ -90,8 +90,8 @@ def test_nnpu_learns_from_positives_and_unlabelled(spark, sf_dir):
 
 
 def test_nnpu_risk_stays_non_negative_in_training():
-    pos = toxicity.Sparse([np.array([1], np.uint32)] * 20, np.array([1, 2], np.uint32))
-    unl = toxicity.Sparse([np.array([2], np.uint32)] * 80 + [np.array([1], np.uint32)] * 20, np.array([1, 2], np.uint32))
+    pos = toxicity.Sparse([np.array([0], np.uint32)] * 20, 2)
+    unl = toxicity.Sparse([np.array([1], np.uint32)] * 80 + [np.array([0], np.uint32)] * 20, 2)
     w = toxicity.fit_nnpu(pos, unl, 0.2, (np.ones(20), np.ones(100)))
     assert w[0] > 1 > 0 > w[1] and np.isfinite(w).all()
 
@@ -225,6 +225,31 @@ def test_lm_base_counts_equal_brute_force(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_score_equals_brute_force(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, t) for i, t in edge_rows() if i is not None] + [(100 + i, random_text(rng, 60)) for i in range(90)]
+    raw = rng.uniform(0.1, 1, (64, 3))
+    mix = raw / raw.sum(axis=1, keepdims=True)
+    cut = lambda t: [b"", *(t or "").encode().lower().split(), b""]
+    word, pair = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            word.update(cut(t)[1:])
+            pair.update(zip(cut(t), cut(t)[1:]))
+    n, v = sum(word.values()), len(word)
+
+    def score(t):
+        out = 0.0
+        for h, w in zip(cut(t), cut(t)[1:]):
+            a = mix[word[h].bit_length()]
+            out += math.log10(a[0] * pair[h, w] / max(word[h], 1) + a[1] * word[w] / n + a[2] / (v + 1))
+        return out
+
+    for options in ({}, {"chunk_tokens": 900, "range_tokens": 500}):
+        got = interpolated_lm.score_documents(docs_of(spark, rows), mixture=mix, **options).collect()
+        assert sorted([(r["doc_id"], round(r["score"], 6)) for r in got]) == sorted([(i, round(score(t), 6)) for i, t in rows])
+
+
 def test_lm_without_training_text(spark):
     assert interpolated_lm.score_documents(docs_of(spark, [])).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
@@ -235,7 +260,7 @@ def test_lm_without_training_text(spark):
 def test_em_finds_the_mixture():
     rng = np.random.default_rng(5)
     pair, word = 2.0 ** -rng.uniform(1, 4, 4000), 2.0 ** -rng.uniform(6, 12, 4000)
-    cells = (np.full(4000, 5) * 1024 + interpolated_lm._level(pair)) * 1024 + interpolated_lm._level(word)
+    cells = (np.full(4000, 5) * 256 + interpolated_lm._level(pair)) * 256 + interpolated_lm._level(word)
     mix = interpolated_lm.fit_weights(cells, np.ones(4000), 10**6)
     assert mix[5][0] > 0.9 and np.allclose(mix.sum(axis=1), 1) and mix[0][0] == 0
 
@@ -332,24 +357,64 @@ def test_top_k_equals_brute_force(spark):
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0] * 15 + [None]), (902, [float("nan")] * 16), (903, [float("inf")] * 16), (None, [0.1] * 16), (904, [0.5] * 4), (50, x[7].tolist())]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     ok = [(i, np.floor(256 * np.array(v + [0.0] * (16 - len(v)))).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
-    want = set()
-    for qi, q in ok:
-        if qi % 50 == 0:
-            best = sorted((-int(q @ v), i) for i, v in ok if i != qi)[:5]
-            want.add((qi, tuple(best)))
-    for block in (64, 4096):
-        got = va_search.top_k(df, df.where(f"vec_id % 50 = 0 and not (vec_id = 50 and embedding[0] = {float(x[7][0])!r}D)"), 5, block).collect()
-        found = {}
-        for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
-            found.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
-        assert {(q, tuple(v)) for q, v in found.items() if q != 50} == {w for w in want if w[0] != 50}
+    want = sorted(r for qi, q in ok if qi % 50 == 0 for r in plain_top(q, qi, ok))
+    for block, bits in ((64, 4), (4096, 8)):
+        got = va_search.top_k(df, df.where("vec_id % 50 = 0"), 5, block, bits).collect()
+        assert searched(got) == want  # vec_id 50 asks twice
     assert va_search.top_k(df.limit(0), df, 5).count() == 0 and va_search.top_k(df, df.limit(0), 5).count() == 0
 
 
+def plain_top(q, q_id, rows, k=5):
+    best = sorted((-int(sum(int(a) * int(b) for a, b in zip(q, v))), i) for i, v in rows if i != q_id)[:k]
+    return [(q_id, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+
+
+def searched(got):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_wide_empty_and_equal_vectors(spark):
+    wide = [(0, [1e7, 1.0]), (1, [1e7, 1.0]), (2, [1.3e7, 0.0]), (3, [-1.2e7, 5.0]), (4, [3e15, -1.0]), (5, []), (6, [0.5])]
+    for bits in (4, 8):
+        df = vectors_of(spark, wide)
+        whole = [(i, [math.floor(256 * x) for x in v]) for i, v in wide]
+        small = [w for w in whole if w[0] != 4]
+        got = va_search.top_k(df.where("vec_id <> 4"), df.where("vec_id <> 4"), 3, cell_bits=bits).collect()
+        assert searched(got) == sorted(r for i, q in small for r in plain_top(q, i, small, 3))
+    with pytest.raises(Exception, match="64 bits|overflow|OVERFLOW"):
+        va_search.top_k(vectors_of(spark, [(1, [3e15]), (2, [3e15])]), vectors_of(spark, [(1, [3e15])]), 1).collect()
+    with pytest.raises(Exception, match="62 bits"):
+        va_search.top_k(vectors_of(spark, [(1, [3e16])]), vectors_of(spark, [(1, [3e16])]), 1).collect()
+    empty = vectors_of(spark, [(i, []) for i in range(9)])
+    got = va_search.top_k(empty, empty.where("vec_id = 4"), 5).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 0, 0), (2, 1, 0), (3, 2, 0), (4, 3, 0), (5, 5, 0)]
+    same = vectors_of(spark, [(i % 400, [0.5, 0.25]) for i in range(1200)] + [(1000 + i, [0.1 * i, 0.2]) for i in range(4)])
+    rows = [(i % 400, [128, 64]) for i in range(1200)] + [(1000 + i, [math.floor(25.6 * i), 51]) for i in range(4)]
+    got = va_search.top_k(same, same.where("vec_id in (1000, 1003)"), 5, block_rows=100).collect()
+    assert searched(got) == sorted(r for i, q in rows if i in (1000, 1003) for r in plain_top(q, i, rows))
+
+
+def test_the_cells_leave_few_rows_to_read(spark, monkeypatch):
+    x = np.random.default_rng(20).normal(size=(3000, 32)) / 6
+    saved, save = {}, va_search.save
+    monkeypatch.setattr(va_search, "save", lambda df, name: saved.setdefault(name, save(df, name)) if name == "candidates" else save(df, name))
+    df = vectors_of(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    assert va_search.top_k(df, df.where("vec_id % 50 = 0"), 5).count() == 60 * 5
+    assert saved["candidates"].count() < 60 * 20
+
+
 def test_cells_bound_the_vectors():
-    x = np.random.default_rng(11).integers(-90, 90, (300, 8)).astype(np.int32)
+    x = np.random.default_rng(11).integers(-(2**40), 2**40, (300, 8))
     code, low, width = va_search.cells(x, 4)
-    assert code.max() < 16 and (x >= low + code * width).all() and (x < low + (code.astype(int) + 1) * width).all()
+    assert code.max() < 16 and (x >= low + code * width).all() and (x < low + (code + 1) * width).all()
+    q = np.random.default_rng(12).integers(-(2**20), 2**20, (20, 8))
+    lower, upper = va_search.bounds(q, code, low, width)
+    exact = np.array([[sum(int(a) * int(b) for a, b in zip(u, v)) for v in x] for u in q], dtype=object)
+    assert (lower <= exact).all() and (exact <= upper).all()
 
 
 # ---------------------------------------------------------------- 10 mixing
@@ -364,7 +429,7 @@ def test_raking_meets_the_margins():
     for c, t in zip(codes, targets):
         assert np.allclose(np.bincount(c, x) / x.sum(), t, atol=1e-9)
     w = x / tokens
-    c = mixing.keep_factor(tokens, w, 0.6)
+    c = mixing.keep_factor(0.6 * tokens.sum(), lambda c: (tokens[c * w >= 1].sum(), (tokens * w)[c * w < 1].sum()))
     assert abs((tokens * np.minimum(1, c * w)).sum() - 0.6 * tokens.sum()) < 1e-6 * tokens.sum()
 
 
@@ -376,12 +441,23 @@ def test_mix_small_and_frame_paths_agree(spark):
     b = mixing.mix(df, ("source", "lang"), part=0.5, max_cells=0).orderBy("doc_id").collect()
     assert len(a) == len(b) == 303
     for x, y in zip(a, b):
-        assert x["n_tokens"] == y["n_tokens"] and abs(x["weight"] - y["weight"]) < 1e-4 and abs(x["probability"] - y["probability"]) < 1e-4
+        assert x["n_tokens"] == y["n_tokens"] and abs(x["weight"] - y["weight"]) < 1e-9 and abs(x["probability"] - y["probability"]) < 1e-9 and x["kept"] == y["kept"]
     total = sum(r["n_tokens"] for r in a)
     assert abs(sum(r["n_tokens"] * r["probability"] for r in a) - 0.5 * total) < 1e-6 * total
     given = mixing.mix(df, ("source",), {"source": {"s0": 0.5, "s1": 0.5, "gone": 3.0}}, part=0.3).collect()
     assert {r["kept"] for r in given if r["source"] in ("s2", "s3")} == {False}
     assert mixing.mix(df.limit(0), ("source",)).count() == 0
+    for cells in (0, 10**6):  # all that have a weight are wanted whole
+        whole = mixing.mix(df, ("source",), {"source": {"s0": 0.5, "s1": 0.5}}, part=1.0, max_cells=cells).collect()
+        assert {(r["source"] in ("s0", "s1"), r["kept"]) for r in whole} == {(True, True), (False, False)}
+
+
+def test_mix_with_clashing_names_and_other_types(spark):
+    rows = [(1, "a b", 5, "x", 7, "k"), (2, None, None, "y", 8, "l"), (3, "c", 5, None, 9, "m"), (3, "c", 5, None, 9, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source int, lang string, __source int, kept string")
+    got = mixing.mix(df, ("source", "lang"), part=1.0)
+    assert dict(got.dtypes)["source"] == "int" and dict(got.dtypes)["kept"] == "boolean" and got.count() == 4
+    assert sorted(r["__source"] for r in got.collect()) == [7, 8, 9, 9]
 
 
 def test_mixing_draw_is_even(spark):
