@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm.common import discard, save
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,14 +18,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = save(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    held = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
+        labels = held.select("node", "label")
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        step = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("low"))
-        step = save(step, "labels")
+        step = save(labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("low")), "labels")
         jump = step.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = step.join(jump, "low", "left").select("node", F.coalesce("next", "low").alias("label"), F.col("label").alias("was"))
-        new = save(new, "labels")
-        labels = new.select("node", "label")
+        new = save(step.join(jump, "low", "left").select("node", F.coalesce("next", "low").alias("label"), F.col("label").alias("was")), "labels")
+        discard(held, step)
+        held = new
         if new.where("label <> was").isEmpty():
-            return labels
+            discard(edges)
+            return new.select("node", "label")

@@ -5,16 +5,19 @@ Flow:
    permutations, 26 band keys of 5 whole minima each, and the low 4 bits of every minimum
    packed 16 to a word. Documents whose word sequences are equal form one class, represented by
    the smallest doc_id, so copies are never compared with each other.
-2. Bands give candidates: every class in a band bucket is joined to the bucket's smallest id (a
-   star, so a bucket of k members gives k-1 edges, never k*k). Connected components of these
-   edges are the candidate groups; two documents that share any bucket are in one group.
-3. `_verify_groups`: within a group, pairs are screened by the collision-corrected similarity
-   that the packed bits give, then confirmed on the full shingle sets. A group larger than a
-   block is cut in blocks and every pair of blocks is a unit of work of bounded size. A unit
-   returns a spanning forest of its confirmed links: no link between different texts is lost to
-   the components, and the rows returned grow with the documents, not with the pairs.
+2. Bands give candidates: pairs of a bucket whose set sizes allow the threshold and whose packed
+   bits give a collision-corrected similarity that may reach it. A bucket returns a spanning forest
+   of them, so what passes on grows with the documents, not with the pairs, and documents that
+   share a bucket by chance are not joined. Components of these edges are the candidate groups.
+3. Pairs of a group that pass the same screen are confirmed on the full shingle sets; a group too
+   returns a spanning forest: no link between different texts is lost to the components.
 4. Connected components of the confirmed links; component_id is the smallest doc_id.
 
+A bucket or group of any size is cut in blocks of bounded size (`_forest`): first each block is
+linked on its own, with a few of the group's members (hubs) that all blocks get. Pairs whose ends
+are linked then need no look. Only members outside the largest part so found (none or few where a
+group is all near copies) are sent to every block, in blocks again, so every other pair is met.
+
 The chance that a pair with similarity 0.85 shares no band is (1 - 0.85**5)**26 < 3e-7, and that
 the screen (five standard deviations below the threshold) drops it is about the same.
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, shuffle_partitions
+from tidemark.llm.common import discard, save, shuffle_partitions
 from tidemark.llm.components import connected_components
 
 SHINGLE = 5
@@ -42,7 +45,8 @@ PERMS = BANDS * ROWS
 BITS = 4
 PER_WORD = 64 // BITS
 WORDS = -(-PERMS // PER_WORD)
-BLOCK_SHINGLES = 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 500, 500_000
+HUBS = 8
 WORD_CACHE = 200_000
 
 _rng = np.random.default_rng(7)
@@ -153,107 +157,127 @@ def sign(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+def link_unit(ids: list[int], outside: np.ndarray, size: np.ndarray, bits: np.ndarray, labels: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one unit, beyond what equal labels join already.
 
-
-def link_unit(ids: tuple[int, ...], sides: tuple[int, ...], sets: tuple[np.ndarray, ...], bits: np.ndarray, percent: int, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one unit.
-
-    Pairs within a side are skipped when both sides are there: a block's own unit has them.
+    Pairs are links if they pass the screen and, if sets are given, the check on the full sets.
+    With members from outside only their pairs with the others are looked at.
     """
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    size = np.array([len(sets[i]) for i in order])
-    side = np.array([sides[i] for i in order])
-    bits, two = bits[order], len(set(sides)) > 1
-    forest, links = _Forest(len(ids)), []
+    order = np.lexsort((ids, size))
+    size, bits, outside = size[order], bits[order], outside[order]
+    _, root = np.unique(labels[order], return_inverse=True)
+    two, links, most = bool(outside.any()), [], most_mismatches(percent)
     for i in range(len(order) - 1):
         end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
         if end <= i + 1:
             continue
         miss = mismatches(bits[i + 1 : end], bits[i])
-        near = np.flatnonzero(miss <= most)
+        near = (miss <= most) & (root[i + 1 : end] != root[i])
         if two:
-            near = near[side[i + 1 + near] != side[i]]
+            near &= outside[i + 1 : end] != outside[i]
+        near = np.flatnonzero(near)
         for j in near[np.argsort(miss[near], kind="stable")] + i + 1:
-            if forest.find(i) == forest.find(int(j)):
+            if root[i] == root[j]:
                 continue
-            a, b = sets[order[i]], sets[order[j]]
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            both = int((b[at] == a).sum())
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                forest.join(i, int(j))
-                links.append((ids[order[i]], ids[order[j]]))
+            if sets is not None:
+                a, b = sets[order[i]], sets[order[j]]
+                at = np.searchsorted(b, a)
+                at[at == len(b)] = 0
+                both = int((b[at] == a).sum())
+                if 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+            root[root == root[j]] = root[i]
+            links.append((ids[order[i]], ids[order[j]]))
     return links
 
 
-def _verify_groups(groups: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) of groups (doc_id, grp, bits, n_shingles)."""
-    spark = docs.sparkSession
-    sizes = groups.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES / 2)).cast("int").alias("blocks"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    rows = groups.join(sizes, "grp").join(text, "doc_id")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    units = rows.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    units = units.select("grp", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "doc_id", "bits", "text")
-    most = most_mismatches(percent)
+def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links (a, b) of each unit: rows (keys, doc_id, outside, label, n_shingles, bits[, text]) with equal keys."""
+    whole = "text" in units.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, links, known = None, [], [], _WordHash()
+        now, held, links, known = None, [], [], _WordHash()
 
         def close() -> None:
             if len(held) > 1:
-                ids, sides, sets, packed = zip(*held)
-                links.extend(link_unit(ids, sides, sets, np.stack(packed), percent, most))
+                ids, outside, labels, size, bits, sets = zip(*held)
+                links.extend(link_unit(list(ids), np.array(outside), np.array(size), np.stack(bits), np.array(labels), percent, list(sets) if whole else None))
             held.clear()
 
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("grp", "b0", "b1", "block", "doc_id", "bits")]
-            texts = batch.column("text").cast(pa.binary())
-            for i, (g, b0, b1, block, doc_id, bits) in enumerate(zip(*columns)):
-                if (g, b0, b1) != key:
+            key = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            texts = batch.column("text").cast(pa.binary()) if whole else None
+            for i, (k, *row, n, bits) in enumerate(zip(key, *(batch.column(c).to_pylist() for c in ("doc_id", "outside", "label", "n_shingles", "bits")))):
+                if k != now:
                     close()
-                    key = (g, b0, b1)
-                held.append((doc_id, block, shingle_set(word_hashes(texts[i].as_py(), known)), np.frombuffer(bits, np.uint64)))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+                    now = k
+                own = shingle_set(word_hashes(texts[i].as_py(), known)) if whole else None
+                held.append((*row, len(own) if whole else n, np.frombuffer(bits, np.uint64), own))
+            yield found()
             links.clear()
         close()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+        yield found()
 
-    dealt = units.repartition(shuffle_partitions(spark), "grp", "b0", "b1").sortWithinPartitions("grp", "b0", "b1")
+    dealt = units.repartition(shuffle_partitions(units.sparkSession), *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _forest(members: DataFrame, payload: list[DataFrame], percent: int, cost: str | None = None) -> DataFrame:
+    """(a, b): a spanning forest of the links within every group of members (grp, doc_id[, cost]).
+
+    payload: tables that give (doc_id, n_shingles, bits[, text]).
+    """
+    share = F.greatest(F.count("*") / BLOCK_ROWS, F.sum(cost or F.lit(0)) / BLOCK_SHINGLES)
+    sizes = members.groupBy("grp").agg(F.count("*").alias("k"), F.ceil(share).cast("int").alias("blocks")).where("k > 1")
+    few = F.ceil(F.col("k") / HUBS)
+    placed = members.select("grp", "doc_id").join(sizes, "grp").withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), "hub": (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(3)), few) == 0)})
+    for part in payload:
+        placed = placed.join(part, "doc_id")
+    placed = save(placed.drop("k"), "members")
+    kept = ["n_shingles", "bits", *(["text"] if "text" in placed.columns else [])]
+    own = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = placed.select("grp", F.explode(own).alias("block"), "doc_id", F.lit(False).alias("outside"), F.col("doc_id").alias("label"), *kept)
+    links = save(_units(first, ["grp", "block"], percent), "links")
+    cut = placed.where("blocks > 1")
+    if cut.isEmpty():
+        discard(placed)
+        return links
+    labels = connected_components(links).withColumnRenamed("node", "doc_id")
+    tagged = cut.select("grp", "doc_id").join(labels, "doc_id", "left").select("grp", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    tagged = save(tagged.distinct(), "labelled")
+    parts = tagged.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    rest = parts.groupBy("grp").agg(F.max_by("label", "n").alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    rest = rest.select("grp", "most", F.ceil(F.col("others") / BLOCK_ROWS).cast("int").alias("lots"))
+    left = cut.join(tagged, ["grp", "doc_id"]).join(rest, "grp").withColumn("other", F.col("label") != F.col("most"))
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("lots")).cast("int")
+    inner = left.select("grp", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "doc_id", F.lit(False).alias("outside"), "label", *kept)
+    outer = left.where("other").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), lot.alias("lot"), "doc_id", F.lit(True).alias("outside"), "label", *kept)
+    more = save(_units(inner.union(outer), ["grp", "block", "lot"], percent), "links")
+    discard(placed, tagged)
+    return links.union(more)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
     Documents are linked where 100 * shingles in both >= percent * shingles in either.
     """
     signed = save(sign(docs), "signatures")
-    classes = signed.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "bits"), "doc_id").alias("r")).select("digest", "r.*")
+    worded = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    classes = signed.where(worded).groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "bits"), "doc_id").alias("r")).select("digest", "r.*")
     classes = save(classes, "classes")
-    keys = classes.select(F.explode("bands").alias("key"), "doc_id")
-    stars = save(keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub"), "stars")
-    edges = keys.join(stars, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    groups = connected_components(edges)
-    groups = save(groups.join(classes.select(F.col("doc_id").alias("node"), "bits", "n_shingles"), "node").select(F.col("node").alias("doc_id"), F.col("label").alias("grp"), "bits", "n_shingles"), "groups")
-    links = _verify_groups(groups, docs, percent)
+    sized = classes.select("doc_id", "n_shingles", "bits")
+    near = _forest(classes.select(F.explode("bands").alias("grp"), "doc_id"), [sized], percent)
+    groups = connected_components(near).select(F.col("node").alias("doc_id"), F.col("label").alias("grp"))
+    members = save(groups.join(sized.select("doc_id", "n_shingles"), "doc_id"), "groups")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    links = _forest(members, [sized, text], percent, "n_shingles")
     labels = connected_components(links).select(F.col("node").alias("rep"), "label")
     named = classes.select("digest", F.col("doc_id").alias("rep")).join(labels, "rep", "left")
     named = save(named.select("digest", F.coalesce("label", "rep").alias("component_id")), "named")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = signed.where(worded).select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
+    alone = signed.where(~worded).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
