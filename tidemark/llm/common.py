@@ -63,9 +63,14 @@ def discard(*saved: DataFrame) -> None:
         _delete(df.sparkSession, df.saved_at)
 
 
-def drop_saved(spark: SparkSession, keep: DataFrame | None = None) -> int:
-    """Delete every table that this process has saved, but for `keep`, when no result needs them."""
-    gone = [path for path in _SAVED if keep is None or path != keep.saved_at]
+def saved() -> frozenset[str]:
+    """The places of the tables that this process has saved and not deleted."""
+    return frozenset(_SAVED)
+
+
+def drop_saved(spark: SparkSession, keep: DataFrame | None = None, since: frozenset[str] = frozenset()) -> int:
+    """Delete the tables that this process has saved, but for `keep` and those that were there in `since`."""
+    gone = [path for path in _SAVED if path not in since and (keep is None or path != keep.saved_at)]
     for path in gone:
         _delete(spark, path)
     return len(gone)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_extract, interpolated_lm, mixing, near_dedup, quality, token_binary, toxicity, url_filter, va_search
-from tidemark.llm.common import table
+from tidemark.llm.common import save, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -42,9 +42,10 @@ def dated_list(seen: DataFrame) -> DataFrame:
     first path parts, dated by a hash, besides the fixed ones."""
     number = lambda c: F.conv(F.substring(F.md5(c.cast("binary")), 1, 8), 16, 10).cast("long")
     h, first = url_filter.host(F.col("url")), F.regexp_extract("url", r"://[^/?#\s]*/([^/?#\s]+)", 1)
-    hosts = seen.select(F.lit("hosts").alias("list_id"), F.lit("host").alias("kind"), h.alias("value")).where("value is not null").distinct()
-    parts = seen.select(F.lit("parts").alias("list_id"), F.lit("prefix").alias("kind"), F.when(first != "", F.lower(F.concat(h, F.lit("/"), first))).alias("value")).where("value is not null").distinct()
-    found = hosts.union(parts).withColumn("x", number(F.col("value"))).where("x % if(kind = 'host', 5, 7) = 0")
+    entry = lambda list_id, kind, value: F.struct(F.lit(list_id).alias("list_id"), F.lit(kind).alias("kind"), value.alias("value"))
+    prefix = F.when(F.col("first") != "", F.lower(F.concat("h", F.lit("/"), "first")))
+    read = seen.select(h.alias("h"), first.alias("first")).select(F.inline(F.array(entry("hosts", "host", F.col("h")), entry("parts", "prefix", prefix))))
+    found = save(read.where("value is not null").withColumn("x", number(F.col("value"))).where("x % if(kind = 'host', 5, 7) = 0").distinct(), "list")
     day = lambda plus: F.expr(f"timestamp '2024-01-01 00:00:00' + make_dt_interval(CAST(x % 300 AS INT) + {plus})")
     log = [found.withColumns({"action": F.lit("add"), "at": day(0)}), found.where("x % 2 = 0").withColumns({"action": F.lit("remove"), "at": day(45)}), found.where("x % 6 = 0").withColumns({"action": F.lit("add"), "at": day(90)})]
     fixed = seen.sparkSession.createDataFrame(LIST, "list_id string, kind string, value string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))

@@ -9,14 +9,15 @@ intervals of the same kind and value, and those that were active then decide.
 Kinds: `host` (the exact host), `domain` (the host or any name below it), `prefix` (host and
 leading path segments, written host/path).
 
-Scale: captures are reduced to distinct (url, fetch time) before keys are made. The join on keys is
-spread over SALTS, with each interval copied to every salt, so a key that most captures share (a
-top-level domain, a host with a third of all pages) is no hot group; Spark broadcasts the
-intervals instead if they are small. Only captures that meet an active entry are joined back.
+Scale: a capture's keys are made as it is read, and only as deep as the list's deepest domain and
+prefix, so a URL of thousands of segments costs no more than its length. Spark broadcasts the list
+or the verdict if they are small and sorts and merges otherwise; a key or capture that a third of
+all rows share makes a skewed partition, which adaptive execution splits. A group that is gathered
+is one capture's active entries, pre-aggregated before the shuffle.
 
 Defined results: a null or unreadable URL, or a null fetch time, meets nothing and is allowed; of
 entries of one list, kind and value with the same time the `remove` counts; a repeated `add`
-changes nothing; entries with a null in list_id, kind, value, action or at, or another action, are
+changes nothing; a repeated list entry counts once; entries with a null in list_id, kind, value, action or at, or another action, are
 ignored; repeated captures get the same result each; empty tables give empty results; extra
 columns of captures are kept unless they are named like a result column.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 32
+from tidemark.llm.common import fresh, save
 
 
 def host(url: Column) -> Column:
@@ -54,30 +55,38 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.where("on").select("list_id", "kind", "value", F.col("at").alias("valid_from"), "valid_to")
 
 
-def url_keys(url: Column) -> Column:
-    """All (kind, value) under which a list entry can hold for a URL; null if it has no host."""
+def url_keys(url: Column, labels: int, segments: int) -> Column:
+    """All (kind, value) under which a list entry can hold for a URL; null if it has no host.
+
+    Domains have at most `labels` labels, prefixes at most `segments` path segments (none if negative).
+    """
     h = host(url)
-    labels = F.split(h, r"\.")
-    count = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(labels, i, count), "."))
-    parts = F.filter(F.split(path(url), "/"), lambda p: p != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.concat(F.array(h), F.slice(parts, 1, i)), "/"))
+    names = F.split(h, r"\.")
+    parts = F.slice(F.filter(F.split(path(url), "/"), lambda p: p != ""), 1, max(segments, 0))
     key = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-    keys = F.concat(F.array(key("host", h)), F.transform(domains, lambda v: key("domain", v)), F.transform(prefixes, lambda v: key("prefix", F.lower(v))))
-    return F.when(h.isNotNull(), keys)
+    keys = [F.array(key("host", h))]
+    if labels > 0:
+        from_last = F.sequence(F.lit(1), F.least(F.size(names), F.lit(labels)))
+        keys += [F.transform(from_last, lambda i: key("domain", F.array_join(F.slice(names, -i, i), ".")))]
+    if segments >= 0:
+        keys += [F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: key("prefix", F.lower(F.array_join(F.concat(F.array(h), F.slice(parts, 1, i)), "/"))))]
+    return F.when(h.isNotNull(), F.concat(*keys))
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at", salts: int = SALTS) -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """captures and the columns blocked boolean, n_entries long, lists (ids of the lists that hold)."""
-    active = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    seen = captures.select(F.col(url).alias("u"), F.col(fetched).cast("timestamp").alias("f")).where("u is not null and f is not null").distinct()
-    keyed = seen.withColumn("salt", F.pmod(F.xxhash64("u", "f"), F.lit(salts)).cast("int")).withColumn("key", F.explode(url_keys(F.col("u"))))
-    keyed = keyed.select("u", "f", "salt", F.col("key.kind").alias("kind"), F.col("key.value").alias("value"))
-    held = keyed.join(active, ["kind", "value", "salt"]).where("valid_from <= f and (valid_to is null or f < valid_to)")
-    verdict = held.groupBy("u", "f").agg(F.count("*").alias("n_entries"), F.sort_array(F.collect_set("list_id")).alias("lists"))
-    verdict = verdict.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = captures.drop("blocked", "n_entries", "lists").withColumns({"__u": F.col(url), "__f": F.col(fetched).cast("timestamp"), "__salt": F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")})
-    right = verdict.select(F.col("u").alias("__u"), F.col("f").alias("__f"), F.col("salt").alias("__salt"), "n_entries", "lists")
-    out = left.join(right, ["__u", "__f", "__salt"], "left").drop("__u", "__f", "__salt")
+    active = save(intervals(entries), "intervals")
+    depth = lambda kind, mark: F.max(F.when(F.col("kind") == kind, F.size(F.split("value", mark))))
+    labels, segments = active.agg(depth("domain", r"\."), depth("prefix", "/")).first()
+    own = captures.drop("blocked", "n_entries", "lists")
+    names = fresh(own.columns, "u", "f")
+    u, f = names["u"], names["f"]
+    left = own.withColumns({u: F.col(url), f: F.col(fetched).cast("timestamp")})
+    seen = left.select(u, f).where(F.col(u).isNotNull() & F.col(f).isNotNull())
+    keyed = seen.withColumn("key", F.explode(url_keys(F.col(u), labels or 0, (segments or 0) - 1))).select(u, f, "key.kind", "key.value")
+    held = keyed.join(active, ["kind", "value"]).where((F.col("valid_from") <= F.col(f)) & (F.col("valid_to").isNull() | (F.col(f) < F.col("valid_to"))))
+    verdict = held.groupBy(u, f).agg(F.collect_set(F.struct("list_id", "kind", "value")).alias("found"))
+    verdict = verdict.select(u, f, F.size("found").cast("long").alias("n_entries"), F.array_sort(F.array_distinct("found.list_id")).alias("lists"))
+    out = left.join(verdict, [u, f], "left").drop(u, f)
     empty = F.array().cast(out.schema["lists"].dataType)
     return out.withColumns({"blocked": F.col("n_entries").isNotNull(), "n_entries": F.coalesce("n_entries", F.lit(0).cast("long")), "lists": F.coalesce("lists", empty)})
