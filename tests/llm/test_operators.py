@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_extract, interpolated_lm, mixing, near_dedup, quality, queries, token_binary, toxicity, url_filter, va_search, varint
+from tidemark.llm import common, decontaminate, html_extract, interpolated_lm, mixing, near_dedup, quality, queries, token_binary, toxicity, url_filter, va_search, varint
 from tidemark.llm.common import drop_saved, save, table
 from tidemark.llm.components import connected_components
 
@@ -71,6 +71,18 @@ def test_url_filter_intervals_and_keys(spark):
     assert url_filter.filter_captures(seen, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_long_urls_clashing_names_and_repeats(spark):
+    log = [("a", "domain", "bad.org", "add", "2024-01-02"), ("b", "prefix", "y.net/p/q", "add", "2024-01-01"), ("b", "prefix", "y.net/p/q", "add", "2024-01-01"), ("c", "host", "x.y.bad.org", "add", "2024-01-01")]
+    entries = spark.createDataFrame(log, "list_id string, kind string, value string, action string, at string")
+    deep, wide = "http://y.net/p/q" + "/s" * 20000, "http://" + "w." * 20000 + "bad.org/"
+    rows = [(deep, 1), (wide, 2), ("http://x.y.bad.org", 3), ("http://x.y.bad.org", 3), (None, 4)]
+    seen = spark.createDataFrame([(i, u, "2024-03-01", i, i, i) for u, i in rows], "i int, url string, fetched_at string, __u int, __f int, salt int")
+    out = url_filter.filter_captures(seen, entries)
+    got = sorted((r["i"], r["n_entries"], r["lists"], r["__u"], r["__f"], r["salt"]) for r in out.collect())
+    assert got == [(1, 1, ["b"], 1, 1, 1), (2, 1, ["a"], 2, 2, 2), *[(3, 2, ["a", "c"], 3, 3, 3)] * 2, (4, 0, [], 4, 4, 4)]
+    assert not any("Python" in line or "Arrow" in line for line in out._jdf.queryExecution().toString().splitlines())
+
+
 # ---------------------------------------------------------------- 2 toxicity
 
 
@@ -96,6 +108,45 @@ def test_nnpu_risk_stays_non_negative_in_training():
     assert w[0] > 1 > 0 > w[1] and np.isfinite(w).all()
 
 
+def test_nnpu_risk_is_the_stated_one():
+    """The gradient of the first step is that of the risk, taken by differences."""
+    pos, unl = toxicity.Sparse([np.array([0], np.uint32), np.array([0, 1], np.uint32)], 2), toxicity.Sparse([np.array([1], np.uint32), np.array([], np.uint32), np.array([0], np.uint32)], 2)
+    x = lambda s: np.array([s.dot(np.eye(2)[k]) for k in range(2)]).T
+
+    def risk(w):
+        fp, fu = x(pos) @ w[:2] + w[2], x(unl) @ w[:2] + w[2]
+        loss = lambda z: np.logaddexp(0, z).mean()
+        return 0.3 * loss(-fp) + max(0.0, loss(fu) - 0.3 * loss(fp))
+
+    start = np.array([0.0, 0.0, np.log(0.3 / 0.7)])
+    slope = np.array([(risk(start + d) - risk(start - d)) / 2e-5 for d in 1e-5 * np.eye(3)])
+    step = toxicity.fit_nnpu(pos, unl, 0.3, (np.ones(2), np.ones(3)), rounds=1, rate=1.0, decay=0.0) - start
+    assert np.allclose(step[:2], -np.sign(slope[:2]), atol=1e-4)  # the first step of its optimiser goes by the sign
+    assert risk(toxicity.fit_nnpu(pos, unl, 0.3, (np.ones(2), np.ones(3)), rounds=50)) < risk(start)
+
+
+@pytest.mark.parametrize(("operator", "column", "least"), [(toxicity, "toxic", 0.95), (quality, "quality", 0.95)])
+def test_held_out_accuracy_on_the_tables(spark, operator, column, least):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    scored = operator.score_documents(docs, labels).where("held_out")
+    pairs = scored.join(labels.where(f"{column} is not null").select("doc_id", column), "doc_id").select("predicted", column).collect()
+    assert len(pairs) > 500 and np.mean([p == t for p, t in pairs]) >= least
+
+
+@pytest.mark.parametrize("operator", [toxicity, quality])
+def test_classifiers_with_repeated_ids_and_very_long_texts(spark, operator):
+    rng = np.random.default_rng(21)
+    rows = [(1, "vile " + random_text(rng, 30))] * 400 + [(2, "VILE!! " * 20000), (3, random_text(rng, 20000))] + [(10 + i, random_text(rng, 40) if i % 2 else "VILE!! vile " + random_text(rng, 4)) for i in range(80)]
+    docs = docs_of(spark, rows)
+    column = "toxic" if operator is toxicity else "quality"
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 1), (3, 0)] + [(10 + i, int(i % 2 == 0)) for i in range(80)], f"doc_id long, {column} int")
+    chosen = common.one_text_each(docs, common.first_ids(common.training_labels(labels, column), 3))
+    assert chosen.count() == 3
+    got = operator.score_documents(docs, labels).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and all(0 <= r["score"] <= 1 for r in got)
+    assert operator.score_documents(docs.limit(0), labels).count() == 0
+
+
 # ---------------------------------------------------------------- 3 token output
 
 
@@ -305,16 +356,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
-def test_units_of_blocks_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("edits", [2, 9, 30])
+def test_blocks_lose_no_link(spark, monkeypatch, edits):
+    """One large group: of near copies of one another (2), in parts (9), of scattered texts (30)."""
     rng = np.random.default_rng(7)
     base = random_text(rng, 150).split()
     rows = []
-    for k in range(40):
+    for k in range(60):
         w = list(base)
-        for at in rng.integers(0, len(w), int(rng.integers(0, 9))):
+        for at in rng.integers(0, len(w), int(rng.integers(0, edits))):
             w[at] = f"edit{k}x{at}"
         rows.append((k, " ".join(w)))
-    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1000)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
     got = near_dedup.near_duplicates(docs_of(spark, rows), 85)
     assert sorted([tuple(r) for r in got.collect()], key=str) == plain_components(rows, 85)
 
@@ -347,6 +400,20 @@ def test_quality_ranks_held_out_documents(spark):
     assert {r["score"] for r in ones} == {1.0}
 
 
+def test_all_pairs_take_part_in_the_ranking(monkeypatch):
+    rng = np.random.default_rng(22)
+    good, bad, w = rng.normal(size=(23, 4)) + 0.4, rng.normal(size=(17, 4)), rng.normal(size=4)
+    monkeypatch.setattr(quality, "PAIR_ROWS", 5)
+    d = np.array([g - b for g in good for b in bad])
+    p = 1 / (1 + np.exp(d @ w))
+    loss, g, h = quality.pair_sums(good, bad, w)
+    assert np.isclose(loss, np.log1p(np.exp(-d @ w)).mean()) and np.allclose(g, -(d * p[:, None]).mean(axis=0))
+    assert np.allclose(h, (d * (p * (1 - p))[:, None]).T @ d / len(d))
+    best = quality.fit_ranking(good, bad)
+    value = lambda w: quality.pair_sums(good, bad, w)[0] + 5e-4 * w @ w
+    assert all(value(best) <= value(best + 1e-3 * e) for e in (*np.eye(4), *-np.eye(4)))
+
+
 # ---------------------------------------------------------------- 9 vectors
 
 
