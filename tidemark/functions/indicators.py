@@ -8,9 +8,11 @@ from __future__ import annotations
 
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.bars import by_time
 
@@ -56,24 +58,31 @@ def regime_flags(frame: DataFrame, lookback: int = 180, level: float = 0.75) ->
     return two.withColumn("regime_range", F.when((F.col("regime_stress") == 0) & (F.col("regime_trend") == 0), 1.0).otherwise(0.0))
 
 
-def relative_strength(frame: DataFrame, period: int = 14, price: str = "pri_close", name: str = "rsi") -> DataFrame:
-    """Wilder's index; NULL until `period` moves are there and wherever the mean loss is 0.
+def relative_strengths(frame: DataFrame, periods: dict[str, int], price: str = "pri_close") -> DataFrame:
+    """Adds Wilder's index for several periods (name: period); NULL until `period` moves are there and
+    wherever the mean loss is 0.
 
-    The smoothing is a true recursion, so a symbol's bars go through one grouped call. A series has
-    one row a bar, so its size is set by the time it spans, not by the number of ticks.
+    The smoothing is a true recursion, so a symbol's bars go through one grouped call, which passes the
+    other columns on as they are. A series has one row a bar, so its size is set by the time it spans,
+    not by the number of ticks.
     """
 
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        move = rows[price].diff()
-        mean = lambda x: x.ewm(alpha=1.0 / period, adjust=False, min_periods=period).mean()
-        gain, loss = mean(move.clip(lower=0.0)), mean(-move.clip(upper=0.0))
-        value = (100.0 - 100.0 / (1.0 + gain / loss.where(loss != 0.0))).clip(0.0, 100.0)
-        return pd.DataFrame({"symbol": rows["symbol"], "ts": rows["ts"], name: value.astype(object).where(value.notna(), None)})
-
-    kind = frame.schema["ts"].dataType.simpleString()
-    values = frame.select("symbol", "ts", price).groupBy("symbol").applyInPandas(smooth, f"symbol string, ts {kind}, `{name}` double")
-    return frame.join(values, ["symbol", "ts"], "left")
+    def smooth(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("ts")
+        move = pd.Series(rows.column(price).to_numpy(zero_copy_only=False)).astype(float).diff()
+        for name, period in periods.items():
+            mean = lambda x: x.ewm(alpha=1.0 / period, adjust=False, min_periods=period).mean()  # noqa: B023, E731
+            gain, loss = mean(move.clip(lower=0.0)), mean(-move.clip(upper=0.0))
+            value = (100.0 - 100.0 / (1.0 + gain / loss.where(loss != 0.0))).clip(0.0, 100.0)
+            rows = rows.append_column(name, pa.array(value, pa.float64(), from_pandas=True))
+        return rows
+
+    kept = frame.drop(*periods)
+    return kept.groupBy("symbol").applyInArrow(smooth, T.StructType([*kept.schema.fields, *(T.StructField(n, T.DoubleType()) for n in periods)]))
+
+
+def relative_strength(frame: DataFrame, period: int = 14, price: str = "pri_close", name: str = "rsi") -> DataFrame:
+    return relative_strengths(frame, {name: period}, price)
 
 
 def rsi_features(frame: DataFrame, lower: float = 30.0, upper: float = 70.0) -> DataFrame:

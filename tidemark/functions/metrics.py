@@ -33,10 +33,20 @@ def ece_bin(p: Column, bins: int = 10) -> Column:
     return F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int")
 
 
+def ece(p: Column, y: Column, bins: int = 10) -> Column:
+    """An aggregate: the gaps of summed outcomes and probabilities of each bin over the number of rows."""
+    gap, at = y - p, ece_bin(p, bins)
+    return sum((F.abs(F.coalesce(F.sum(F.when(at == b, gap)), F.lit(0.0))) for b in range(1, bins)), F.abs(F.coalesce(F.sum(F.when(at == 0, gap)), F.lit(0.0)))) / F.count(p)
+
+
+def accuracy(p: Column, y: Column) -> Column:
+    """An aggregate: the share of rows whose side of one half was right."""
+    return F.avg(((p >= 0.5).cast("int") == y.cast("int")).cast("double"))
+
+
 def calibration_error(rows: DataFrame, keys: list[str], p: str, y: str, bins: int = 10) -> DataFrame:
     """(keys, ece): the weighted gap of mean outcome and mean probability over bins."""
-    binned = rows.groupBy(*keys, ece_bin(F.col(p), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mp"), F.avg(y).alias("my"))
-    return binned.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("my") - F.col("mp"))) / F.sum("n")).alias("ece"))
+    return rows.groupBy(*keys).agg(ece(F.col(p), F.col(y), bins).alias("ece"))
 
 
 def auc(rows: DataFrame, keys: list[str], p: str, y: str) -> DataFrame:

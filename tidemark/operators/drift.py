@@ -20,10 +20,10 @@ def cusum(pred: DataFrame, keys: list[str], window: int = 180, slack: float = 0.
     n = F.count("*").over(W.partitionBy(*keys))
     size = F.least(F.greatest(F.lit(60), F.lit(window)).cast("long"), F.greatest(F.lit(60).cast("long"), F.floor(n / 3)))
     rows = pred.withColumns({"__rn": F.row_number().over(w), "__size": size}).withColumn("calibrating", F.col("__rn") <= F.col("__size"))
-    calm = rows.where("calibrating")
-    mid = calm.groupBy(*keys).agg(*[F.percentile(m, 0.5).alias(f"__med_{m}") for m in metrics], *[F.stddev_pop(m).alias(f"__sd_{m}") for m in metrics])
-    mad = calm.join(F.broadcast(mid), keys).groupBy(*keys).agg(*[F.percentile(F.abs(F.col(m) - F.col(f"__med_{m}")), 0.5).alias(f"__mad_{m}") for m in metrics])
-    scaled = rows.join(F.broadcast(mid.join(mad, keys)), keys)
+    whole = W.partitionBy(*keys)
+    calm = lambda x: F.when(F.col("calibrating"), x)
+    mid = rows.withColumns({**{f"__med_{m}": F.percentile(calm(F.col(m)), 0.5).over(whole) for m in metrics}, **{f"__sd_{m}": F.stddev_pop(calm(F.col(m))).over(whole) for m in metrics}})
+    scaled = mid.withColumns({f"__mad_{m}": F.percentile(calm(F.abs(F.col(m) - F.col(f"__med_{m}"))), 0.5).over(whole) for m in metrics})
     z = [F.greatest(F.lit(-6.0), F.least(F.lit(6.0), (F.col(m) - F.col(f"__med_{m}")) / F.greatest(1.4826 * F.col(f"__mad_{m}"), 0.1 * F.col(f"__sd_{m}"), F.lit(1e-6)))) for m in metrics]
     quality = F.when(F.col("calibrating"), 0.0).otherwise(sum(z[1:], z[0]) / float(len(z)))
     run = w.rowsBetween(W.unboundedPreceding, 0)

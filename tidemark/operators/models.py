@@ -176,17 +176,17 @@ def make_model(kind: str, signals: int, setting: dict) -> Linear | Spline | Boos
 
 
 def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: increasing values at the sorted probabilities."""
-    order = np.argsort(p, kind="stable")
+    """Pool adjacent violators: rising values at the distinct sorted probabilities; equal ones count as one."""
+    xs, of, count = np.unique(p, return_inverse=True, return_counts=True)
     value, weight, size = [], [], []
-    for v in y[order]:
-        value.append(float(v)), weight.append(1.0), size.append(1)
+    for v, n in zip(np.bincount(of, y) / count, count):
+        value.append(float(v)), weight.append(float(n)), size.append(1)
         while len(value) > 1 and value[-2] >= value[-1]:
             v2, w2, s2 = value.pop(), weight.pop(), size.pop()
             value[-1] = (value[-1] * weight[-1] + v2 * w2) / (weight[-1] + w2)
             weight[-1] += w2
             size[-1] += s2
-    return p[order], np.repeat(value, size)
+    return xs, np.repeat(value, size)
 
 
 def calibrate(method: str, p: np.ndarray, y: np.ndarray):
@@ -207,11 +207,11 @@ def offset_newton(p0: np.ndarray, x: np.ndarray, y: np.ndarray, ridge: float = 1
     return np.linalg.solve((d * w[:, None]).T @ d + np.diag([0.0, *np.full(x.shape[1], ridge)]), d.T @ (y - p0))
 
 
-def matched_folds(rows: DataFrame, keys: list[str], base: list[str], signal: list[str], target: str, kind: str = "linear", setting: dict | None = None, method: str = "none", least_train: int = 120, least_test: int = 20) -> DataFrame:
+def matched_folds(rows: DataFrame, keys: list[str], base: list[str], signal: list[str], target: str, kind: str = "linear", setting: dict | None = None, least_train: int = 120, least_test: int = 20) -> DataFrame:
     """Candidate and benchmark probabilities of the test rows of each group.
 
     rows has ts, part (train or test), the columns and the target; both models see the same rows.
-    Groups with too few rows give none.
+    Groups with too few rows give none. `matched_tasks` has calibrated models.
     """
     types, setting = dict(rows.dtypes), setting or {}
 
@@ -222,12 +222,9 @@ def matched_folds(rows: DataFrame, keys: list[str], base: list[str], signal: lis
             none = pdf.iloc[:0]
             return pd.DataFrame({**{c: none[c] for c in [*keys, "ts"]}, "benchmark_probability": np.zeros(0), "candidate_probability": np.zeros(0)})
         y, out = train[target].to_numpy(float), {}
-        held = max(60, int(0.2 * len(train))) if method != "none" else 0
         for name, cols in (("benchmark", base), ("candidate", [*base, *signal])):
-            x = train[cols].to_numpy(float)
-            model = make_model(kind, len(cols) - len(base), setting).fit(x[: len(x) - held], y[: len(y) - held])
-            fix = calibrate(method, model.predict(x[len(x) - held :]), y[len(y) - held :]) if held else (lambda q: q)
-            out[f"{name}_probability"] = fix(model.predict(test[cols].to_numpy(float)))
+            model = make_model(kind, len(cols) - len(base), setting).fit(train[cols].to_numpy(float), y)
+            out[f"{name}_probability"] = model.predict(test[cols].to_numpy(float))
         return pd.DataFrame({**{k: test[k] for k in keys}, "ts": test["ts"], **out})
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", ts {rows.schema['ts'].dataType.simpleString()}, benchmark_probability double, candidate_probability double"
@@ -295,31 +292,38 @@ def parse_setting(kind: str, text: str) -> dict:
     return {"c": part["c"], **({"knots": int(part["k"])} if "k" in part else {})}
 
 
-def offset_screens(rows: DataFrame, keys: list[str], spec: str, base: list[str], columns: list[str], target: str) -> DataFrame:
-    """(keys, spec, incremental_log_loss, ...) of one-step screens on a benchmark's logit."""
-    types, fitted = dict(rows.dtypes), {}
+def offset_screens(rows: DataFrame, keys: list[str], specs: list[str], scores: str, base: list[str], states: list[str], target: str) -> DataFrame:
+    """(keys, spec_id, n_test, incremental_log_loss, ...): one-step screens of every specification in a fold.
 
-    def benchmark(x: np.ndarray, y: np.ndarray) -> Linear:
-        """One fit for all specifications of a task that see the same rows."""
-        key = (x.tobytes(), y.tobytes())
-        if key not in fitted:
-            fitted.clear()
-            fitted[key] = Linear().fit(x, y)
-        return fitted[key]
+    scores: an array column in the order of specs. A specification adds its score and the products
+    with the states to the benchmark's logit. All see the rows that are complete in every score, so
+    the benchmark is fitted once and its losses can be compared. A fold is one grouped task.
+    """
+    types = dict(rows.dtypes)
+    names = ["n_test", "incremental_log_loss", "candidate_brier", "benchmark_brier"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[*base, *columns, target]).sort_values("ts")
-        train, test = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
-        if len(train) < 120 or len(test) < 20 or train[target].nunique() < 2:
-            none = pdf.iloc[:0]
-            return pd.DataFrame({**{c: none[c] for c in [*keys, spec]}, "n_test": np.zeros(0, np.int64), **{c: np.zeros(0) for c in ("incremental_log_loss", "candidate_brier", "benchmark_brier")}})
-        y, t = train[target].to_numpy(float), test[target].to_numpy(float)
-        model, scale = benchmark(train[base].to_numpy(float), y), Scaler(train[columns].to_numpy(float))
-        p0, q0 = model.predict(train[base].to_numpy(float)), model.predict(test[base].to_numpy(float))
-        b = offset_newton(p0, scale(train[columns].to_numpy(float)), y)
-        q1 = sigmoid(logit(q0) + b[0] + scale(test[columns].to_numpy(float)) @ b[1:])
+        pdf = pdf.sort_values("ts")
+        every = np.array([[np.nan if v is None else v for v in row] for row in pdf[scores]], float).reshape(len(pdf), len(specs))
+        facts = pdf[[*base, *states, target]].to_numpy(float)
+        ok = np.isfinite(every).all(axis=1) & np.isfinite(facts).all(axis=1)
+        train, test = ok & (pdf["part"] == "train").to_numpy(), ok & (pdf["part"] == "test").to_numpy()
+        y, t = facts[train, -1], facts[test, -1]
+        if len(y) < 120 or len(t) < 20 or len(np.unique(y)) < 2:
+            return pd.DataFrame({**{k: pdf[k].iloc[:0] for k in keys}, "spec_id": np.zeros(0, object), "n_test": np.zeros(0, np.int64), **{c: np.zeros(0) for c in names[1:]}})
+        x, state = facts[:, : len(base) + len(states)], facts[:, len(base) : len(base) + len(states)]
+        model, found = Linear().fit(x[train], y), []
+        p0, q0 = model.predict(x[train]), model.predict(x[test])
         loss = lambda q: -(t * np.log(np.clip(q, 1e-9, 1)) + (1 - t) * np.log(np.clip(1 - q, 1e-9, 1))).mean()
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, spec]}, "n_test": [len(test)], "incremental_log_loss": [loss(q0) - loss(q1)], "candidate_brier": [((q1 - t) ** 2).mean()], "benchmark_brier": [((q0 - t) ** 2).mean()]})
-
-    schema = ", ".join(f"`{k}` {types[k]}" for k in [*keys, spec]) + ", n_test long, incremental_log_loss double, candidate_brier double, benchmark_brier double"
-    return rows.groupBy(*keys, spec).applyInPandas(one, schema)
+        for k, spec in enumerate(specs):
+            cols = every[:, [k]] * np.column_stack([np.ones(len(every)), state])
+            scale = Scaler(cols[train])
+            b = offset_newton(p0, scale(cols[train]), y)
+            q1 = sigmoid(logit(q0) + b[0] + scale(cols[test]) @ b[1:])
+            found.append((spec, len(t), loss(q0) - loss(q1), ((q1 - t) ** 2).mean(), ((q0 - t) ** 2).mean()))
+        out = pd.DataFrame(found, columns=["spec_id", *names])
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "spec_id", *names]]
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", spec_id string, n_test long, incremental_log_loss double, candidate_brier double, benchmark_brier double"
+    wanted = list(dict.fromkeys([*keys, "ts", "part", *base, *states, target, scores]))
+    return rows.select(*wanted).groupBy(*keys).applyInPandas(one, schema)

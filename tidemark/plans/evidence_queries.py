@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
+from tidemark.functions.indicators import flag, full, relative_strengths
 from tidemark.operators import drift, gates, grids, inference, policy, selectors, splits, summaries
 from tidemark.plans import inputs as N
 from tidemark.plans.oracle import BARS, MATCHED, OUTER, PREDICTIONS, r6, sql
+from tidemark.sources.bars import by_time
+from tidemark.sources.saved import save
 
 KEYS = N.PRED_KEYS
 
@@ -19,8 +21,8 @@ def _literal(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names}))"
 
 
-def _folds(n: int, k: int, gap: int) -> list[tuple]:
-    return [tuple(f.values()) for f in splits.expanding_folds(n, k, gap)]
+#: Five folds with a gap of six rows over the panel's own number of bars.
+_FOLDS = "(SELECT fold, 0 AS train_start, s - 7 AS train_end, s AS test_start, CASE WHEN fold = 5 THEN n - 1 ELSE s + n // 6 - 1 END AS test_end FROM (SELECT k AS fold, n, n - (6 - k) * (n // 6) AS s FROM (SELECT count(*) AS n FROM panel), (SELECT unnest([1, 2, 3, 4, 5]) AS k)))"
 
 
 def _nested_sql() -> str:
@@ -38,21 +40,45 @@ specs AS (SELECT family, p AS period, CAST(lo AS DOUBLE) AS lower, CAST(hi AS DO
 
 
 def scores(s, d):
-    """Every signal specification's score at every bar: 4 + 4 frames and indexes, not 84."""
-    from tidemark.functions.indicators import full, relative_strength
+    """Every signal specification's score and event at every bar: 4 + 4 frames and indexes, not 84.
 
+    Events are crossings of the specification's own thresholds or bands: 1 from below the lower one, -1
+    above the upper one; continuation turns the sign of a contrarian one, continuous ones have none.
+    """
     p = N.panel(s, d).select("symbol", "ts", "pri_close")
-    c = F.col("pri_close")
+    c, w = F.col("pri_close"), by_time()
     for n in grids.BB_PERIODS:
         p = p.withColumns({f"m{n}": full(F.avg(c), c, n), f"s{n}": full(F.stddev_pop(c), c, n)})
-    for n in grids.RSI_PERIODS:
-        p = relative_strength(p, n, name=f"rsi{n}")
-    rsi = F.array(*[F.struct(F.lit("rsi").alias("family"), F.lit(n).alias("period"), F.lit(None).cast("double").alias("width"), ((F.col(f"rsi{n}") - 50.0) / 50.0).alias("raw")) for n in grids.RSI_PERIODS])
-    bb = F.array(*[F.struct(F.lit("bollinger").alias("family"), F.lit(n).alias("period"), F.lit(k).alias("width"), ((c - (F.col(f"m{n}") - k * F.col(f"s{n}"))) / F.nullif(2 * k * F.col(f"s{n}"), F.lit(0.0)) - 0.5).alias("raw")) for n in grids.BB_PERIODS for k in grids.BB_WIDTHS])
-    long = p.select("symbol", "ts", F.inline(F.concat(rsi, bb)))
-    spec = grids.signal_specs(s).select("spec_id", "family", "period", F.col("width").alias("w"), "mode")
-    joined = long.join(F.broadcast(spec), ["family", "period"]).where(F.col("width").eqNullSafe(F.col("w")))
-    return joined.select("symbol", "ts", "spec_id", F.when(F.col("mode") == "contrarian", -F.col("raw")).otherwise(F.col("raw")).alias("score"))
+    p = relative_strengths(p, {f"rsi{n}": n for n in grids.RSI_PERIODS})
+    entry = lambda family, n, k, raw, value, event: F.struct(F.lit(family).alias("family"), F.lit(n).alias("period"), F.lit(k).cast("double").alias("w"), raw.alias("raw"), value.alias("value"), F.lag(value).over(w).alias("was"), event.alias("crossing"))
+    rsi = [entry("rsi", n, None, (F.col(f"rsi{n}") - 50.0) / 50.0, F.col(f"rsi{n}"), F.lit(None).cast("double")) for n in grids.RSI_PERIODS]
+    bb = []
+    for n in grids.BB_PERIODS:
+        for k in grids.BB_WIDTHS:
+            low, up = F.col(f"m{n}") - k * F.col(f"s{n}"), F.col(f"m{n}") + k * F.col(f"s{n}")
+            was = lambda x: F.lag(x).over(w)
+            crossing = flag((c < low) & (was(c) >= was(low))) - flag((c > up) & (was(c) <= was(up)))
+            bb.append(entry("bollinger", n, k, (c - low) / F.nullif(2 * k * F.col(f"s{n}"), F.lit(0.0)) - 0.5, c, crossing))
+    long = p.select("symbol", "ts", F.array(*rsi, *bb).alias("every")).select("symbol", "ts", F.inline("every"))
+    joined = long.join(F.broadcast(grids.signal_specs(s).drop("ordinal")), ["family", "period"]).where(F.col("width").eqNullSafe(F.col("w")))
+    v, was, low, up = (F.col(x) for x in ("value", "was", "lower", "upper"))
+    event = F.coalesce("crossing", flag((v < low) & (was >= low)) - flag((v > up) & (was <= up)))
+    sign = lambda a, b, other: F.when(F.col("mode") == "contrarian", a).when(F.col("mode") == "continuation", b).otherwise(other)
+    return joined.select("symbol", "ts", "spec_id", sign(-F.col("raw"), F.col("raw"), F.col("raw")).alias("score"), sign(event, -event, F.lit(0.0)).alias("event"))
+
+
+def _spec_scores_sql() -> str:
+    bands = " UNION ALL ".join(f"SELECT {n} AS p, rn, c, CASE WHEN rn >= {n} THEN avg(c) OVER (ORDER BY rn ROWS {n - 1} PRECEDING) END AS mid, CASE WHEN rn >= {n} THEN stddev_pop(c) OVER (ORDER BY rn ROWS {n - 1} PRECEDING) END AS sd FROM m" for n in grids.BB_PERIODS)
+    one = lambda test: f"CASE WHEN coalesce({test}, false) THEN 1.0 ELSE 0.0 END"
+    chain = f"""{BARS}, {SPECS_SQL.strip()[5:]},
+m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts) AS rn, pri_close AS c, pri_close - lag(pri_close) OVER (ORDER BY ts) AS move FROM panel),
+ew4 AS (SELECT p, rn, greatest(move, 0.0) AS g, greatest(-move, 0.0) AS l FROM m, (SELECT unnest({list(grids.RSI_PERIODS)}) AS p) WHERE rn = 2 UNION ALL SELECT p, m.rn, g + (greatest(m.move, 0.0) - g) / p, l + (greatest(-m.move, 0.0) - l) / p FROM ew4 JOIN m ON m.rn = ew4.rn + 1),
+rs AS (SELECT *, lag(v) OVER (PARTITION BY p ORDER BY rn) AS was FROM (SELECT p, rn, CASE WHEN rn > p THEN greatest(0.0, least(100.0, 100.0 - 100.0 / (1.0 + g / nullif(l, 0.0)))) END AS v FROM ew4)),
+bw AS (SELECT *, mid + k * sd AS up, mid - k * sd AS lo FROM ({bands}), (SELECT CAST(unnest({list(grids.BB_WIDTHS)}) AS DOUBLE) AS k)),
+be AS (SELECT p, k, (c - lo) / nullif(2 * k * sd, 0.0) - 0.5 AS raw, {one('c < lo AND lag(c) OVER w >= lag(lo) OVER w')} - {one('c > up AND lag(c) OVER w <= lag(up) OVER w')} AS e FROM bw WINDOW w AS (PARTITION BY p, k ORDER BY rn)),
+every AS (SELECT spec_id, mode, (v - 50.0) / 50.0 AS raw, {one('v < lower AND was >= lower')} - {one('v > upper AND was <= upper')} AS e FROM specs JOIN rs ON family = 'rsi' AND period = p UNION ALL SELECT spec_id, mode, raw, e FROM specs JOIN be ON family = 'bollinger' AND period = p AND width = k),
+s AS (SELECT spec_id, CASE WHEN mode = 'contrarian' THEN -raw ELSE raw END AS score, CASE mode WHEN 'contrarian' THEN e WHEN 'continuation' THEN -e ELSE 0 END AS event FROM every)"""
+    return sql(chain, f"SELECT spec_id, n, {r6('mean_score', 'least', 'most')}, long_events, short_events FROM (SELECT spec_id, count(score) AS n, avg(score) AS mean_score, min(score) AS least, max(score) AS most, count(*) FILTER (event > 0) AS long_events, count(*) FILTER (event < 0) AS short_events FROM s GROUP BY spec_id)")
 
 
 def inner_rows(s, d):
@@ -116,14 +142,14 @@ _FAILS = "concat_ws('|', " + ", ".join(f"CASE WHEN NOT ({e}) THEN '{n}' END" for
 
 
 def fold_assignment(s, d):
-    """Folds planned over all of the panel's bars; its SQL twin still plans a literal 690."""
-    panel = N.panel(s, d).select("symbol", "ts").persist()
+    """Folds planned over all of the panel's bars."""
+    panel = save(N.panel(s, d).select("symbol", "ts"), "panel")
     return splits.assign(panel, splits.fold_table(s, panel.count(), 5, 6)).groupBy("fold", "part").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def rolling_edge(s, d):
-    """The window follows a signal's own number of rows; its SQL twin holds the 34 rows of 690."""
-    p = N.predictions(s, d).persist()
+    """The window follows the greatest number of rows of a signal."""
+    p = save(N.predictions(s, d).select("signal", "ts", "incremental_net_edge"), "predictions")
     n = p.groupBy("signal").count().agg(F.max("count")).first()[0] or 0
     return N.out(summaries.rolling_edge(p, ["signal"], "incremental_net_edge", n).select("signal", "ts", "rolling_incremental_net_edge"))
 
@@ -136,7 +162,7 @@ ENTRIES = {
     "spl_nested_plan": (lambda s, d: splits.nested_plan(s, 9852), _nested_sql()),
     "joi_fold_assignment": (
         fold_assignment,
-        sql(BARS, f"SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN rn <= train_end THEN 'train' WHEN rn < test_start THEN 'purge' ELSE 'test' END AS part, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn FROM panel) JOIN {_literal(_folds(690, 5, 6), 'fold, train_start, train_end, purge_start, purge_end, test_start, test_end')} ON rn BETWEEN train_start AND test_end GROUP BY 1, 2"),
+        sql(BARS, f"SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN rn <= train_end THEN 'train' WHEN rn < test_start THEN 'purge' ELSE 'test' END AS part, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn FROM panel) JOIN {_FOLDS} ON rn BETWEEN train_start AND test_end GROUP BY 1, 2"),
     ),
     "spl_calibration": (lambda s, d: splits.calibration_split(N.panel(s, d).select("symbol", "ts"), 6).groupBy("part").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts")), sql(BARS, "SELECT CASE WHEN back <= size THEN 'calibrate' WHEN back <= size + 6 THEN 'purge' ELSE 'fit' END AS part, count(*) AS rows, min(ts) AS first_ts FROM (SELECT ts, row_number() OVER (ORDER BY ts DESC) AS back, greatest(60, floor(count(*) OVER () * 0.2)) AS size FROM panel) GROUP BY 1")),
     "grid_signal_specs": (lambda s, d: grids.signal_specs(s).drop("ordinal"), SPECS_SQL + "SELECT * FROM specs"),
@@ -149,8 +175,8 @@ ENTRIES = {
     "grid_structural": (lambda s, d: grids.structures(s).groupBy("model", "window", "regime_conditioned").agg(F.count("*").alias("n"), F.min("complexity_rank").alias("first_rank")), "WITH m AS (SELECT unnest(['linear', 'linear', 'linear', 'spline', 'spline', 'spline', 'spline', 'boosting', 'boosting', 'boosting', 'boosting', 'boosting', 'boosting', 'boosting', 'boosting']) AS model, unnest(generate_series(0, 14)) AS i), g AS (SELECT model, \"window\", r = 1 AS regime_conditioned, i * 6 + w * 2 + r + 1 AS rank FROM m, (SELECT unnest(['expanding', 'rolling_1y', 'rolling_2y']) AS \"window\", unnest([0, 1, 2]) AS w), (SELECT unnest([0, 1]) AS r)) SELECT model, \"window\", regime_conditioned, count(*) AS n, CAST(min(rank) AS INTEGER) AS first_rank FROM g GROUP BY ALL"),
     "grid_policies": (lambda s, d: grids.policies(s), f"SELECT policy, CAST(threshold AS DOUBLE) AS threshold FROM {_literal([('always_on', 0.0), ('threshold_0.02', 0.02), ('threshold_0.05', 0.05), ('threshold_0.1', 0.1)], 'policy, threshold')}"),
     "win_spec_scores": (
-        lambda s, d: N.out(scores(s, d).groupBy("spec_id").agg(F.count("score").alias("n"), F.avg("score").alias("mean_score"), F.min("score").alias("least"), F.max("score").alias("most"))),
-        None,
+        lambda s, d: N.out(scores(s, d).groupBy("spec_id").agg(F.count("score").alias("n"), F.avg("score").alias("mean_score"), F.min("score").alias("least"), F.max("score").alias("most"), F.count_if(F.col("event") > 0).alias("long_events"), F.count_if(F.col("event") < 0).alias("short_events"))),
+        _spec_scores_sql(),
     ),
     "prd_predictions": (lambda s, d: N.out(N.predictions(s, d).select("signal", "fold", "ts", "regime", "candidate_probability", "benchmark_probability", "target_up")), sql(PREDICTIONS, f"SELECT signal, fold, ts, regime, {r6('candidate_probability', 'benchmark_probability')}, target_up FROM pred")),
     "met_loss_brier": (
@@ -206,7 +232,7 @@ SELECT *, abs(candidate_probability - 0.5) > threshold AS active, CASE WHEN abs(
         sql(PREDICTIONS, f"SELECT signal, component, mode, count, {r6('share')}, CASE WHEN share >= 0.8 THEN 'STABLE' WHEN share >= 0.6 THEN 'MODERATELY_STABLE' ELSE 'DIFFUSE' END AS stability FROM (SELECT *, count / sum(count) OVER (PARTITION BY signal, component) AS share, row_number() OVER (PARTITION BY signal, component ORDER BY count DESC, mode) AS k FROM (SELECT signal, component, mode, count(*) AS count FROM (SELECT signal, unnest(['regime', 'fold', 'target_up']) AS component, unnest([regime, CAST(fold AS VARCHAR), CAST(target_up AS VARCHAR)]) AS mode FROM pred) GROUP BY ALL)) WHERE k = 1"),
     ),
     "win_cumulative": (lambda s, d: N.out(summaries.cumulative(N.predictions(s, d), ["signal"], "signal_net_return").select("signal", "ts", "cumulative_signal_net_return")), sql(PREDICTIONS, f"SELECT signal, ts, {r6('cumulative_signal_net_return')} FROM (SELECT signal, ts, sum(signal_net_return) OVER (PARTITION BY signal ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cumulative_signal_net_return FROM pred)")),
-    "win_rolling_edge": (rolling_edge, sql(PREDICTIONS, f"SELECT signal, ts, {r6('rolling_incremental_net_edge')} FROM (SELECT signal, ts, CASE WHEN count(*) OVER w >= 15 THEN avg(incremental_net_edge) OVER w END AS rolling_incremental_net_edge FROM pred WINDOW w AS (PARTITION BY signal ORDER BY ts ROWS 33 PRECEDING))")),
+    "win_rolling_edge": (rolling_edge, sql(PREDICTIONS, f"SELECT signal, ts, {r6('rolling_incremental_net_edge')} FROM (SELECT signal, ts, CASE WHEN rk >= greatest(15, size // 3) THEN (total - CASE WHEN rn > size THEN lag(total, CAST(size AS INTEGER)) OVER (PARTITION BY signal ORDER BY ts) ELSE 0 END) / rk END AS rolling_incremental_net_edge FROM (SELECT signal, ts, size, rn, least(rn, size) AS rk, sum(incremental_net_edge) OVER (PARTITION BY signal ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY ts) AS rn FROM pred), (SELECT least(180, greatest(30, max(n) // 20)) AS size FROM (SELECT count(*) AS n FROM pred GROUP BY signal))))")),
     "lim_evenly_spaced": (lambda s, d: selectors.evenly_spaced(N.index(s, d).select("symbol", "ts"), ["symbol"], 100), sql(BARS, "SELECT symbol, ts FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars) WHERE i IN (SELECT CAST(floor(k * (n - 1) / 99) AS BIGINT) FROM (SELECT unnest(generate_series(0, 99)) AS k))")),
     "lim_latest": (lambda s, d: N.out(N.predictions(s, d).groupBy("signal").agg(F.max_by(F.struct("ts", "candidate_probability", "regime"), "ts").alias("x")).select("signal", "x.*")), sql(PREDICTIONS, f"SELECT signal, ts, {r6('candidate_probability')}, regime FROM pred QUALIFY row_number() OVER (PARTITION BY signal ORDER BY ts DESC) = 1")),
     "inf_newey_west": (

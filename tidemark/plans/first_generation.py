@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as I
 from tidemark.operators import checks, drift, gates, inference, models, policy, splits, states, summaries
 from tidemark.sources import bars as B
+from tidemark.sources.saved import save
 
 SIGNALS = {"rsi": ("rsi_event_position", I.RSI), "bollinger": ("bb_event_position", I.BOLLINGER), "combined": ("bridge_event_position", I.COMBINED)}
 
@@ -43,7 +44,9 @@ def event_table(frame: DataFrame, config: Config) -> DataFrame:
 def predictions(frame: DataFrame, config: Config) -> DataFrame:
     """Matched probabilities of every signal's test rows, with losses, positions, returns and the latent
     regime: each fold's state model is fitted on its training rows and filtered onto its test rows."""
-    rows = I.complete_rows(frame, [*I.COMBINED, "future_return"]).persist()
+    rows = save(I.complete_rows(frame, [*I.COMBINED, "future_return"]), "rows")
+    if rows.select("symbol").distinct().count() > 1:
+        raise ValueError("one primary symbol a run")
     folds = splits.fold_table(frame.sparkSession, rows.count(), config.folds, config.horizon)
     parts = splits.assign(rows, folds)
     out = None
@@ -81,9 +84,10 @@ def verdicts(pred: DataFrame, config: Config) -> DataFrame:
 
 def run(panel: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
     """All tables of one run."""
-    frame = I.feature_frame(panel, horizon=config.horizon).persist()
+    frame = I.feature_frame(panel, horizon=config.horizon)
+    frame = save(frame, "features")
     checks.require_rows(I.complete_rows(frame, [*I.COMBINED, "future_return"]), config.least_rows, "feature table")
-    pred = predictions(frame, config).persist()
+    pred = save(predictions(frame, config), "predictions")
     return {"events": event_table(frame, config), "predictions": pred, "folds": pred.groupBy("signal", "fold").agg(F.count("*").alias("n"), F.avg("incremental_log_loss").alias("gain"), F.avg("incremental_net_edge").alias("edge")), "regimes": regimes(pred), "verdicts": verdicts(pred, config)}
 
 

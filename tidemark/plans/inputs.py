@@ -59,9 +59,6 @@ def outer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per signal, horizon and fold, as the admission gates read them; horizons are
     shifted copies, so that gates see contexts that pass and contexts that do not."""
     m = matched(spark, sf_dir)
-    base = m.groupBy(F.col("signal").alias("signal_family"), F.col("fold").alias("outer_fold")).agg(F.avg("incremental_log_loss").alias("incremental_log_loss"), F.avg("candidate_sq").alias("candidate_brier"), F.avg("benchmark_sq").alias("benchmark_brier"), F.avg(F.col("candidate_active").cast("double")).alias("policy_coverage"), F.count_if("candidate_active").alias("policy_nonzero_decisions"), F.coalesce(F.avg(F.when(F.col("candidate_active"), F.col("candidate_net_return"))), F.lit(0.0)).alias("policy_mean_net_edge"))
-    for n in ("candidate", "benchmark"):
-        e = metrics.calibration_error(m.select("signal", "fold", f"{n}_probability", "target_up"), PRED_KEYS, f"{n}_probability", "target_up")
-        base = base.join(e.select(F.col("signal").alias("signal_family"), F.col("fold").alias("outer_fold"), F.col("ece").alias(f"{n}_ece")), ["signal_family", "outer_fold"])
+    base = m.groupBy(F.col("signal").alias("signal_family"), F.col("fold").alias("outer_fold")).agg(F.avg("incremental_log_loss").alias("incremental_log_loss"), F.avg("candidate_sq").alias("candidate_brier"), F.avg("benchmark_sq").alias("benchmark_brier"), F.avg(F.col("candidate_active").cast("double")).alias("policy_coverage"), F.count_if("candidate_active").alias("policy_nonzero_decisions"), F.coalesce(F.avg(F.when(F.col("candidate_active"), F.col("candidate_net_return"))), F.lit(0.0)).alias("policy_mean_net_edge"), *[metrics.ece(F.col(f"{n}_probability"), F.col("target_up")).alias(f"{n}_ece") for n in ("candidate", "benchmark")])
     h = F.explode(F.array(*[F.lit(k) for k in splits.HORIZONS]))
     return base.withColumn("horizon", h).withColumn("incremental_log_loss", F.col("incremental_log_loss") - 0.001 * F.col("horizon"))

@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import inference, models, splits, states
+from tidemark.operators import inference, splits, states
 from tidemark.plans import evidence_queries, first_generation, second_generation
 from tidemark.plans import inputs as N
-
-NEED = [*I.COMBINED, "future_return"]
-
-
-def _frame(s, d):
-    return I.complete_rows(N.features(s, d), NEED)
+from tidemark.sources.saved import save
 
 
 def _with_states(s, d):
@@ -22,13 +17,14 @@ def _with_states(s, d):
 
 def _nested_frame(s, d):
     """Complete rows for the nested job, their number, and the targets of every horizon."""
-    rows = I.complete_rows(N.features(s, d), [*dict.fromkeys([*second_generation.BASE, *states.INPUTS])]).persist()
+    rows = I.complete_rows(N.features(s, d), [*dict.fromkeys([*second_generation.BASE, *states.INPUTS])])
+    rows = save(rows, "rows")
     return rows, rows.count(), I.horizon_targets(N.panel(s, d))
 
 
 def screen(s, d):
     rows, n, targets = _nested_frame(s, d)
-    return N.out(second_generation.screen(second_generation.fold_rows(rows, targets, splits.nested_plan(s, n)).persist(), evidence_queries.scores(s, d).persist()))
+    return N.out(second_generation.screen(second_generation.fold_rows(rows, targets, splits.nested_plan(s, n)), evidence_queries.scores(s, d)))
 
 
 def selection(s, d):
@@ -36,23 +32,25 @@ def selection(s, d):
     return N.out(second_generation.nested_selection(rows, targets, evidence_queries.scores(s, d), n)["outer"])
 
 
-def structures(s, d):
+def _three_folds(s, d):
+    """Rows of three folds of one horizon, with one score."""
     rows, n, targets = _nested_frame(s, d)
     plan = splits.fold_table(s, n, 3, 1).select(F.lit(1).alias("horizon"), F.lit(1).alias("outer_fold"), F.col("fold").alias("inner_fold"), (F.col("train_end") + 1).alias("n_train"), "test_start", "test_end")
     score = rows.select("symbol", "ts", F.col("bb_reversal_score").alias("score"))
-    folds = second_generation.scored_rows(second_generation.fold_rows(rows, targets, plan), score)
-    pred = second_generation.structures(folds, second_generation.structure_tasks(s), second_generation.FOLD).persist()
+    return second_generation.scored_rows(second_generation.fold_rows(rows, targets, plan), score)
+
+
+def structures(s, d):
+    pred = save(second_generation.structures(_three_folds(s, d), second_generation.structure_tasks(s), second_generation.FOLD), "pred")
     return N.out(second_generation.fold_results(pred.withColumnRenamed("inner_fold", "fold"), ["pipeline_id", "fold"]))
 
 
 def calibrations(s, d):
-    rows = _frame(s, d).persist()
-    parts = splits.assign(rows, splits.fold_table(s, rows.count(), 3, 1))
-    out = None
-    for method in ("none", "sigmoid", "isotonic"):
-        p = models.matched_folds(parts.withColumn("method", F.lit(method)), ["method", "fold"], second_generation.BASE, ["rsi_reversal_score"], "target_up", "linear", {}, method)
-        out = p if out is None else out.unionByName(p)
-    return N.out(out.groupBy("method", "fold").agg(F.count("*").alias("n"), F.avg("candidate_probability").alias("mean_candidate"), F.avg("benchmark_probability").alias("mean_benchmark")))
+    """The simplest structure under every calibration, each fitted ahead of a gap before its calibration rows."""
+    first = second_generation.structure_tasks(s).orderBy("complexity_rank").limit(1)
+    tasks = first.withColumn("method", F.explode(F.array(*[F.lit(m) for m in ("none", "sigmoid", "isotonic")])))
+    out = second_generation.structures(_three_folds(s, d), tasks, second_generation.FOLD)
+    return N.out(out.groupBy("method", F.col("inner_fold").alias("fold")).agg(F.count("*").alias("n"), F.avg("candidate_probability").alias("mean_candidate"), F.avg("benchmark_probability").alias("mean_benchmark"), F.avg("incremental_log_loss").alias("incremental_log_loss")))
 
 
 def state_parameters(s, d):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
 from tidemark.operators import gates, grids, inference, models, policy, selectors, splits, states, summaries
+from tidemark.sources.saved import save
 
 STATE_COLUMNS = ["state_p_range", "state_p_trend", "state_p_stress"]
 CROSSED = [f"score_x_{s}" for s in states.STATES]
@@ -45,9 +46,14 @@ def scored_rows(rows: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def screen(rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """Every signal specification's one-step screen on every inner fold."""
-    wide = scored_rows(rows.where("inner_fold > 0"), scores)
-    return models.offset_screens(wide, FOLD, "spec_id", [*BASE, *STATE_COLUMNS], ["score", *CROSSED], "target_up")
+    """Every signal specification's one-step screen on every inner fold, on rows complete in all of them.
+
+    A fold is one task: its rows carry an array of all scores, in the order of the specifications.
+    """
+    specs = [r["spec_id"] for r in grids.signal_specs(rows.sparkSession).select("spec_id").distinct().orderBy("spec_id").collect()]
+    wide = scores.groupBy("symbol", "ts").agg(F.map_from_entries(F.collect_list(F.struct("spec_id", "score"))).alias("m"))
+    wide = wide.select("symbol", "ts", F.array(*[F.col("m")[k] for k in specs]).alias("scores"))
+    return models.offset_screens(rows.where("inner_fold > 0").join(wide, ["symbol", "ts"]), FOLD, specs, "scores", BASE, STATE_COLUMNS, "target_up")
 
 
 def structure_tasks(spark) -> DataFrame:
@@ -62,10 +68,12 @@ def structures(rows: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:
 
 def fold_results(pred: DataFrame, keys: list[str]) -> DataFrame:
     """Per pipeline and fold: gain, Brier scores, calibration errors."""
-    base = pred.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("incremental_log_loss").alias("incremental_log_loss"), F.avg("candidate_sq").alias("candidate_brier"), F.avg("benchmark_sq").alias("benchmark_brier"))
-    for n in ("candidate", "benchmark"):
-        base = base.join(M.calibration_error(pred, keys, f"{n}_probability", "target_up").withColumnRenamed("ece", f"{n}_ece"), keys)
-    return base
+    return pred.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.avg("incremental_log_loss").alias("incremental_log_loss"),
+        *[F.avg(f"{n}_sq").alias(f"{n}_brier") for n in ("candidate", "benchmark")],
+        *[M.ece(F.col(f"{n}_probability"), F.col("target_up")).alias(f"{n}_ece") for n in ("candidate", "benchmark")],
+    )
 
 
 def pipeline_hash(payload: dict) -> str:
@@ -115,11 +123,6 @@ def locked_evidence(pred: DataFrame, keys: list[str], threshold: float = 0.05, b
     return row.withColumns({"predictive_gate": predictive, "calibration_gate": calibrated, "economic_gate": economic}).withColumn("evidence_grade", gates.evidence_grade(c("predictive_gate"), c("calibration_gate"), c("economic_gate")))
 
 
-def held(df: DataFrame) -> DataFrame:
-    """The result computed now and its plan cut off; plans of all stages in one would grow past analysis."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def nested_selection(frame: DataFrame, targets: DataFrame, scores: DataFrame, n: int, horizons: tuple[int, ...] = splits.HORIZONS, outer: int = 5, inner: int = 3) -> dict[str, DataFrame]:
     """Per horizon, outer fold and family: signal, structure, calibration and threshold chosen on the
     inner folds, evaluated on the outer fold, and the admission that follows. n: rows of frame.
@@ -128,35 +131,35 @@ def nested_selection(frame: DataFrame, targets: DataFrame, scores: DataFrame, n:
     """
     spark, context = frame.sparkSession, ["horizon", "outer_fold", "signal_family"]
     keys = [*context, "inner_fold"]
-    rows, scores = held(fold_rows(frame, targets, splits.nested_plan(spark, n, horizons, outer, inner))), held(scores)
+    rows, scores = save(fold_rows(frame, targets, splits.nested_plan(spark, n, horizons, outer, inner)), "folds"), save(scores, "scores")
     family = F.element_at(F.split("spec_id", "-"), 1).alias("signal_family")
-    inner_rows = held(screen(rows, scores).select("horizon", "outer_fold", family, F.col("spec_id").alias("signal_spec_id"), "inner_fold", "incremental_log_loss", "candidate_brier", "benchmark_brier"))
-    signals = held(selectors.screening(inner_rows, context))
-    chosen = held(scored_rows(rows.join(F.broadcast(signals.select(*context, F.col("signal_spec_id").alias("spec_id"))), ["horizon", "outer_fold"]), scores.withColumnRenamed("spec_id", "__s")).where("spec_id = __s").drop("__s"))
+    inner_rows = save(screen(rows, scores).select("horizon", "outer_fold", family, F.col("spec_id").alias("signal_spec_id"), "inner_fold", "incremental_log_loss", "candidate_brier", "benchmark_brier"), "inner_rows")
+    signals = save(selectors.screening(inner_rows, context), "signals")
+    chosen = save(scored_rows(rows.join(F.broadcast(signals.select(*context, F.col("signal_spec_id").alias("spec_id"))), ["horizon", "outer_fold"]), scores.withColumnRenamed("spec_id", "__s")).where("spec_id = __s").drop("__s"), "chosen")
     within = chosen.where("inner_fold > 0")
 
-    grid = held(structure_tasks(spark))
-    pred = held(structures(within, grid, keys))
-    structural = held(fold_results(pred, [*keys, "pipeline_id"]).join(F.broadcast(grid.select("pipeline_id", "complexity_rank")), "pipeline_id"))
-    pipelines = held(selectors.structural(structural, context, ece=0.01))
+    grid = save(structure_tasks(spark), "grid")
+    pred = save(structures(within, grid, keys), "pred")
+    structural = save(fold_results(pred, [*keys, "pipeline_id"]).join(F.broadcast(grid.select("pipeline_id", "complexity_rank")), "pipeline_id"), "structural")
+    pipelines = save(selectors.structural(structural, context, ece=0.01), "pipelines")
 
     picked = pipelines.select(*context, "pipeline_id").join(F.broadcast(grid.drop("method")), "pipeline_id")
     methods = picked.withColumn("method", F.explode(F.array(*[F.lit(m) for m in ("none", "sigmoid", "isotonic")])))
-    cal_pred = held(structures(within, methods, keys))
-    calibrations = held(fold_results(cal_pred, [*keys, "method"]).withColumnRenamed("method", "calibration_method").withColumn("eligible_for_selection", F.col("calibration_method") != "isotonic"))
+    cal_pred = save(structures(within, methods, keys), "cal_pred")
+    calibrations = save(fold_results(cal_pred, [*keys, "method"]).withColumnRenamed("method", "calibration_method").withColumn("eligible_for_selection", F.col("calibration_method") != "isotonic"), "calibrations")
     # A method that a short fold could not hold out rows for is not compared on fewer folds than the others.
     folds = F.count("*").over(W.partitionBy(*context, "calibration_method"))
     complete = calibrations.withColumn("__n", folds).withColumn("__m", F.max("__n").over(W.partitionBy(*context))).where("__n = __m").drop("__n", "__m")
-    fixed = held(selectors.calibration(complete, context))
+    fixed = save(selectors.calibration(complete, context), "fixed")
 
     method = fixed.select(*context, F.col("calibration_method").alias("method"))
     thresholds, cost = grids.policies(spark).select("threshold"), spark.createDataFrame([(10.0,)], "bps double")
-    policies = held(policy.policy_metrics(cal_pred.join(F.broadcast(method), [*context, "method"]), keys, thresholds, cost))
-    limits = held(selectors.abstention(policies, context))
+    policies = save(policy.policy_metrics(cal_pred.join(F.broadcast(method), [*context, "method"]), keys, thresholds, cost), "policies")
+    limits = save(selectors.abstention(policies, context), "limits")
 
-    final = held(structures(chosen.where("inner_fold = 0"), picked.join(F.broadcast(method), context), context))
+    final = save(structures(chosen.where("inner_fold = 0"), picked.join(F.broadcast(method), context), context), "final")
     names = signals.select(*context, "signal_spec_id").join(pipelines.select(*context, "pipeline_id"), context).join(fixed.select(*context, "calibration_method"), context).join(limits.select(*context, "threshold"), context)
     used = policy.policy_metrics(final, context, thresholds, cost).select(*context, "threshold", *[F.col(c).alias(f"policy_{c}") for c in ("coverage", "nonzero_decisions", "mean_net_edge")])
-    evaluated = held(fold_results(final, context).join(names, context).join(used, [*context, "threshold"]))
+    evaluated = save(fold_results(final, context).join(names, context).join(used, [*context, "threshold"]), "evaluated")
     admitted = gates.admission(evaluated)
     return {"inner": inner_rows, "selected": signals, "structural": structural, "pipelines": pipelines, "calibrations": calibrations, "calibrated": fixed, "policies": policies, "thresholds": limits, "outer": evaluated, "admission": admitted, "decisions": selectors.family_horizon(admitted)}

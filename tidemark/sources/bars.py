@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 OHLCV = ("open", "high", "low", "close", "volume")
 KEYS = ("date", "datetime", "timestamp")
+PLACE = "__place"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +25,20 @@ def by_time(symbol: str = "symbol", ts: str = "ts") -> W:
 
 
 def read_ohlcv_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A bar file with a header; every column as text, for `standardize`."""
-    return spark.read.option("header", True).csv(path)
+    """A bar file with a header; every column as text, and each row's place in the file, for `standardize`."""
+    rows = spark.read.option("header", True).csv(path)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.select("*", place.alias(PLACE))
 
 
 def standardize(rows: DataFrame, order: Column | None = None) -> DataFrame:
     """(ts, open, high, low, close, volume) of raw bar rows.
 
     Names are trimmed and their case ignored; the first of date, datetime, timestamp is the key.
-    Rows with an unreadable key go, then all but the last row of a key (by `order`, or by all
-    values), then rows with an unreadable or missing number. A repeated key whose last row is bad
-    therefore loses its bar.
+    Rows with an unreadable key go, then all but the last row of a key (by `order`, or by its place in
+    the file where that was read), then rows with an unreadable or missing number. A repeated key whose
+    last row is bad therefore loses its bar. A table has no order of its own: without either, repeated
+    keys are refused.
     """
     names = {c.strip().lower(): c for c in rows.columns}
     key = next((names[k] for k in KEYS if k in names), None)
@@ -43,9 +47,11 @@ def standardize(rows: DataFrame, order: Column | None = None) -> DataFrame:
         raise ValueError(f"bar table lacks {missing or 'a time column'}")
     number = [F.col(f"`{names[c]}`").cast("string").try_cast("double").alias(c) for c in OHLCV]
     ts = F.try_to_timestamp(F.col(f"`{key}`").cast("string")).alias("ts")
-    rank = order if order is not None else F.struct(*[F.col(f"`{c}`").cast("string") for c in rows.columns])
+    rank = order if order is not None else F.col(PLACE) if PLACE in rows.columns else F.lit(0)
     last = rows.select(ts, rank.alias("__order"), F.struct(*number).alias("v")).where("ts is not null")
-    last = last.groupBy("ts").agg(F.max_by("v", "__order").alias("v")).select("ts", "v.*")
+    known = order is not None or PLACE in rows.columns
+    kept = F.max_by("v", "__order") if known else F.when(F.count("*") == 1, F.first("v")).otherwise(F.raise_error(F.lit("repeated keys need an order")).cast(last.schema["v"].dataType))
+    last = last.groupBy("ts").agg(kept.alias("v")).select("ts", "v.*")
     return last.replace(float("nan"), None).na.drop()
 
 
