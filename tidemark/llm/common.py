@@ -2,78 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one the cluster names in spark.checkpoint.dir. Where that is unset on one machine
-    (a local master, as in tests) a new temporary folder is made, once per session; on a cluster
-    that raises, since executors could not read what others wrote there.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("tidemark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-_SAVED: dict[str, None] = {}
-
-
-def save(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread of the files, not a recomputation. The
-    shuffle files behind the table are of no more use then, so Spark is told to delete them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _SAVED[path] = None
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.saved_at = path
-    return back
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _SAVED.pop(path, None)
-
-
-def discard(*saved: DataFrame) -> None:
-    """Delete saved tables that nothing will read again."""
-    for df in saved:
-        _delete(df.sparkSession, df.saved_at)
-
-
-def saved() -> frozenset[str]:
-    """The places of the tables that this process has saved and not deleted."""
-    return frozenset(_SAVED)
-
-
-def drop_saved(spark: SparkSession, keep: DataFrame | None = None, since: frozenset[str] = frozenset()) -> int:
-    """Delete the tables that this process has saved, but for `keep` and those that were there in `since`."""
-    gone = [path for path in _SAVED if path not in since and (keep is None or path != keep.saved_at)]
-    for path in gone:
-        _delete(spark, path)
-    return len(gone)
+from tidemark.sources.saved import discard, drop_saved, save, saved, shared_dir  # noqa: F401  (used by the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
