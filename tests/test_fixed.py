@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics
-from tidemark.operators import models
+from tidemark.operators import gates, inference, models, policy, summaries
+from tidemark.plans import locked_evidence
 from tidemark.sources import bars, saved
 
 
@@ -78,3 +79,58 @@ def test_saved_tables_need_a_shared_folder(spark):
     saved.discard(kept)
     with pytest.raises(Exception):
         spark.read.parquet(kept.saved_at)
+
+
+def test_survival_is_the_normal_tail(spark):
+    z = [0.0, 0.5, -0.5, 1.84748, 3.0, -6.0, 8.5, 40.0, float("inf"), float("-inf")]
+    got = [r[1] for r in spark.createDataFrame([(i, v) for i, v in enumerate(z)], "i int, z double").select("i", inference.survival(F.col("z"))).orderBy("i").collect()]
+    assert np.allclose(got, [inference.normal_survival(v) for v in z], atol=1e-12)
+
+
+def test_the_recorded_test_of_the_locked_period(spark):
+    """A mean of 0.002108928 with a standard error of 0.0011415 has p 0.0323; with one untested hypothesis 0.0647."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=2318)
+    x = (x - x.mean()) / x.std() * 0.0011415 * np.sqrt(2318) + 0.002108928
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "signal string, ts int, g double")
+    r = inference.predictive_test(df, ["signal"], "g", 0, ("other",)).first()
+    assert abs(r["statistic"] - 1.84748) < 1e-3 and abs(r["p_value"] - 0.032339) < 1e-4 and abs(r["p_holm"] - 0.064677) < 2e-4
+    flat = inference.predictive_test(df.withColumn("g", F.lit(0.0)), ["signal"], "g", 0).first()
+    assert flat["statistic"] == float("-inf") and flat["p_value"] == 1.0
+
+
+def test_evidence_and_robustness_of_clear_cases(spark):
+    """A candidate that knows the outcome passes all but what is set against it; a worse one fails."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(900):
+        side = 1 if i // 4 % 2 else -1
+        up = int((i % 4 != 3) == (side == 1))  # right three times in four
+        good = 0.5 + side * (0.25 + 0.01 * (i // 8 % 3 - 1))
+        for signal, p in (("good", good), ("bad", 1 - good)):
+            rows.append((signal, 1, f"2024-{1 + i // 75:02d}-{1 + i % 28:02d} {i // 28 % 24:02d}:{i % 60:02d}:00", float(p), 0.5 + 0.02 * float(rng.normal()), (2 * up - 1) * 0.01 + float(rng.normal()) * 0.001, up, f"P{1 + i // 300}", "stress" if i % 4 == 0 else "range"))
+    df = spark.createDataFrame(rows, "signal string, fold int, ts string, candidate_probability double, benchmark_probability double, future_return double, target_up int, subperiod string, regime string").withColumn("ts", F.col("ts").cast("timestamp"))
+    pred = saved.save(summaries.scored(df), "pred")
+    matched = saved.save(policy.matched_returns(pred, ["signal", "fold"], 0.05), "matched")
+    evidence = saved.save(locked_evidence.locked_evidence(matched, ["signal"], 0, (), 500), "evidence")
+    got = {r["signal"]: r for r in evidence.collect()}
+    assert got["good"]["predictive_gate"] and got["good"]["determination"] == gates.DETERMINATIONS[2]
+    assert not got["bad"]["predictive_gate"] and got["bad"]["evidence_grade"] == gates.NO_EVIDENCE
+    picks = spark.createDataFrame([("good", "linear", f"s{i % 5}") for i in range(5)] + [("bad", "linear", "s1")] * 5, "signal string, model_family string, signal_spec_id string")
+    m = saved.save(locked_evidence.robustness_matrix(pred, matched, evidence, picks, ["signal"], ["signal", "fold"], 0.05), "matrix")
+    table = {(r["signal"], r["diagnostic"]): r["status"] for r in m.collect()}
+    assert len(table) == 30 and table["good", "development_exact_signal_specification_stability"] == "CAUTION"
+    assert {v for (s, d), v in table.items() if s == "good" and "specification" not in d} == {"PASS"}
+    assert table["bad", "confirmatory_multiplicity"] == "FAIL" and table["bad", "development_exact_signal_specification_stability"] == "PASS"
+    classes = {r["signal"]: r["robustness_class"] for r in gates.diagnostic_class(m, ["signal"]).collect()}
+    assert classes == {"good": gates.ROBUSTNESS[1], "bad": gates.ROBUSTNESS[0]}
+
+
+def test_guards_refuse(spark):
+    states = spark.createDataFrame([(0.5, 0.3, 0.2, "range"), (0.5, 0.3, 0.1, "range")], "state_p_range double, state_p_trend double, state_p_stress double, state_label string")
+    assert locked_evidence.require_state_sums(states.limit(1)).count() == 1
+    with pytest.raises(ValueError):
+        locked_evidence.require_state_sums(states)
+    plan = spark.createDataFrame([("outer", 1, 1, 0, 5), ("outer", 1, 1, 0, 6)], "level string, horizon int, outer_fold int, inner_fold int, n_train int")
+    for wanted in ([("outer", 1, 1, 0)], [("outer", 1, 2, 0)]):
+        with pytest.raises(ValueError):
+            locked_evidence.fold_lookup(plan, spark.createDataFrame(wanted, "level string, horizon int, outer_fold int, inner_fold int"))

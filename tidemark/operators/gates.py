@@ -26,9 +26,14 @@ def family_summary(outer: DataFrame, brier: float = GATES["brier"]) -> DataFrame
     return s.withColumns({"preliminary_gate": gate, "stability_gate": gate & (F.col("mean_candidate_brier") <= F.col("mean_benchmark_brier") + brier)})
 
 
-def admission(outer: DataFrame, gates: dict = GATES) -> DataFrame:
-    """Eight checks per family and horizon, and the names of those that fail."""
+def admission(outer: DataFrame, gates: dict = GATES, contexts: int | None = None) -> DataFrame:
+    """Eight checks per family and horizon, and the names of those that fail.
+
+    contexts: how many pairs of family and horizon there must be; a result with fewer is refused.
+    """
     s = family_summary(outer)
+    if contexts is not None and (got := s.count()) != contexts:
+        raise ValueError(f"{got} of {contexts} families and horizons were evaluated")
     c = F.col
     checks = {
         "COMPLETE_OUTER_FOLDS": c("outer_folds") == gates["outer_folds"],
@@ -57,13 +62,24 @@ def event_verdict(events: Column, lower: Column, upper: Column, p: Column) -> Co
     return F.when(events < 30, "INSUFFICIENT_EVENTS").when((lower > 0) & (p < 0.05), "DESCRIPTIVE_EDGE").when(upper <= 0, "NO_DESCRIPTIVE_EDGE").otherwise("INCONCLUSIVE")
 
 
-def evidence_grade(predictive: Column, calibrated: Column, economic: Column) -> Column:
-    """No grade can rise above what the predictive gate allows."""
-    return F.when(~predictive, "NO_INCREMENTAL_EVIDENCE").when(~calibrated, "PREDICTIVE_UNCALIBRATED").when(~economic, "PREDICTIVE_ONLY").otherwise("PREDICTIVE_AND_ECONOMIC")
+#: The names of grades, determinations and fragility classes.
+NO_EVIDENCE, PREDICTIVE_ONLY = "NO_INCREMENTAL_EVIDENCE", "PREDICTIVE_EVIDENCE_ONLY"
+DETERMINATIONS = ("LOCKED_EVALUATION_PREDICTIVE_GATE_FAILED", "PREDICTIVE_GATE_PASSED_ECONOMIC_GATE_FAILED", "PREDICTIVE_AND_ECONOMIC_GATES_PASSED_ROBUSTNESS_PENDING")
+ROBUSTNESS = ("FAVOURABLE_MEANS_NOT_CONFIDENCE_ROBUST", "MIXED_DIAGNOSTIC_STABILITY", "BROAD_DIAGNOSTIC_STABILITY")
+FRAGILITY = ("UNCERTAINTY_AND_PARAMETER_SPECIFICATION_SENSITIVE", "MODERATE_DIAGNOSTIC_FRAGILITY", "LOW_OBSERVED_DIAGNOSTIC_FRAGILITY")
+
+
+def evidence_grade(predictive: Column) -> Column:
+    """No grade rises above predictive evidence before robustness is known."""
+    return F.when(predictive, PREDICTIVE_ONLY).otherwise(NO_EVIDENCE)
+
+
+def determination(predictive: Column, economic: Column) -> Column:
+    return F.when(~predictive, DETERMINATIONS[0]).when(~economic, DETERMINATIONS[1]).otherwise(DETERMINATIONS[2])
 
 
-def diagnostic_class(matrix: DataFrame) -> DataFrame:
-    """Counts of PASS, CAUTION, FAIL over diagnostics and the class they give."""
-    n = matrix.agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("PASS", "CAUTION", "FAIL")])
-    kind = F.when(F.col("fail") == 0, F.when(F.col("caution") == 0, "ROBUST").otherwise("ROBUST_WITH_CAUTIONS")).when(F.col("fail") <= 2, "FRAGILE").otherwise("NOT_ROBUST")
-    return n.withColumn("robustness_class", kind)
+def diagnostic_class(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys,) counts of PASS, CAUTION and FAIL over diagnostics, the class and the fragility they give."""
+    n = matrix.groupBy(*(keys or [])).agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("PASS", "CAUTION", "FAIL")])
+    pick = lambda names: F.when(F.col("fail") > 0, names[0]).when(F.col("caution") > 0, names[1]).otherwise(names[2])
+    return n.withColumns({"robustness_class": pick(ROBUSTNESS), "fragility_class": pick(FRAGILITY)})

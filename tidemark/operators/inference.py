@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,6 +45,26 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, samples: int =
     return rows.select(*keys, "ts", F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(one, schema)
 
 
+def bootstrap_means(rows: DataFrame, keys: list[str], values: list[str], blocks: tuple[int, ...], samples: int = 5000, seed: int = 42) -> DataFrame:
+    """(keys, value, block, n, mean, lower, upper, p_not_positive) of several values and block lengths, a
+    group's series sorted once."""
+    types = dict(rows.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, found = pdf.sort_values("ts"), []
+        for value in values:
+            x = pdf[value].to_numpy(np.float64)
+            x = x[np.isfinite(x)]
+            for block in blocks if len(x) else ():
+                means = block_means(x, samples, block, seed)
+                found.append((value, block, len(x), x.mean(), *np.quantile(means, [0.025, 0.975]), (means <= 0).mean()))
+        out = pd.DataFrame(found, columns=["value", "block", "n", "mean", "lower", "upper", "p_not_positive"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *out.columns]]
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", value string, block int, n long, mean double, lower double, upper double, p_not_positive double"
+    return rows.select(*keys, "ts", *[F.col(v).cast("double").alias(v) for v in values]).groupBy(*keys).applyInPandas(one, schema)
+
+
 def random_event_pvalue(rows: DataFrame, keys: list[str], position: str, ret: str, cost_rate: float, samples: int = 2000, seed: int = 42) -> DataFrame:
     """(keys, events, observed, p_value): as many random bars with the same positions, shuffled."""
     types = dict(rows.dtypes)
@@ -81,10 +101,37 @@ def newey_west(rows: DataFrame, keys: list[str], value: str, lag: int) -> DataFr
 
 
 def normal_survival(z: float) -> float:
-    """The upper tail of the standard normal law; a scalar, as Spark has no error function."""
+    """The upper tail of the standard normal law."""
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
+def survival(z: Column, terms: int = 200) -> Column:
+    """The same of a column, by the series of the error function whose terms are all positive."""
+    x = F.least(F.abs(z), F.lit(9.0)) / math.sqrt(2.0)
+    start = F.struct(x.alias("term"), x.alias("sum"))
+    step = lambda acc, n: F.struct((acc["term"] * 2 * x * x / (2 * n + 1)).alias("term"), (acc["sum"] + acc["term"] * 2 * x * x / (2 * n + 1)).alias("sum"))
+    whole = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["sum"])
+    erf = F.least(F.lit(1.0), whole * F.exp(-x * x) * (2.0 / math.sqrt(math.pi)))
+    return F.when(z >= 9, 0.0).when(z <= -9, 1.0).when(z >= 0, (1.0 - erf) / 2.0).otherwise((1.0 + erf) / 2.0)
+
+
+def predictive_test(rows: DataFrame, keys: list[str], value: str, lag: int, barred: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n, mean, variance, statistic, p_value, p_holm): one-sided tests that the mean is positive.
+
+    barred: names of hypotheses that were not tested; they count with a p-value of 1. Without any
+    variance the statistic is infinite, of the mean's sign (negative for a mean of 0).
+    """
+    test = newey_west(rows, keys, value, lag)
+    plain = F.when(F.col("variance") > 0, F.col("statistic")).when(F.col("mean") > 0, float("inf")).otherwise(float("-inf"))
+    test = test.withColumn("statistic", plain).withColumn("p_value", survival(F.col("statistic")))
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    pool = test.select(name.alias("name"), "p_value")
+    if barred:
+        pool = pool.union(rows.sparkSession.createDataFrame([(b, 1.0) for b in barred], "name string, p_value double"))
+    adjusted = holm(pool).select(F.col("name").alias("__name"), "p_holm")
+    return test.withColumn("__name", name).join(adjusted, "__name").drop("__name")
+
+
 def holm(tests: DataFrame, name: str = "name", p: str = "p_value", keys: list[str] | None = None) -> DataFrame:
     """Adds p_holm: step-down adjusted values, monotone and at most 1; ties in order of name."""
     part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))

@@ -77,10 +77,12 @@ def family_horizon(admission: DataFrame) -> DataFrame:
     )
 
 
-def component(inner: DataFrame, context: list[str], ident: list[str], needed: int, simplest: list[str] | None = None) -> DataFrame:
-    """A final component: complete over all folds, then gain, positive rows, error, simplicity, id."""
+def component(inner: DataFrame, context: list[str], ident: list[str], needed: int | None = None, simplest: list[str] | None = None) -> DataFrame:
+    """A final component: complete over all folds (`needed` rows, if given), then gain, positive rows, error,
+    simplicity, id."""
     extra = [c for c in ("candidate_brier", "benchmark_brier", "candidate_ece", "benchmark_ece") if c in inner.columns]
-    g = inner.groupBy(*context, *ident).agg(*_gains("positive_evaluations"), *_means(*extra)).where(F.col("evaluation_rows") == needed)
+    g = inner.groupBy(*context, *ident).agg(*_gains("positive_evaluations"), *_means(*extra))
+    g = g if needed is None else g.where(F.col("evaluation_rows") == needed)
     if "benchmark_brier" in extra:
         g = g.where(F.col("mean_candidate_brier") <= F.col("mean_benchmark_brier") + BRIER_TOLERANCE)
     if "benchmark_ece" in extra:

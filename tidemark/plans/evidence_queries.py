@@ -303,6 +303,6 @@ SELECT signal, ts, calibrating,""", 1),
     ),
     "gat_robustness_class": (
         lambda s, d: gates.diagnostic_class(diagnostics(s, d)),
-        sql(OUTER, f"SELECT pass, caution, fail, CASE WHEN fail = 0 THEN CASE WHEN caution = 0 THEN 'ROBUST' ELSE 'ROBUST_WITH_CAUTIONS' END WHEN fail <= 2 THEN 'FRAGILE' ELSE 'NOT_ROBUST' END AS robustness_class FROM (SELECT count(*) FILTER (s = 'PASS') AS pass, count(*) FILTER (s = 'CAUTION') AS caution, count(*) FILTER (s = 'FAIL') AS fail FROM (SELECT unnest([CASE WHEN mean_incremental_log_loss > 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN concentration <= 0.6 THEN 'PASS' ELSE 'CAUTION' END, CASE WHEN mean_candidate_ece <= mean_benchmark_ece + 0.02 THEN 'PASS' ELSE 'FAIL' END]) AS s {_FAM}))"),
+        sql(OUTER, f"SELECT pass, caution, fail, CASE WHEN fail > 0 THEN '{gates.ROBUSTNESS[0]}' WHEN caution > 0 THEN '{gates.ROBUSTNESS[1]}' ELSE '{gates.ROBUSTNESS[2]}' END AS robustness_class, CASE WHEN fail > 0 THEN '{gates.FRAGILITY[0]}' WHEN caution > 0 THEN '{gates.FRAGILITY[1]}' ELSE '{gates.FRAGILITY[2]}' END AS fragility_class FROM (SELECT count(*) FILTER (s = 'PASS') AS pass, count(*) FILTER (s = 'CAUTION') AS caution, count(*) FILTER (s = 'FAIL') AS fail FROM (SELECT unnest([CASE WHEN mean_incremental_log_loss > 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN concentration <= 0.6 THEN 'PASS' ELSE 'CAUTION' END, CASE WHEN mean_candidate_ece <= mean_benchmark_ece + 0.02 THEN 'PASS' ELSE 'FAIL' END]) AS s {_FAM}))"),
     ),
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import inference, splits, states
-from tidemark.plans import evidence_queries, first_generation, second_generation
+from tidemark.operators import inference, selectors, splits, states
+from tidemark.plans import evidence_queries, first_generation, locked_evidence, second_generation
 from tidemark.plans import inputs as N
 from tidemark.sources.saved import save
 
@@ -27,9 +27,45 @@ def screen(s, d):
     return N.out(second_generation.screen(second_generation.fold_rows(rows, targets, splits.nested_plan(s, n)), evidence_queries.scores(s, d)))
 
 
-def selection(s, d):
+_NESTED: dict[tuple[str, str], dict] = {}
+
+
+def nested(s, d) -> dict:
+    """The nested job's tables; a session runs the job once for a folder and rereads what it wrote."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _NESTED:
+        rows, n, targets = _nested_frame(s, d)
+        found = second_generation.nested_selection(rows, targets, evidence_queries.scores(s, d), n)
+        _NESTED[key] = {name: save(df, name) for name, df in found.items() if name in ("outer", "admission", "decisions", "structural", "inner")}
+    return _NESTED[key]
+
+
+def components(s, d):
+    """The final signal and structure of every family and horizon over all inner folds that were fitted."""
+    context, t = ["signal_family", "horizon"], nested(s, d)
+    kinds = []
+    for table, ident in (("inner", "signal_spec_id"), ("structural", "pipeline_id")):
+        rows = t[table]
+        most = rows.groupBy(*context, ident).count().groupBy(*context).agg(F.max("count").alias("needed"))
+        whole = rows.join(rows.groupBy(*context, ident).count().join(most, context).where(F.col("count") == F.col("needed")), [*context, ident], "left_semi")
+        kept = selectors.component(whole, context, [ident])
+        kinds.append(kept.select(*context, F.lit(ident).alias("component"), F.col(ident).alias("selected"), "evaluation_rows", "mean_incremental_log_loss", "positive_evaluations"))
+    return N.out(kinds[0].unionByName(kinds[1]))
+
+
+def robustness(s, d):
+    """Fifteen diagnostics of every signal; what the development folds chose comes from the nested job."""
+    pred, matched = N.predictions(s, d), save(N.matched(s, d), "matched")
+    picks = nested(s, d)["outer"].where("horizon = 1").select(F.col("signal_family").alias("signal"), F.element_at(F.split("pipeline_id", "-"), 1).alias("model_family"), "signal_spec_id")
+    evidence = locked_evidence.locked_evidence(matched, ["signal"], 0, (), 2000)
+    return N.out(locked_evidence.robustness_matrix(pred, matched, evidence, picks, ["signal"], N.PRED_KEYS, 0.05))
+
+
+def fold_states(s, d):
+    """Shares and sums of the filtered states of every fold of the nested plan."""
     rows, n, targets = _nested_frame(s, d)
-    return N.out(second_generation.nested_selection(rows, targets, evidence_queries.scores(s, d), n)["outer"])
+    folds = second_generation.fold_rows(rows, targets, splits.nested_plan(s, n)).withColumn("state_label", F.expr("CASE WHEN state_p_range >= state_p_trend AND state_p_range >= state_p_stress THEN 'range' WHEN state_p_trend >= state_p_stress THEN 'trend' ELSE 'stress' END"))
+    return N.out(locked_evidence.state_summary(locked_evidence.require_state_sums(save(folds, "folds")), second_generation.FOLD))
 
 
 def _three_folds(s, d):
@@ -63,12 +99,18 @@ ENTRIES = {
     "inf_bootstrap": (lambda s, d: N.out(inference.bootstrap_mean(N.predictions(s, d), ["signal"], "incremental_net_edge", 2000, 10)), None),
     "inf_bootstrap_blocks": (lambda s, d: N.out(inference.bootstrap_mean(N.matched(s, d), ["signal"], "incremental_log_loss", 5000, 21)), None),
     "inf_event_table": (lambda s, d: N.out(first_generation.event_table(N.features(s, d), first_generation.Config())), None),
-    "inf_locked_evidence": (lambda s, d: N.out(second_generation.locked_evidence(N.predictions(s, d).withColumn("g", F.lit(1)), ["signal"], samples=2000)), None),
+    "inf_locked_evidence": (lambda s, d: N.out(locked_evidence.locked_evidence(save(N.matched(s, d), "matched"), ["signal"])), None),
+    "inf_intervals": (lambda s, d: N.out(locked_evidence.intervals(N.matched(s, d), ["signal"])), None),
+    "gat_robustness_matrix": (robustness, None),
+    "gat_admission_fitted": (lambda s, d: N.out(nested(s, d)["admission"]), None),
+    "gat_family_decision_fitted": (lambda s, d: N.out(nested(s, d)["decisions"]), None),
+    "sel_component_fitted": (components, None),
+    "agg_state_shares": (fold_states, None),
     "sta_parameters": (state_parameters, None),
     "sta_filter": (lambda s, d: N.out(_with_states(s, d).select("ts", *second_generation.STATE_COLUMNS, "state_label")), None),
     "mod_offset_screen": (screen, None),
     "mod_structures": (structures, None),
     "mod_calibrations": (calibrations, None),
-    "sel_nested": (selection, None),
+    "sel_nested": (lambda s, d: N.out(nested(s, d)["outer"]), None),
     "v1_verdicts": (lambda s, d: N.out(first_generation.run(N.panel(s, d), first_generation.Config())["verdicts"]), None),
 }

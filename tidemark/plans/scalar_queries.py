@@ -10,14 +10,13 @@ from tidemark.plans import inputs as N
 from tidemark.plans.oracle import BARS, FEATURES, PREDICTIONS, r6, sql
 from tidemark.sources import bars as B
 
-FEATURE_DICTIONARY = [(n, f) for f, names in (("market", I.BASELINE), ("rsi", I.RSI[len(I.BASELINE) :]), ("bollinger", I.BOLLINGER[len(I.BASELINE) :])) for n in names]
 V2 = ("rsi_slope_1", "rsi_distance_mid", "rsi_distance_lower", "rsi_distance_upper", "rsi_nearest", "bb_distance_lower_sd", "bb_distance_upper_sd", "bb_bandwidth_change", "continuation_event", "contrarian_event")
 
 
-def signal_block(frame, lower: float = 30.0, upper: float = 70.0):
+def signal_block(frame, lower: float = 30.0, upper: float = 70.0, width: float = 2.0):
     """Second-generation columns: one-bar slope, distances in points and in deviations, both readings of an event."""
     w, rsi = B.by_time(), F.col("rsi")
-    sd = F.nullif((F.col("bb_upper") - F.col("bb_lower")) / 4.0, F.lit(0.0))
+    sd = F.nullif((F.col("bb_upper") - F.col("bb_lower")) / (2.0 * width), F.lit(0.0))  # the deviation itself
     return frame.select(
         "symbol",
         "ts",
@@ -70,7 +69,6 @@ ENTRIES = {
         lambda s, d: s.createDataFrame([(c,) for c in signal_columns(N.features(s, d).select("ts", *[x for x in I.RSI if x not in I.BASELINE]), ["rsi_x_trend", "rsi_x_range", "rsi_x_stress"], False)], "column_name string"),
         "SELECT unnest(['rsi_norm', 'rsi_slope', 'rsi_reversal_score', 'rsi_extreme', 'rsi_x_volatility']) AS column_name",
     ),
-    "flt_feature_dictionary": (lambda s, d: s.createDataFrame(FEATURE_DICTIONARY, "name string, family string").groupBy("family").agg(F.count("*").alias("n")), "SELECT * FROM (VALUES ('market', CAST(11 AS BIGINT)), ('rsi', 8), ('bollinger', 10)) AS t(family, n)"),
     "win_signal_block": (
         lambda s, d: N.out(signal_block(N.features(s, d)).drop("symbol")),
         sql(

@@ -109,20 +109,6 @@ class HoldoutGuard:
         return splits.between(rows, start, end)
 
 
-def locked_evidence(pred: DataFrame, keys: list[str], threshold: float = 0.05, bps: float = 10.0, samples: int = 5000, block: int = 21, lag: int = 0) -> DataFrame:
-    """Per key: test of the gain, intervals of gain and net return, gates and the evidence grade."""
-    m = policy.matched_returns(pred, keys, threshold, bps)
-    test = inference.newey_west(m, keys, "incremental_log_loss", lag)
-    gain = inference.bootstrap_mean(m, keys, "incremental_log_loss", samples, block).select(*keys, F.col("lower").alias("gain_lower"), F.col("upper").alias("gain_upper"))
-    net = inference.bootstrap_mean(m, keys, "candidate_net_return", samples, block).select(*keys, F.col("mean").alias("net_mean"), F.col("lower").alias("net_lower"), F.col("upper").alias("net_upper"))
-    use = m.groupBy(*keys).agg(F.avg(F.col("candidate_active").cast("double")).alias("coverage"), F.count_if("candidate_active").alias("decisions"), F.avg("candidate_sq").alias("cb"), F.avg("benchmark_sq").alias("bb"))
-    row = test.join(gain, keys).join(net, keys).join(use, keys)
-    c = F.col
-    predictive = (c("mean") > 0) & (c("gain_lower") > 0)
-    calibrated, economic = c("cb") <= c("bb") + 0.0025, (c("net_mean") > 0) & (c("net_lower") > 0) & (c("coverage") >= 0.10) & (c("decisions") >= 100)
-    return row.withColumns({"predictive_gate": predictive, "calibration_gate": calibrated, "economic_gate": economic}).withColumn("evidence_grade", gates.evidence_grade(c("predictive_gate"), c("calibration_gate"), c("economic_gate")))
-
-
 def nested_selection(frame: DataFrame, targets: DataFrame, scores: DataFrame, n: int, horizons: tuple[int, ...] = splits.HORIZONS, outer: int = 5, inner: int = 3) -> dict[str, DataFrame]:
     """Per horizon, outer fold and family: signal, structure, calibration and threshold chosen on the
     inner folds, evaluated on the outer fold, and the admission that follows. n: rows of frame.
