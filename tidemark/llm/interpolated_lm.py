@@ -214,7 +214,8 @@ def _global_counts(chunks: DataFrame, ranges: tuple[int, int]) -> DataFrame:
             yield total(now, rows)
 
     sent = chunks.mapInArrow(emit, "range long, chunk long, low binary, high binary, counts binary")
-    dealt = sent.repartition(shuffle_partitions(chunks.sparkSession), "range").sortWithinPartitions("range")
+    n = shuffle_partitions(chunks.sparkSession)  # word and pair ranges are dealt evenly, each kind from its own start
+    dealt = sent.repartitionById(n, F.pmod(F.when(F.col("range") < ranges[0], n - 1 - F.col("range")).otherwise(F.col("range") - ranges[0]), F.lit(n)).cast("int")).sortWithinPartitions("range")
     return save(dealt.mapInArrow(reduce, "chunk long, range long, counts binary, distinct long, tokens long, kept long"), "totals", compression="none")
 
 
@@ -272,7 +273,7 @@ def _counted(chunks: DataFrame, totals: DataFrame, kept_tokens: int) -> DataFram
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
     own = chunks.select("chunk", F.lit(-1).cast("long").alias("range"), *none("counts"), "docs", "words", "tokens")
     got = totals.where("chunk >= 0").select("chunk", "range", "counts", *none("docs", "words", "tokens"))
-    dealt = own.union(got).repartition(shuffle_partitions(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", "range")
+    dealt = own.union(got).repartitionByRange(shuffle_partitions(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", "range")
     return save(dealt.mapInArrow(run, "docs binary, c_word binary, c_pair binary, c_end long, cells array<long>, weights array<long>"), "counted", compression="none")
 
 
