@@ -1,6 +1,9 @@
 """The nested job covers every horizon, fold, structure, calibration and threshold."""
 
-from tidemark.plans import evidence_queries, model_queries, second_generation
+import pytest
+
+from tidemark.operators import gates
+from tidemark.plans import evidence_queries, inputs, model_queries, second_generation, stages
 
 
 def test_nested_job_is_whole(spark):
@@ -18,3 +21,41 @@ def test_nested_job_is_whole(spark):
     for r in outer:
         gains[r["outer_fold"], r["signal_family"]].add(r["incremental_log_loss"])
     assert all(len(g) == 2 for g in gains.values())  # a horizon's result is its own
+    with pytest.raises(ValueError, match="4 of 8"):
+        gates.admission(t["outer"], contexts=8)
+    frozen_and_locked(spark, d, t)
+
+
+def frozen_and_locked(spark, d, t):
+    """One family taken as admitted: frozen, read once on later rows, tested, put into words."""
+    decisions = spark.createDataFrame([("bollinger", "PIPELINE_ADMITTED", 1), ("rsi", "NO_PIPELINE_ADMITTED", None)], "signal_family string, family_decision string, selected_horizon int")
+    assert stages.freeze(t, decisions.where("selected_horizon is null")) == []
+    (record,) = stages.freeze(t, decisions)
+    assert record["pipeline_hash"] == second_generation.pipeline_hash(record) and record["signal_spec_id"].startswith("bollinger") and record["threshold"] in (0.0, 0.02, 0.05, 0.1)
+    registry = {"development": {"start": "2024-01-01", "end": "2024-01-24 00:00:00"}, "locked": {"start": "2024-01-24 01:00:00", "end": "2024-02-01"}}
+    panel = inputs.panel(spark, d)
+    with pytest.raises(PermissionError):
+        stages.locked(panel, evidence_queries.spec_scores, record, {}, registry)
+    tables = stages.locked(panel, evidence_queries.spec_scores, record, {"approved": True, "pipeline_hash": record["pipeline_hash"]}, registry, ("rsi",))
+    assert tables["predictions"].where("ts <= timestamp '2024-01-24 00:00:00'").isEmpty() and tables["measures"].count() == 4
+    done = stages.inference_and_robustness(tables, record, t["outer"], ("rsi",), 200)
+    evidence = done["evidence"].first().asDict()
+    assert 0 < evidence["p_value"] <= evidence["p_holm"] <= 1 and done["matrix"].count() == 15 and done["intervals"].count() == 6
+    assert record["pipeline_hash"] in stages.model_card(record, evidence)
+    assert "| rsi |" in stages.evidence_report([evidence], [r.asDict() for r in done["classes"].collect()], ["rsi"])
+
+
+def test_scaffold_and_causal_engine(spark):
+    registry = {"horizons": [1], "validation": {"outer": 2, "inner": 1}, "development": {"start": "2024-01-01", "end": "2024-01-24 00:00:00"}, "locked": {"start": "2024-01-24 01:00:00", "end": "2024-02-01"}}
+    panel = inputs.panel(spark, "/root/testdata/sf0.01")
+    base = stages.scaffold(panel, registry)
+    assert base["candidates"].count() == 6048 and base["fold_plan"].count() == 4 and base["partition"].where("ts > timestamp '2024-01-24 00:00:00'").isEmpty()
+    engine = stages.causal_engine(base, evidence_queries.spec_scores, "2024-01-12 00:00:00")
+    assert engine["prefix_audit"].count() == 84 and engine["prefix_audit"].where("max_error > 1e-9 or null_mismatches > 0").isEmpty()
+    shares = engine["state_summary"].collect()
+    assert all(abs(r["range_share"] + r["trend_share"] + r["stress_share"] - 1) < 1e-9 and r["least_probability"] >= 0 for r in shares)
+    assert all(r["least_eigenvalue"] > 0 and r["transition_error"] < 1e-12 and len(r["sha256"]) == 64 for r in engine["state_parameters"].collect())
+    with pytest.raises(ValueError):
+        stages.scaffold(panel.union(panel.limit(1)), registry)
+    with pytest.raises(ValueError):
+        stages.development_partition(panel, {**registry, "locked": {"start": "2024-01-02"}})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as I
 from tidemark.plans import first_generation, inputs, registry, second_generation
 from tidemark.sources import bars as B
+from tidemark.sources import sinks
 from tidemark.streaming import bars as S
 
 
@@ -68,6 +69,10 @@ def test_first_generation_end_to_end(spark, tmp_path):
     rows = tables["verdicts"].collect()
     assert {r["status"] for r in rows} <= {"NOT_ESTABLISHED", "SUSPENDED", "ACTIVE", "REDUCED"}
     assert first_generation.report(rows).count("\n") == 4
+    text = first_generation.report(rows, tables["regimes"].collect())
+    assert all(first_generation.wording(r["signal"], r["status"]) in text for r in rows) and "mean state probability" in text
+    manifest = sinks.read_json(spark, str(tmp_path / "out/manifest"))
+    assert manifest["rows"] == counts and set(manifest["signals"]) == {"rsi", "bollinger", "combined"} and manifest["config"]["folds"] == 5
     with pytest.raises(ValueError):
         first_generation.run(panel, first_generation.Config(least_rows=10_000))
 

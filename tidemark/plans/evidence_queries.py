@@ -40,12 +40,16 @@ specs AS (SELECT family, p AS period, CAST(lo AS DOUBLE) AS lower, CAST(hi AS DO
 
 
 def scores(s, d):
-    """Every signal specification's score and event at every bar: 4 + 4 frames and indexes, not 84.
+    return spec_scores(N.panel(s, d))
+
+
+def spec_scores(panel):
+    """(symbol, ts, spec_id, score, event): every signal specification's score and event at every bar: 4 + 4 frames and indexes, not 84.
 
     Events are crossings of the specification's own thresholds or bands: 1 from below the lower one, -1
     above the upper one; continuation turns the sign of a contrarian one, continuous ones have none.
     """
-    p = N.panel(s, d).select("symbol", "ts", "pri_close")
+    p = panel.select("symbol", "ts", "pri_close")
     c, w = F.col("pri_close"), by_time()
     for n in grids.BB_PERIODS:
         p = p.withColumns({f"m{n}": full(F.avg(c), c, n), f"s{n}": full(F.stddev_pop(c), c, n)})
@@ -60,7 +64,7 @@ def scores(s, d):
             crossing = flag((c < low) & (was(c) >= was(low))) - flag((c > up) & (was(c) <= was(up)))
             bb.append(entry("bollinger", n, k, (c - low) / F.nullif(2 * k * F.col(f"s{n}"), F.lit(0.0)) - 0.5, c, crossing))
     long = p.select("symbol", "ts", F.array(*rsi, *bb).alias("every")).select("symbol", "ts", F.inline("every"))
-    joined = long.join(F.broadcast(grids.signal_specs(s).drop("ordinal")), ["family", "period"]).where(F.col("width").eqNullSafe(F.col("w")))
+    joined = long.join(F.broadcast(grids.signal_specs(panel.sparkSession).drop("ordinal")), ["family", "period"]).where(F.col("width").eqNullSafe(F.col("w")))
     v, was, low, up = (F.col(x) for x in ("value", "was", "lower", "upper"))
     event = F.coalesce("crossing", flag((v < low) & (was >= low)) - flag((v > up) & (was <= up)))
     sign = lambda a, b, other: F.when(F.col("mode") == "contrarian", a).when(F.col("mode") == "continuation", b).otherwise(other)

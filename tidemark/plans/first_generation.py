@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as I
 from tidemark.operators import checks, drift, gates, inference, models, policy, splits, states, summaries
 from tidemark.sources import bars as B
+from tidemark.sources import sinks
 from tidemark.sources.saved import save
 
 SIGNALS = {"rsi": ("rsi_event_position", I.RSI), "bollinger": ("bb_event_position", I.BOLLINGER), "combined": ("bridge_event_position", I.COMBINED)}
@@ -91,19 +92,38 @@ def run(panel: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
     return {"events": event_table(frame, config), "predictions": pred, "folds": pred.groupBy("signal", "fold").agg(F.count("*").alias("n"), F.avg("incremental_log_loss").alias("gain"), F.avg("incremental_net_edge").alias("edge")), "regimes": regimes(pred), "verdicts": verdicts(pred, config)}
 
 
-def write(tables: dict[str, DataFrame], path: str) -> dict:
-    """Each table as Parquet under path, and a manifest of their row counts."""
-    manifest = {}
+def write(tables: dict[str, DataFrame], path: str, config: Config = Config()) -> dict:
+    """Each table as Parquet under path, and a manifest: row counts, settings, bounds and rows of every signal."""
+    spark, manifest = next(iter(tables.values())).sparkSession, {}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-        manifest[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
+        manifest[name] = spark.read.parquet(f"{path}/{name}").count()
+    pred = spark.read.parquet(f"{path}/predictions")
+    bounds = pred.groupBy("signal").agg(F.count("*").alias("rows"), F.min("ts").cast("string").alias("first"), F.max("ts").cast("string").alias("last")).orderBy("signal").collect()
+    record = {"rows": manifest, "config": asdict(config), "spark": spark.version, "signals": {r["signal"]: {"rows": r["rows"], "first": r["first"], "last": r["last"]} for r in bounds}}
+    sinks.write_json(spark, record, f"{path}/manifest")
     return manifest
 
 
-def report(verdict_rows: list) -> str:
-    """A short Markdown table of the verdicts."""
+def wording(signal: str, status: str) -> str:
+    """What a status says of a signal."""
+    return {
+        "NOT_ESTABLISHED": f"{signal} has not shown a stable predictive and economic contribution beyond the benchmark: NOT_ESTABLISHED.",
+        "ACTIVE": f"{signal} was established and stays ACTIVE by its current window and monitor.",
+        "REDUCED": f"{signal} was established, but its current evidence is uncertain or weaker: REDUCED.",
+        "SUSPENDED": f"{signal} was established; its monitor is in alarm and its current window has lost: SUSPENDED.",
+    }[status]
+
+
+def report(verdict_rows: list, regime_rows: list | None = None) -> str:
+    """Markdown: the verdicts, what they say, and the evidence by regime if it is given."""
     head = "| signal | status | mean gain | mean edge | positive folds | best regime |\n|-|-|-|-|-|-|\n"
-    return head + "\n".join(f"| {r['signal']} | {r['status']} | {r['gain']:.6f} | {r['edge']:.6f} | {r['positive_folds']}/{r['folds']} | {r['best_regime']} |" for r in verdict_rows)
+    text = head + "\n".join(f"| {r['signal']} | {r['status']} | {r['gain']:.6f} | {r['edge']:.6f} | {r['positive_folds']}/{r['folds']} | {r['best_regime']} |" for r in verdict_rows)
+    if regime_rows is None:
+        return text
+    said = "\n".join(f"- {wording(r['signal'], r['status'])}" for r in verdict_rows)
+    table = "\n".join(f"| {r['signal']} | {r['regime']} | {r['observations']} | {r['mean_incremental_log_loss']:.6f} | {r['mean_incremental_net_edge']:.6f} | {r['mean_filtered_probability']:.3f} |" for r in sorted(regime_rows, key=lambda r: (r["signal"], r["regime"])))
+    return f"{text}\n\n{said}\n\n| signal | regime | rows | mean gain | mean edge | mean state probability |\n|-|-|-|-|-|-|\n{table}"
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -121,9 +141,10 @@ def main(argv: list[str] | None = None) -> int:
             panel = B.aligned(one(a.primary, "PRI").unionByName(one(a.context, "CTX")))
         else:
             panel = B.aligned(B.index_bars(B.event_ticks(spark, a.tables)))
-        tables = run(panel, Config(horizon=a.horizon, cost_bps=a.cost_bps, samples=a.samples))
-        print(json.dumps(write(tables, a.out), sort_keys=True))
-        print(report(tables["verdicts"].collect()))
+        config = Config(horizon=a.horizon, cost_bps=a.cost_bps, samples=a.samples)
+        tables = run(panel, config)
+        print(json.dumps(write(tables, a.out, config), sort_keys=True))
+        print(report(tables["verdicts"].collect(), tables["regimes"].collect()))
         return 0
     except Exception as e:  # the command line reports and exits with 1
         print(f"error: {e}", file=sys.stderr)

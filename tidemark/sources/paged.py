@@ -71,3 +71,20 @@ def packed(fetch: Page) -> str:
     from pyspark import cloudpickle
 
     return base64.b64encode(cloudpickle.dumps(fetch)).decode()
+
+
+def download(spark, fetch: dict[str, Page], start_ms: int, end_ms: int, path: str, slices: int = 8, limit: int = 1000) -> dict:
+    """Bars of every symbol (symbol: page function) as Parquet under path, and a manifest of what came."""
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import sinks
+
+    spark.dataSource.register(PagedBars)
+    manifest = {}
+    for symbol, page in fetch.items():
+        read = spark.read.format("paged_bars").options(fetch=packed(page), start=start_ms, end=end_ms, slices=slices, limit=limit, symbol=symbol).load()
+        read.dropDuplicates(["symbol", "ts"]).write.mode("overwrite").parquet(f"{path}/{symbol}")
+        n, first, last = spark.read.parquet(f"{path}/{symbol}").agg(F.count("*"), F.min("ts").cast("string"), F.max("ts").cast("string")).first()
+        manifest[symbol] = {"rows": n, "first": first, "last": last}
+    sinks.write_json(spark, manifest, f"{path}/manifest")
+    return manifest
