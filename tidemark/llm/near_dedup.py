@@ -14,9 +14,11 @@ Flow:
 4. Connected components of the confirmed links; component_id is the smallest doc_id.
 
 A bucket or group of any size is cut in blocks of bounded size (`_forest`): first each block is
-linked on its own, with a few of the group's members (hubs) that all blocks get. Pairs whose ends
-are linked then need no look. Only members outside the largest part so found (none or few where a
-group is all near copies) are sent to every block, in blocks again, so every other pair is met.
+linked on its own, with a few of the group's members (hubs, the first in a fixed order of all
+documents) that all blocks get. Pairs whose ends are linked then need no look. Only members outside
+the largest part so found (none or few where a group is all near copies) are sent to every block, in
+blocks again, so every other pair is met. A part is returned as edges from its first member in that
+order to the others, so blocks, and buckets of one cluster, mostly return the same edges.
 
 The chance that a pair with similarity 0.85 shares no band is (1 - 0.85**5)**26 < 3e-7, and that
 the screen (five standard deviations below the threshold) drops it is about the same.
@@ -45,7 +47,7 @@ PERMS = BANDS * ROWS
 BITS = 4
 PER_WORD = 64 // BITS
 WORDS = -(-PERMS // PER_WORD)
-BLOCK_ROWS, BLOCK_SHINGLES = 500, 500_000
+BLOCK_ROWS, BLOCK_SHINGLES = 200, 500_000
 HUBS = 8
 WORD_CACHE = 200_000
 
@@ -157,16 +159,17 @@ def sign(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
 
 
-def link_unit(ids: list[int], outside: np.ndarray, size: np.ndarray, bits: np.ndarray, labels: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one unit, beyond what equal labels join already.
+def link_unit(ids: list[int], place: np.ndarray, outside: np.ndarray, size: np.ndarray, bits: np.ndarray, labels: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """Edges of the parts that links make within one unit, beyond what equal labels join already.
 
     Pairs are links if they pass the screen and, if sets are given, the check on the full sets.
-    With members from outside only their pairs with the others are looked at.
+    With members from outside only their pairs with the others are looked at. A part's edges run
+    from the first of its labels' first members (by `place`) to those of the other labels.
     """
     order = np.lexsort((ids, size))
     size, bits, outside = size[order], bits[order], outside[order]
-    _, root = np.unique(labels[order], return_inverse=True)
-    two, links, most = bool(outside.any()), [], most_mismatches(percent)
+    _, own = np.unique(labels[order], return_inverse=True)
+    root, two, most = own.copy(), bool(outside.any()), most_mismatches(percent)
     for i in range(len(order) - 1):
         end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
         if end <= i + 1:
@@ -187,12 +190,18 @@ def link_unit(ids: list[int], outside: np.ndarray, size: np.ndarray, bits: np.nd
                 if 100 * both < percent * (len(a) + len(b) - both):
                     continue
             root[root == root[j]] = root[i]
-            links.append((ids[order[i]], ids[order[j]]))
+    links, first = [], {}
+    for i in np.lexsort((np.array(ids)[order], place[order])):
+        if own[i] not in first:
+            first[own[i]] = i
+            start = first.setdefault(("part", root[i]), i)
+            if start != i:
+                links.append((ids[order[start]], ids[order[i]]))
     return links
 
 
 def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) of each unit: rows (keys, doc_id, outside, label, n_shingles, bits[, text]) with equal keys."""
+    """Links (a, b) of each unit: rows (keys, doc_id, place, outside, label, n_shingles, bits[, text]) with equal keys."""
     whole = "text" in units.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +209,8 @@ def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
         def close() -> None:
             if len(held) > 1:
-                ids, outside, labels, size, bits, sets = zip(*held)
-                links.extend(link_unit(list(ids), np.array(outside), np.array(size), np.stack(bits), np.array(labels), percent, list(sets) if whole else None))
+                ids, place, outside, labels, size, bits, sets = zip(*held)
+                links.extend(link_unit(list(ids), np.array(place), np.array(outside), np.array(size), np.stack(bits), np.array(labels), percent, list(sets) if whole else None))
             held.clear()
 
         def found() -> pa.RecordBatch:
@@ -210,7 +219,7 @@ def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
         for batch in batches:
             key = list(zip(*(batch.column(k).to_pylist() for k in keys)))
             texts = batch.column("text").cast(pa.binary()) if whole else None
-            for i, (k, *row, n, bits) in enumerate(zip(key, *(batch.column(c).to_pylist() for c in ("doc_id", "outside", "label", "n_shingles", "bits")))):
+            for i, (k, *row, n, bits) in enumerate(zip(key, *(batch.column(c).to_pylist() for c in ("doc_id", "place", "outside", "label", "n_shingles", "bits")))):
                 if k != now:
                     close()
                     now = k
@@ -232,12 +241,13 @@ def _forest(members: DataFrame, payload: list[DataFrame], percent: int, cost: st
     """
     share = F.greatest(F.count("*") / BLOCK_ROWS, F.sum(cost or F.lit(0)) / BLOCK_SHINGLES)
     sizes = members.groupBy("grp").agg(F.count("*").alias("k"), F.ceil(share).cast("int").alias("blocks")).where("k > 1")
-    few = F.ceil(F.col("k") / HUBS)
-    placed = members.select("grp", "doc_id").join(sizes, "grp").withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), "hub": (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(3)), few) == 0)})
+    place = F.xxhash64("doc_id", F.lit(3))
+    first_few = place.cast("double") < F.lit(-(2.0**63)) + F.lit(2.0**64) * HUBS / F.col("k")  # about HUBS of the group's k members
+    placed = members.select("grp", "doc_id").join(sizes, "grp").withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), "place": place, "hub": (F.col("blocks") > 1) & first_few})
     for part in payload:
         placed = placed.join(part, "doc_id")
     placed = save(placed.drop("k"), "members")
-    kept = ["n_shingles", "bits", *(["text"] if "text" in placed.columns else [])]
+    kept = ["place", "n_shingles", "bits", *(["text"] if "text" in placed.columns else [])]
     own = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = placed.select("grp", F.explode(own).alias("block"), "doc_id", F.lit(False).alias("outside"), F.col("doc_id").alias("label"), *kept)
     links = save(_units(first, ["grp", "block"], percent), "links")
