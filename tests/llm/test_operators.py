@@ -182,6 +182,27 @@ def test_token_file_equals_direct_encoding(spark, sf_dir):
     assert empty.count() == 0
 
 
+def test_words_are_encoded_alone_only_where_the_description_allows_it():
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    pool = ["Don't", "naïve", "ÀÉÎ!", "x's", "3.14", "don'T", "İstanbul", "e\u0301te", "ß", "<|endoftext|>", "a<|endoftext|>b", "--", "'", "''s", "Ünïcödé,", "日本語", "\u00a0", "a\u2003b", "it's.", "K", "ﬁne", "Ω", "word", "Word."]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) + rng.choice(["", " ", "\n\t"]) for _ in range(400)]
+    for name, alone in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = queries.tokenizer_path(name)
+        ids, tok = token_binary._WordIds(path), Tokenizer.from_file(path)
+        assert ids.alone is alone
+        for t in texts:
+            assert np.frombuffer(ids.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    plain = json.loads(Tokenizer.from_file(queries.tokenizer_path()).to_str())
+    assert token_binary.encodes_words_alone(plain)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**plain["model"], "dropout": 0.1}}, {"added_tokens": [{**plain["added_tokens"][0], "lstrip": True}]}):
+        assert not token_binary.encodes_words_alone({**plain, **change})
+
+
 # ---------------------------------------------------------------- 4 decontamination
 
 

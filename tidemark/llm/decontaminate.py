@@ -22,6 +22,7 @@ reported one by one; empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,14 +157,19 @@ def _query(index: DataFrame, items: list[tuple], window: int | None, within: int
     """
     spark = index.sparkSession
     wanted = _windows(items, window)
+    in_windows = Counter(t for phrase, _ in wanted for t in set(phrase))
+    by_rarest: dict[bytes, list] = {}
+    for phrase, ids in wanted:
+        by_rarest.setdefault(min(phrase, key=lambda t: (in_windows[t], t)), []).append((phrase, ids))
     terms = spark.createDataFrame([(bytearray(t),) for t in sorted({t for w, _ in wanted for t in w} | {b""})], "term binary")
-    sent = spark.sparkContext.broadcast(wanted)
+    sent = spark.sparkContext.broadcast(by_rarest)
 
     def answer(segment: int, docs: np.ndarray, lists: dict) -> pa.RecordBatch:
         doc_ids, null, starts, n, _ = docs.reshape(5, -1)
         edge = np.zeros(int(starts[-1] + n[-1]) + 2, np.int32)
         found: list[set] = [set() for _ in range(len(n))]
-        for phrase, ids in sent.value:
+        # Only windows whose rarest term (of all windows' terms) the segment holds can occur in it.
+        for phrase, ids in (w for term in lists for w in sent.value.get(term, ())):
             at = phrase_starts(phrase, lists) if within is None else near_starts(phrase, lists, within)
             if not len(at):
                 continue

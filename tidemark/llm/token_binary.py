@@ -202,21 +202,46 @@ class _Recent(dict):
         return got
 
 
+#: The splitting rule of a tokenizer whose words can be encoded one by one.
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def encodes_words_alone(description: dict) -> bool:
+    """Whether, by a tokenizer's own description, a text's ids are those of its words one after the other.
+
+    It must lower and compose letters and merge white space, drop white space between pre-tokens, split
+    them by WORD_RULE, and have no added tokens that reach into their surroundings.
+    """
+    normal, before, model = (description.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])]
+    parts = before.get("pretokenizers", [{}])
+    byte_level = {k: parts[-1].get(k) for k in ("type", "add_prefix_space", "use_regex")}
+    return (
+        steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and parts[:-1] == [{"type": "Split", "pattern": {"Regex": WORD_RULE}, "behavior": "Removed", "invert": True}]
+        and byte_level == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"].split() == [t["content"]] for t in description.get("added_tokens", []))
+    )
+
+
 class _WordIds:
-    """Packed ids of words (runs without ASCII white space).
+    """Packed ids of texts, word by word where the tokenizer's description allows it, else as a whole.
 
-    A word of Latin letters, after which only ASCII marks other than the apostrophe may come, is
-    one pre-token and those marks another; its lower-case letters go to the merges alone, without
-    the normaliser and the splitting rule, which change nothing in them. The first such words are
-    encoded both ways; a tokenizer for which the results differ gets whole words only.
+    A word of Latin letters, after which only ASCII marks other than the apostrophe may come, is then
+    one pre-token and those marks another; its lower-case letters go to the merges alone, since the
+    normaliser and the splitting rule change nothing in them.
     """
 
     def __init__(self, tokenizer_file: str):
+        import json
+
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(tokenizer_file)
-        self.model, self.split, self.to_check = self.whole.model, True, CHECKED
+        self.model, self.alone = self.whole.model, encodes_words_alone(json.loads(self.whole.to_str()))
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.words, self.cores, self.marks = _Recent(self._word), _Recent(self._core), _Recent(self._whole)
@@ -229,28 +254,22 @@ class _WordIds:
         return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        if self.split and not self.to_check and word.isalpha():
+        if word.isalpha():
             return self.cores[word.lower().decode()]
         text = word.decode()
-        m = CORE.fullmatch(text) if self.split else None
+        m = CORE.fullmatch(text)
         if not m:
             return self._whole(text)
-        got = self.cores[m[1].lower()] + (self.marks[m[2]] if m[2] else b"")
-        if self.to_check:
-            self.to_check -= 1
-            if got != self._whole(text):
-                self.split = False
-                self.words.clear()
-                return self._whole(text)
-        return got
+        return self.cores[m[1].lower()] + (self.marks[m[2]] if m[2] else b"")
 
     def encode(self, text: str) -> bytes:
+        if not self.alone:
+            return self._whole(text)
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 #: Latin letters, then ASCII marks without the apostrophe (which starts pre-tokens of its own).
 CORE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
-CHECKED = 500
 _CACHES: dict[str, _WordIds] = {}
 
 
@@ -259,8 +278,8 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
 
     first is the number of ids before the document within its shard.
 
-    The tokenizer must be one that drops white space, so that the ids of a text are those of
-    its words (between ASCII white space) one after the other; a worker encodes a word once.
+    Where a text's ids are those of its words (between ASCII white space) one after the other, a worker
+    encodes a word once; other tokenizers get whole texts.
     """
     spark = docs.sparkSession
 
