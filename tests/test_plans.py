@@ -46,6 +46,8 @@ def test_holdout_guard(spark):
     assert guard.open(rows, *span).count() == 1
     with pytest.raises(PermissionError):
         guard.open(rows, *span)
+    with pytest.raises(PermissionError):
+        second_generation.HoldoutGuard(frozen, yes, (), "file:///tmp").open(rows, *span)
     for bad in (second_generation.HoldoutGuard({**frozen, "threshold": 0.1}, yes), second_generation.HoldoutGuard(frozen, {**yes, "approved": False}), second_generation.HoldoutGuard(frozen, yes, ("bollinger",))):
         with pytest.raises(PermissionError):
             bad.open(rows, *span)
@@ -101,8 +103,11 @@ def test_stage_files(spark, sf_dir, tmp_path):
     assert sinks.verify_stage(spark, str(tmp_path / "stage"), {"bars": ["symbol", "ts"]}) == ["bars"]
     with pytest.raises(ValueError):
         sinks.write_json(spark, {"a": ["/root/x"]}, str(tmp_path / "j"))
-    bars.where("symbol = 'PRI'").select(F.col("ts").alias("Timestamp"), "close").write.option("header", True).csv(str(tmp_path / "csv"))
+    bars.where("symbol = 'PRI'").select(F.col("ts").alias("Timestamp"), "close").sort("Timestamp").write.option("header", True).csv(str(tmp_path / "csv"))
     assert sinks.read_indexed_csv(spark, str(tmp_path / "csv")).count() == bars.where("symbol = 'PRI'").count()
+    bars.where("symbol = 'PRI'").select(F.col("ts").alias("Timestamp"), "close").orderBy(F.desc("ts")).coalesce(1).write.option("header", True).csv(str(tmp_path / "falling"))
+    with pytest.raises(ValueError, match="fall"):
+        sinks.read_indexed_csv(spark, str(tmp_path / "falling"))
     bars.select(F.col("ts").alias("Timestamp"), "close").write.option("header", True).csv(str(tmp_path / "twice"))
     with pytest.raises(ValueError):
         sinks.read_indexed_csv(spark, str(tmp_path / "twice"))
@@ -115,6 +120,10 @@ def test_registry_checks():
 
     good = {"version": "1", "freeze_status": "FROZEN", "horizons": [1], "development": {"start": "2021-01-01", "end": "2025-06-30"}, "locked": {"start": "2025-07-01", "end": "2026-01-01"}, "validation": {}}
     assert len(ExperimentRegistry.load(json.dumps(good)).sha256) == 64
+    own = {"tag": "v1", "commit": "abc"}
+    assert ExperimentRegistry.load(json.dumps({**good, "parent": own}), own).payload["parent"] == own
+    with pytest.raises(ValueError):
+        ExperimentRegistry.load(json.dumps(good), own)
     for bad in ({**good, "freeze_status": "DRAFT"}, {**good, "locked": {"start": "2025-06-01"}}, {k: v for k, v in good.items() if k != "horizons"}):
         with pytest.raises(ValueError):
             ExperimentRegistry.load(json.dumps(bad))

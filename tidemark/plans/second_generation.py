@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
 from tidemark.operators import gates, grids, inference, models, policy, selectors, splits, states, summaries
+from tidemark.sources import sinks
 from tidemark.sources.saved import save
 
 STATE_COLUMNS = ["state_p_range", "state_p_trend", "state_p_stress"]
@@ -86,13 +87,14 @@ def pipeline_hash(payload: dict) -> str:
 class HoldoutGuard:
     """Lets the locked period be read once, and only for the frozen pipeline.
 
-    The approval names the pipeline's hash; a family listed as barred, a changed pipeline, or an
-    output that exists already is refused.
+    The approval names the pipeline's hash; a family listed as barred, a changed pipeline, a second
+    reading, or an output folder that exists already (of an earlier run) is refused.
     """
 
     frozen: dict
     approval: dict
     barred: tuple[str, ...] = ()
+    output: str | None = None
     used: bool = False
 
     def open(self, rows: DataFrame, start: str, end: str) -> DataFrame:
@@ -103,7 +105,7 @@ class HoldoutGuard:
             raise PermissionError("no approval")
         if self.frozen.get("signal_family") in self.barred:
             raise PermissionError("the family was not admitted")
-        if self.used:
+        if self.used or (self.output and sinks.exists(rows.sparkSession, self.output)):
             raise PermissionError("the locked period was read before")
         self.used = True
         return splits.between(rows, start, end)

@@ -120,10 +120,10 @@ def _whole(rows: DataFrame, ident: str) -> DataFrame:
     return rows.withColumn("__n", n).withColumn("__m", F.max("__n").over(W.partitionBy(*CONTEXT))).where("__n = __m").drop("__n", "__m")
 
 
-def locked(panel: DataFrame, build: Callable[[DataFrame], DataFrame], record: dict, approval: dict, registry: dict, barred: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def locked(panel: DataFrame, build: Callable[[DataFrame], DataFrame], record: dict, approval: dict, registry: dict, barred: tuple[str, ...] = (), output: str | None = None) -> dict[str, DataFrame]:
     """The frozen pipeline fitted on all development rows and read once on the locked period's."""
     horizon = record["horizon"]
-    guard = second_generation.HoldoutGuard(record, approval, barred)
+    guard = second_generation.HoldoutGuard(record, approval, barred, output)
     both = registry["development"]["start"], registry["locked"]["end"]
     rows = save(I.complete_rows(I.feature_frame(guard.open(panel, *both)), NEEDED), "locked-rows")
     until, start = F.lit(registry["development"]["end"]).cast("timestamp"), F.lit(registry["locked"]["start"]).cast("timestamp")
@@ -191,7 +191,8 @@ def run(panel: DataFrame, build: Callable[[DataFrame], DataFrame], registry: dic
     barred = tuple(f for f in families if f not in {r["signal_family"] for r in records})
     evidence, classes = [], []
     for r in records:  # one record a family
-        tables = stage(f"locked-{r['signal_family']}", locked(panel, build, r, approve(r), registry, barred))
+        name = f"locked-{r['signal_family']}"
+        tables = stage(name, locked(panel, build, r, approve(r), registry, barred, f"{path}/{name}"))
         done = stage(f"inference-{r['signal_family']}", inference_and_robustness(tables, r, chosen["outer"], barred, samples))
         row = done["evidence"].first().asDict()
         evidence.append(row)

@@ -8,22 +8,35 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _LOCAL = re.compile(r"^(?:/|[A-Za-z]:[\\/]|file:)")
 
 
 def read_indexed_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A stage's CSV: its time column (Timestamp, or the first) parsed strictly, no time twice."""
+    """A stage's CSV: its time column (Timestamp, or the first) parsed strictly, no time twice.
+
+    Times must rise within each part of a file that Spark reads at once; a table has no order beyond that.
+    """
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     key = "Timestamp" if "Timestamp" in raw.columns else raw.columns[0]
     out = raw.withColumn("ts", F.try_to_timestamp(F.col(key))).drop(*([key] if key != "ts" else []))
     bad, n, distinct = out.agg(F.count_if(F.col("ts").isNull()), F.count("*"), F.countDistinct("ts")).first()
     if bad or n != distinct:
         raise ValueError(f"{path}: {bad} unreadable and {n - bad - distinct} repeated times")
+    part = W.partitionBy("part").orderBy("at")
+    placed = out.select("ts", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    if falls := placed.withColumn("was", F.lag("ts").over(part)).where("ts < was").count():
+        raise ValueError(f"{path}: times fall {falls} times")
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def _check_paths(value: object) -> None:
     if isinstance(value, dict):
         for v in value.values():
@@ -97,13 +110,16 @@ class ExperimentRegistry:
     REQUIRED = ("version", "freeze_status", "horizons", "development", "locked", "validation")
 
     @classmethod
-    def load(cls, text: str) -> ExperimentRegistry:
+    def load(cls, text: str, parent: dict | None = None) -> ExperimentRegistry:
+        """The description, checked; parent: the release (tag, commit) that it must name as its own, if given."""
         payload = json.loads(text)
         missing = [k for k in cls.REQUIRED if k not in payload]
         if missing:
             raise ValueError(f"registry lacks {', '.join(missing)}")
         if payload["freeze_status"] != "FROZEN":
             raise ValueError("registry is not frozen")
+        if parent is not None and payload.get("parent") != parent:
+            raise ValueError("registry names another parent release")
         if payload["development"]["end"] >= payload["locked"]["start"]:
             raise ValueError("development and locked periods overlap")
         return cls(payload, json_sha256(payload))
