@@ -24,6 +24,7 @@ PAGES = [
     (f"<div id=sidebar-layout><h1>Head</h1>{STORY}</div><div class=sidebar><p>{OTHER}</p></div>", f"Head {TEXT}"),
     (f"<div id=comments><article><p>{OTHER}</p><p>{OTHER}</p><p>{OTHER}</p><p>{OTHER}</p></article></div><div>{STORY}</div>", TEXT),
     (f"<main><article><section>{STORY}</section><section><p>{B}</p></section></article><div><a href=a>{OTHER}</a><a href=b>{OTHER}</a></div></main>", f"{TEXT} {B}"),
+    (f"<div class='prose overflow-hidden text-navy shared-by'>{STORY}</div><div class='hidden wide'><p>{OTHER}</p></div><div id=navbar-top><p>{OTHER}</p></div>", TEXT),
     (f"<header><p>{OTHER}</p></header><article><header><h1>Head</h1></header>{STORY}</article>", f"Head {TEXT}"),
     (f"<div>{STORY}</div><div><a href=1>{OTHER}</a> <a href=2>{OTHER}</a></div>", TEXT),
     (f"<table><tr><td><a href=1>{OTHER}</a></td><td>{STORY}</td></tr></table>", TEXT),

@@ -39,7 +39,7 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
 BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|side-?bar\w*|rail|menu\w*|nav\w*|breadcrumbs?|foot|footer\w*|masthead|site-?header|page-?header|topbar|toolbar|comments?|commentlist|disqus|replies|respond|reply|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|widgets?|pagination|pager|skip|search\w*|hidden)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|side-?bar\w*|rail|menu\w*|nav(?:bar\w*|igation\w*|menu\w*|list)?|breadcrumbs?|foot|footer\w*|masthead|site-?header|page-?header|topbar|toolbar|comments?|commentlist|disqus|replies|respond|reply|share|shares|sharebar|sharethis|sharing|addthis|social\w*|related\w*|recommend\w*|widgets?|pagination|pager|skip|search\w*)(?:$|[\s_-])|(?:^|\s)hidden(?:$|\s)"
 )
 #: Names that stay cut even around an article element, and those that make an article element something else.
 NEVER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond|reply|related\w*|recommend\w*|promo\w*|advert\w*|ads?|sponsor\w*|teasers?)(?:$|[\s_-])")
