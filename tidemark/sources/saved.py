@@ -66,9 +66,10 @@ def saved() -> frozenset[str]:
     return frozenset(_SAVED)
 
 
-def drop_saved(spark: SparkSession, keep: DataFrame | None = None, since: frozenset[str] = frozenset()) -> int:
+def drop_saved(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozenset()) -> int:
     """Delete the tables that this process has saved, but for `keep` and those that were there in `since`."""
-    gone = [path for path in _SAVED if path not in since and (keep is None or path != keep.saved_at)]
+    kept = {df.saved_at for df in keep}
+    gone = [path for path in _SAVED if path not in since and path not in kept]
     for path in gone:
         _delete(spark, path)
     return len(gone)
