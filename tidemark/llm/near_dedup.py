@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, save, shuffle_partitions
+from tidemark.llm.common import discard, drop_saved, save, saved, shuffle_partitions
 from tidemark.llm.components import connected_components
 
 SHINGLE = 5
@@ -275,6 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Documents are linked where 100 * shingles in both >= percent * shingles in either.
     """
+    before = saved()
     signed = save(sign(docs), "signatures")
     worded = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
     classes = signed.where(worded).groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "bits"), "doc_id").alias("r")).select("digest", "r.*")
@@ -288,6 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     labels = connected_components(links).select(F.col("node").alias("rep"), "label")
     named = classes.select("digest", F.col("doc_id").alias("rep")).join(labels, "rep", "left")
     named = save(named.select("digest", F.coalesce("label", "rep").alias("component_id")), "named")
+    drop_saved(docs.sparkSession, signed, named, since=before)
     out = signed.where(worded).select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     alone = signed.where(~worded).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, shuffle_partitions
+from tidemark.llm.common import discard, save, shuffle_partitions
 
 LANES = 4096
 SCALE_BITS = 20
@@ -396,4 +396,6 @@ def read_blocks(blocks: DataFrame, table: DataFrame, keep_ids: bool = False) ->
 def token_file(docs: DataFrame, tokenizer_file: str, end_id: int, **options) -> tuple[DataFrame, DataFrame]:
     """Encode documents (doc_id, text) and write them as a token file: (blocks, table)."""
     tokens = save(tokenize(docs, tokenizer_file, end_id), "token-ids", compression="zstd")
-    return write_blocks(tokens, **options)
+    written = write_blocks(tokens, **options)
+    discard(tokens)
+    return written
