@@ -24,7 +24,7 @@ MIX_COLUMNS = {"topic", "n_tokens", "weight", "probability", "kept"}
 def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs written with a key of each row, so that decisions hold for rows, whatever their doc_ids."""
     key = fresh(docs.columns, "row")["row"]
-    return save(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+    return save(docs.withColumn(key, F.monotonically_increasing_id()), "rows", compression="zstd"), key
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = near_dedup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), SIMILARITY)
     ids = rows.select(F.col(key).alias("k"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key)).alias("place"))
     placed = save(found.select(F.col("doc_id").alias("k"), "component_id").join(ids, "k"), "placed")
-    first = placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that a component with a third of all rows is a skewed side of a join that Spark splits.
+    first = save(placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     copies = placed.join(first, "component_id").where("place <> first").select(F.col("k").alias(key))
     return rows.join(copies, key, "left_anti").select(*docs.columns)
 
@@ -85,7 +86,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), saved()
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_saved(spark, docs, before)
+        drop_saved(spark, docs, since=before)
     return docs
 
 
