@@ -38,9 +38,7 @@ QUICK = [
     "win_event_persistence", "win_targets", "flt_time_range", "win_gaps", "spl_expanding_folds", "spl_nested_plan", "grid_signal_specs",
     "grid_candidates", "grid_parsed_specs", "grid_structural", "grid_policies", "inf_holm", "joi_unknown_ids", "lim_evenly_spaced",
     "met_loss_brier", "met_ece", "met_auc", "pol_cost_grid", "agg_monthly", "drf_cusum", "gat_family_decision", "win_spec_scores",
-    "agg_locked_measures", "inf_dm_test", "gat_locked_checks", "agg_cost_sensitivity", "joi_subperiod_economics", "joi_state_frame",
-    "joi_fold_assignment", "win_rolling_edge", "set_signal_specs", "flt_feature_dictionary", "prj_screening_columns", "gat_evidence_grade",
-    "gat_robustness_class",
+    "inf_dm_test", "gat_locked_checks", "joi_fold_assignment", "win_rolling_edge", "gat_robustness_class",
 ]
 
 
