@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_extract, interpolated_lm, mixing, near_dedup, quality, token_binary, toxicity, url_filter, va_search
+from tidemark.llm import decontaminate, html_extract, interpolated_lm, mixing, near_dedup, quality, scan_queries, token_binary, toxicity, url_filter, va_search
 from tidemark.llm.common import save, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -206,8 +206,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_va_search": op9_va_search,
         "op10_mixing": op10_mixing,
+        **scan_queries.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op4_decontaminate": OP4_SQL, "op7_near_dedup": OP7_SQL, "op9_va_search": OP9_SQL, "op10_mixing": _op10_sql()}
+    return {"op1_url_filter": OP1_SQL, "op4_decontaminate": OP4_SQL, "op7_near_dedup": OP7_SQL, "op9_va_search": OP9_SQL, "op10_mixing": _op10_sql(), **scan_queries.oracle_sql()}

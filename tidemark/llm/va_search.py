@@ -40,17 +40,18 @@ QUERY_ROWS = 256
 FILE = "block long, n long, dims long, kind string, ids binary, exact binary, turn binary, cells binary, low binary, width binary"
 
 
-def _valid(vector: Column) -> Column:
+def valid(vector: Column) -> Column:
+    """Whether a vector is there and holds finite numbers only."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vector.isNotNull() & whole
 
 
-def whole_numbers(parts: list[np.ndarray]) -> np.ndarray:
+def whole_numbers(parts: list[np.ndarray], scale: int = SCALE) -> np.ndarray:
     """Scaled components as int64, one row a vector."""
     x = np.zeros((len(parts), max((len(p) for p in parts), default=0)))
     for i, p in enumerate(parts):
         x[i, : len(p)] = p
-    x = np.floor(SCALE * x)
+    x = np.floor(scale * x)
     if np.abs(x).max(initial=0) >= 2.0**62:
         raise OverflowError("a scaled component needs more than 62 bits")
     return x.astype(np.int64)
@@ -77,7 +78,7 @@ def turns(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _small(x: np.ndarray) -> np.ndarray:
+def narrow(x: np.ndarray) -> np.ndarray:
     """The narrowest of 16, 32 and 64 bits that holds all values."""
     top = np.abs(x).max(initial=0)
     return x.astype("<i2" if top < 2**15 else "<i4" if top < 2**31 else "<i8")
@@ -89,7 +90,7 @@ def approximate(vectors: DataFrame, block_rows: int = BLOCK_ROWS, cell_bits: int
     def pack(number: int, ids: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
         x, i = whole_numbers(parts), np.array(ids, np.int64)
         code, low, width = cells(x, cell_bits)
-        exact = _small(x)
+        exact = narrow(x)
         row = {"block": number, "n": len(i), "dims": x.shape[1], "kind": exact.dtype.str, "ids": i.tobytes(), "exact": exact.tobytes(), "turn": turns(i, x).astype(np.uint32).tobytes(), "cells": code.astype(np.uint8).tobytes(), "low": low.tobytes(), "width": width.tobytes()}
         return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()})
 
@@ -191,7 +192,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col("embedding").cast("array<double>")
-        return df.where(F.col("vec_id").isNotNull() & _valid(v)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+        return df.where(F.col("vec_id").isNotNull() & valid(v)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
     if not (0 < block_rows <= 65536 and 0 < cell_bits <= 8):
         raise ValueError("blocks hold up to 65536 rows, cells up to 8 bits")
