@@ -8,7 +8,7 @@ from tidemark.functions import indicators as I
 from tidemark.operators import inference, selectors, splits, states
 from tidemark.plans import evidence_queries, first_generation, locked_evidence, second_generation
 from tidemark.plans import inputs as N
-from tidemark.sources.saved import save
+from tidemark.sources.saved import is_saved, save
 
 
 def _with_states(s, d):
@@ -33,7 +33,7 @@ _NESTED: dict[tuple[str, str], dict] = {}
 def nested(s, d) -> dict:
     """The nested job's tables; a session runs the job once for a folder and rereads what it wrote."""
     key = (s.sparkContext.applicationId, d)
-    if key not in _NESTED:
+    if key not in _NESTED or not all(map(is_saved, _NESTED[key].values())):
         rows, n, targets = _nested_frame(s, d)
         found = second_generation.nested_selection(rows, targets, evidence_queries.scores(s, d), n)
         _NESTED[key] = {name: save(df, name) for name, df in found.items() if name in ("outer", "admission", "decisions", "structural", "inner")}

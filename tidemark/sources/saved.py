@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SAVED: dict[str, None] = {}
+_RUN: ContextVar[Run | None] = ContextVar("run", default=None)
+
+
+class Run:
+    """Owns the tables that this thread saves while the run is open, and may delete those alone.
+
+    Runs nest: what an inner run has left when it closes belongs to the outer one. Another thread's
+    tables are another run's, whatever the order of their writes.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Run:
+        self.outer = _RUN.get()
+        _RUN.set(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _RUN.set(self.outer)
+        if self.outer is not None:
+            self.outer.paths |= self.paths
+
+    def drop(self, *keep: DataFrame) -> int:
+        """Delete this run's tables but for `keep`; their number."""
+        kept = {df.saved_at for df in keep}
+        gone = [path for path in self.paths if path not in kept]
+        for path in gone:
+            self.paths.pop(path)
+            if path in _SAVED:
+                _delete(self.spark, path)
+        return len(gone)
 
 
 def save(df: DataFrame, name: str, **options) -> DataFrame:
@@ -38,6 +71,8 @@ def save(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _SAVED[path] = None
+    if (run := _RUN.get()) is not None:
+        run.paths[path] = None
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
@@ -61,15 +96,15 @@ def discard(*saved: DataFrame) -> None:
         _delete(df.sparkSession, df.saved_at)
 
 
-def saved() -> frozenset[str]:
-    """The places of the tables that this process has saved and not deleted."""
-    return frozenset(_SAVED)
+def is_saved(df: DataFrame) -> bool:
+    """Whether a saved table is still there."""
+    return df.saved_at in _SAVED
 
 
-def drop_saved(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozenset()) -> int:
-    """Delete the tables that this process has saved, but for `keep` and those that were there in `since`."""
+def drop_saved(spark: SparkSession, *keep: DataFrame) -> int:
+    """Delete all tables that this process has saved, but for `keep`: for its end, not for its operators."""
     kept = {df.saved_at for df in keep}
-    gone = [path for path in _SAVED if path not in since and path not in kept]
+    gone = [path for path in _SAVED if path not in kept]
     for path in gone:
         _delete(spark, path)
     return len(gone)
