@@ -49,6 +49,55 @@ def test_saved_tables_can_be_dropped(spark):
         kept.count()
 
 
+def test_a_run_deletes_its_own_tables_alone(spark):
+    from threading import Event, Thread
+
+    from tidemark.llm.common import Run
+
+    theirs, go, seen = {}, Event(), {}
+
+    def other():
+        with Run(spark) as run:
+            theirs["a"] = save(spark.range(3), "other")
+            seen["saved"].set()
+            go.wait(60)
+            theirs["n"] = theirs["a"].count()
+            theirs["gone"] = run.drop()
+
+    seen["saved"] = Event()
+    thread = Thread(target=other)
+    thread.start()
+    assert seen["saved"].wait(60)
+    with Run(spark) as outer:
+        with Run(spark) as inner:
+            first, second = save(spark.range(2), "first"), save(spark.range(4), "second")
+            assert inner.drop(second) == 1
+        assert second.count() == 4
+        with pytest.raises(Exception):
+            first.count()
+        assert outer.drop() == 1
+    go.set()
+    thread.join()
+    assert theirs["n"] == 3 and theirs["gone"] == 1
+
+
+def test_many_texts_under_one_doc_id_make_rows_in_proportion(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [random_text(rng, 60) for _ in range(3)]
+    rows = [(7, f"{base[k % 3]} tail{k} end{k}") for k in range(900)] + [(8, f"{base[0]} tail9999 end1"), (9, random_text(rng, 60))]
+    rows += [(7, rows[0][1])] * 50
+    made, save_ = {}, near_dedup.save
+    monkeypatch.setattr(near_dedup, "save", lambda df, name: made.setdefault(f"{name}{len(made)}", save_(df, name)))
+    counts = {}
+    monkeypatch.setattr(near_dedup, "discard", lambda *dfs: None)
+    monkeypatch.setattr(near_dedup.Run, "drop", lambda self, *keep: 0)
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs_of(spark, rows), 85).collect()}
+    assert got == {(7, 7), (8, 7), (9, 9)}
+    for name, df in made.items():
+        counts[name] = df.count()
+    assert sum(n for name, n in counts.items() if name.startswith("members")) <= 30 * 902
+
+
 def test_components_by_union(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (20, 11), (7, 7), (None, 3)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.saved import discard, drop_saved, save, saved, shared_dir  # noqa: F401  (used by the operators)
+from tidemark.sources.saved import Run, discard, drop_saved, save, shared_dir  # noqa: F401  (used by the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,6 +23,9 @@ order to the others, so blocks, and buckets of one cluster, mostly return the sa
 The chance that a pair with similarity 0.85 shares no band is (1 - 0.85**5)**26 < 3e-7, and that
 the screen (five standard deviations below the threshold) drops it is about the same.
 
+Classes go by the key of their first row: its doc_id and the hash of its text (KEY), so many texts under
+one doc_id are as many members, each met once, and are joined by their doc_id alone at the end.
+
 Defined results: a text that is null or has no words has no shingles, is its own component and is
 kept; fewer than five words are one shingle; rows that repeat a doc_id share one component; a row
 without doc_id takes part in nothing, has no component and is kept; an empty table gives an empty
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, drop_saved, save, saved, shuffle_partitions
+from tidemark.llm.common import Run, discard, save, shuffle_partitions
 from tidemark.llm.components import connected_components
 
 SHINGLE = 5
@@ -48,6 +51,7 @@ BITS = 4
 PER_WORD = 64 // BITS
 WORDS = -(-PERMS // PER_WORD)
 BLOCK_ROWS, BLOCK_SHINGLES = 200, 500_000
+KEY = ["doc_id", "text_key"]
 HUBS = 8
 WORD_CACHE = 200_000
 
@@ -127,8 +131,13 @@ def most_mismatches(percent: int) -> int:
     return int(np.floor(PERMS * p + 5 * np.sqrt(PERMS * p * (1 - p))))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text)"""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, bits); digest, bands and bits are null without words."""
+    """(doc_id, text_key, n_shingles, digest, bands, bits); digest, bands and bits are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -151,12 +160,11 @@ def sign(docs: DataFrame) -> DataFrame:
                 else:
                     digest.append(None), bands.append(None), bits.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "bands", "bits"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=[*KEY, "n_shingles", "digest", "bands", "bits"],
             )
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, bits binary")
 
 
 def link_unit(ids: list[int], place: np.ndarray, outside: np.ndarray, size: np.ndarray, bits: np.ndarray, labels: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
@@ -235,17 +243,17 @@ def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def _forest(members: DataFrame, payload: list[DataFrame], percent: int, cost: str | None = None) -> DataFrame:
-    """(a, b): a spanning forest of the links within every group of members (grp, doc_id[, cost]).
+    """(a, b): a spanning forest of the links within every group of members (grp, doc_id, text_key[, cost]).
 
-    payload: tables that give (doc_id, n_shingles, bits[, text]).
+    payload: tables that give (doc_id, text_key, n_shingles, bits[, text]), a row a member.
     """
     share = F.greatest(F.count("*") / BLOCK_ROWS, F.sum(cost or F.lit(0)) / BLOCK_SHINGLES)
     sizes = members.groupBy("grp").agg(F.count("*").alias("k"), F.ceil(share).cast("int").alias("blocks")).where("k > 1")
-    place = F.xxhash64("doc_id", F.lit(3))
+    place = F.xxhash64(*KEY, F.lit(3))
     first_few = place.cast("double") < F.lit(-(2.0**63)) + F.lit(2.0**64) * HUBS / F.col("k")  # about HUBS of the group's k members
-    placed = members.select("grp", "doc_id").join(sizes, "grp").withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), "place": place, "hub": (F.col("blocks") > 1) & first_few})
+    placed = members.select("grp", *KEY).join(sizes, "grp").withColumns({"block": F.pmod(F.xxhash64(*KEY), F.col("blocks")).cast("int"), "place": place, "hub": (F.col("blocks") > 1) & first_few})
     for part in payload:
-        placed = placed.join(part, "doc_id")
+        placed = placed.join(part, KEY)
     placed = save(placed.drop("k"), "members")
     kept = ["place", "n_shingles", "bits", *(["text"] if "text" in placed.columns else [])]
     own = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
@@ -262,7 +270,7 @@ def _forest(members: DataFrame, payload: list[DataFrame], percent: int, cost: st
     rest = parts.groupBy("grp").agg(F.max_by("label", "n").alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
     rest = rest.select("grp", "most", F.ceil(F.col("others") / BLOCK_ROWS).cast("int").alias("lots"))
     left = cut.join(tagged, ["grp", "doc_id"]).join(rest, "grp").withColumn("other", F.col("label") != F.col("most"))
-    lot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("lots")).cast("int")
+    lot = F.pmod(F.xxhash64(*KEY, F.lit(5)), F.col("lots")).cast("int")
     inner = left.select("grp", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "doc_id", F.lit(False).alias("outside"), "label", *kept)
     outer = left.where("other").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), lot.alias("lot"), "doc_id", F.lit(True).alias("outside"), "label", *kept)
     more = save(_units(inner.union(outer), ["grp", "block", "lot"], percent), "links")
@@ -275,21 +283,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Documents are linked where 100 * shingles in both >= percent * shingles in either.
     """
-    before = saved()
-    signed = save(sign(docs), "signatures")
-    worded = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
-    classes = signed.where(worded).groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "bits"), "doc_id").alias("r")).select("digest", "r.*")
-    classes = save(classes, "classes")
-    sized = classes.select("doc_id", "n_shingles", "bits")
-    near = _forest(classes.select(F.explode("bands").alias("grp"), "doc_id"), [sized], percent)
-    groups = connected_components(near).select(F.col("node").alias("doc_id"), F.col("label").alias("grp"))
-    members = save(groups.join(sized.select("doc_id", "n_shingles"), "doc_id"), "groups")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    links = _forest(members, [sized, text], percent, "n_shingles")
-    labels = connected_components(links).select(F.col("node").alias("rep"), "label")
-    named = classes.select("digest", F.col("doc_id").alias("rep")).join(labels, "rep", "left")
-    named = save(named.select("digest", F.coalesce("label", "rep").alias("component_id")), "named")
-    drop_saved(docs.sparkSession, signed, named, since=before)
+    with Run(docs.sparkSession) as run:
+        signed = save(sign(docs), "signatures")
+        worded = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+        classes = signed.where(worded).groupBy("digest").agg(F.min_by(F.struct(*KEY, "n_shingles", "bands", "bits"), F.struct(*KEY)).alias("r")).select("digest", "r.*")
+        classes = save(classes, "classes")
+        sized = classes.select(*KEY, "n_shingles", "bits")
+        near = _forest(classes.select(F.explode("bands").alias("grp"), *KEY), [sized], percent)
+        groups = connected_components(near).select(F.col("node").alias("doc_id"), F.col("label").alias("grp"))
+        members = save(groups.join(sized.select(*KEY, "n_shingles"), "doc_id"), "groups")
+        # Rows that repeat both doc_id and text are one member; the order that the join leaves serves the aggregate.
+        text = keyed(docs).join(members.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
+        links = _forest(members, [sized, text], percent, "n_shingles")
+        labels = connected_components(links).select(F.col("node").alias("rep"), "label")
+        named = classes.select("digest", F.col("doc_id").alias("rep")).join(labels, "rep", "left")
+        named = save(named.select("digest", F.coalesce("label", "rep").alias("component_id")), "named")
+        run.drop(signed, named)
     out = signed.where(worded).select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     alone = signed.where(~worded).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
