@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, near_dedup, quality, token_binary
-from tidemark.llm.common import drop_saved, fresh, save, saved, table
+from tidemark.llm.common import Run, fresh, save, table
 from tidemark.llm.queries import END_ID, tokenizer_path
 
 SIMILARITY = 80
@@ -83,10 +83,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each result is written and read again as the next one's documents, and the
     tables that made it are deleted."""
-    docs, before = table(spark, sf_dir, "documents"), saved()
-    for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_saved(spark, docs, since=before)
+    docs = table(spark, sf_dir, "documents")
+    with Run(spark) as own:
+        for name, stage in STAGES:
+            docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            own.drop(docs)
     return docs
 
 
