@@ -18,6 +18,12 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        # The status store keeps plans and stages for a user interface that tests do not show: with
+        # the defaults (1000 executions with their plans) it fills the heap over the suite.
+        .config("spark.sql.ui.retainedExecutions", "5")
+        .config("spark.ui.retainedJobs", "20")
+        .config("spark.ui.retainedStages", "20")
+        .config("spark.ui.retainedTasks", "500")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
 from tidemark.functions import metrics as M
-from tidemark.operators import checks, drift, gates, grids, inference, models, policy, selectors, splits, states, summaries
+from tidemark.operators import checks, drift, gates, grids, inference, models, policy, selectors, splits, summaries
 from tidemark.sources import paged
 from tidemark.sources.bars import standardize
 
@@ -180,13 +180,6 @@ def test_trim_keeps_all_at_zero(spark):
     assert got == {0.0: 101, 0.1: 81}
 
 
-def test_state_filter_is_causal():
-    rng = np.random.default_rng(8)
-    logp, start, move = rng.normal(size=(60, 3)), np.full(3, 1 / 3), np.full((3, 3), 1 / 3)
-    p = states.filter_rows(logp, start, move)
-    assert np.allclose(p.sum(axis=1), 1) and np.allclose(states.filter_rows(logp[:30], start, move), p[:30])
-
-
 def test_paged_source(spark):
     def fetch(since, limit):
         return [(ms, 1.0, 2.0, 0.5, 1.5, 3.0) for ms in range((since + 999) // 1000 * 1000, 50_000, 1000)][:limit]

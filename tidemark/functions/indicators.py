@@ -6,14 +6,11 @@ groups with one ordering are made in one select, so they share one sort.
 
 from __future__ import annotations
 
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.operators.scans import affine_scan
 from tidemark.sources.bars import by_time
 
 BASELINE = ["pri_ret_1", "pri_ret_3", "ctx_ret_1", "ctx_ret_3", "trend_12", "vol_20", "range_12", "volume_z", "regime_range", "regime_trend", "regime_stress"]
@@ -62,23 +59,29 @@ def relative_strengths(frame: DataFrame, periods: dict[str, int], price: str = "
     """Adds Wilder's index for several periods (name: period); NULL until `period` moves are there and
     wherever the mean loss is 0.
 
-    The smoothing is a true recursion, so a symbol's bars go through one grouped call, which passes the
-    other columns on as they are. A series has one row a bar, so its size is set by the time it spans,
-    not by the number of ticks.
+    The smoothed gains and losses are linear recurrences, so all of them are one scan over chunks of the
+    series. A move that is missing leaves the means as they are, and the older moves weigh less by the
+    bars that went by.
     """
-
-    def smooth(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("ts")
-        move = pd.Series(rows.column(price).to_numpy(zero_copy_only=False)).astype(float).diff()
-        for name, period in periods.items():
-            mean = lambda x: x.ewm(alpha=1.0 / period, adjust=False, min_periods=period).mean()  # noqa: B023, E731
-            gain, loss = mean(move.clip(lower=0.0)), mean(-move.clip(upper=0.0))
-            value = (100.0 - 100.0 / (1.0 + gain / loss.where(loss != 0.0))).clip(0.0, 100.0)
-            rows = rows.append_column(name, pa.array(value, pa.float64(), from_pandas=True))
-        return rows
-
-    kept = frame.drop(*periods)
-    return kept.groupBy("symbol").applyInArrow(smooth, T.StructType([*kept.schema.fields, *(T.StructField(n, T.DoubleType()) for n in periods)]))
+    kept, w = frame.drop(*periods), by_time()
+    moves = kept.withColumn("__m", F.col(price).cast("double") - F.lag(F.col(price).cast("double")).over(w))
+    moves = moves.withColumns({"__m": F.when(~F.isnan("__m"), F.col("__m")), "__rn": F.row_number().over(w)})
+    there = F.col("__m").isNotNull()
+    seen = moves.withColumns({"__n": F.count("__m").over(w.rowsBetween(W.unboundedPreceding, 0)), "__was": F.last(F.when(there, F.col("__rn")), True).over(w.rowsBetween(W.unboundedPreceding, -1))})
+    gain, loss = (F.when(F.col("__m").isNotNull(), F.greatest(sign * F.col("__m"), F.lit(0.0))) for sign in (1, -1))
+    later, gap, steps = there & (F.col("__n") > 1), F.col("__rn") - F.col("__was"), []
+    for name, period in periods.items():
+        new = 1.0 / period
+        if period == 1:
+            continue
+        old = F.pow(F.lit(1.0 - new), gap)
+        share = F.when(later, new / (old + new)).when(there, 1.0).otherwise(0.0)
+        steps.append((F.when(later, F.log(old / (old + new))).otherwise(0.0), {f"__{side}_{name}": share * F.coalesce(move, F.lit(0.0)) for side, move in (("g", gain), ("l", loss))}))
+    means = affine_scan(seen, ["symbol"], "ts", steps) if steps else seen
+    for name in [n for n, p in periods.items() if p == 1]:
+        means = means.withColumns({f"__{side}_{name}": F.last(move, True).over(w) for side, move in (("g", gain), ("l", loss))})
+    index = lambda n, p: F.when((F.col("__n") >= p) & (F.col(f"__l_{n}") != 0), F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 - 100.0 / (1.0 + F.col(f"__g_{n}") / F.col(f"__l_{n}")))))
+    return means.select(*kept.columns, *[index(n, p).alias(n) for n, p in periods.items()])
 
 
 def relative_strength(frame: DataFrame, period: int = 14, price: str = "pri_close", name: str = "rsi") -> DataFrame:

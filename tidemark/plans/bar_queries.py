@@ -78,7 +78,7 @@ FROM (SELECT *, (epoch(ts) - epoch(lag(ts) OVER (PARTITION BY symbol ORDER BY ts
         sql(BARS, "SELECT * FROM (SELECT 'positive_prices' AS rule, count(*) FILTER (NOT (least(open, high, low, close) > 0)) AS violations FROM bars UNION ALL SELECT 'high_is_top', count(*) FILTER (NOT (high >= greatest(open, close))) FROM bars UNION ALL SELECT 'busy', count(*) FILTER (NOT (volume >= 5)) FROM bars)"),
     ),
     "chk_prefix_invariance": (
-        lambda s, d: N.out(checks.prefix_invariance(lambda p: I.returns_and_scale(p), N.panel(s, d), "2024-01-20 00:00:00", ["pri_ret_1", "trend_12", "vol_20", "range_12", "volume_z"])),
+        lambda s, d: N.out(checks.prefix_invariance(lambda p: I.returns_and_scale(p), N.panel(s, d), N.two_thirds(N.panel(s, d)), ["pri_ret_1", "trend_12", "vol_20", "range_12", "volume_z"])),
         "SELECT unnest(['pri_ret_1', 'trend_12', 'vol_20', 'range_12', 'volume_z']) AS \"column\", CAST(0 AS DOUBLE) AS max_error, CAST(0 AS BIGINT) AS null_mismatches",
     ),
     "joi_aligned": (lambda s, d: N.out(N.panel(s, d)), sql(BARS, f"SELECT symbol, ts, {r6('pri_open', 'pri_high', 'pri_low', 'pri_close', 'pri_volume', 'ctx_close', 'ctx_volume')} FROM panel")),

@@ -42,6 +42,9 @@ def event_table(frame: DataFrame, config: Config) -> DataFrame:
     return out.withColumn("verdict", gates.event_verdict(F.col("event_count"), F.col("ci_lower"), F.col("ci_upper"), F.col("p_value")))
 
 
+STATE_STARTS = 20
+
+
 def predictions(frame: DataFrame, config: Config) -> DataFrame:
     """Matched probabilities of every signal's test rows, with losses, positions, returns and the latent
     regime: each fold's state model is fitted on its training rows and filtered onto its test rows."""
@@ -55,7 +58,7 @@ def predictions(frame: DataFrame, config: Config) -> DataFrame:
         extra = [c for c in columns if c not in I.BASELINE]
         p = models.matched_folds(parts.withColumn("signal", F.lit(signal)), ["signal", "fold"], I.BASELINE, extra, "target_up", "linear", {"c": 1.0, "balanced": True})
         out = p if out is None else out.unionByName(p)
-    latent = states.fold_states(parts, ["fold"], starts=20)
+    latent = states.fold_states(parts, ["fold"], STATE_STARTS)
     p_state = [f"state_p_{s}" for s in states.STATES]
     facts = parts.where("part = 'test'").select("symbol", "fold", "ts", "future_return", "target_up").join(latent, ["symbol", "fold", "ts"]).select("fold", "ts", "future_return", "target_up", F.col("state_label").alias("regime"), *p_state, F.greatest(*p_state).alias("regime_probability"))
     return policy.banded_returns(summaries.scored(out.join(facts, ["fold", "ts"])), ["signal", "fold"], config.cost_bps)

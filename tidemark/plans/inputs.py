@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +41,13 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.feature_frame(panel(spark, sf_dir))
 
 
+def two_thirds(frame: DataFrame) -> str:
+    """The time two thirds of the way from a table's first to its last, in whole seconds."""
+    ends = frame.agg(F.min("ts").cast("string"), F.max("ts").cast("string")).first()
+    first, last = (datetime.fromisoformat(x or "2024-01-01") for x in ends)
+    return str(first + timedelta(seconds=(last - first) // timedelta(seconds=1) * 2 // 3))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in predictions that SQL can express too: the benchmark reads the trend alone, the
     candidate a signal's score besides; five folds in time order; V1 positions and returns."""

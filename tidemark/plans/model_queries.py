@@ -11,10 +11,6 @@ from tidemark.plans import inputs as N
 from tidemark.sources.saved import is_saved, save
 
 
-def _with_states(s, d):
-    return second_generation.with_states(N.features(s, d), "2024-01-20 00:00:00")
-
-
 def _nested_frame(s, d):
     """Complete rows for the nested job, their number, and the targets of every horizon."""
     rows = I.complete_rows(N.features(s, d), [*dict.fromkeys([*second_generation.BASE, *states.INPUTS])])
@@ -89,12 +85,6 @@ def calibrations(s, d):
     return N.out(out.groupBy("method", F.col("inner_fold").alias("fold")).agg(F.count("*").alias("n"), F.avg("candidate_probability").alias("mean_candidate"), F.avg("benchmark_probability").alias("mean_benchmark"), F.avg("incremental_log_loss").alias("incremental_log_loss")))
 
 
-def state_parameters(s, d):
-    p = states.fit(N.features(s, d), seeds=3)
-    rows = [(k, *map(float, p["means"][i]), *map(float, p["transition"][i]), float(p["start"][i])) for i, k in enumerate(states.STATES)]
-    return N.out(s.createDataFrame(rows, "state string, mean_return double, mean_scale double, mean_trend double, to_range double, to_trend double, to_stress double, start double"))
-
-
 ENTRIES = {
     "inf_bootstrap": (lambda s, d: N.out(inference.bootstrap_mean(N.predictions(s, d), ["signal"], "incremental_net_edge", 2000, 10)), None),
     "inf_bootstrap_blocks": (lambda s, d: N.out(inference.bootstrap_mean(N.matched(s, d), ["signal"], "incremental_log_loss", 5000, 21)), None),
@@ -106,8 +96,6 @@ ENTRIES = {
     "gat_family_decision_fitted": (lambda s, d: N.out(nested(s, d)["decisions"]), None),
     "sel_component_fitted": (components, None),
     "agg_state_shares": (fold_states, None),
-    "sta_parameters": (state_parameters, None),
-    "sta_filter": (lambda s, d: N.out(_with_states(s, d).select("ts", *second_generation.STATE_COLUMNS, "state_label")), None),
     "mod_offset_screen": (screen, None),
     "mod_structures": (structures, None),
     "mod_calibrations": (calibrations, None),

@@ -25,10 +25,9 @@ FOLD = ["horizon", "outer_fold", "inner_fold"]
 BASE = ["pri_ret_1", "pri_ret_3", "ctx_ret_1", "ctx_ret_3", "trend_12", "vol_20", "range_12", "volume_z"]
 
 
-def with_states(frame: DataFrame, train_until: str, params: dict | None = None) -> DataFrame:
+def with_states(frame: DataFrame, train_until: str, starts: int = states.STARTS) -> DataFrame:
     """Adds filtered state probabilities of a model fitted on rows up to a time."""
-    fitted = params or states.fit(frame.where(F.col("ts") <= F.lit(train_until).cast(frame.schema["ts"].dataType)), seeds=3)
-    return frame.join(states.forward_filter(frame, fitted), ["symbol", "ts"], "left")
+    return frame.join(states.forward_filter(frame, states.fit(frame.where(F.col("ts") <= F.lit(train_until).cast(frame.schema["ts"].dataType)), starts)), ["symbol", "ts"], "left")
 
 
 def fold_rows(frame: DataFrame, targets: DataFrame, plan: DataFrame) -> DataFrame:

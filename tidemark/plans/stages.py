@@ -11,7 +11,6 @@ import json
 import sys
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,20 +66,9 @@ def prefix_audit(build: Callable[[DataFrame], DataFrame], panel: DataFrame, unti
 
 def fold_parameters(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, parameters, sha256, least_eigenvalue, transition_error) of every fold's state model."""
-    types = dict(rows.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        p = states.fit_rows(pdf.sort_values("ts")[list(states.INPUTS)].to_numpy(float))
-        if p is None:
-            return pd.DataFrame({**{k: pdf[k].iloc[:0] for k in keys}, "parameters": [], "least_eigenvalue": [], "transition_error": []})
-        eigen = np.linalg.eigvalsh(p["cov"])
-        text = sinks.canonical_json({**{k: np.asarray(v).tolist() for k, v in p.items()}, "eigenvalues": eigen.tolist()})
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "parameters": [text], "least_eigenvalue": [float(eigen.min())], "transition_error": [float(np.abs(p["transition"].sum(axis=1) - 1).max())]})
-
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", parameters string, least_eigenvalue double, transition_error double"
-    fitted = rows.where("part = 'train'").select(*keys, "ts", *states.INPUTS).na.drop().groupBy(*keys).applyInPandas(one, schema)
+    found = states.parameter_text(states.fit_folds(rows, keys), keys)
+    schema = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys) + ", parameters string, least_eigenvalue double, transition_error double"
+    fitted = rows.sparkSession.createDataFrame([(*fold, *rest) for fold, *rest in found], schema)
     return fitted.withColumn("sha256", F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], "parameters"), 256))
 
 
