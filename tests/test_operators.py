@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
 from tidemark.functions import metrics as M
-from tidemark.operators import checks, drift, gates, grids, inference, models, policy, selectors, splits, summaries
+from tidemark.operators import checks, drift, gates, grids, inference, models, policy, resampling, selectors, splits, summaries
 from tidemark.sources import paged
 from tidemark.sources.bars import standardize
 
@@ -92,9 +92,9 @@ def test_block_means_equal_a_loop():
 
 def test_bootstrap_and_random_events_are_deterministic(spark):
     df = series(spark, list(np.random.default_rng(3).normal(0.01, 0.02, 120)), "r").withColumn("pos", F.when(F.minute("ts") % 5 == 0, 1.0).otherwise(0.0))
-    a, b = (inference.bootstrap_mean(df, ["symbol"], "r", 200, 10).first() for _ in range(2))
+    a, b = (resampling.bootstrap_mean(df, ["symbol"], "r", 200, 10).first() for _ in range(2))
     assert a == b and a["lower"] < a["mean"] < a["upper"]
-    p = inference.random_event_pvalue(df, ["symbol"], "pos", "r", 0.0, 100).first()
+    p = resampling.random_event_pvalue(df, ["symbol"], "pos", "r", 0.0, 100).first()
     assert p["events"] == 24 and 0 < p["p_value"] <= 1
     assert inference.normal_survival(0.0) == 0.5
 

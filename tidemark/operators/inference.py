@@ -1,93 +1,14 @@
-"""Resampling, long-run variances, multiplicity control."""
+"""Long-run variances, tests and multiplicity control."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def block_means(values: np.ndarray, samples: int, block: int, seed: int = 42) -> np.ndarray:
-    """Means of moving-block resamples; starts are drawn evenly, the last block is cut to length."""
-    n = len(values)
-    block = min(block, n)
-    per = -(-n // block)
-    starts = np.random.default_rng(seed).integers(0, n - block + 1, size=(samples, per))
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    whole = sums[starts + block] - sums[starts]
-    cut = n - (per - 1) * block
-    whole[:, -1] = sums[starts[:, -1] + cut] - sums[starts[:, -1]]
-    return whole.sum(axis=1) / n
-
-
-def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, samples: int = 2000, block: int = 10, seed: int = 42) -> DataFrame:
-    """(keys, n, mean, lower, upper, p_not_positive) by moving blocks over each group's time order.
-
-    A group is one evaluation series: one row a bar, so its size is set by the time it spans.
-    """
-    types = dict(rows.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("ts")[value].to_numpy(np.float64)
-        x = x[np.isfinite(x)]
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        if not len(x):
-            return pd.DataFrame({**head, "n": [0], "mean": [None], "lower": [None], "upper": [None], "p_not_positive": [None]})
-        means = block_means(x, samples, block, seed)
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({**head, "n": [len(x)], "mean": [x.mean()], "lower": [low], "upper": [high], "p_not_positive": [float((means <= 0).mean())]})
-
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n long, mean double, lower double, upper double, p_not_positive double"
-    return rows.select(*keys, "ts", F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(one, schema)
-
-
-def bootstrap_means(rows: DataFrame, keys: list[str], values: list[str], blocks: tuple[int, ...], samples: int = 5000, seed: int = 42) -> DataFrame:
-    """(keys, value, block, n, mean, lower, upper, p_not_positive) of several values and block lengths, a
-    group's series sorted once."""
-    types = dict(rows.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, found = pdf.sort_values("ts"), []
-        for value in values:
-            x = pdf[value].to_numpy(np.float64)
-            x = x[np.isfinite(x)]
-            for block in blocks if len(x) else ():
-                means = block_means(x, samples, block, seed)
-                found.append((value, block, len(x), x.mean(), *np.quantile(means, [0.025, 0.975]), (means <= 0).mean()))
-        out = pd.DataFrame(found, columns=["value", "block", "n", "mean", "lower", "upper", "p_not_positive"])
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *out.columns]]
-
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", value string, block int, n long, mean double, lower double, upper double, p_not_positive double"
-    return rows.select(*keys, "ts", *[F.col(v).cast("double").alias(v) for v in values]).groupBy(*keys).applyInPandas(one, schema)
-
-
-def random_event_pvalue(rows: DataFrame, keys: list[str], position: str, ret: str, cost_rate: float, samples: int = 2000, seed: int = 42) -> DataFrame:
-    """(keys, events, observed, p_value): as many random bars with the same positions, shuffled."""
-    types = dict(rows.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        r, pos = pdf[ret].to_numpy(np.float64), pdf[position].to_numpy(np.float64)
-        ok = np.isfinite(r)
-        events = pos[ok & (pos != 0)]
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        if not len(events):
-            return pd.DataFrame({**head, "events": [0], "observed": [None], "p_value": [None]})
-        seen = float((events * r[ok & (pos != 0)] - 2 * cost_rate).mean())
-        rng, hits, pool = np.random.default_rng(seed), 0, r[ok]
-        for _ in range(samples):
-            drawn = rng.choice(pool, size=len(events), replace=True)
-            hits += (rng.permutation(events) * drawn - 2 * cost_rate).mean() >= seen
-        return pd.DataFrame({**head, "events": [len(events)], "observed": [seen], "p_value": [(hits + 1) / (samples + 1)]})
-
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", events long, observed double, p_value double"
-    return rows.select(*keys, "ts", position, ret).groupBy(*keys).applyInPandas(one, schema)
-
-
 def newey_west(rows: DataFrame, keys: list[str], value: str, lag: int) -> DataFrame:
     """(keys, n, mean, variance, statistic): long-run variance of a mean with Bartlett weights."""
     centred = rows.withColumn("__x", F.col(value) - F.avg(value).over(W.partitionBy(*keys)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import checks, drift, gates, inference, models, policy, splits, states, summaries
+from tidemark.operators import checks, drift, gates, models, policy, resampling, splits, states, summaries
 from tidemark.sources import bars as B
 from tidemark.sources import sinks
 from tidemark.sources.saved import save
@@ -36,8 +36,8 @@ def event_table(frame: DataFrame, config: Config) -> DataFrame:
     long = frame.where("future_return is not null").select("ts", "future_return", F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(c).alias("position")) for s, (c, _) in SIGNALS.items()])))
     one = summaries.event_study(frame, {s: c for s, (c, _) in SIGNALS.items()}, cost).drop("symbol")
     net = long.where("position <> 0").withColumn("net", F.col("position") * F.col("future_return") - 2 * cost)
-    ci = inference.bootstrap_mean(net, ["signal"], "net", config.samples, config.block).select("signal", F.col("lower").alias("ci_lower"), F.col("upper").alias("ci_upper"))
-    p = inference.random_event_pvalue(long, ["signal"], "position", "future_return", cost, config.samples).select("signal", "p_value")
+    ci = resampling.bootstrap_mean(net, ["signal"], "net", config.samples, config.block).select("signal", F.col("lower").alias("ci_lower"), F.col("upper").alias("ci_upper"))
+    p = resampling.random_event_pvalue(long, ["signal"], "position", "future_return", cost, config.samples).select("signal", "p_value")
     out = one.join(ci, "signal", "left").join(p, "signal", "left")
     return out.withColumn("verdict", gates.event_verdict(F.col("event_count"), F.col("ci_lower"), F.col("ci_upper"), F.col("p_value")))
 
@@ -78,7 +78,7 @@ def verdicts(pred: DataFrame, config: Config) -> DataFrame:
     overall = pred.groupBy("signal").agg(F.avg("incremental_log_loss").alias("gain"), F.avg("incremental_net_edge").alias("edge"))
     now = splits.training_window(monitored.withColumn("symbol", F.col("signal")), config.monitor_window)
     current = now.groupBy("signal").agg(F.avg("incremental_log_loss").alias("current_gain"), F.max_by("structural_change_alarm", "ts").alias("alarm"), F.max_by("change_index", "ts").alias("change_index"))
-    ci = inference.bootstrap_mean(now, ["signal"], "incremental_net_edge", config.samples, config.block).select("signal", "lower", "upper")
+    ci = resampling.bootstrap_mean(now, ["signal"], "incremental_net_edge", config.samples, config.block).select("signal", "lower", "upper")
     best = summaries.regime_summary(pred, ["signal"], "regime").groupBy("signal").agg(F.max_by("regime", "mean_incremental_net_edge").alias("best_regime"))
     row = overall.join(folds, "signal").join(current, "signal").join(ci, "signal").join(best, "signal")
     c = F.col

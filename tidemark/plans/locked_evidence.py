@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
-from tidemark.operators import gates, inference, policy, summaries
+from tidemark.operators import gates, inference, policy, resampling, summaries
 from tidemark.sources.saved import save
 
 #: Fixed values of the protocol.
@@ -72,7 +72,7 @@ def checks(matched: DataFrame, keys: list[str], lag: int = 0, barred: tuple[str,
 
 def intervals(matched: DataFrame, keys: list[str], samples: int = 5000, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """Intervals of the mean gain and net return for every block length."""
-    return inference.bootstrap_means(matched, keys, ["incremental_log_loss", "incremental_net_return"], blocks, samples)
+    return resampling.bootstrap_means(matched, keys, ["incremental_log_loss", "incremental_net_return"], blocks, samples)
 
 
 def cost_sensitivity(pred: DataFrame, keys: list[str], slice_: list[str], threshold: float, costs: tuple[float, ...] = COSTS) -> DataFrame:

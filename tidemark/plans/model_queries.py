@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import inference, selectors, splits, states
+from tidemark.operators import selectors, splits, states
 from tidemark.plans import evidence_queries, first_generation, locked_evidence, second_generation
 from tidemark.plans import inputs as N
 from tidemark.sources.saved import is_saved, save
@@ -86,11 +86,7 @@ def calibrations(s, d):
 
 
 ENTRIES = {
-    "inf_bootstrap": (lambda s, d: N.out(inference.bootstrap_mean(N.predictions(s, d), ["signal"], "incremental_net_edge", 2000, 10)), None),
-    "inf_bootstrap_blocks": (lambda s, d: N.out(inference.bootstrap_mean(N.matched(s, d), ["signal"], "incremental_log_loss", 5000, 21)), None),
-    "inf_event_table": (lambda s, d: N.out(first_generation.event_table(N.features(s, d), first_generation.Config())), None),
     "inf_locked_evidence": (lambda s, d: N.out(locked_evidence.locked_evidence(save(N.matched(s, d), "matched"), ["signal"])), None),
-    "inf_intervals": (lambda s, d: N.out(locked_evidence.intervals(N.matched(s, d), ["signal"])), None),
     "gat_robustness_matrix": (robustness, None),
     "gat_admission_fitted": (lambda s, d: N.out(nested(s, d)["admission"]), None),
     "gat_family_decision_fitted": (lambda s, d: N.out(nested(s, d)["decisions"]), None),
