@@ -51,18 +51,6 @@ def test_calibration_rows_lie_beyond_a_gap(spark, monkeypatch):
         assert np.allclose([r[name] for r in got["none"]], models.Linear(1.0).fit(x[:400, :k], y[:400]).predict(x[400:, :k]))
 
 
-def test_screens_share_their_rows_and_benchmark(spark):
-    rng = np.random.default_rng(2)
-    rows = [(1, i, "train" if i < 200 else "test", float(rng.normal()), 1.0, int(rng.random() < 0.5), [float(rng.normal()), None if i % 10 == 0 else float(rng.normal())]) for i in range(300)]
-    df = spark.createDataFrame(rows, "fold int, ts int, part string, b double, p double, target_up int, scores array<double>")
-    got = {r["spec_id"]: r for r in models.offset_screens(df, ["fold"], ["x", "y"], "scores", ["b"], ["p"], "target_up").collect()}
-    assert got["x"]["n_test"] == got["y"]["n_test"] == 90 and got["x"]["benchmark_brier"] == got["y"]["benchmark_brier"]
-    whole = [r for r in rows if r[6][1] is not None]
-    train, test = [r for r in whole if r[2] == "train"], [r for r in whole if r[2] == "test"]
-    m = models.Linear().fit(np.array([[r[3], r[4]] for r in train]), np.array([r[5] for r in train], float))
-    assert np.isclose(got["x"]["benchmark_brier"], np.mean((m.predict(np.array([[r[3], r[4]] for r in test])) - [r[5] for r in test]) ** 2))
-
-
 def test_ece_and_accuracy_as_aggregates(spark):
     rng = np.random.default_rng(3)
     p, y = rng.random(200), rng.integers(0, 2, 200)

@@ -200,13 +200,6 @@ def calibrate(method: str, p: np.ndarray, y: np.ndarray):
     return lambda q: np.clip(np.interp(q, xs, ys), 1e-9, 1 - 1e-9)
 
 
-def offset_newton(p0: np.ndarray, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """One Newton step of a logistic model on an offset: intercept free, columns ridged."""
-    d = np.column_stack([np.ones(len(x)), x])
-    w = np.maximum(p0 * (1 - p0), 1e-6)
-    return np.linalg.solve((d * w[:, None]).T @ d + np.diag([0.0, *np.full(x.shape[1], ridge)]), d.T @ (y - p0))
-
-
 def matched_folds(rows: DataFrame, keys: list[str], base: list[str], signal: list[str], target: str, kind: str = "linear", setting: dict | None = None, least_train: int = 120, least_test: int = 20) -> DataFrame:
     """Candidate and benchmark probabilities of the test rows of each group.
 
@@ -290,40 +283,3 @@ def parse_setting(kind: str, text: str) -> dict:
     if kind == "boosting":
         return {"depth": int(np.ceil(np.log2(part["l"]))), "rounds": int(part["i"]), "l2": part["r"], "least": 100}
     return {"c": part["c"], **({"knots": int(part["k"])} if "k" in part else {})}
-
-
-def offset_screens(rows: DataFrame, keys: list[str], specs: list[str], scores: str, base: list[str], states: list[str], target: str) -> DataFrame:
-    """(keys, spec_id, n_test, incremental_log_loss, ...): one-step screens of every specification in a fold.
-
-    scores: an array column in the order of specs. A specification adds its score and the products
-    with the states to the benchmark's logit. All see the rows that are complete in every score, so
-    the benchmark is fitted once and its losses can be compared. A fold is one grouped task.
-    """
-    types = dict(rows.dtypes)
-    names = ["n_test", "incremental_log_loss", "candidate_brier", "benchmark_brier"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        every = np.array([[np.nan if v is None else v for v in row] for row in pdf[scores]], float).reshape(len(pdf), len(specs))
-        facts = pdf[[*base, *states, target]].to_numpy(float)
-        ok = np.isfinite(every).all(axis=1) & np.isfinite(facts).all(axis=1)
-        train, test = ok & (pdf["part"] == "train").to_numpy(), ok & (pdf["part"] == "test").to_numpy()
-        y, t = facts[train, -1], facts[test, -1]
-        if len(y) < 120 or len(t) < 20 or len(np.unique(y)) < 2:
-            return pd.DataFrame({**{k: pdf[k].iloc[:0] for k in keys}, "spec_id": np.zeros(0, object), "n_test": np.zeros(0, np.int64), **{c: np.zeros(0) for c in names[1:]}})
-        x, state = facts[:, : len(base) + len(states)], facts[:, len(base) : len(base) + len(states)]
-        model, found = Linear().fit(x[train], y), []
-        p0, q0 = model.predict(x[train]), model.predict(x[test])
-        loss = lambda q: -(t * np.log(np.clip(q, 1e-9, 1)) + (1 - t) * np.log(np.clip(1 - q, 1e-9, 1))).mean()
-        for k, spec in enumerate(specs):
-            cols = every[:, [k]] * np.column_stack([np.ones(len(every)), state])
-            scale = Scaler(cols[train])
-            b = offset_newton(p0, scale(cols[train]), y)
-            q1 = sigmoid(logit(q0) + b[0] + scale(cols[test]) @ b[1:])
-            found.append((spec, len(t), loss(q0) - loss(q1), ((q1 - t) ** 2).mean(), ((q0 - t) ** 2).mean()))
-        out = pd.DataFrame(found, columns=["spec_id", *names])
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "spec_id", *names]]
-
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", spec_id string, n_test long, incremental_log_loss double, candidate_brier double, benchmark_brier double"
-    wanted = list(dict.fromkeys([*keys, "ts", "part", *base, *states, target, scores]))
-    return rows.select(*wanted).groupBy(*keys).applyInPandas(one, schema)

@@ -71,18 +71,22 @@ def spec_scores(panel):
     return joined.select("symbol", "ts", "spec_id", sign(-F.col("raw"), F.col("raw"), F.col("raw")).alias("score"), sign(event, -event, F.lit(0.0)).alias("event"))
 
 
-def _spec_scores_sql() -> str:
+def spec_chain(base: str = BARS) -> str:
+    """Tables of all specifications' scores and events in SQL: s (spec_id, ts, score, event)."""
     bands = " UNION ALL ".join(f"SELECT {n} AS p, rn, c, CASE WHEN rn >= {n} THEN avg(c) OVER (ORDER BY rn ROWS {n - 1} PRECEDING) END AS mid, CASE WHEN rn >= {n} THEN stddev_pop(c) OVER (ORDER BY rn ROWS {n - 1} PRECEDING) END AS sd FROM m" for n in grids.BB_PERIODS)
     one = lambda test: f"CASE WHEN coalesce({test}, false) THEN 1.0 ELSE 0.0 END"
-    chain = f"""{BARS}, {SPECS_SQL.strip()[5:]},
-m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts) AS rn, pri_close AS c, pri_close - lag(pri_close) OVER (ORDER BY ts) AS move FROM panel),
+    return f"""{base}, {SPECS_SQL.strip()[5:]},
+m AS MATERIALIZED (SELECT ts, row_number() OVER (ORDER BY ts) AS rn, pri_close AS c, pri_close - lag(pri_close) OVER (ORDER BY ts) AS move FROM panel),
 ew4 AS (SELECT p, rn, greatest(move, 0.0) AS g, greatest(-move, 0.0) AS l FROM m, (SELECT unnest({list(grids.RSI_PERIODS)}) AS p) WHERE rn = 2 UNION ALL SELECT p, m.rn, g + (greatest(m.move, 0.0) - g) / p, l + (greatest(-m.move, 0.0) - l) / p FROM ew4 JOIN m ON m.rn = ew4.rn + 1),
 rs AS (SELECT *, lag(v) OVER (PARTITION BY p ORDER BY rn) AS was FROM (SELECT p, rn, CASE WHEN rn > p THEN greatest(0.0, least(100.0, 100.0 - 100.0 / (1.0 + g / nullif(l, 0.0)))) END AS v FROM ew4)),
 bw AS (SELECT *, mid + k * sd AS up, mid - k * sd AS lo FROM ({bands}), (SELECT CAST(unnest({list(grids.BB_WIDTHS)}) AS DOUBLE) AS k)),
-be AS (SELECT p, k, (c - lo) / nullif(2 * k * sd, 0.0) - 0.5 AS raw, {one('c < lo AND lag(c) OVER w >= lag(lo) OVER w')} - {one('c > up AND lag(c) OVER w <= lag(up) OVER w')} AS e FROM bw WINDOW w AS (PARTITION BY p, k ORDER BY rn)),
-every AS (SELECT spec_id, mode, (v - 50.0) / 50.0 AS raw, {one('v < lower AND was >= lower')} - {one('v > upper AND was <= upper')} AS e FROM specs JOIN rs ON family = 'rsi' AND period = p UNION ALL SELECT spec_id, mode, raw, e FROM specs JOIN be ON family = 'bollinger' AND period = p AND width = k),
-s AS (SELECT spec_id, CASE WHEN mode = 'contrarian' THEN -raw ELSE raw END AS score, CASE mode WHEN 'contrarian' THEN e WHEN 'continuation' THEN -e ELSE 0 END AS event FROM every)"""
-    return sql(chain, f"SELECT spec_id, n, {r6('mean_score', 'least', 'most')}, long_events, short_events FROM (SELECT spec_id, count(score) AS n, avg(score) AS mean_score, min(score) AS least, max(score) AS most, count(*) FILTER (event > 0) AS long_events, count(*) FILTER (event < 0) AS short_events FROM s GROUP BY spec_id)")
+be AS (SELECT p, k, rn, (c - lo) / nullif(2 * k * sd, 0.0) - 0.5 AS raw, {one('c < lo AND lag(c) OVER w >= lag(lo) OVER w')} - {one('c > up AND lag(c) OVER w <= lag(up) OVER w')} AS e FROM bw WINDOW w AS (PARTITION BY p, k ORDER BY rn)),
+every AS (SELECT spec_id, mode, rn, (v - 50.0) / 50.0 AS raw, {one('v < lower AND was >= lower')} - {one('v > upper AND was <= upper')} AS e FROM specs JOIN rs ON family = 'rsi' AND period = p UNION ALL SELECT spec_id, mode, rn, raw, e FROM specs JOIN be ON family = 'bollinger' AND period = p AND width = k),
+s AS (SELECT spec_id, m.ts AS ts, CASE WHEN mode = 'contrarian' THEN -raw ELSE raw END AS score, CASE mode WHEN 'contrarian' THEN e WHEN 'continuation' THEN -e ELSE 0 END AS event FROM every JOIN m USING (rn))"""
+
+
+def _spec_scores_sql() -> str:
+    return sql(spec_chain(), f"SELECT spec_id, n, {r6('mean_score', 'least', 'most')}, long_events, short_events FROM (SELECT spec_id, count(score) AS n, avg(score) AS mean_score, min(score) AS least, max(score) AS most, count(*) FILTER (event > 0) AS long_events, count(*) FILTER (event < 0) AS short_events FROM s GROUP BY spec_id)")
 
 
 def inner_rows(s, d):

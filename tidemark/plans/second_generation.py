@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
-from tidemark.operators import gates, grids, inference, models, policy, selectors, splits, states, summaries
+from tidemark.operators import gates, grids, inference, models, newton, policy, selectors, splits, states, summaries
 from tidemark.sources import sinks
 from tidemark.sources.saved import save
 
@@ -45,15 +45,30 @@ def scored_rows(rows: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.join(scores, ["symbol", "ts"]).withColumns({f"score_x_{s}": F.col("score") * F.col(f"state_p_{s}") for s in states.STATES})
 
 
+def complete_scores(scores: DataFrame) -> DataFrame:
+    """(symbol, ts) of the bars at which every specification of the table has a score."""
+    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
+    n = scores.select("spec_id").distinct().count()
+    return scores.where(finite).groupBy("symbol", "ts").agg(F.count("*").alias("n")).where(F.col("n") == n).select("symbol", "ts")
+
+
+def enough(rows: DataFrame, keys: list[str], target: str, least_train: int = 120, least_test: int = 20) -> DataFrame:
+    """Rows of the folds with enough training and test rows and both outcomes among the training rows."""
+    train = F.col("part") == "train"
+    sizes = rows.groupBy(*keys).agg(F.count_if(train).alias("n"), F.count_if(~train).alias("m"), F.count_if(train & (F.col(target) == 1)).alias("ups"))
+    kept = save(sizes.where((F.col("n") >= least_train) & (F.col("m") >= least_test) & (F.col("ups") > 0) & (F.col("ups") < F.col("n"))).select(*keys), "folds")
+    return rows.join(kept, keys)
+
+
 def screen(rows: DataFrame, scores: DataFrame) -> DataFrame:
     """Every signal specification's one-step screen on every inner fold, on rows complete in all of them.
 
-    A fold is one task: its rows carry an array of all scores, in the order of the specifications.
+    The benchmarks of all folds are fitted at once by keyed Newton steps, once for all specifications.
     """
-    specs = [r["spec_id"] for r in grids.signal_specs(rows.sparkSession).select("spec_id").distinct().orderBy("spec_id").collect()]
-    wide = scores.groupBy("symbol", "ts").agg(F.map_from_entries(F.collect_list(F.struct("spec_id", "score"))).alias("m"))
-    wide = wide.select("symbol", "ts", F.array(*[F.col("m")[k] for k in specs]).alias("scores"))
-    return models.offset_screens(rows.where("inner_fold > 0").join(wide, ["symbol", "ts"]), FOLD, specs, "scores", BASE, STATE_COLUMNS, "target_up")
+    inner = rows.where("inner_fold > 0").select("symbol", "ts", *FOLD, "part", *BASE, *STATE_COLUMNS, "target_up").na.drop()
+    whole = save(inner.join(complete_scores(scores), ["symbol", "ts"]), "screened")
+    based = save(newton.probabilities(enough(whole, FOLD, "target_up"), FOLD, [*BASE, *STATE_COLUMNS], "target_up", name="p0"), "benchmark")
+    return newton.offset_screens(based, FOLD, scores.select("symbol", "ts", "spec_id", "score"), "p0", STATE_COLUMNS, "target_up")
 
 
 def structure_tasks(spark) -> DataFrame:
