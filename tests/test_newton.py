@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from tidemark.operators import models, newton
-from tidemark.plans import second_generation
 
 
 def folds(rng, sizes, dims):
@@ -78,7 +77,7 @@ def test_benchmark_of_a_fold_equals_a_single_fit(spark):
     for f, x, y in folds(rng, (180, 60), 3):
         rows += [(f, i, "train" if i < 130 else "test", *map(float, x[i]), int(y[i])) for i in range(len(y))]
     df = spark.createDataFrame(rows, "fold int, ts int, part string, a double, b double, c double, y int")
-    enough = second_generation.enough(df, ["fold"], "y")
+    enough = newton.enough(df, ["fold"], "y")
     got = newton.probabilities(enough, ["fold"], ["a", "b", "c"], "y").collect()
     assert {r["fold"] for r in got} == {0}  # the other has too few test rows
     one = [r for r in rows if r[0] == 0]

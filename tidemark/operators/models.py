@@ -200,31 +200,6 @@ def calibrate(method: str, p: np.ndarray, y: np.ndarray):
     return lambda q: np.clip(np.interp(q, xs, ys), 1e-9, 1 - 1e-9)
 
 
-def matched_folds(rows: DataFrame, keys: list[str], base: list[str], signal: list[str], target: str, kind: str = "linear", setting: dict | None = None, least_train: int = 120, least_test: int = 20) -> DataFrame:
-    """Candidate and benchmark probabilities of the test rows of each group.
-
-    rows has ts, part (train or test), the columns and the target; both models see the same rows.
-    Groups with too few rows give none. `matched_tasks` has calibrated models.
-    """
-    types, setting = dict(rows.dtypes), setting or {}
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[*base, *signal, target]).sort_values("ts")
-        train, test = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
-        if len(train) < least_train or len(test) < least_test or train[target].nunique() < 2:
-            none = pdf.iloc[:0]
-            return pd.DataFrame({**{c: none[c] for c in [*keys, "ts"]}, "benchmark_probability": np.zeros(0), "candidate_probability": np.zeros(0)})
-        y, out = train[target].to_numpy(float), {}
-        for name, cols in (("benchmark", base), ("candidate", [*base, *signal])):
-            model = make_model(kind, len(cols) - len(base), setting).fit(train[cols].to_numpy(float), y)
-            out[f"{name}_probability"] = model.predict(test[cols].to_numpy(float))
-        return pd.DataFrame({**{k: test[k] for k in keys}, "ts": test["ts"], **out})
-
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", ts {rows.schema['ts'].dataType.simpleString()}, benchmark_probability double, candidate_probability double"
-    wanted = list(dict.fromkeys([*keys, "ts", "part", *base, *signal, target]))
-    return rows.where(F.col("part").isin("train", "test")).select(*wanted).groupBy(*keys).applyInPandas(one, schema)
-
-
 def matched_tasks(rows: DataFrame, tasks: DataFrame, keys: list[str], base: list[str], signal: list[str], crossed: list[str], horizon: str = "horizon", least_train: int = 120, least_test: int = 20) -> DataFrame:
     """(keys, pipeline_id, method, ts, probabilities, ...) of the test rows of every task.
 

@@ -109,6 +109,15 @@ def fit(rows: DataFrame, keys: list[str], cost: dict[tuple, float] | float = 1.0
     return best | done
 
 
+def enough(rows: DataFrame, keys: list[str], target: str, least_train: int = 120, least_test: int = 20) -> DataFrame:
+    """Rows of the folds with enough training and test rows and both outcomes among the training rows."""
+    train = F.col("part") == "train"
+    rows = rows.where(F.col("part").isin("train", "test"))
+    sizes = rows.groupBy(*keys).agg(F.count_if(train).alias("n"), F.count_if(~train).alias("m"), F.count_if(train & (F.col(target) == 1)).alias("ups"))
+    kept = save(sizes.where((F.col("n") >= least_train) & (F.col("m") >= least_test) & (F.col("ups") > 0) & (F.col("ups") < F.col("n"))).select(*keys), "folds")
+    return rows.join(kept, keys)
+
+
 def table(models: dict[tuple, np.ndarray], rows: DataFrame, keys: list[str], name: str = "beta") -> DataFrame:
     """Coefficients as a table (keys, beta)."""
     schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(name, T.ArrayType(T.DoubleType()))])
@@ -136,6 +145,14 @@ def standardised(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFr
     return rows.join(own, keys).withColumn("x", F.array(*z)).drop(*own.drop(*keys).columns)
 
 
+def balanced(rows: DataFrame, keys: list[str], target: str) -> DataFrame:
+    """rows with w: each outcome's training rows weigh as much as the other's."""
+    train = F.col("part") == "train"
+    n = rows.groupBy(*keys).agg(F.count_if(train).alias("__n"), F.count_if(train & (F.col(target) == 1)).alias("__n1"))
+    own = F.when(F.col(target) == 1, F.col("__n1")).otherwise(F.col("__n") - F.col("__n1"))
+    return rows.join(save(n, "weights"), keys).withColumn("w", F.when(own > 0, F.col("__n") / (2.0 * own)).otherwise(1.0)).drop("__n", "__n1")
+
+
 def probabilities(rows: DataFrame, keys: list[str], columns: list[str], target: str, cost: float = 1.0, name: str = "probability") -> DataFrame:
     """rows (keys, part, columns, target) with the probability of a ridge model fitted on each key's training rows."""
     z = save(standardised(rows, keys, columns), "standardised")
@@ -144,6 +161,26 @@ def probabilities(rows: DataFrame, keys: list[str], columns: list[str], target:
     return z.join(F.broadcast(models), keys).withColumn(name, sigmoid(score(F.col("__beta"), F.col("x")))).drop("__beta", "x")
 
 
+def matched_folds(rows: DataFrame, keys: list[str], base: list[str], candidates: dict[str, list[str]], target: str, cost: float = 1.0, balance: bool = False) -> DataFrame:
+    """(signal, keys, ts, benchmark_probability, candidate_probability) of every candidate on each fold's test rows.
+
+    candidates: the further columns of each signal. All see the rows that are complete in all columns; the
+    benchmark is fitted once a fold. The models of all folds and signals are one keyed fit.
+    """
+    every = list(dict.fromkeys([*base, *(c for extra in candidates.values() for c in extra)]))
+    whole = rows.where(F.col("part").isin("train", "test")).select(*keys, "ts", "part", *every, target).na.drop()
+    whole = save(balanced(whole, keys, target) if balance else whole.withColumn("w", F.lit(1.0)), "matched-rows")
+    parts = None
+    for model, extra in (("", []), *candidates.items()):
+        one = standardised(whole, keys, [*base, *extra]).select(*keys, "ts", "part", target, "w", F.lit(model).alias("signal"), "x")
+        parts = one if parts is None else parts.unionByName(one)
+    parts, who = save(parts, "standardised"), [*keys, "signal"]
+    models = table(fit(parts.where("part = 'train'").select(*who, "x", F.col(target).alias("y"), "w"), who, cost), parts, who, "__beta")
+    p = parts.where("part = 'test'").join(F.broadcast(models), who).select(*who, "ts", sigmoid(score(F.col("__beta"), F.col("x"))).alias("p"))
+    mark = p.where("signal = ''").select(*keys, "ts", F.col("p").alias("benchmark_probability"))
+    return p.where("signal <> ''").withColumnRenamed("p", "candidate_probability").join(mark, [*keys, "ts"])
+
+
 # ---------------------------------------------------------------- one-step screens
 
 

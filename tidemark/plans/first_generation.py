@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import checks, drift, gates, models, policy, resampling, splits, states, summaries
+from tidemark.operators import checks, drift, gates, newton, policy, resampling, splits, states, summaries
 from tidemark.sources import bars as B
 from tidemark.sources import sinks
 from tidemark.sources.saved import save
@@ -53,11 +53,8 @@ def predictions(frame: DataFrame, config: Config) -> DataFrame:
         raise ValueError("one primary symbol a run")
     folds = splits.fold_table(frame.sparkSession, rows.count(), config.folds, config.horizon)
     parts = splits.assign(rows, folds)
-    out = None
-    for signal, (_, columns) in SIGNALS.items():
-        extra = [c for c in columns if c not in I.BASELINE]
-        p = models.matched_folds(parts.withColumn("signal", F.lit(signal)), ["signal", "fold"], I.BASELINE, extra, "target_up", "linear", {"c": 1.0, "balanced": True})
-        out = p if out is None else out.unionByName(p)
+    extra = {signal: [c for c in columns if c not in I.BASELINE] for signal, (_, columns) in SIGNALS.items()}
+    out = newton.matched_folds(newton.enough(parts, ["fold"], "target_up"), ["fold"], I.BASELINE, extra, "target_up", balance=True)
     latent = states.fold_states(parts, ["fold"], STATE_STARTS)
     p_state = [f"state_p_{s}" for s in states.STATES]
     facts = parts.where("part = 'test'").select("symbol", "fold", "ts", "future_return", "target_up").join(latent, ["symbol", "fold", "ts"]).select("fold", "ts", "future_return", "target_up", F.col("state_label").alias("regime"), *p_state, F.greatest(*p_state).alias("regime_probability"))

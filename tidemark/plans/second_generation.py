@@ -52,14 +52,6 @@ def complete_scores(scores: DataFrame) -> DataFrame:
     return scores.where(finite).groupBy("symbol", "ts").agg(F.count("*").alias("n")).where(F.col("n") == n).select("symbol", "ts")
 
 
-def enough(rows: DataFrame, keys: list[str], target: str, least_train: int = 120, least_test: int = 20) -> DataFrame:
-    """Rows of the folds with enough training and test rows and both outcomes among the training rows."""
-    train = F.col("part") == "train"
-    sizes = rows.groupBy(*keys).agg(F.count_if(train).alias("n"), F.count_if(~train).alias("m"), F.count_if(train & (F.col(target) == 1)).alias("ups"))
-    kept = save(sizes.where((F.col("n") >= least_train) & (F.col("m") >= least_test) & (F.col("ups") > 0) & (F.col("ups") < F.col("n"))).select(*keys), "folds")
-    return rows.join(kept, keys)
-
-
 def screen(rows: DataFrame, scores: DataFrame) -> DataFrame:
     """Every signal specification's one-step screen on every inner fold, on rows complete in all of them.
 
@@ -67,7 +59,7 @@ def screen(rows: DataFrame, scores: DataFrame) -> DataFrame:
     """
     inner = rows.where("inner_fold > 0").select("symbol", "ts", *FOLD, "part", *BASE, *STATE_COLUMNS, "target_up").na.drop()
     whole = save(inner.join(complete_scores(scores), ["symbol", "ts"]), "screened")
-    based = save(newton.probabilities(enough(whole, FOLD, "target_up"), FOLD, [*BASE, *STATE_COLUMNS], "target_up", name="p0"), "benchmark")
+    based = save(newton.probabilities(newton.enough(whole, FOLD, "target_up"), FOLD, [*BASE, *STATE_COLUMNS], "target_up", name="p0"), "benchmark")
     return newton.offset_screens(based, FOLD, scores.select("symbol", "ts", "spec_id", "score"), "p0", STATE_COLUMNS, "target_up")
 
 
