@@ -213,13 +213,13 @@ def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
     whole = "text" in units.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, links, known = None, [], [], _WordHash()
+        now, held, links, known, seen = None, [], [], _WordHash(), set()
 
         def close() -> None:
             if len(held) > 1:
                 ids, place, outside, labels, size, bits, sets = zip(*held)
                 links.extend(link_unit(list(ids), np.array(place), np.array(outside), np.array(size), np.stack(bits), np.array(labels), percent, list(sets) if whole else None))
-            held.clear()
+            held.clear(), seen.clear()
 
         def found() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
@@ -231,6 +231,9 @@ def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
                 if k != now:
                     close()
                     now = k
+                if tuple(row[:2]) in seen:  # a row that repeats both doc_id and text is no other member
+                    continue
+                seen.add(tuple(row[:2]))
                 own = shingle_set(word_hashes(texts[i].as_py(), known)) if whole else None
                 held.append((*row, len(own) if whole else n, np.frombuffer(bits, np.uint64), own))
             yield found()
@@ -245,7 +248,8 @@ def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
 def _forest(members: DataFrame, payload: list[DataFrame], percent: int, cost: str | None = None) -> DataFrame:
     """(a, b): a spanning forest of the links within every group of members (grp, doc_id, text_key[, cost]).
 
-    payload: tables that give (doc_id, text_key, n_shingles, bits[, text]), a row a member.
+    payload: tables that give (doc_id, text_key, n_shingles, bits[, text]); a member's text may be there
+    several times.
     """
     share = F.greatest(F.count("*") / BLOCK_ROWS, F.sum(cost or F.lit(0)) / BLOCK_SHINGLES)
     sizes = members.groupBy("grp").agg(F.count("*").alias("k"), F.ceil(share).cast("int").alias("blocks")).where("k > 1")
@@ -292,9 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         near = _forest(classes.select(F.explode("bands").alias("grp"), *KEY), [sized], percent)
         groups = connected_components(near).select(F.col("node").alias("doc_id"), F.col("label").alias("grp"))
         members = save(groups.join(sized.select(*KEY, "n_shingles"), "doc_id"), "groups")
-        # Rows that repeat both doc_id and text are one member; the order that the join leaves serves the aggregate.
-        text = keyed(docs).join(members.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
-        links = _forest(members, [sized, text], percent, "n_shingles")
+        links = _forest(members, [sized, keyed(docs)], percent, "n_shingles")
         labels = connected_components(links).select(F.col("node").alias("rep"), "label")
         named = classes.select("digest", F.col("doc_id").alias("rep")).join(labels, "rep", "left")
         named = save(named.select("digest", F.coalesce("label", "rep").alias("component_id")), "named")
