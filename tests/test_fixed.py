@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics
-from tidemark.operators import gates, inference, models, policy, summaries
+from tidemark.operators import gates, inference, models, policy, structures, summaries
 from tidemark.plans import locked_evidence
 from tidemark.sources import bars, saved
 
@@ -41,13 +41,15 @@ def test_calibration_rows_lie_beyond_a_gap(spark, monkeypatch):
     rows = [("S", i, 3, "train" if i < 400 else "test", float(rng.normal()), float(rng.normal()), int(rng.random() < 0.5), 0.0) for i in range(460)]
     df = spark.createDataFrame(rows, "symbol string, ts int, horizon int, part string, b double, s double, target_up int, future_return double")
     tasks = spark.createDataFrame([("linear", "c1.0", "p", None, False, m) for m in ("none", "sigmoid", "isotonic")], "model string, setting string, pipeline_id string, rows int, regime_conditioned boolean, method string")
-    got = {m: [tuple(r) for r in models.matched_tasks(df, tasks, ["symbol", "horizon"], ["b"], ["s"], [], "horizon").where(F.col("method") == m).orderBy("ts").select("benchmark_probability", "candidate_probability").collect()] for m in ("none", "sigmoid")}
+    got = {m: [tuple(r) for r in structures.fit_tasks(df, tasks, ["symbol", "horizon"], ["b"], ["s"], [], "horizon").where(F.col("method") == m).orderBy("ts").select("benchmark_probability", "candidate_probability").collect()] for m in ("none", "sigmoid", "isotonic")}
     x = np.array([[r[4], r[5]] for r in rows])
     y = np.array([r[6] for r in rows], float)
     for k, name in ((1, 0), (2, 1)):
         model = models.Linear(1.0).fit(x[:317, :k], y[:317])  # 400 rows, 80 to calibrate, 3 between
         fix = models.calibrate("sigmoid", model.predict(x[320:400, :k]), y[320:400])
         assert np.allclose([r[name] for r in got["sigmoid"]], fix(model.predict(x[400:, :k])))
+        steps = models.calibrate("isotonic", model.predict(x[320:400, :k]), y[320:400])
+        assert np.allclose([r[name] for r in got["isotonic"]], steps(model.predict(x[400:, :k])))
         assert np.allclose([r[name] for r in got["none"]], models.Linear(1.0).fit(x[:400, :k], y[:400]).predict(x[400:, :k]))
 
 

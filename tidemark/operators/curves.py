@@ -61,17 +61,21 @@ def isotonic_map(rows: DataFrame, keys: list[str], p: str, blocks: DataFrame, na
     return out.withColumn(name, F.when(x.isNotNull(), F.least(F.greatest(value, F.lit(eps)), F.lit(1 - eps)))).drop("__p", "__step", "__row", "__found")
 
 
-def spline_columns(x: Column, low: Column, high: Column, knots: int) -> list[Column]:
-    """Cubic B-spline columns on `knots` even knots from low to high, constant beyond them; the first is left out.
+def spline_place(x: Column, low: Column, high: Column, knots: int) -> Column:
+    """Where x lies between `knots` even knots from low (0) to high (knots - 1); beyond them it is held at the ends."""
+    top = F.when(high > low, high).otherwise(low + 1.0)
+    inside = F.least(F.greatest(x, low), top - (top - low) * 1e-12)
+    return (inside - low) / ((top - low) / (knots - 1))
+
+
+def spline_columns(place: Column, knots: int) -> list[Column]:
+    """Cubic B-spline columns at a place between the knots (best a column of its own); the first is left out.
 
     On even knots all columns are one bump of four cubic pieces, moved by one knot each.
     """
-    top = F.when(high > low, high).otherwise(low + 1.0)
-    step = (top - low) / (knots - 1)
-    inside = F.least(F.greatest(x, low), top - (top - low) * 1e-12)
 
     def bump(u: Column) -> Column:
         v = 4.0 - u
         return F.when((u < 0) | (u >= 4), 0.0).when(u < 1, u * u * u / 6.0).when(u < 2, (((-3.0 * u + 12.0) * u - 12.0) * u + 4.0) / 6.0).when(u < 3, (((3.0 * u - 24.0) * u + 60.0) * u - 44.0) / 6.0).otherwise(v * v * v / 6.0)
 
-    return [bump((inside - low) / step + 3.0 - j) for j in range(1, knots + 2)]
+    return [bump(place + (3.0 - j)) for j in range(1, knots + 2)]

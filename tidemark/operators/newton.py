@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +34,12 @@ def _sums(rows: DataFrame, keys: list[str], trial: dict[tuple, np.ndarray]) -> d
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = list(zip(*(batch.column(k).to_pylist() for k in keys)))
             # Array lengths differ between settings, so rows are taken key by key.
-            order = sorted(range(len(key)), key=lambda i: key[i])
+            groups = pd.DataFrame({k: batch.column(k).to_pylist() for k in keys}).groupby(keys, sort=False).indices
             x, y, w = batch.column("x"), batch.column("y").to_numpy(zero_copy_only=False).astype(float), batch.column("w").to_numpy(zero_copy_only=False)
             at, flat = x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)
-            start = 0
-            for end in range(1, len(order) + 1):
-                if end < len(order) and key[order[end]] == key[order[start]]:
-                    continue
-                mine, k = np.array(order[start:end]), key[order[start]]
-                start = end
+            for k, mine in groups.items():
+                k = k if isinstance(k, tuple) else (k,)
                 if k not in table:
                     continue
                 b = table[k]
@@ -94,7 +90,7 @@ def fit(rows: DataFrame, keys: list[str], cost: dict[tuple, float] | float = 1.0
             loss, g, h = found[k]
             b = trial[k]
             now = c[k] * loss + 0.5 * float(b[1:] @ b[1:])
-            if now > value[k] + 1e-12 and scale[k] > 1e-6:  # no better: half the step from the point before
+            if now > value[k] + 1e-12 * max(1.0, abs(now)) and scale[k] > 1e-6:  # no better: half the step from the point before
                 scale[k] /= 2
                 trial[k] = best[k] - scale[k] * step[k]
                 continue

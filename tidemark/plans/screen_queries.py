@@ -90,7 +90,8 @@ def splines(s, d):
     folds = rows.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in FOLDS]))).where("fifth <= fold")
     ends = folds.where("fifth < fold").groupBy("fold").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     tested = folds.where("fifth = fold").join(F.broadcast(ends), "fold")  # a row a fold
-    return N.out(tested.select("fold", "ts", *[c.alias(f"b{j}") for j, c in enumerate(curves.spline_columns(F.col("x"), F.col("low"), F.col("high"), 4), 1)]))
+    placed = tested.withColumn("place", curves.spline_place(F.col("x"), F.col("low"), F.col("high"), 4))
+    return N.out(placed.select("fold", "ts", *[c.alias(f"b{j}") for j, c in enumerate(curves.spline_columns(F.col("place"), 4), 1)]))
 
 
 def _spline_sql(knots: int = 4) -> str:

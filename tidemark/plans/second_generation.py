@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M
 from tidemark.operators import gates, grids, inference, models, newton, policy, selectors, splits, states, summaries
+from tidemark.operators import structures as structure
 from tidemark.sources import sinks
 from tidemark.sources.saved import save
 
@@ -70,7 +71,11 @@ def structure_tasks(spark) -> DataFrame:
 
 def structures(rows: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:
     """Scored test rows (keys, pipeline_id, method, ...) of tasks on rows with scores."""
-    return summaries.scored(models.matched_tasks(rows, tasks, keys, [*BASE, *STATE_COLUMNS], ["score"], CROSSED))
+    base = [*BASE, *STATE_COLUMNS]
+    rows = save(rows.select(*dict.fromkeys([*keys, "horizon", "ts", "part", *base, "score", *CROSSED, *structure.FACTS])), "task-rows")
+    smooth = structure.fit_tasks(rows, tasks.where("model <> 'boosting'"), keys, base, ["score"], CROSSED)
+    trees = models.matched_tasks(rows, tasks.where("model = 'boosting'"), keys, base, ["score"], CROSSED)
+    return summaries.scored(smooth.unionByName(trees))
 
 
 def fold_results(pred: DataFrame, keys: list[str]) -> DataFrame:
