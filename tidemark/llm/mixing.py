@@ -7,8 +7,9 @@ kept with probability min(1, c * weight), c being such that the expected tokens
 part of the corpus; the draw is a hash of doc_id, so it is the same in every run.
 
 Scale: one pre-aggregated pass gives the cells; a hot source is one row per task. The steps are the
-same at every size: rounds of raking until no margin share is off by more than TOLERANCE, ROUNDS at
-most, then c by steps from below that end at its exact value. Up to MAX_CELLS cells (the size is
+same at every size: rounds of raking until no margin share is off by more than TOLERANCE (targets that
+contradict one another on empty cells never get there: after ROUNDS the worst share's error is what the
+column raking_error says), then c by steps from below that end at its exact value. Up to MAX_CELLS cells (the size is
 checked) they run on arrays and are broadcast back, beyond that as DataFrame aggregates and joins;
 the results agree but for the rounding of sums.
 
@@ -17,7 +18,7 @@ without tokens have weight 1, or 0 if a given target leaves them out; a value wi
 0; targets for values that do not occur are left out and the rest scaled up; a null doc_id is
 drawn like the text 'null'; repeated rows are kept or dropped together; an empty table gives an
 empty result; extra columns are kept unless they are named like a result column (n_tokens, weight,
-probability, kept), which then replaces them; margin columns keep their type.
+probability, raking_error, kept), which then replaces them; margin columns keep their type.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from tidemark.llm.common import fresh, save
 
 MARGINS = ("source", "lang", "topic")
 MAX_CELLS = 200_000
-ROUNDS, TOLERANCE = 200, 1e-12
+ROUNDS, TOLERANCE = 2000, 1e-12
 TEMPER = 0.7
 PART = 0.8
 
@@ -59,9 +60,9 @@ def tempered(tokens: np.ndarray, power: float = TEMPER) -> np.ndarray:
     return t / t.sum() if t.sum() else t
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Raked cells: margins in turn, until no margin share is off by more than the tolerance."""
-    x, total = tokens.astype(np.float64), float(tokens.sum())
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(raked cells, worst error of a margin share): margins in turn, until no margin share is off by more than the tolerance."""
+    x, total, worst = tokens.astype(np.float64), float(tokens.sum()), 0.0
     for _ in range(rounds):
         worst = 0.0
         for code, target in zip(codes, targets):
@@ -72,16 +73,16 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
             x = x * factor[code]
         if worst < TOLERANCE:
             break
-    return x
+    return x, worst
 
 
-def rake_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The same on a DataFrame of cells with `tokens`; adds `raked`. targets: (value, share) of each margin.
+def rake_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """The same on a DataFrame of cells with `tokens`, which gets `raked`. targets: (value, share) of each margin.
 
     A cell carries the worst error of its margins through a round, so one small aggregate tells when to stop.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    x = save(cells.withColumn("raked", F.col("tokens").cast("double")), "cells")
+    x, worst = save(cells.withColumn("raked", F.col("tokens").cast("double")), "cells"), 0.0
     for _ in range(rounds):
         x = x.withColumn("__off", F.lit(0.0))
         for m in margins:
@@ -93,7 +94,7 @@ def rake_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, Da
         x = x.drop("__off")
         if worst < tolerance:
             break
-    return x
+    return x, worst
 
 
 def keep_factor(want: float, sums: Callable[[float], tuple[float, float]]) -> float:
@@ -134,7 +135,7 @@ def _solve(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict]
             goal = goal / goal.sum() if goal.sum() else goal
         codes.append(code)
         goals.append(goal)
-    raked = rake(tokens, codes, goals) if rows else np.zeros(0)
+    raked, worst = rake(tokens, codes, goals) if rows else (np.zeros(0), 0.0)
     allowed = np.all([(g[c] > 0) | (targets is None) for g, c in zip(goals, codes)], axis=0) if rows else np.zeros(0, bool)
     weight = np.divide(raked, tokens, out=np.where(allowed, 1.0, 0.0), where=tokens > 0)
 
@@ -145,7 +146,7 @@ def _solve(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict]
     c = keep_factor(min(part * float(tokens.sum()), float(tokens[weight > 0].sum())), sums)
     schema = ", ".join(f"`{m}` string" for m in margins) + ", weight double"
     made = cells.sparkSession.createDataFrame([(*(r[m] for m in margins), float(w)) for r, w in zip(rows, weight)], schema)
-    return made.withColumn("probability", _kept(F.col("weight"), c))
+    return made.withColumns({"probability": _kept(F.col("weight"), c), "raking_error": F.lit(float(worst))})
 
 
 def _solve_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, dict] | None, part: float) -> DataFrame:
@@ -162,7 +163,7 @@ def _solve_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str,
         sums = sums.select("value", share.alias("share"))
         whole = sums.agg(F.sum("share")).first()[0] or 1.0
         goals[m] = save(sums.select("value", (F.col("share") / whole).alias("share")), "targets")
-    x = rake_frame(cells, margins, goals)
+    x, worst = rake_frame(cells, margins, goals)
     allowed = F.lit(True)
     for m, shares in (targets or {}).items():
         given = [v for v, s in shares.items() if s > 0 and v is not None]
@@ -176,7 +177,7 @@ def _solve_frame(cells: DataFrame, margins: tuple[str, ...], targets: dict[str,
 
     total, able = (float(v or 0) for v in x.agg(F.sum(t), F.sum(F.when(w > 0, t))).first())
     c = keep_factor(min(part * total, able), sums)
-    return x.select(*margins, "weight", _kept(w, c).alias("probability"))
+    return x.select(*margins, "weight", _kept(w, c).alias("probability"), F.lit(float(worst)).alias("raking_error"))
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -186,18 +187,18 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, margins: tuple[str, ...] = MARGINS, targets: dict[str, dict] | None = None, part: float = PART, seed: int = 7, max_cells: int = MAX_CELLS) -> DataFrame:
-    """docs and the columns n_tokens, weight, probability, kept.
+    """docs and the columns n_tokens, weight, probability, raking_error, kept.
 
     docs has doc_id, text and the margin columns. targets: share of each value by margin; None
     takes the tempered shares of the corpus itself.
     """
-    plain = docs.drop("n_tokens", "weight", "probability", "kept").withColumn("n_tokens", n_words(F.col("text")))
+    plain = docs.drop("n_tokens", "weight", "probability", "raking_error", "kept").withColumn("n_tokens", n_words(F.col("text")))
     narrow = plain.select("n_tokens", *(F.col(m).cast("string").alias(m) for m in margins))
     cells = save(narrow.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "cells")
     small = cells.count() <= max_cells
     solved = (_solve if small else _solve_frame)(cells, margins, targets, part)
     own = fresh(plain.columns, *margins)
-    solved = solved.select(*(F.col(m).alias(own[m]) for m in margins), "weight", "probability")
+    solved = solved.select(*(F.col(m).alias(own[m]) for m in margins), "weight", "probability", "raking_error")
     same = [plain[m].cast("string").eqNullSafe(solved[own[m]]) for m in margins]
     joined = plain.join(F.broadcast(solved) if small else solved, same).drop(*own.values())
     return joined.withColumn("kept", uniform(F.col("doc_id"), seed) < F.col("probability"))

@@ -7,9 +7,9 @@ classifiers are linear over the distinct words of a text and their first four an
 several are trained on reweighted documents and their logits averaged; the bias is then set so that
 the mean score of unlabelled text is the prior.
 
-Training uses at most `positives` + `unlabelled` documents, one row an id, and the `max_features`
-features that part them most (documented bounds: the driver holds the feature numbers of the one
-that are among the other); every document is scored by its whole text.
+Training uses at most `positives` + `unlabelled` documents, one row an id (a documented bound), and all
+features that are significantly more frequent in the positives; every document is scored by its whole
+text.
 
 Defined results: null, empty and wordless texts get the score of a text without known features; a
 null doc_id is scored and not held out; without positives all scores are 0; repeated rows get equal
@@ -32,7 +32,6 @@ from tidemark.llm.common import crc32_mod, discard, first_ids, one_text_each, sa
 
 POSITIVES, UNLABELLED = 3000, 6000
 THRESHOLD = 0.3
-MAX_FEATURES = 4000
 LEAST_Z, LEAST_DOCS = 5.0, 3
 WORD_CACHE = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -79,8 +78,8 @@ def _sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
     return save(one_text_each(docs, chosen), "sample")
 
 
-def choose_features(sample: DataFrame, n_pos: int, n_unl: int, most: int) -> list[int]:
-    """Features that are significantly more frequent in positives, the `most` significant of them."""
+def choose_features(sample: DataFrame, n_pos: int, n_unl: int) -> list[int]:
+    """Features that are significantly more frequent in positives."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, pos, unl = Features(), Counter(), Counter()
@@ -97,7 +96,7 @@ def choose_features(sample: DataFrame, n_pos: int, n_unl: int, most: int) -> lis
     p = (a + b) / F.lit(float(n_pos + n_unl))
     z = (a / F.lit(float(n_pos)) - b / F.lit(float(n_unl))) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n_pos + 1 / n_unl))
     good = counts.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (a >= LEAST_DOCS))
-    return [r["f"] for r in good.orderBy(F.desc("z"), "f").limit(most).collect()]
+    return [r["f"] for r in good.orderBy(F.desc("z"), "f").collect()]
 
 
 def _rows(sample: DataFrame, known: dict[int, int]) -> tuple[Sparse, Sparse]:
@@ -161,7 +160,7 @@ def prior_bias(logits: np.ndarray, prior: float) -> float:
     return low
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None, bags: int = 3, max_features: int = MAX_FEATURES) -> tuple[list[int], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None, bags: int = 3) -> tuple[list[int], np.ndarray]:
     """(features, weights with the bias last) of the averaged classifiers."""
     sample = _sample(docs, labels, positives, unlabelled)
     n_pos, n_unl = (x or 0 for x in sample.agg(F.sum("positive"), F.sum("unlabelled")).first())
@@ -170,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if prior is None:
         prior = training_labels(labels, "toxic").agg(F.avg(F.col("label").cast("double"))).first()[0]
     prior = min(max(prior, 0.01), 0.9)
-    features = choose_features(sample, n_pos, n_unl, max_features)
+    features = choose_features(sample, n_pos, n_unl)
     a, b = _rows(sample, {f: i for i, f in enumerate(features)})
     discard(sample)
     rng, out = np.random.default_rng(3), []
