@@ -18,7 +18,7 @@ from tidemark.llm.common import Run, fresh, save, table
 from tidemark.llm.queries import END_ID, tokenizer_path
 
 SIMILARITY = 80
-MIX_COLUMNS = {"topic", "n_tokens", "weight", "probability", "kept"}
+MIX_COLUMNS = {"topic", "n_tokens", "weight", "probability", "raking_error", "kept"}
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
