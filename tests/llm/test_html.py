@@ -125,3 +125,26 @@ def random_page(rng):
 def test_random_pages_equal_the_plain_version(seed):
     page = random_page(random.Random(seed))
     assert H.main_text(page) == plain_main_text(page)
+
+
+TALE = "<p>" + "The council met on Monday, and after a long debate, agreed on the plan for the harbour. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["cookieBanner", "adBox", "googleAd", "newsletterSignup", "navlinks", "usercomment", "responses", "discussion", "feedback", "announcement", "paywall", "SideBar2", "shareBar", "reader-comments"])
+def test_names_without_separators_go(name):
+    page = f"<html><body><article><h1>Harbour</h1>{TALE}<div class='{name}'>Take this away, please.</div>{TALE}</article></body></html>"
+    text = H.main_text(page)
+    assert "Take this away" not in text and text.startswith("Harbour The council") and text.count("council") == 8
+
+
+@pytest.mark.parametrize("ident", ["nav-history", "banner-headline", "login-guide", "modal-verbs", "share-price", "search-results", "menuOfTheDay", "social_history", "comments-on-the-plan"])
+def test_ids_made_from_titles_stay(ident):
+    page = f"<html><body><article><h1>Harbour</h1>{TALE}<section id='{ident}'><h2 id='{ident}'>A title</h2><p>Keep this part, it tells the story.</p></section>{TALE}</article></body></html>"
+    text = H.main_text(page)
+    assert "A title Keep this part, it tells the story." in text
+
+
+@pytest.mark.parametrize("ident", ["comments", "comments-section", "share-bar", "sidebar", "relatedPosts", "ad-slot-3"])
+def test_ids_of_what_is_not_the_story_go(ident):
+    page = f"<html><body><article><h1>Harbour</h1>{TALE}<section id='{ident}'><p>Take this away, please.</p></section></article></body></html>"
+    assert "Take this away" not in H.main_text(page)

@@ -2,7 +2,9 @@
 
 A page is read into a tree of elements; elements that are never article text (scripts, forms,
 menus, adverts, comments and the like, by tag, role or class) are cut off. A wrapper with such a
-name stays if it holds an article element or a main heading and most of the page's prose. Every
+name stays if it holds an article element or a main heading and most of the page's prose. Names are read
+by their words, cut at changes of case as well; an id inside an article element, where headings and
+sections carry ids made from their titles, counts only if all its words belong to such a name. Every
 paragraph gives points for its length and commas to its five nearest ancestors: all to the parent,
 half to the grandparent, a smaller part further up; a container's points are discounted by the share
 of its text that stands in links and raised by a factor if it is an article element or named like
@@ -39,10 +41,13 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
 BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|side-?bar\w*|rail|menu\w*|nav(?:bar\w*|igation\w*|menu\w*|list)?|breadcrumbs?|foot|footer\w*|masthead|site-?header|page-?header|topbar|toolbar|comments?|commentlist|disqus|replies|respond|reply|share|shares|sharebar|sharethis|sharing|addthis|social\w*|related\w*|recommend\w*|widgets?|pagination|pager|skip|search\w*)(?:$|[\s_-])|(?:^|\s)hidden(?:$|\s)"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|announcements?|alert|popup|modal|overlay|paywall|newsletter|subscri\w+|signup|login|side-?bar\w*|rail|menu\w*|nav(?:bar\w*|igation\w*|menu\w*|list|links?)?|breadcrumbs?|foot|footer\w*|masthead|site-?header|page-?header|topbar|toolbar|(?:user|reader)?comments?|commentlist|disqus|discussions?|feedback|replies|responses?|respond|reply|share|shares|sharebar|sharethis|sharing|addthis|social\w*|related\w*|recommend\w*|widgets?|pagination|pager|skip|search\w*)(?:$|[\s_-])|(?:^|\s)hidden(?:$|\s)"
 )
 #: Names that stay cut even around an article element, and those that make an article element something else.
 NEVER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond|reply|related\w*|recommend\w*|promo\w*|advert\w*|ads?|sponsor\w*|teasers?)(?:$|[\s_-])")
+#: Words that say nothing beside a bad one.
+PLAIN_WORD = re.compile(r"(?:area|bar|block|box|container|content|form|inner|item|items|link|links|list|outer|panel|posts?|section|slot|top|bottom|left|right|unit|wrap|wrapper|\d+)")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=\d)")
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content\w*|main\w*|post\w*|story\w*|entry\w*|body\w*|text)(?:$|[\s_-])")
 HEADER_NAME = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])")
 LEVELS = 5  # ancestors that a paragraph gives points to
@@ -54,19 +59,31 @@ ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:
 SPACE = re.compile(r"\s+")
 
 
+def words_of(name: str | None) -> str:
+    """A class or id in lower case, its words parted by hyphens where only capitals part them."""
+    return HUMP.sub("-", name or "").lower()
+
+
+def bad_id(name: str) -> bool:
+    """Whether an id names what is cut and nothing else: share-bar, but not share-price."""
+    words = [w for w in re.split(r"[\s_-]+", name) if w]
+    return any(BAD_NAME.search(w) for w in words) and all(BAD_NAME.search(w) or PLAIN_WORD.fullmatch(w) for w in words)
+
+
 class Node:
     __slots__ = ("tag", "name", "article", "parent", "parts", "inside", "named", "cut", "dead", "total", "links", "own", "points", "proof")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.parent, self.parts, self.points = tag, parent, [], 0.0
-        self.name = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().strip()
+        own, ident = words_of(attrs.get("class")), words_of(attrs.get("id"))
+        self.name = f"{own} {ident}".strip()
         role = (attrs.get("role") or "").lower()
         self.article = tag in ("article", "main") or role == "main" or attrs.get("itemprop") == "articleBody"
         self.inside = parent is not None and (parent.inside or parent.article)
         if tag == "article":
             bad = NEVER_ARTICLE.search(self.name)
         else:
-            bad = BAD_NAME.search(self.name) or (not self.inside and HEADER_NAME.search(self.name))
+            bad = (BAD_NAME.search(own) or bad_id(ident)) if self.inside else (BAD_NAME.search(self.name) or HEADER_NAME.search(self.name))
         self.named = bool(self.name and bad) and tag not in ("html", "body", "main")
         self.cut = tag in CUT or (tag == "header" and not self.inside) or role in BAD_ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true"
         self.proof = tag == "h1" or (self.article and not self.named)
