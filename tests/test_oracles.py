@@ -39,6 +39,7 @@ QUICK = [
     "grid_candidates", "grid_parsed_specs", "grid_structural", "grid_policies", "inf_holm", "joi_unknown_ids", "lim_evenly_spaced",
     "met_loss_brier", "met_ece", "met_auc", "pol_cost_grid", "agg_monthly", "drf_cusum", "gat_family_decision", "win_spec_scores",
     "inf_dm_test", "gat_locked_checks", "joi_fold_assignment", "win_rolling_edge", "gat_robustness_class",
+    "sta_parameters", "inf_bootstrap", "inf_superior_ability", "sel_one_standard_error", "mod_isotonic", "mod_spline_basis",
 ]
 
 

@@ -6,6 +6,8 @@ groups with one ordering are made in one select, so they share one sort.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,11 +146,34 @@ def target(frame: DataFrame, horizon: int = 1, price: str = "pri_close") -> Data
     return frame.select("*", ahead.alias("future_return")).withColumn("target_up", (F.col("future_return") > 0).cast("int"))
 
 
-def feature_frame(panel: DataFrame, lookback: int = 180, horizon: int = 1, rsi_period: int = 14, bb_period: int = 20, bb_width: float = 2.0) -> DataFrame:
+def feature_steps(lookback: int = 180, horizon: int = 1, rsi_period: int = 14, bb_period: int = 20, bb_width: float = 2.0) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The builders of the first generation's features in order, each with the family of the columns it adds."""
+    return [
+        ("benchmark", returns_and_scale),
+        ("benchmark", lambda f: regime_flags(f, lookback)),
+        ("rsi", lambda f: rsi_features(relative_strength(f, rsi_period))),
+        ("bollinger", lambda f: bollinger_features(f, bb_period, bb_width)),
+        ("bridge", bridge_features),
+        ("target", lambda f: target(f, horizon)),
+    ]
+
+
+def feature_frame(panel: DataFrame, **settings) -> DataFrame:
     """All features of the first generation, incomplete rows and all."""
-    frame = regime_flags(returns_and_scale(panel), lookback)
-    frame = rsi_features(relative_strength(frame, rsi_period))
-    return target(bridge_features(bollinger_features(frame, bb_period, bb_width)), horizon)
+    frame = panel
+    for _, build in feature_steps(**settings):
+        frame = build(frame)
+    return frame
+
+
+def feature_families(panel: DataFrame, **settings) -> list[tuple[str, str]]:
+    """(family, column) of every column that the builders add to a panel, in order: read off the builders' output."""
+    frame, found = panel, []
+    for family, build in feature_steps(**settings):
+        made = build(frame)
+        found += [(family, c) for c in made.columns if c not in frame.columns]
+        frame = made
+    return found
 
 
 def complete_rows(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,3 +65,20 @@ def prefix_invariance(build: Callable[[DataFrame], DataFrame], source: DataFrame
     both = build(source).where(cut).join(part, ["symbol", "ts"], "left")
     aggs = [F.struct(F.lit(c).alias("column"), F.coalesce(F.max(F.abs(F.col(c) - F.col(f"__{c}"))), F.lit(0.0)).alias("max_error"), F.count_if(F.col(c).isNull() != F.col(f"__{c}").isNull()).alias("null_mismatches")) for c in columns]
     return both.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+
+
+def feature_dictionary(whole: DataFrame, part: DataFrame, families: list[tuple[str, str]], state_inputs: tuple[str, ...], tolerance: float = 1e-9) -> DataFrame:
+    """(family, feature, rows, nulls, least, most, known_at_origin, state_input) of a table's features.
+
+    part: the same features of the series up to some time. A feature is known at the forecast's origin if
+    no value up to that time differs between the two; that is measured, not declared.
+    """
+    names = [c for _, c in families]
+    early = part.select("symbol", "ts", *[F.col(c).cast("double").alias(f"__{c}") for c in names], F.lit(True).alias("__early"))
+    both = whole.select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in names]).join(early, ["symbol", "ts"], "left")
+
+    def entry(family: str, c: str) -> Column:
+        differs = F.col("__early") & ~(F.coalesce(F.abs(F.col(c) - F.col(f"__{c}")) <= tolerance, F.col(c).isNull() & F.col(f"__{c}").isNull()))
+        return F.struct(F.lit(family).alias("family"), F.lit(c).alias("feature"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.min(c).alias("least"), F.max(c).alias("most"), (F.count_if(differs) == 0).alias("known_at_origin"), F.lit(c in state_inputs).alias("state_input"))
+
+    return both.agg(F.array(*[entry(*x) for x in families]).alias("e")).select(F.inline("e"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as I
-from tidemark.operators import checks, splits
+from tidemark.operators import checks, splits, states
 from tidemark.plans import inputs as N
 from tidemark.plans.oracle import BARS, FEATURES, r6, sql
 from tidemark.sources import bars as B
+from tidemark.sources.saved import save
 
 OHLCV = r6("open", "high", "low", "close", "volume")
 
@@ -42,6 +43,26 @@ def flagship(s, d):
     return ev.select("symbol", "ts", "position", (F.col("position") * F.log(F.col("next") / c) - 0.002).alias("net_signed_return"))
 
 
+def feature_dictionary(s, d):
+    """What the library's feature columns are: family, range, nulls, and whether they are known in time."""
+    panel = save(N.panel(s, d), "panel")
+    whole, until = save(I.feature_frame(panel), "features"), F.lit(N.two_thirds(panel)).cast(panel.schema["ts"].dataType)
+    part = save(I.feature_frame(panel.where(F.col("ts") <= until)), "features")
+    return N.out(checks.feature_dictionary(whole, part, I.feature_families(panel), states.INPUTS))
+
+
+def _dictionary_sql() -> str:
+    """The same counts; what looks ahead is the targets alone."""
+    targets = ("future_return", "target_up")
+    families = {"rsi": "rsi", "bb": "bollinger", "bridge": "bridge", "future": "target", "target": "target"}
+    names = ["pri_ret_1", "pri_ret_3", "ctx_ret_1", "ctx_ret_3", "trend_12", "vol_20", "range_12", "volume_z", "regime_stress", "regime_trend", "regime_range", *targets]
+    names += [f"rsi{x}" for x in ("", "_norm", "_slope", "_reversal_score", "_long_event", "_short_event", "_event_position", "_extreme", "_x_trend", "_x_volatility", "_x_range", "_x_stress")]
+    names += [f"bb_{x}" for x in ("middle", "upper", "lower", "percent_b", "bandwidth", "reversal_score", "long_event", "short_event", "event_position", "extreme", "distance_upper", "distance_lower", "x_trend", "x_volatility", "x_range", "x_stress")]
+    names += [f"bridge_{x}" for x in ("direction_agreement", "event_position", "score_product", "score_difference")]
+    one = lambda c: f"SELECT '{families.get(c.split('_')[0], 'benchmark')}' AS family, '{c}' AS feature, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS most, {str(c not in targets).lower()} AS known_at_origin, {str(c in states.INPUTS).lower()} AS state_input FROM feat"
+    return sql(FEATURES, f"SELECT family, feature, rows, nulls, {r6('least', 'most')}, known_at_origin, state_input FROM ({' UNION ALL '.join(map(one, names))})")
+
+
 FLAGSHIP_SQL = sql(
     BARS,
     f"""SELECT symbol, ts, {r6('position', 'net_signed_return')} FROM (
@@ -81,6 +102,7 @@ FROM (SELECT *, (epoch(ts) - epoch(lag(ts) OVER (PARTITION BY symbol ORDER BY ts
         lambda s, d: N.out(checks.prefix_invariance(lambda p: I.returns_and_scale(p), N.panel(s, d), N.two_thirds(N.panel(s, d)), ["pri_ret_1", "trend_12", "vol_20", "range_12", "volume_z"])),
         "SELECT unnest(['pri_ret_1', 'trend_12', 'vol_20', 'range_12', 'volume_z']) AS \"column\", CAST(0 AS DOUBLE) AS max_error, CAST(0 AS BIGINT) AS null_mismatches",
     ),
+    "flt_feature_dictionary": (feature_dictionary, _dictionary_sql()),
     "joi_aligned": (lambda s, d: N.out(N.panel(s, d)), sql(BARS, f"SELECT symbol, ts, {r6('pri_open', 'pri_high', 'pri_low', 'pri_close', 'pri_volume', 'ctx_close', 'ctx_volume')} FROM panel")),
     "joi_reindex": (
         lambda s, d: N.out(N.hourly(s, d).where("symbol = 'PRI'").select("ts").join(N.index(s, d).where("symbol = 'CTX'").select("ts", "close"), "ts", "left")),
