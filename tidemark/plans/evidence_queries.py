@@ -26,11 +26,11 @@ _FOLDS = "(SELECT fold, 0 AS train_start, s - 7 AS train_end, s AS test_start, C
 
 
 def _nested_sql() -> str:
-    outer = "SELECT h, o, n - (5 - o + 1) * size AS start, CASE WHEN o = 5 THEN n ELSE n - (5 - o) * size END AS stop FROM (SELECT unnest([1, 2, 3, 6]) AS h), (SELECT unnest([1, 2, 3, 4, 5]) AS o), (SELECT 9852 AS n, 9852 // 6 AS size)"
+    outer = "SELECT h, o, n - (5 - o + 1) * size AS start, CASE WHEN o = 5 THEN n ELSE n - (5 - o) * size END AS stop FROM (SELECT unnest([1, 2, 3, 6]) AS h), (SELECT unnest([1, 2, 3, 4, 5]) AS o), (SELECT n, n // 6 AS size FROM (SELECT count(*) AS n FROM panel))"
     inner = "SELECT h, o, i, m - (3 - i + 1) * (m // 4) AS start, CASE WHEN i = 3 THEN m ELSE m - (3 - i) * (m // 4) END AS stop FROM (SELECT h, o, start - h AS m FROM o), (SELECT unnest([1, 2, 3]) AS i)"
     cols = "CAST(h AS INTEGER) AS horizon, CAST(o AS INTEGER) AS outer_fold"
     tail = "CAST(start - h AS BIGINT) AS n_train, CAST(start AS BIGINT) AS test_start, CAST(stop - 1 AS BIGINT) AS test_end, CAST(stop - start AS BIGINT) AS n_test"
-    return f"WITH o AS ({outer}), i AS ({inner}) SELECT 'outer' AS level, {cols}, 0 AS inner_fold, {tail} FROM o UNION ALL SELECT 'inner', {cols}, CAST(i AS INTEGER), {tail} FROM i"
+    return sql(f"{BARS}, o AS ({outer}), i AS ({inner})", f"SELECT 'outer' AS level, {cols}, 0 AS inner_fold, {tail} FROM o UNION ALL SELECT 'inner', {cols}, CAST(i AS INTEGER), {tail} FROM i")
 
 
 SPECS_SQL = """WITH r AS (SELECT 'rsi' AS family, p, t[1] AS lo, t[2] AS hi, NULL AS k, m, 'rsi-p' || p || '-l' || t[1] || '-u' || t[2] || '-' || m AS spec_id FROM (SELECT unnest([7, 14, 21, 28]) AS p), (SELECT unnest([[20, 80], [25, 75], [30, 70], [35, 65]]) AS t), (SELECT unnest(['continuous', 'contrarian', 'continuation']) AS m)),
@@ -163,11 +163,21 @@ def rolling_edge(s, d):
 
 
 COSTS = [(10.0,), (5.0,), (20.0,)]
-TESTS = [("h1", 0.032), ("h2", 0.2), ("h3", 0.01), ("h4", 0.032), ("h5", 0.9)]
+def share_tests(s, d):
+    """(name, p_value): of every signal and fold, the share of its rows that gain nothing."""
+    gains = N.predictions(s, d).groupBy("signal", "fold").agg(((F.count_if(F.col("incremental_log_loss") <= 0) + 1) / (F.count("*") + 1)).alias("p_value"))
+    return gains.select(F.concat_ws("|", "signal", F.col("fold").cast("string")).alias("name"), "p_value")
+
+
+def unknown_ids(s, d):
+    """Specification ids that events name and the grid does not have."""
+    named = s.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("rsi-p"), (F.col("event_id") % 6 * 7).cast("string"), F.lit("-l30-u70-"), F.element_at(F.array(*[F.lit(m) for m in (*grids.MODES, "unheard")]), (F.col("event_id") % 4 + 1).cast("int"))).alias("spec_id"))
+    return named.distinct().join(grids.signal_specs(s).select("spec_id"), "spec_id", "left_anti")
+
 
 ENTRIES = {
-    "spl_expanding_folds": (lambda s, d: splits.fold_table(s, 12141, 5, 1), f"SELECT CAST(fold AS INTEGER) AS fold, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('train_start', 'train_end', 'purge_start', 'purge_end', 'test_start', 'test_end'))} FROM (SELECT f AS fold, 0 AS train_start, s - 2 AS train_end, s - 1 AS purge_start, s - 1 AS purge_end, s AS test_start, CASE WHEN f = 5 THEN 12140 ELSE s + 2022 END AS test_end FROM (SELECT f, 12141 - (6 - f) * 2023 AS s FROM (SELECT unnest([1, 2, 3, 4, 5]) AS f)))"),
-    "spl_nested_plan": (lambda s, d: splits.nested_plan(s, 9852), _nested_sql()),
+    "spl_expanding_folds": (lambda s, d: splits.fold_table(s, N.panel(s, d).count(), 5, 1), sql(BARS, f"SELECT CAST(fold AS INTEGER) AS fold, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('train_start', 'train_end', 'purge_start', 'purge_end', 'test_start', 'test_end'))} FROM (SELECT f AS fold, 0 AS train_start, s - 2 AS train_end, s - 1 AS purge_start, s - 1 AS purge_end, s AS test_start, CASE WHEN f = 5 THEN n - 1 ELSE s + n // 6 - 1 END AS test_end FROM (SELECT f, n, n - (6 - f) * (n // 6) AS s FROM (SELECT count(*) AS n FROM panel), (SELECT unnest([1, 2, 3, 4, 5]) AS f)))")),
+    "spl_nested_plan": (lambda s, d: splits.nested_plan(s, N.panel(s, d).count()), _nested_sql()),
     "joi_fold_assignment": (
         fold_assignment,
         sql(BARS, f"SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN rn <= train_end THEN 'train' WHEN rn < test_start THEN 'purge' ELSE 'test' END AS part, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn FROM panel) JOIN {_FOLDS} ON rn BETWEEN train_start AND test_end GROUP BY 1, 2"),
@@ -247,7 +257,7 @@ SELECT *, abs(candidate_probability - 0.5) > threshold AS active, CASE WHEN abs(
         lambda s, d: N.out(inference.newey_west(N.predictions(s, d), ["signal"], "incremental_log_loss", 2).withColumn("variance", F.col("variance") * 1e6)),
         sql(PREDICTIONS, f"SELECT signal, n, {r6('mean')}, {r6('variance')}, {r6('statistic')} FROM (SELECT signal, n, mean, v * 1e6 AS variance, CASE WHEN v > 0 THEN mean / sqrt(v) ELSE 0 END AS statistic FROM (SELECT signal, count(*) AS n, any_value(mu) AS mean, greatest((sum(x * x) + 2 * (1 - 1 / 3) * sum(x * x1) + 2 * (1 - 2 / 3) * sum(x * x2)) / count(*) / count(*), 0) AS v FROM (SELECT *, lag(x) OVER w AS x1, lag(x, 2) OVER w AS x2 FROM (SELECT signal, ts, avg(incremental_log_loss) OVER (PARTITION BY signal) AS mu, incremental_log_loss - avg(incremental_log_loss) OVER (PARTITION BY signal) AS x FROM pred) WINDOW w AS (PARTITION BY signal ORDER BY ts)) GROUP BY signal))"),
     ),
-    "inf_holm": (lambda s, d: N.out(inference.benjamini_hochberg(inference.holm(s.createDataFrame(TESTS, "name string, p_value double")))), f"WITH t AS (SELECT name, CAST(p_value AS DOUBLE) AS p_value FROM {_literal(TESTS, 'name, p_value')}), r AS (SELECT *, row_number() OVER (ORDER BY p_value, name) AS k, count(*) OVER () AS m FROM t) SELECT name, {r6('p_value', 'p_holm', 'p_bh')} FROM (SELECT name, p_value, max(least(1.0, (m - k + 1) * p_value)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS p_holm, min(least(1.0, p_value * m / k)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS p_bh FROM r)"),
+    "inf_holm": (lambda s, d: N.out(inference.benjamini_hochberg(inference.holm(share_tests(s, d)))), sql(PREDICTIONS + ", t AS (SELECT signal || '|' || fold AS name, (count(*) FILTER (incremental_log_loss <= 0) + 1) / (count(*) + 1) AS p_value FROM pred GROUP BY signal, fold), r AS (SELECT *, row_number() OVER (ORDER BY p_value, name) AS k, count(*) OVER () AS m FROM t)", f"SELECT name, {r6('p_value', 'p_holm', 'p_bh')} FROM (SELECT name, p_value, max(least(1.0, (m - k + 1) * p_value)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS p_holm, min(least(1.0, p_value * m / k)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS p_bh FROM r)")),
     "inf_autocorrelation": (
         lambda s, d: N.out(inference.autocorrelations(N.predictions(s, d), ["signal"], "future_return")),
         sql(PREDICTIONS, f"SELECT signal, lag, {r6('acf')} FROM ({' UNION ALL '.join(f'SELECT signal, {k} AS lag, corr(q, l) AS acf FROM (SELECT signal, future_return * future_return AS q, lag(future_return * future_return, {k}) OVER (PARTITION BY signal ORDER BY ts) AS l FROM pred) GROUP BY signal' for k in range(1, 49))})"),
@@ -295,10 +305,7 @@ SELECT signal, ts, calibrating,""", 1),
         lambda s, d: selectors.complete_ids(screening_rows(s, d).withColumn("status", F.when((F.col("signal_spec_id") == "spec-2") & (F.col("inner_fold") == 3), "SKIPPED").otherwise("EVALUATED")), ["signal"], "signal_spec_id", "inner_fold", 5).groupBy("signal", "signal_spec_id").agg(F.count("*").alias("rows")),
         sql(INNER, f"SELECT signal, id AS signal_spec_id, count(*) AS rows FROM {_SCREEN} WHERE id <> 'spec-2' GROUP BY signal, id"),
     ),
-    "joi_unknown_ids": (
-        lambda s, d: grids.signal_specs(s).select("spec_id").union(s.createDataFrame([("rsi-p5-l1-u2-x",)], "spec_id string")).join(grids.signal_specs(s).select("spec_id"), "spec_id", "left_anti"),
-        "SELECT 'rsi-p5-l1-u2-x' AS spec_id",
-    ),
+    "joi_unknown_ids": (unknown_ids, SPECS_SQL + "SELECT DISTINCT spec_id FROM (SELECT 'rsi-p' || (event_id % 6 * 7) || '-l30-u70-' || ['continuous', 'contrarian', 'continuation', 'unheard'][event_id % 4 + 1] AS spec_id FROM events) WHERE spec_id NOT IN (SELECT spec_id FROM specs)"),
     "gat_family_summary": (lambda s, d: N.out(gates.family_summary(N.outer_rows(s, d))), sql(OUTER, f"SELECT {_FAM_COLS}, {_PRE} AS preliminary_gate, {_PRE} AND mean_candidate_brier <= mean_benchmark_brier + 0.0025 AS stability_gate {_FAM}")),
     "gat_admission": (lambda s, d: gates.admission(N.outer_rows(s, d)).select("signal_family", "horizon", "failure_reasons", "development_admission_pass"), sql(OUTER, f"SELECT signal_family, horizon, {_FAILS} AS failure_reasons, {_FAILS} = '' AS development_admission_pass {_FAM}")),
     "gat_family_decision": (
