@@ -205,3 +205,25 @@ def test_codes_of_empty_and_too_large_tables(spark):
     rows = [(i, 0, [i / 8, -i / 4, 0.5, 1.0]) for i in range(20)]
     codes, books = V.compress(spark.createDataFrame(rows, schema))
     assert {r["vec_id"]: r["vector"] for r in V.decode(codes, books).collect()} == {i: v for i, _, v in rows}
+
+
+def test_the_first_pass_of_a_search_returns_k_bounds_a_lane(spark, monkeypatch):
+    from tidemark.llm import va_search as S
+
+    rng, counts, meet = np.random.default_rng(11), {}, S._meet
+
+    def counted(asked, file, k, look, schema, done=None):
+        out = meet(asked, file, k, look, schema, done)
+        counts["floors" if done else "rows"] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "_meet", counted)
+    x = rng.normal(size=(900, 16)) / 6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = S.top_k(df, df.where("vec_id % 10 = 0"), 5, block_rows=32).collect()  # 29 blocks of cells, 3 of queries
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(got) == 90 * 5 and counts["floors"] <= 90 * 5 * lanes and counts["rows"] <= 90 * 20
+    v = np.floor(256 * x).astype(np.int64)
+    for q in (0, 440, 890):
+        want = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]
+        assert [(r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(-s, i) for s, i in want]

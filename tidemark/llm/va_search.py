@@ -3,8 +3,9 @@
 `approximate` cuts the vectors into blocks of rows and stores, per block, the exact integer
 vectors and their cells: every component is quantised to one of 2**cell_bits cells between the
 block's least and greatest value in that dimension. A search has two parts:
-1. The cells alone are read. They bound each score from below and above; a row whose upper bound
-   is under the kth best lower bound met so far is out.
+1. The cells alone are read, twice. They bound each score from below and above. The first pass returns
+   each lane's k best lower bounds of a query, which give one floor over all lanes; the second returns the
+   rows whose upper bound reaches it, whatever the order in which blocks arrive.
 2. Exact vectors of the rows left are read in the order of the better bound: the k best bounds
    first, then only those whose bound still reaches the kth exact score.
 
@@ -37,6 +38,7 @@ SCALE = 256
 CELL_BITS = 8
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
+HELD_BLOCKS = 64
 FILE = "block long, n long, dims long, kind string, ids binary, exact binary, turn binary, cells binary, low binary, width binary"
 
 
@@ -125,36 +127,78 @@ def bounds(q: np.ndarray, code: np.ndarray, low: np.ndarray, width: np.ndarray)
     return middle + (np.minimum(q, 0) @ span - slack)[:, None], middle + (np.maximum(q, 0) @ span + slack)[:, None]
 
 
-def _scan(queries: DataFrame, file: DataFrame, k: int) -> DataFrame:
-    """(q_row, row, upper, floor): rows that the cells do not rule out; floor is under the kth score."""
+def _meet(asked: DataFrame, file: DataFrame, k: int, look, schema: str, done=None) -> DataFrame:
+    """Each block of queries with every block of cells: the cells are dealt to lanes, queries go to all lanes.
+
+    look(state, row, part, lower, upper, places) is called for parts of a block of queries; a task keeps the
+    states of a bounded number of query blocks, and `done` turns a state that is put away into rows.
+    """
     lanes = max(1, min(shuffle_partitions(file.sparkSession), file.count()))
-    asked = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "dims", "kind", "ids", "exact"))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    sent = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     held = file.select("block", "n", "dims", "ids", "turn", "cells", "low", "width").withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best = None, None
+        states: dict[int, dict] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                block, ids, q_ids = r["q_block"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 left = np.flatnonzero(np.frombuffer(r["turn"], np.uint32) <= k)
                 wide = max(r["dims"], r["q_dims"])
                 code = _array(r["cells"], np.uint8, r["n"], r["dims"], wide)[left]
                 low, width = (np.pad(np.frombuffer(r[c], np.int64), (0, wide - r["dims"]), constant_values=v) for c, v in (("low", 0), ("width", 1)))
                 q = _array(r["q_exact"], r["q_kind"], r["q_n"], r["q_dims"], wide)
-                if now != r["q_block"]:
-                    now, best = r["q_block"], np.full((len(q), k), -np.inf)
+                if block not in states:
+                    if done and len(states) == HELD_BLOCKS:
+                        old = next(iter(states))
+                        yield done(old, states.pop(old))
+                    states[block] = {}
                 for at in range(0, len(q), QUERY_ROWS):
                     part = slice(at, at + QUERY_ROWS)
                     lower, upper = bounds(q[part], code, low, width)
                     own = q_ids[part, None] == ids[None, left]
                     lower[own] = upper[own] = -np.inf
-                    both = np.concatenate([best[part], lower], axis=1)
-                    best[part] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-                    floor = best[part].min(axis=1)
-                    i, j = np.nonzero((upper >= floor[:, None]) & ~own)
-                    yield pa.RecordBatch.from_pydict({"q_row": pa.array((r["q_block"] << 16) + at + i), "row": pa.array((r["block"] << 16) + left[j]), "upper": pa.array(upper[i, j]), "floor": pa.array(floor[i])})
+                    found = look(states[block], r, part, lower, upper, left)
+                    if found is not None:
+                        yield found
+                if not done:
+                    states.clear()
+        for block, state in states.items() if done else ():
+            yield done(block, state)
+
+    return sent.join(held, "lane").drop("lane").mapInArrow(run, schema)
+
+
+def _floors(queries: DataFrame, file: DataFrame, k: int) -> DataFrame:
+    """(q_row, floor): a bound under each query's kth best score, from the k best lower bounds of each lane."""
+
+    def look(state, row, part, lower, upper, left):
+        if "best" not in state:
+            state["best"] = np.full((row["q_n"], k), -np.inf)
+        both = np.concatenate([state["best"][part], lower], axis=1)
+        state["best"][part] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+
+    def done(block: int, state: dict) -> pa.RecordBatch:
+        i, j = np.nonzero(np.isfinite(state["best"]))
+        return pa.RecordBatch.from_pydict({"q_row": pa.array((block << 16) + i, pa.int64()), "low": pa.array(state["best"][i, j])})
+
+    best = W.partitionBy("q_row").orderBy(F.desc("low"))
+    lows = _meet(queries, file, k, look, "q_row long, low double", done).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    return lows.groupBy("q_row").agg(F.min("low").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k).select("q_row", "floor")
+
+
+def _scan(queries: DataFrame, file: DataFrame, k: int) -> DataFrame:
+    """(q_row, row, upper): rows that the cells do not rule out, given each query's floor over all lanes."""
+    place = F.struct(F.col("q_row").bitwiseAND(F.lit(65535)).alias("i"), "floor")
+    floors = save(_floors(queries, file, k).groupBy(F.shiftright("q_row", 16).alias("block")).agg(F.collect_list(place).alias("floors")), "floors")
+
+    def look(state, row, part, lower, upper, left):
+        floor = np.full(row["q_n"], -np.inf)
+        for x in row["q_floors"] or ():
+            floor[x["i"]] = x["floor"]
+        i, j = np.nonzero((upper >= floor[part, None]) & (upper > -np.inf))
+        return pa.RecordBatch.from_pydict({"q_row": pa.array((row["q_block"] << 16) + part.start + i, pa.int64()), "row": pa.array((row["block"] << 16) + left[j], pa.int64()), "upper": pa.array(upper[i, j])})
 
-    return asked.join(held, "lane").drop("lane").mapInArrow(run, "q_row long, row long, upper double, floor double")
+    return _meet(queries.join(floors, "block", "left"), file, k, look, "q_row long, row long, upper double")
 
 
 def _rows(blocks: DataFrame, row: str, vec_id: str, v: str) -> DataFrame:
@@ -199,10 +243,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     file, wanted = approximate(usable(vectors), block_rows, cell_bits), usable(queries)
     # A stated query set against all rows, block by block: each query block goes to every vector block.
     asked = approximate(wanted.repartition(1 + wanted.count() // block_rows), block_rows, cell_bits)
-    scanned = _scan(asked, file, k)
     by_query = W.partitionBy("q_row")
-    left = scanned.withColumn("floor", F.max("floor").over(by_query)).where("upper >= floor")
-    left = save(left.withColumn("turn", F.row_number().over(by_query.orderBy(F.desc("upper"), "row"))).drop("floor"), "candidates")
+    left = save(_scan(asked, file, k).withColumn("turn", F.row_number().over(by_query.orderBy(F.desc("upper"), "row"))), "candidates")
     q_rows = _rows(asked, "q_row", "query_id", "q")
     first = save(_exact(left.where(F.col("turn") <= k).select("q_row", "row"), file, q_rows), "scores")
     kth = first.groupBy("q_row").agg(F.min("score").alias("kth"))
