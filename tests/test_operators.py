@@ -82,14 +82,6 @@ def test_holm_and_bh(spark):
     assert {r["name"]: r["p_bh"] for r in inference.benjamini_hochberg(t).collect()} == {"a": 0.04, "b": 0.04}
 
 
-def test_block_means_equal_a_loop():
-    x = np.random.default_rng(0).normal(size=25)
-    got = inference.block_means(x, 50, 10, 42)
-    starts = np.random.default_rng(42).integers(0, 16, size=(50, 3))
-    want = [np.concatenate([x[s : s + 10] for s in row])[:25].mean() for row in starts]
-    assert np.allclose(got, want)
-
-
 def test_bootstrap_and_random_events_are_deterministic(spark):
     df = series(spark, list(np.random.default_rng(3).normal(0.01, 0.02, 120)), "r").withColumn("pos", F.when(F.minute("ts") % 5 == 0, 1.0).otherwise(0.0))
     a, b = (resampling.bootstrap_mean(df, ["symbol"], "r", 200, 10).first() for _ in range(2))

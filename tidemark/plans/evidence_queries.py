@@ -26,7 +26,7 @@ _FOLDS = "(SELECT fold, 0 AS train_start, s - 7 AS train_end, s AS test_start, C
 
 
 def _nested_sql() -> str:
-    outer = "SELECT h, o, n - (5 - o + 1) * size AS start, CASE WHEN o = 5 THEN n ELSE n - (5 - o) * size END AS stop FROM (SELECT unnest([1, 2, 3, 6]) AS h), (SELECT unnest([1, 2, 3, 4, 5]) AS o), (SELECT n, n // 6 AS size FROM (SELECT count(*) AS n FROM panel))"
+    outer = "SELECT h, o, n - (5 - o + 1) * size AS start, CASE WHEN o = 5 THEN n ELSE n - (5 - o) * size END AS stop FROM (SELECT unnest([1, 2, 3, 6]) AS h), (SELECT unnest([1, 2, 3, 4, 5]) AS o), (SELECT n, n // 6 AS size FROM (SELECT count(*) AS n FROM bars WHERE symbol = 'PRI'))"
     inner = "SELECT h, o, i, m - (3 - i + 1) * (m // 4) AS start, CASE WHEN i = 3 THEN m ELSE m - (3 - i) * (m // 4) END AS stop FROM (SELECT h, o, start - h AS m FROM o), (SELECT unnest([1, 2, 3]) AS i)"
     cols = "CAST(h AS INTEGER) AS horizon, CAST(o AS INTEGER) AS outer_fold"
     tail = "CAST(start - h AS BIGINT) AS n_train, CAST(start AS BIGINT) AS test_start, CAST(stop - 1 AS BIGINT) AS test_end, CAST(stop - start AS BIGINT) AS n_test"
@@ -177,7 +177,7 @@ def unknown_ids(s, d):
 
 ENTRIES = {
     "spl_expanding_folds": (lambda s, d: splits.fold_table(s, N.panel(s, d).count(), 5, 1), sql(BARS, f"SELECT CAST(fold AS INTEGER) AS fold, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('train_start', 'train_end', 'purge_start', 'purge_end', 'test_start', 'test_end'))} FROM (SELECT f AS fold, 0 AS train_start, s - 2 AS train_end, s - 1 AS purge_start, s - 1 AS purge_end, s AS test_start, CASE WHEN f = 5 THEN n - 1 ELSE s + n // 6 - 1 END AS test_end FROM (SELECT f, n, n - (6 - f) * (n // 6) AS s FROM (SELECT count(*) AS n FROM panel), (SELECT unnest([1, 2, 3, 4, 5]) AS f)))")),
-    "spl_nested_plan": (lambda s, d: splits.nested_plan(s, N.panel(s, d).count()), _nested_sql()),
+    "spl_nested_plan": (lambda s, d: splits.nested_plan(s, N.index(s, d).where("symbol = 'PRI'").count()), _nested_sql()),
     "joi_fold_assignment": (
         fold_assignment,
         sql(BARS, f"SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN rn <= train_end THEN 'train' WHEN rn < test_start THEN 'purge' ELSE 'test' END AS part, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn FROM panel) JOIN {_FOLDS} ON rn BETWEEN train_start AND test_end GROUP BY 1, 2"),
