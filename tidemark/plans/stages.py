@@ -109,7 +109,11 @@ def _whole(rows: DataFrame, ident: str) -> DataFrame:
 
 
 def locked(panel: DataFrame, build: Callable[[DataFrame], DataFrame], record: dict, approval: dict, registry: dict, barred: tuple[str, ...] = (), output: str | None = None) -> dict[str, DataFrame]:
-    """The frozen pipeline fitted on all development rows and read once on the locked period's."""
+    """The frozen pipeline fitted on all development rows and read once on the locked period's.
+
+    A target counts only if both its bar and the bar it looks at lie in one period, so no row is judged
+    by bars beyond the locked end, however far the panel goes on.
+    """
     horizon = record["horizon"]
     guard = second_generation.HoldoutGuard(record, approval, barred, output)
     both = registry["development"]["start"], registry["locked"]["end"]
@@ -119,7 +123,9 @@ def locked(panel: DataFrame, build: Callable[[DataFrame], DataFrame], record: di
     first, last = rows.where(F.col("ts").cast("timestamp") < start).count(), rows.count() - 1
     plan = panel.sparkSession.createDataFrame([(horizon, 0, 0, n_train, first, last)], "horizon int, outer_fold int, inner_fold int, n_train long, test_start long, test_end long")
     scores = build(panel).where(F.col("spec_id") == record["signal_spec_id"]).select("symbol", "ts", "score")
-    folds = second_generation.scored_rows(second_generation.fold_rows(rows, I.horizon_targets(panel, (horizon,)), plan), scores)
+    spans = [(registry[k]["start"], registry[k]["end"]) for k in ("development", "locked")]
+    targets = I.bounded_targets(I.horizon_targets(panel, (horizon,)), spans)
+    folds = second_generation.scored_rows(second_generation.fold_rows(rows, targets, plan), scores)
     task = panel.sparkSession.createDataFrame([(record["pipeline_id"], record["model"], record["setting"], record["rows"], record["regime_conditioned"], record["calibration_method"])], "pipeline_id string, model string, setting string, rows int, regime_conditioned boolean, method string")
     pred = second_generation.structures(folds, task, second_generation.FOLD)
     facts = folds.select("ts", "state_p_range", "state_p_trend", "state_p_stress").withColumn("regime", F.array_max(F.array(*[F.struct(F.col(f"state_p_{s}").alias("p"), F.lit(s).alias("s")) for s in states.STATES]))["s"]).select("ts", "regime")
@@ -138,6 +144,54 @@ def inference_and_robustness(tables: dict[str, DataFrame], record: dict, outer:
     return {"evidence": evidence, "intervals": locked_evidence.intervals(matched, ["signal"], samples), "costs": locked_evidence.cost_sensitivity(pred, ["signal"], ["signal"], record["threshold"]), "subperiods": locked_evidence.subperiod_economics(matched, ["signal"]), "months": summaries.monthly(matched, ["signal"], "incremental_net_return"), "matrix": matrix, "classes": gates.diagnostic_class(matrix, ["signal"])}
 
 
+def load_frozen(spark: SparkSession, path: str, registry: dict) -> list[dict]:
+    """The frozen pipelines of a file, each checked against its hash, and the file against the registry."""
+    body = sinks.read_json(spark, path)
+    if set(body) != {"pipelines", "registry"}:
+        raise ValueError("not a file of frozen pipelines")
+    if body["registry"] != sinks.json_sha256(registry):
+        raise PermissionError("the pipelines were frozen under another registry")
+    families = [r.get("signal_family") for r in body["pipelines"]]
+    if len(set(families)) != len(families):
+        raise ValueError("a family was frozen twice")
+    for r in body["pipelines"]:
+        if r.get("pipeline_hash") != second_generation.pipeline_hash(r):
+            raise PermissionError(f"the pipeline of {r.get('signal_family')} is not the one frozen")
+        if r.get("horizon") not in registry["horizons"]:
+            raise ValueError("a horizon that the registry does not have")
+    return body["pipelines"]
+
+
+def verify_locked(tables: dict[str, DataFrame], evidence: DataFrame, registry: dict) -> list[str]:
+    """What is wrong with a locked stage: rows that repeat or lie outside the period, numbers that are not
+    finite, probabilities and p-values out of range, flags that contradict what they are made from."""
+    pred, wrong = tables["predictions"], []
+    kind = pred.schema["ts"].dataType
+    start, end = (F.lit(registry["locked"][k]).cast(kind) for k in ("start", "end"))
+    p = [F.col(f"{n}_probability") for n in ("benchmark", "candidate")]
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    checks = {
+        "rows outside the locked period": ~F.col("ts").between(start, end),
+        "probabilities out of range": ~(finite(p[0]) & finite(p[1]) & (F.least(*p) > 0) & (F.greatest(*p) < 1)),
+        "returns that are not finite": ~finite(F.col("future_return")),
+        "outcomes that contradict the return": (F.col("future_return") > 0).cast("int") != F.col("target_up"),
+        "gains that contradict the losses": F.abs(F.col("incremental_log_loss") - (F.col("benchmark_loss") - F.col("candidate_loss"))) > 1e-12,
+    }
+    found = pred.agg(F.count("*").alias("rows"), F.countDistinct("ts").alias("bars"), *[F.count_if(c).alias(name) for name, c in checks.items()]).first()
+    wrong += [name for name in checks if found[name]]
+    wrong += ["rows that repeat"] if found["rows"] != found["bars"] else []
+    wrong += ["no rows"] if not found["rows"] else []
+    row = evidence.first()
+    numbers = [row[c] for c in ("mean", "p_value", "p_holm", "gain_lower", "net_lower")]
+    if any(v is None or v != v or abs(v) == float("inf") for v in numbers):
+        wrong.append("evidence that is not finite")
+    elif not (0 <= row["p_value"] <= row["p_holm"] <= 1):
+        wrong.append("p-values out of range")
+    elif row["n"] != found["rows"]:
+        wrong.append("evidence of other rows")
+    return wrong
+
+
 def model_card(record: dict, evidence: dict) -> str:
     """Identity, admission, determination and limits of a frozen pipeline, as Markdown."""
     lines = ["# Frozen pipeline", "", "## Identity", ""]
@@ -175,6 +229,7 @@ def run(panel: DataFrame, build: Callable[[DataFrame], DataFrame], registry: dic
     chosen = stage("selection", found)
     records = freeze(chosen, chosen["decisions"])
     sinks.write_json(spark, {"pipelines": records, "registry": sinks.json_sha256(registry)}, f"{path}/frozen")
+    records = load_frozen(spark, f"{path}/frozen", registry)
     families = sorted(r["signal_family"] for r in chosen["decisions"].select("signal_family").collect())
     barred = tuple(f for f in families if f not in {r["signal_family"] for r in records})
     evidence, classes = [], []
@@ -182,6 +237,8 @@ def run(panel: DataFrame, build: Callable[[DataFrame], DataFrame], registry: dic
         name = f"locked-{r['signal_family']}"
         tables = stage(name, locked(panel, build, r, approve(r), registry, barred, f"{path}/{name}"))
         done = stage(f"inference-{r['signal_family']}", inference_and_robustness(tables, r, chosen["outer"], barred, samples))
+        if wrong := verify_locked(tables, done["evidence"], registry):
+            raise ValueError(f"{name}: {'; '.join(wrong)}")
         row = done["evidence"].first().asDict()
         evidence.append(row)
         classes += [c.asDict() for c in done["classes"].collect()]
