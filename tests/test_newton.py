@@ -91,3 +91,18 @@ def test_no_rows_no_models(spark):
     assert newton.fit(df, ["fold"]) == {}
     with pytest.raises(KeyError):
         newton.fit(spark.createDataFrame([(1, [0.5], 1.0, 1.0)], "fold int, x array<double>, y double, w double"), ["fold"], {(2,): 1.0})
+
+
+def test_late_rounds_read_only_keys_that_still_move(spark, monkeypatch):
+    rng, rows, read = np.random.default_rng(3), [], []
+    for key, sizes, steep in ((0, 400, 0.0), (1, 40, 40.0)):
+        x = rng.normal(size=(sizes, 2))
+        rows += [(key, v.tolist(), float(rng.random() < newton_sigmoid(steep * v[0])), 1.0) for v in x]
+    df = spark.createDataFrame(rows, "k int, x array<double>, y double, w double").cache()
+    sums = newton._sums
+    monkeypatch.setattr(newton, "_sums", lambda rows, keys, trial: read.append(rows.count()) or sums(rows, keys, trial))
+    got = newton.fit(df, ["k"], {(0,): 1.0, (1,): 1e4})
+    assert read[0] == 440 and read[-1] == 40
+    for k, cost in ((0, 1.0), (1, 1e4)):
+        own = [r for r in rows if r[0] == k]
+        assert np.allclose(got[(k,)], models.fit_logistic(np.array([r[1] for r in own]), np.array([r[2] for r in own]), cost), atol=1e-6)

@@ -190,3 +190,12 @@ def test_guards(spark):
         checks.require_rows(df, 3)
     with pytest.raises(ValueError):
         checks.require_before(df, "2024-01-01 00:01:00")
+
+
+def test_fewer_rounds_are_the_first_trees():
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(700, 3))
+    y = (z[:, 0] * z[:, 1] + rng.normal(size=700) > 0).astype(float)
+    model = models.Boosting(depth=4, rounds=40).fit(z, y)
+    for rounds in (10, 25, 40):
+        assert (model.predict(z, rounds) == models.Boosting(depth=4, rounds=rounds).fit(z, y).predict(z)).all()

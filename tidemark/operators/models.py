@@ -120,34 +120,52 @@ class Boosting:
         f = np.full(len(y), self.base)
         for _ in range(self.rounds):
             q = sigmoid(f)
-            tree = self._grow(code, y - q, q * (1 - q))
+            tree, step = self._grow(code, y - q, q * (1 - q))
             self.trees.append(tree)
-            f += self._leaf(tree, code)
+            f += step
         return self
 
     def _code(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)])
+        return np.asfortranarray(np.column_stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)]))
 
-    def _grow(self, code: np.ndarray, g: np.ndarray, h: np.ndarray) -> dict:
-        splits, node = {}, np.ones(len(g), np.int64)
-        width, one = code.shape[1], np.ones(len(g))
-        at = code + np.arange(width) * (self.bins + 1)
+    def _grow(self, code: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
+        """A tree and what it adds to each row. A level's nodes share their passes: one count and two sums a column."""
+        splits, node, now = {}, np.ones(len(g), np.int64), [1]
+        columns, cells = code.T, self.bins + 1
+        place = np.zeros(len(g), np.int64)
         for _ in range(self.depth):
-            for k in np.unique(node):
-                rows = np.flatnonzero(node == k)
-                if len(rows) < 2 * self.least:
-                    continue
-                total_g, total_h = g[rows].sum(), h[rows].sum()
-                n, sg, sh = (np.cumsum(np.bincount(at[rows].ravel(), np.repeat(v[rows], width), width * (self.bins + 1)).reshape(width, -1), axis=1) for v in (one, g, h))
+            rows = [np.flatnonzero(node == k) for k in now]
+            now, rows = [k for k, r in zip(now, rows) if len(r) >= 2 * self.least], [r for r in rows if len(r) >= 2 * self.least]
+            if not now:
+                break
+            whole = sum(map(len, rows)) == len(g)
+            for i, r in enumerate(rows):
+                place[r] = i * cells
+            mine = slice(None) if whole else np.sort(np.concatenate(rows))
+            p, mg, mh = place[mine], g[mine], h[mine]
+            at = [c[mine] + p for c in columns]
+            size = len(now) * cells
+            shape = (len(columns), len(now), cells)
+            n = np.cumsum(np.concatenate([np.bincount(x, minlength=size) for x in at]).reshape(shape), axis=2)
+            sg, sh = (np.cumsum(np.concatenate([np.bincount(x, v, size) for x in at]).reshape(shape), axis=2) for v in (mg, mh))
+            below = []
+            for i, (k, r) in enumerate(zip(now, rows)):
+                total_g, total_h = g[r].sum(), h[r].sum()
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = sg**2 / (sh + self.l2) + (total_g - sg) ** 2 / (total_h - sh + self.l2 + 1e-12) - total_g**2 / (total_h + self.l2)
-                gain[(n < self.least) | (len(rows) - n < self.least)] = -1
-                j, cut = divmod(int(gain.argmax()), self.bins + 1)
+                    gain = sg[:, i] ** 2 / (sh[:, i] + self.l2) + (total_g - sg[:, i]) ** 2 / (total_h - sh[:, i] + self.l2 + 1e-12) - total_g**2 / (total_h + self.l2)
+                gain[(n[:, i] < self.least) | (len(r) - n[:, i] < self.least)] = -1
+                j, cut = divmod(int(gain.argmax()), cells)
                 if gain[j, cut] > 1e-9:
-                    splits[int(k)] = (j, cut)
-                    node[rows] = 2 * k + (code[rows, j] > cut)
-        leaves = {int(k): self.rate * g[node == k].sum() / (h[node == k].sum() + self.l2) for k in np.unique(node)}
-        return {"splits": splits, "leaves": leaves}
+                    splits[k] = (j, cut)
+                    node[r] = 2 * k + (columns[j][r] > cut)
+                    below += [2 * k, 2 * k + 1]
+            now = below
+        leaves, step = {}, np.empty(len(g))
+        for k in np.flatnonzero(np.bincount(node)).tolist():
+            r = np.flatnonzero(node == k)
+            leaves[k] = self.rate * g[r].sum() / (h[r].sum() + self.l2)
+            step[r] = leaves[k]
+        return {"splits": splits, "leaves": leaves}, step
 
     def _leaf(self, tree: dict, code: np.ndarray) -> np.ndarray:
         node = np.ones(len(code), np.int64)
@@ -160,9 +178,10 @@ class Boosting:
             out[node == k] = v
         return out
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def predict(self, x: np.ndarray, rounds: int | None = None) -> np.ndarray:
+        """Probabilities after the first `rounds` rounds (all if None): fewer rounds are a model's first trees."""
         code = self._code(x)
-        return sigmoid(self.base + sum(self._leaf(t, code) for t in self.trees))
+        return sigmoid(self.base + sum(self._leaf(t, code) for t in self.trees[:rounds]))
 
 
 def make_model(kind: str, signals: int, setting: dict) -> Linear | Spline | Boosting:
@@ -204,17 +223,20 @@ def matched_tasks(rows: DataFrame, tasks: DataFrame, keys: list[str], base: list
     """(keys, pipeline_id, method, ts, probabilities, ...) of the test rows of every task.
 
     tasks: some of the keys, model, setting, pipeline_id, rows (of the training window; NULL for all),
-    regime_conditioned (adds the crossed columns), method. A group is one fold and model setting;
-    its windows, conditionings and methods share the fits whose rows and columns are the same.
+    regime_conditioned (adds the crossed columns), method. A group is one fold and model setting, boosting
+    of any number of rounds being one; its windows, conditionings and methods share the fits whose rows
+    and columns are the same, and settings of fewer rounds are the first trees of the longest.
     Both models see the same rows; a task with too few of them gives none.
     """
     types, on = dict(rows.dtypes), [k for k in keys if k in tasks.columns]
-    packed = tasks.groupBy(*on, "model", "setting").agg(F.to_json(F.sort_array(F.collect_set(F.struct("pipeline_id", "method", "rows", "regime_conditioned")))).alias("variants"))
+    shared = F.when(F.col("model") == "boosting", F.regexp_replace("setting", "-i[0-9]+", "")).otherwise(F.col("setting"))
+    packed = tasks.withColumn("shared", shared).groupBy(*on, "model", "shared").agg(F.to_json(F.sort_array(F.collect_set(F.struct("pipeline_id", "method", "rows", "regime_conditioned", "setting")))).alias("variants"))
     facts = ["target_up", "future_return"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, setting = pdf["model"].iloc[0], parse_setting(pdf["model"].iloc[0], pdf["setting"].iloc[0])
-        gap, variants = int(pdf[horizon].iloc[0]), json.loads(pdf["variants"].iloc[0])
+        kind, gap, variants = pdf["model"].iloc[0], int(pdf[horizon].iloc[0]), json.loads(pdf["variants"].iloc[0])
+        settings = [parse_setting(kind, v["setting"]) for v in variants]
+        setting = max(settings, key=lambda s: s.get("rounds", 0))
         pdf = pdf.replace([np.inf, -np.inf], np.nan).dropna(subset=[*base, *signal, *crossed, *facts]).sort_values("ts")
         whole, test, fits, out = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"], {}, []
 
@@ -226,7 +248,7 @@ def matched_tasks(rows: DataFrame, tasks: DataFrame, keys: list[str], base: list
                 fits[key] = make_model(kind, len(extra), setting).fit(part[[*base, *extra]].to_numpy(float), part["target_up"].to_numpy(float))
             return fits[key]
 
-        for v in variants:
+        for v, own in zip(variants, settings):
             size = min(len(whole), v.get("rows") or len(whole))
             train = whole.iloc[len(whole) - size :]
             held = 0 if v["method"] == "none" else max(60, int(0.2 * size))
@@ -237,8 +259,9 @@ def matched_tasks(rows: DataFrame, tasks: DataFrame, keys: list[str], base: list
             p = {}
             for name, extra in (("benchmark", ()), ("candidate", (*signal, *(crossed if v["regime_conditioned"] else ())))):
                 model, cols = fitted(n_fit, size, extra), [*base, *extra]
-                fix = calibrate(v["method"], model.predict(late[cols].to_numpy(float)), late["target_up"].to_numpy(float)) if held else (lambda q: q)
-                p[f"{name}_probability"] = np.clip(fix(model.predict(test[cols].to_numpy(float))), 1e-9, 1 - 1e-9)
+                until = (own["rounds"],) if kind == "boosting" else ()
+                fix = calibrate(v["method"], model.predict(late[cols].to_numpy(float), *until), late["target_up"].to_numpy(float)) if held else (lambda q: q)
+                p[f"{name}_probability"] = np.clip(fix(model.predict(test[cols].to_numpy(float), *until)), 1e-9, 1 - 1e-9)
             out.append(pd.DataFrame({**{k: test[k] for k in keys}, "pipeline_id": v["pipeline_id"], "method": v["method"], "ts": test["ts"], **{c: test[c] for c in facts}, **p}))
         if out:
             return pd.concat(out)
@@ -249,7 +272,7 @@ def matched_tasks(rows: DataFrame, tasks: DataFrame, keys: list[str], base: list
     wanted = list(dict.fromkeys([*keys, horizon, "ts", "part", *base, *signal, *crossed, *facts]))
     joined = rows.where(F.col("part").isin("train", "test")).select(*wanted)
     joined = joined.join(F.broadcast(packed), on) if on else joined.crossJoin(F.broadcast(packed))
-    return joined.groupBy(*keys, "model", "setting").applyInPandas(one, schema)
+    return joined.groupBy(*keys, "model", "shared").applyInPandas(one, schema)
 
 
 def parse_setting(kind: str, text: str) -> dict:

@@ -82,10 +82,16 @@ def fit(rows: DataFrame, keys: list[str], cost: dict[tuple, float] | float = 1.0
     best = {k: np.zeros(d + 1) for k, d in widths.items()}
     value, step, done = {k: np.inf for k in best}, {k: None for k in best}, {}
     trial, scale = {k: b.copy() for k, b in best.items()}, {k: 1.0 for k in best}
+
+    def moving(rows: DataFrame) -> DataFrame:
+        """The rows of keys that have no model yet: late rounds, of a few slow keys, read few rows."""
+        schema = T.StructType([rows.schema[k] for k in keys])
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(list(trial), schema)), keys, "left_semi")
+
     for _ in range(rounds):
         if not trial:
             break
-        found = _sums(rows, keys, trial)
+        found = _sums(rows if len(trial) == len(widths) else moving(rows), keys, trial)
         for k in list(trial):
             loss, g, h = found[k]
             b = trial[k]
