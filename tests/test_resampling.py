@@ -83,3 +83,18 @@ def test_one_standard_error_takes_the_simplest_near_the_best(spark):
     assert r["name"] == "b" and np.isclose(r["limit"], 0.5 + np.std([0.50, 0.52, 0.48], ddof=1) / math.sqrt(3))
     one = resampling.one_standard_error(df.where("fold = 0"), ["k"], "name", "complexity", "loss").first()
     assert one["name"] == "a"  # a single fold has no error to allow for
+
+
+def test_groups_of_a_length_share_their_draws(spark):
+    """The plan deals draws by length and place, whatever the number of groups; results stay each group's own."""
+    rng = np.random.default_rng(5)
+    series = {k: rng.normal(size=n) for k, n in (("a", 31), ("b", 31), ("c", 12))}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k string, place int, x double")
+    means = resampling.block_means(df, ["k"], 40, 7)
+    lines = [x for x in means._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "place" in x]
+    assert lines and all("k#" not in x for x in lines if "end#" not in x)
+    got = {}
+    for r in means.orderBy("sample").collect():
+        got.setdefault(r["k"], []).append(r["mean"])
+    for k, x in series.items():
+        assert np.allclose(got[k], plain_means(x, 40, 7), atol=1e-12)

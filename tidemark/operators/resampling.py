@@ -33,7 +33,8 @@ def _finite(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def block_means(series: DataFrame, keys: list[str], samples: int, block: int, seed: int = SEED) -> DataFrame:
     """(keys, sample, mean): means of moving-block resamples of series (keys, place, x).
 
-    As many blocks as cover the length; starts are even draws, the last block is cut to length.
+    As many blocks as cover the length; starts are even draws, the last block is cut to length. A draw
+    depends on the length alone, so it is made, and dealt to its starts, once for all groups of a length.
     """
     along = W.partitionBy(*keys).orderBy("place")
     size = series.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("b", F.least(F.col("n"), F.lit(block)).cast("long"))
@@ -43,12 +44,13 @@ def block_means(series: DataFrame, keys: list[str], samples: int, block: int, se
     ahead = lambda k: F.last("__s").over(along.rowsBetween(0, k - 1)) - F.col("__s") + F.col("__x")
     # The last block's length differs between groups, so its sum is taken from the running total at a join.
     starts = save(sums.select(*keys, "place", ahead(block).alias("whole"), (F.col("__s") - F.col("__x")).alias("before"), F.col("__s").alias("upto"), "cut", "n", "b"), "starts")
-    drawn = size.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).repartition(*keys, "sample")
+    lengths = size.select("n", "b", "per", "cut").distinct()
+    drawn = lengths.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).repartition("n", "sample")
     drawn = drawn.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("per") - 1)))
-    drawn = drawn.select(*keys, "sample", (F.col("j") == F.col("per") - 1).alias("last"), "cut", "n", draw(F.col("n") - F.col("b") + 1, seed, F.col("sample"), F.col("j")).alias("place"))
-    whole = drawn.where("not last").join(starts.select(*keys, "place", "whole"), [*keys, "place"]).select(*keys, "sample", "n", F.col("whole").alias("v"))
-    ends = drawn.where("last").select(*keys, "sample", "n", "place", (F.col("place") + F.col("cut") - 1).alias("end"))
-    late = ends.join(starts.select(*keys, "place", "before"), [*keys, "place"]).join(starts.select(*keys, F.col("place").alias("end"), "upto"), [*keys, "end"])
+    drawn = drawn.select("sample", (F.col("j") == F.col("per") - 1).alias("last"), "cut", "n", draw(F.col("n") - F.col("b") + 1, seed, F.col("sample"), F.col("j")).alias("place"))
+    whole = drawn.where("not last").join(starts.select(*keys, "n", "place", "whole"), ["n", "place"]).select(*keys, "sample", "n", F.col("whole").alias("v"))
+    ends = drawn.where("last").select("sample", "n", "place", (F.col("place") + F.col("cut") - 1).alias("end"))
+    late = ends.join(starts.select(*keys, "n", "place", "before"), ["n", "place"]).join(starts.select(*keys, "n", F.col("place").alias("end"), "upto"), [*keys, "n", "end"])
     both = whole.unionByName(late.select(*keys, "sample", "n", (F.col("upto") - F.col("before")).alias("v")))
     return both.groupBy(*keys, "sample").agg((F.sum("v") / F.first("n")).alias("mean"))
 
