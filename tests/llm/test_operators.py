@@ -601,3 +601,12 @@ def test_mix_with_clashing_names_and_other_types(spark):
 def test_mixing_draw_is_even(spark):
     u = np.array([r[0] for r in spark.range(4000).select(mixing.uniform(F.col("id"), 7)).collect()])
     assert 0 <= u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.02
+
+
+def test_links_of_one_cluster_thin_to_one_a_member(spark):
+    """Forty members that share buckets with four first members each: edges go by members, not by buckets."""
+    links = [(a, b, a) for a in range(4) for b in range(4, 44)]
+    thin = near_dedup._thinned(spark.createDataFrame([*links, (50, 51, 50)], "a long, b long, place long"))
+    assert thin.count() == 40 + 3 + 1
+    label = {r["node"]: r["label"] for r in connected_components(thin).collect()}
+    assert label == {**dict.fromkeys(range(44), 0), 50: 50, 51: 50}

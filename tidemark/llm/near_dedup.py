@@ -18,7 +18,9 @@ linked on its own, with a few of the group's members (hubs, the first in a fixed
 documents) that all blocks get. Pairs whose ends are linked then need no look. Only members outside
 the largest part so found (none or few where a group is all near copies) are sent to every block, in
 blocks again, so every other pair is met. A part is returned as edges from its first member in that
-order to the others, so blocks, and buckets of one cluster, mostly return the same edges.
+order to the others, so blocks, and buckets of one cluster, mostly return the same edges. Of the edges
+that reach one member from several first members one is kept, and the others go between those
+(`_thinned`): edges stay about as many as members, however many buckets they share.
 
 The chance that a pair with similarity 0.85 shares no band is (1 - 0.85**5)**26 < 3e-7, and that
 the screen (five standard deviations below the threshold) drops it is about the same.
@@ -39,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Run, discard, save, shuffle_partitions
@@ -167,12 +170,12 @@ def sign(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, bits binary")
 
 
-def link_unit(ids: list[int], place: np.ndarray, outside: np.ndarray, size: np.ndarray, bits: np.ndarray, labels: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+def link_unit(ids: list[int], place: np.ndarray, outside: np.ndarray, size: np.ndarray, bits: np.ndarray, labels: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int, int]]:
     """Edges of the parts that links make within one unit, beyond what equal labels join already.
 
     Pairs are links if they pass the screen and, if sets are given, the check on the full sets.
     With members from outside only their pairs with the others are looked at. A part's edges run
-    from the first of its labels' first members (by `place`) to those of the other labels.
+    from the first of its labels' first members (by `place`) to those of the other labels: (a, b, a's place).
     """
     order = np.lexsort((ids, size))
     size, bits, outside = size[order], bits[order], outside[order]
@@ -204,12 +207,12 @@ def link_unit(ids: list[int], place: np.ndarray, outside: np.ndarray, size: np.n
             first[own[i]] = i
             start = first.setdefault(("part", root[i]), i)
             if start != i:
-                links.append((ids[order[start]], ids[order[i]]))
+                links.append((ids[order[start]], ids[order[i]], int(place[order[start]])))
     return links
 
 
 def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) of each unit: rows (keys, doc_id, place, outside, label, n_shingles, bits[, text]) with equal keys."""
+    """Links (a, b, place) of each unit: rows (keys, doc_id, place, outside, label, n_shingles, bits[, text]) with equal keys."""
     whole = "text" in units.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +225,7 @@ def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
             held.clear(), seen.clear()
 
         def found() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+            return pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in links], pa.int64()) for i, c in enumerate(("a", "b", "place"))})
 
         for batch in batches:
             key = list(zip(*(batch.column(k).to_pylist() for k in keys)))
@@ -242,7 +245,19 @@ def _units(units: DataFrame, keys: list[str], percent: int) -> DataFrame:
         yield found()
 
     dealt = units.repartition(shuffle_partitions(units.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, place long")
+
+
+def _thinned(links: DataFrame) -> DataFrame:
+    """(a, b): links (a, b, place) with the same components, but one edge a member.
+
+    A member b is linked with the first member of each of its buckets or blocks. The first of these keeps
+    it, and the others are linked with that one instead: edges among first members, which all of a
+    cluster's members share. A member has as many links as buckets and blocks that hold it.
+    """
+    distinct = links.groupBy("a", "b").agg(F.min("place").alias("place"))
+    first = distinct.withColumn("first", F.min(F.struct("place", "a")).over(W.partitionBy("b"))["a"])
+    return first.select(F.col("first").alias("a"), F.when(F.col("a") == F.col("first"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
 
 
 def _forest(members: DataFrame, payload: list[DataFrame], percent: int, cost: str | None = None) -> DataFrame:
@@ -262,7 +277,7 @@ def _forest(members: DataFrame, payload: list[DataFrame], percent: int, cost: st
     kept = ["place", "n_shingles", "bits", *(["text"] if "text" in placed.columns else [])]
     own = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = placed.select("grp", F.explode(own).alias("block"), "doc_id", F.lit(False).alias("outside"), F.col("doc_id").alias("label"), *kept)
-    links = save(_units(first, ["grp", "block"], percent), "links")
+    links = save(_thinned(_units(first, ["grp", "block"], percent)), "links")
     cut = placed.where("blocks > 1")
     if cut.isEmpty():
         discard(placed)
@@ -277,7 +292,7 @@ def _forest(members: DataFrame, payload: list[DataFrame], percent: int, cost: st
     lot = F.pmod(F.xxhash64(*KEY, F.lit(5)), F.col("lots")).cast("int")
     inner = left.select("grp", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "doc_id", F.lit(False).alias("outside"), "label", *kept)
     outer = left.where("other").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), lot.alias("lot"), "doc_id", F.lit(True).alias("outside"), "label", *kept)
-    more = save(_units(inner.union(outer), ["grp", "block", "lot"], percent), "links")
+    more = save(_thinned(_units(inner.union(outer), ["grp", "block", "lot"], percent)), "links")
     discard(placed, tagged)
     return links.union(more)
 
