@@ -252,6 +252,38 @@ def test_words_are_encoded_alone_only_where_the_description_allows_it():
         assert not token_binary.encodes_words_alone({**plain, **change})
 
 
+def test_words_of_many_places_cost_python_one_lookup():
+    import tracemalloc
+
+    ids = token_binary._WordIds(queries.tokenizer_path())
+    words = [f"{a}{b}{m}" for a in ("tide", "Mark", "été", "x") for b in ("", "ing", "À") for m in ("", ",", "!!", "'s")]
+    text = " ".join(words * 2000)
+    expected = ids._whole(" ".join(words)) * 2000
+    ids.encode(" ".join(words))
+    tracemalloc.start()
+    got = ids.encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == expected
+    assert peak < 3 * len(expected)  # an object for each of the 96,000 words would take more
+
+
+def test_pieces_of_a_batch_are_whole_texts_in_order(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = [None, "", " \t\n", "  lead and trail \r\n", "×a a× b÷c É÷", "|", "'s Don't it's. ''", "ẞ İ naïve, e\u0301", "w" * 300, "one two " * 40, "\x00 a\x1cb \x85", None, "end"]
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    expected = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(token_binary, "PIECE_BYTES", 64)
+    pieces = list(token_binary._pieces(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})))
+    assert len(pieces) > 3 and [t for p in pieces for t in p.column("text").to_pylist()] == texts
+    ids = token_binary._WordIds(queries.tokenizer_path())
+    got = [np.frombuffer(b, "<u4").tolist() for p in pieces for b in ids.encode_all(p.column("text")).to_pylist()]
+    assert got == expected
+    assert list(token_binary._pieces(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}))) == []
+
+
 # ---------------------------------------------------------------- 4 decontamination
 
 
