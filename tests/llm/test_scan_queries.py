@@ -227,3 +227,23 @@ def test_the_first_pass_of_a_search_returns_k_bounds_a_lane(spark, monkeypatch):
     for q in (0, 440, 890):
         want = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]
         assert [(r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(-s, i) for s, i in want]
+
+
+def test_blocks_of_queries_are_neither_copied_to_lanes_nor_broadcast(spark, monkeypatch):
+    from tidemark.llm import va_search as S
+
+    plans, meet = [], S._meet
+
+    def seen(*parts):
+        out = meet(*parts)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(S, "_meet", seen)
+    x = np.random.default_rng(12).normal(size=(300, 8)) / 4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = S.top_k(df, df.where("vec_id % 3 = 0"), 5, block_rows=32).collect()  # 10 blocks of cells, 4 of queries
+    v = np.floor(256 * x).astype(np.int64)
+    want = [(q, i) for q in range(0, 300, 3) for _, i in sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(q, n % 5 + 1, i) for n, (q, i) in enumerate(want)]
+    assert len(plans) == 2 and all("CartesianProduct" in p and "Broadcast" not in p and "Generate" not in p for p in plans)

@@ -10,7 +10,7 @@ block's least and greatest value in that dimension. A search has two parts:
    first, then only those whose bound still reaches the kth exact score.
 
 Queries are rows of the same or another table, packed in blocks too; each query block meets each
-block of cells in one task of bounded size. Of equal vectors in a block only the rows that can be
+block of cells, in a Cartesian product whose tasks read both from where they are stored. Of equal vectors in a block only the rows that can be
 in a result are looked at (those of the k + 1 smallest ids), so a vector that a third of all rows
 share gives no more candidates than any other.
 
@@ -127,15 +127,25 @@ def bounds(q: np.ndarray, code: np.ndarray, low: np.ndarray, width: np.ndarray)
     return middle + (np.minimum(q, 0) @ span - slack)[:, None], middle + (np.maximum(q, 0) @ span + slack)[:, None]
 
 
+def all_pairs(asked: DataFrame, prefix: str, file: DataFrame) -> DataFrame:
+    """Each block of a saved query set (its columns get the prefix) with every block of the file.
+
+    A Cartesian product by hint, whatever the sizes: its tasks read the blocks of queries where they are
+    stored, so these are neither copied for each lane nor broadcast, and the driver holds none of them. The
+    file moves once, to lanes; a task takes one block of queries after the other through its lane.
+    """
+    lanes = max(1, min(shuffle_partitions(file.sparkSession), file.count()))
+    sent = asked.select(*(F.col(c).alias(f"{prefix}{c}") for c in asked.columns))
+    return sent.hint("shuffle_replicate_nl").crossJoin(file.repartition(lanes))
+
+
 def _meet(asked: DataFrame, file: DataFrame, k: int, look, schema: str, done=None) -> DataFrame:
-    """Each block of queries with every block of cells: the cells are dealt to lanes, queries go to all lanes.
+    """Each block of queries with every block of cells.
 
     look(state, row, part, lower, upper, places) is called for parts of a block of queries; a task keeps the
     states of a bounded number of query blocks, and `done` turns a state that is put away into rows.
     """
-    lanes = max(1, min(shuffle_partitions(file.sparkSession), file.count()))
-    sent = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    held = file.select("block", "n", "dims", "ids", "turn", "cells", "low", "width").withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
+    held = file.select("block", "n", "dims", "ids", "turn", "cells", "low", "width")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[int, dict] = {}
@@ -165,7 +175,7 @@ def _meet(asked: DataFrame, file: DataFrame, k: int, look, schema: str, done=Non
         for block, state in states.items() if done else ():
             yield done(block, state)
 
-    return sent.join(held, "lane").drop("lane").mapInArrow(run, schema)
+    return all_pairs(asked, "q_", held).mapInArrow(run, schema)
 
 
 def _floors(queries: DataFrame, file: DataFrame, k: int) -> DataFrame:
@@ -189,7 +199,8 @@ def _floors(queries: DataFrame, file: DataFrame, k: int) -> DataFrame:
 def _scan(queries: DataFrame, file: DataFrame, k: int) -> DataFrame:
     """(q_row, row, upper): rows that the cells do not rule out, given each query's floor over all lanes."""
     place = F.struct(F.col("q_row").bitwiseAND(F.lit(65535)).alias("i"), "floor")
-    floors = save(_floors(queries, file, k).groupBy(F.shiftright("q_row", 16).alias("block")).agg(F.collect_list(place).alias("floors")), "floors")
+    floors = _floors(queries, file, k).groupBy(F.shiftright("q_row", 16).alias("block")).agg(F.collect_list(place).alias("floors"))
+    asked = save(queries.join(floors, "block", "left"), "floors")
 
     def look(state, row, part, lower, upper, left):
         floor = np.full(row["q_n"], -np.inf)
@@ -198,7 +209,7 @@ def _scan(queries: DataFrame, file: DataFrame, k: int) -> DataFrame:
         i, j = np.nonzero((upper >= floor[part, None]) & (upper > -np.inf))
         return pa.RecordBatch.from_pydict({"q_row": pa.array((row["q_block"] << 16) + part.start + i, pa.int64()), "row": pa.array((row["block"] << 16) + left[j], pa.int64()), "upper": pa.array(upper[i, j])})
 
-    return _meet(queries.join(floors, "block", "left"), file, k, look, "q_row long, row long, upper double")
+    return _meet(asked, file, k, look, "q_row long, row long, upper double")
 
 
 def _rows(blocks: DataFrame, row: str, vec_id: str, v: str) -> DataFrame:
