@@ -247,3 +247,22 @@ def test_blocks_of_queries_are_neither_copied_to_lanes_nor_broadcast(spark, monk
     want = [(q, i) for q in range(0, 300, 3) for _, i in sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]]
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(q, n % 5 + 1, i) for n, (q, i) in enumerate(want)]
     assert len(plans) == 2 and all("CartesianProduct" in p and "Broadcast" not in p and "Generate" not in p for p in plans)
+
+
+def test_blocks_of_anchors_are_neither_copied_to_lanes_nor_broadcast(spark, monkeypatch):
+    plans, search = [], H.search
+
+    def seen(*parts):
+        out = search(*parts)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(H, "search", seen)
+    rows = odd_vectors(2, 120)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    relabelled = df.selectExpr("vec_id", "if(vec_id % 7 = 0, (label + 1) % 10, label) AS label", "embedding")
+    got = H.mine(relabelled, relabelled.where("vec_id % 50 = 0"), block_rows=25, anchor_rows=2)
+    last = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == plain_negatives(rows)
+    assert len(plans) == 2 and all("CartesianProduct" in p and "Generate" not in p for p in plans)
+    assert not any("Broadcast" in p for p in (*plans, last))

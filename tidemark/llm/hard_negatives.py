@@ -15,8 +15,9 @@ lies in [low, high] percent of the positive's score.
 3. A task goes on with the best exact scores found so far, so later blocks discard sooner. It returns at
    most `positives` (or positives x negatives) rows an anchor; a window merges the tasks' rows.
 
-Scale: a stated query set meets all rows, block by block. Vectors move once, to `lanes`; anchor blocks
-are copied to every lane; no task emits more than its anchors' places, so rows that a third of the table
+Scale: a stated query set meets all rows, block by block. Vectors move once, to lanes; the tasks of a
+Cartesian product read anchor blocks where they are stored, so these are not copied for each lane or sent
+through the driver; no task emits more than its anchors' places, so rows that a third of the table
 repeats add no rows. Positives are found and written before negatives are asked for.
 
 Defined results: rows with a null vec_id, label or vector, or a null or non-finite component, take no
@@ -36,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, save, shuffle_partitions
-from tidemark.llm.va_search import narrow, valid, whole_numbers
+from tidemark.llm.common import discard, save
+from tidemark.llm.va_search import all_pairs, narrow, valid, whole_numbers
 
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
@@ -237,11 +238,8 @@ class NegativeSearch:
 def search(asked: DataFrame, file: DataFrame, turn: np.ndarray, make, groups: int) -> DataFrame:
     """(a_row, place, score, vec_id): the exact best of each lane for every anchor; `place` is its group.
 
-    asked has the columns of the file and what `make` needs to start a block of anchors with.
+    asked, a saved table, has the columns of the file and what `make` needs to start a block of anchors with.
     """
-    lanes = max(1, min(shuffle_partitions(file.sparkSession), file.count()))
-    left = asked.select(*[F.col(c).alias(f"a_{c}") for c in asked.columns]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    turns = file.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
     slack, wide = rounding(turn), len(turn)
     ends = stage_ends(wide)
 
@@ -254,7 +252,7 @@ def search(asked: DataFrame, file: DataFrame, turn: np.ndarray, make, groups: in
         return pa.RecordBatch.from_pydict({"a_row": (block << 16) + p.group // groups, "place": p.group % groups, "score": p.score, "vec_id": p.vec_id})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}  # by block of anchors: one at a time where the join streams them, else a bounded number
+        held: dict = {}  # by block of anchors: a bounded number
         for batch in batches:
             for r in batch.to_pylist():
                 block = r["a_block"]
@@ -270,7 +268,7 @@ def search(asked: DataFrame, file: DataFrame, turn: np.ndarray, make, groups: in
         for block, (task, *_) in held.items():
             yield found(block, task)
 
-    return left.join(turns, "lane").drop("lane").mapInArrow(run, "a_row long, place long, score long, vec_id long")
+    return all_pairs(asked, "a_", file).mapInArrow(run, "a_row long, place long, score long, vec_id long")
 
 
 def _ranked(found: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -326,9 +324,10 @@ def mine(vectors: DataFrame, anchors: DataFrame, positives: int = POSITIVES, neg
     turn = rotation(file, wide)
     best = search(asked, file, turn, lambda row: PositiveSearch(row, positives), 1)
     first = save(_ranked(best, ["a_row"], positives).select("a_row", "rank", "score", "vec_id"), "positives")
-    best = search(_ask(asked, first, positives), file, turn, lambda row: NegativeSearch(row, positives, negatives, low, high), positives)
+    scored = save(_ask(asked, first, positives), "asked")
+    best = search(scored, file, turn, lambda row: NegativeSearch(row, positives, negatives, low, high), positives)
     second = save(_ranked(best, ["a_row", "place"], negatives), "negatives")
-    discard(file)
+    discard(file, scored)
     pairs = first.select("a_row", (F.col("rank") - 1).cast("long").alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    out = second.withColumnsRenamed({"vec_id": "negative_id", "score": "negative_score"}).join(pairs, ["a_row", "place"]).join(_anchor_ids(asked), "a_row")
+    out = second.withColumnsRenamed({"vec_id": "negative_id", "score": "negative_score"}).join(pairs.hint("merge"), ["a_row", "place"]).join(_anchor_ids(asked).hint("merge"), "a_row")
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
